@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, ngram_join, quality_rules, suffix_dedup
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup
 from .tables import table
 
 
@@ -13,6 +13,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
@@ -20,4 +21,4 @@ QUERIES = {
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
-ORACLE_SQL = {"op8_mix_sources": mixing.SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op8_mix_sources": mixing.SQL}
