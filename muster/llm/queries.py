@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, suffix_dedup
 from .tables import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_language_id": language_id.op5_language_id,
+    "op6_pii": pii.op6_pii,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
