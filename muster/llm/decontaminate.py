@@ -86,56 +86,72 @@ class _Block:
         return np.unique(np.stack([doc, self.owner[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
 
 
+def _hits(items: _Block, batch: pa.RecordBatch, n: int, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, shingles of the item, those found) of each item that a row's document holds."""
+    for i, j, buf, offs, _ in T.blocks(batch):
+        doc, h = _shingles(buf, offs, n)
+        bounds, last, own = T.per_doc(doc, j - i), -1, None
+        for d, k in items.candidates(doc, h).tolist():
+            if d != last:
+                last, own = d, np.unique(h[bounds[d] : bounds[d + 1]])
+            want = items.sets[k]
+            at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+            found = int((own[at] == want).sum())
+            if found >= threshold * len(want) - 1e-9:
+                yield i + d, items.ids[k], len(want), found
+
+
 def _search(block, n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = []
-            for i, j, buf, offs, _ in T.blocks(batch):
-                doc, h = _shingles(buf, offs, n)
-                bounds, last, own = T.per_doc(doc, j - i), -1, None
-                for d, k in items.candidates(doc, h).tolist():
-                    if d != last:
-                        last, own = d, np.unique(h[bounds[d] : bounds[d + 1]])
-                    want = items.sets[k]
-                    at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-                    found = int((own[at] == want).sum())
-                    if found >= threshold * len(want) - 1e-9:
-                        rows.append((ids[i + d], items.ids[k], len(want), found, found / len(want)))
+            rows = [(ids[r], item, want, found, found / want) for r, item, want, found in _hits(block.value, batch, n, threshold)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
-    """One row per (document, item) with at least ``threshold`` of the item's shingles in the document.
+def _drop(block, n: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            stay[[r for r, *_ in _hits(block.value, batch, n, threshold)]] = False
+            yield batch.filter(pa.array(stay))
 
-    docs: doc_id, text.  items: item_id, text.  At most ``block_shingles`` item shingles (16 MB) are
-    broadcast at a time; an item longer than that is a block of its own.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    out = None
-    block, held = [], 0
+    return run
 
-    def scan() -> DataFrame:
-        return texts.mapInArrow(_search(spark.sparkContext.broadcast(_Block(block, threshold)), n, threshold), HITS)
 
+def _item_blocks(items: DataFrame, n: int, threshold: float, block_shingles: int) -> Iterator[_Block]:
     shingled = items.select("item_id", "text").mapInArrow(_item_shingles(n), "item_id long, shingles array<long>").where(F.size("shingles") > 0)
+    block, held = [], 0
     for row in shingled.toLocalIterator():
         s = np.sort(np.array(row["shingles"], np.int64).view(np.uint64))
         if block and held + len(s) > block_shingles:
-            out = scan() if out is None else out.unionByName(scan())
+            yield _Block(block, threshold)
             block, held = [], 0
         block.append((row["item_id"], s))
         held += len(s)
     if block:
-        out = scan() if out is None else out.unionByName(scan())
+        yield _Block(block, threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
+    """One row per (document, item) with at least ``threshold`` of the item's shingles in the document.
+
+    docs: doc_id, text.  items: item_id, text.  At most ``block_shingles`` item shingles (16 MB) are
+    broadcast at a time; an item longer than that is a block of its own.
+    """
+    spark, out = docs.sparkSession, None
+    texts = docs.select("doc_id", "text")
+    for block in _item_blocks(items, n, threshold, block_shingles):
+        hits = texts.mapInArrow(_search(spark.sparkContext.broadcast(block), n, threshold), HITS)
+        out = hits if out is None else out.unionByName(hits)
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    return docs.join(contaminated(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
+    """The documents that no item contaminates, with all their columns; no shuffle."""
+    for block in _item_blocks(items, n, threshold, block_shingles):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(block), n, threshold), docs.schema)
+    return docs

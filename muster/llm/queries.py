@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .tables import table
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op8_mix_sources": mixing.SQL}
