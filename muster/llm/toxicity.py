@@ -47,7 +47,7 @@ FILLER = ".-_*~'`^,:;/\\ ​‌‍­·"
 LATTICE, CACHE = 48, 200_000
 #: Costs in nats of the channel: a leet sign, filler, the second and a later letter of a repetition left out,
 #: a sign left out.
-COST = {"leet": 1.0, "filler": 0.2, "second": 4.5, "later": 0.3, "drop": 9.0}
+COST = {"leet": 1.0, "filler": 0.2, "second": 2.5, "later": 0.3, "drop": 9.0}
 SIZE = 28  # blank, a to z, any other letter
 
 _CODE = np.zeros(256, np.int64)
