@@ -9,18 +9,17 @@ variants; so variants are hashed to keys and equal keys joined.  A long line has
 so they are made in two steps that lose nothing:
 
 1. Coarse variants: the line without one of its two halves, for the lengths n and n - 1 that the shorter line of a
-   pair can have.  One edit lies within one half, so the rest is equal: four keys a line, whatever its length.
+   pair can have.  One edit lies within one half, so the rest is equal: three keys a line, whatever its length.
    Keys that one line alone has are dropped by an aggregation.
 2. Fine variants, only for the lines and halves that share a coarse key: the line without each word of that
    half, with the place (replacement: equal keys are all within one edit of each other), and without it
    against the whole of shorter lines (insertion, deletion).  The equal variant at an equal place is the
-   verification of the edit distance; 128 bits of hash stand for the words.
+   verification of the edit distance; 96 bits of two hashes stand for the words.
 
 Per key only the earliest line (of each kind) is kept by a minimum, combined on the map side, so a key that
 a third of all lines share makes no pairs.  Earliest is decided per distinct line; copies of a line share it.
 
-The texts are shuffled by doc_id once (the exchange is reused) to fetch the lines of step 2 and to cut the
-result.  No Python runs on the executors.
+The texts are joined by doc_id twice, to fetch the lines of step 2 and to cut the result.  No Python runs on the executors.
 
 Defined results: a null text stays null with 0 lines; an empty text has one blank line; a document may lose
 all its lines and keeps an empty text; rows that repeat a doc_id with the same text are cut alike (doc_id is
@@ -41,7 +40,8 @@ def _words(line: Column) -> Column:
 
 
 def _hashes(*parts: Column) -> tuple[Column, Column]:
-    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+    """96 bits of two unrelated hashes."""
+    return F.xxhash64(*parts), F.hash(*parts)
 
 
 def _half(n: Column) -> Column:
@@ -53,15 +53,15 @@ def _without(words: Column, m: Column, start: Column, stop: Column) -> tuple[Col
     return F.slice(words, F.lit(1), start), F.slice(words, stop + 1, m - stop)
 
 
-def _coarse(words: Column, m: Column) -> list[Column]:
-    """Keys 0, 1: without the first and second half, as a line of m words; 2, 3: against lines of m - 1."""
-    out = []
-    for t in (0, 1):
-        n = m - t
-        half = _half(n)
-        for k, (start, stop) in enumerate(((F.lit(0), half + t), (half, m))):
-            out.append(F.xxhash64(n, F.lit(k), *_without(words, m, start, stop)))
-    return out
+def _coarse(words: Column, m: Column) -> Column:
+    """Keys 0 and 1 are without the first and second half of a line of m words; 2 and 3 without the halves that a line
+    of m - 1 words has. Two of them always coincide (2 with 0 if m is even, else 3 with 1) and are left out."""
+    short, long = _half(m), m - _half(m)
+    end = lambda n: F.xxhash64(F.lit(0), n, F.slice(words, m - n + 1, n))
+    start = lambda n: F.xxhash64(F.lit(1), n, F.slice(words, F.lit(1), n))
+    even = m % 2 == 0
+    pairs = ((F.lit(0), end(long)), (F.lit(1), start(short)), (F.when(even, 3).otherwise(2), F.when(even, start(short - 1)).otherwise(end(long - 1))))
+    return F.array(*[F.struct(k.alias("k"), key.alias("key")) for k, key in pairs])
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -71,48 +71,44 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     sized = worded.select("*", F.size("words").alias("m")).where("m > 0")
     words, m = F.col("words"), F.col("m")
     h1, h2 = _hashes(words)
-    keys = F.when(m >= min_words, F.array(*_coarse(words, m)))
-    return sized.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), keys.alias("keys"))
+    return sized.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(m >= min_words, _coarse(words, m)).alias("keys"))
 
 
 def _shared_halves(lines: DataFrame) -> DataFrame:
     """One row a distinct line that shares a coarse key: its first place and the numbers of those keys."""
-    spread = lines.select("h1", "h2", "doc_id", "line_no", F.posexplode("keys").alias("k", "key"))
+    spread = lines.select("h1", "h2", "doc_id", "line_no", F.inline("keys"))
     shared = spread.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    found = spread.join(shared, "key").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.collect_set("k").alias("ks"))
-    return found
+    return spread.join(shared, "key").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.collect_set("k").alias("ks"))
 
 
 def _fine(lines: DataFrame, min_words: int) -> DataFrame:
     """Fine variants: key (v1, v2), kind (whole, cut or replaced) and the line's first place.
 
-    lines: words, ks, first, h1, h2.
+    lines: words, ks, first.
     """
-    sized = lines.select("*", F.size("words").alias("m"))
+    sized = lines.select("words", "first", "ks", F.size("words").alias("m"))
     words, m, k, p = F.col("words"), F.col("m"), F.col("k"), F.col("p")
+    have, too = F.when(m % 2 == 0, 0).otherwise(1), F.when(m % 2 == 0, 2).otherwise(3)
+    ks = F.when(F.array_contains("ks", have), F.array_union("ks", F.array(too))).otherwise(F.col("ks"))
     t = F.when(k >= 2, 1).otherwise(0)
     half = _half(m - t)
     start, stop = F.when(k % 2 == 0, 0).otherwise(half), F.when(k % 2 == 0, half + t).otherwise(m)
-    each = sized.withColumn("k", F.explode("ks")).withColumn("t", t).withColumn("p", F.explode(F.sequence(start, stop - 1))).where((m - F.col("t") >= min_words))
-    n = m - F.col("t")
-    rest = _without(words, m, p, p + 1)
-    place = F.when(F.col("t") == 0, p).otherwise(-1)
-    v1, v2 = _hashes(n, place, *rest)
-    cut = each.select(v1.alias("v1"), v2.alias("v2"), F.when(F.col("t") == 0, "replaced").otherwise("cut").alias("kind"), "first", "h1", "h2")
+    each = sized.withColumn("k", F.explode(ks)).withColumn("t", t).where(m - F.col("t") >= min_words).withColumn("p", F.explode(F.sequence(start, stop - 1)))
+    v1, v2 = _hashes(m - F.col("t"), F.when(F.col("t") == 0, p).otherwise(-1), *_without(words, m, p, p + 1))
+    cut = each.select(v1.alias("v1"), v2.alias("v2"), F.when(F.col("t") == 0, "replaced").otherwise("cut").alias("kind"), "first")
     w1, w2 = _hashes(m, F.lit(-1), words)
-    whole = sized.where(F.exists("ks", lambda x: x < 2)).select(w1.alias("v1"), w2.alias("v2"), F.lit("whole").alias("kind"), "first", "h1", "h2")
-    return cut.unionByName(whole)
+    return cut.unionByName(sized.select(w1.alias("v1"), w2.alias("v2"), F.lit("whole").alias("kind"), "first"))
 
 
 def _later_neighbours(fine: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that have an earlier line within one edit."""
+    """first: the first places of the lines that have an earlier line within one edit."""
     first = F.col("first")
     groups = fine.groupBy("v1", "v2").agg(
         F.min("first").alias("lo"), F.max("first").alias("hi"),
         F.min(F.when(F.col("kind") == "whole", first)).alias("whole"), F.min(F.when(F.col("kind") == "cut", first)).alias("cut"),
     ).where("lo <> hi").select("v1", "v2", "lo", "whole", "cut")
     other = F.when(F.col("kind") == "replaced", F.col("lo")).when(F.col("kind") == "cut", F.col("whole")).otherwise(F.col("cut"))
-    return fine.join(groups, ["v1", "v2"]).where(other < first).select("h1", "h2").distinct()
+    return fine.join(groups, ["v1", "v2"]).where(other < first).select("first").distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -120,14 +116,14 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     lines = kept(_lines(texts, min_words))
     shared = _shared_halves(lines.where("keys is not null"))
-    per_doc = shared.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks", "h1", "h2")).alias("wanted"))
+    per_doc = shared.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks")).alias("wanted"))
     fetched = texts.join(per_doc, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
-    with_words = fetched.select(_words(F.element_at("all", F.col("one.first.line_no") + 1)).alias("words"), "one.first", "one.ks", "one.h1", "one.h2")
-    near = _later_neighbours(_fine(with_words, min_words)).withColumn("near", F.lit(True))
+    with_words = fetched.select(_words(F.element_at("all", F.col("one.first.line_no") + 1)).alias("words"), "one.first", "one.ks")
+    near = _later_neighbours(kept(_fine(with_words, min_words))).withColumn("near", F.lit(True))
 
     places = lines.select("h1", "h2", "doc_id", "line_no")
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    judged = firsts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
+    judged = firsts.join(near, "first", "left").where("n > 1 or near").select("h1", "h2", "first", "near")
     gone = places.join(judged, ["h1", "h2"]).where((F.struct("doc_id", "line_no") != F.col("first")) | F.col("near"))
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
 
