@@ -84,19 +84,26 @@ def _placed(matches: DataFrame) -> DataFrame:
     return rows.select("doc_id", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, value: the base spans of every document. docs: doc_id, text."""
-    text = F.col("text")
+def _base_matches(text: Column) -> Column:
+    """All matches of the base patterns, valid or not; a pattern runs only where its signs occur."""
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,value:string>>")
     has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    found = [F.when(has[k], _matches(text, k, p)).otherwise(none) for k, p in PATTERNS.items()]
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
+    return F.concat(*[F.when(has[k], _matches(text, k, p)).otherwise(none) for k, p in PATTERNS.items()])
+
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, start, end, value: the base spans of every document. docs: doc_id, text."""
+    texts = docs.where("doc_id is not null and text is not null")
+    rows = texts.select("doc_id", F.explode(_base_matches(F.col("text"))).alias("m")).select("doc_id", "m.*")
     return _placed(rows).where(_valid(F.col("kind"), F.col("value")))
 
 
 def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
-    """entity, term, doc_id, start, end, copy: the words within reach of each base span and outside of all."""
-    with_entity = texts.join(spans.select("doc_id").distinct(), "doc_id")
+    """entity, term, doc_id, start, end, copy: the words within reach of each base span and outside of all.
+
+    The documents with a base span are told by their own texts again, which spares a join of all texts.
+    """
+    with_entity = texts.where(F.exists(_base_matches(F.col("text")), lambda m: _valid(m["kind"], m["value"])))
     words = with_entity.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
     places = _placed(words.select("doc_id", "m.*"))
     copies = with_entity.select("doc_id", F.xxhash64("text").alias("copy")).distinct()
@@ -116,10 +123,10 @@ def term_spans(docs: DataFrame, spans: DataFrame, disclosure: float = 0.9, reach
     per_copy = near.groupBy("entity", "term", "copy").agg(F.count("*").alias("n"))
     met = per_copy.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     counts = kept(texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
-    total = counts.agg(F.sum("n_t").alias("n"))
+    total = F.lit(float(counts.agg(F.sum("n_t")).first()[0] or 0))
     seen = spans.groupBy(F.concat_ws(":", "kind", "value").alias("entity")).agg(F.count("*").alias("n_e"))
-    weighed = met.join(counts, "term").join(seen, "entity").crossJoin(F.broadcast(total))
-    degree = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_et"), F.lit(1.0))) / F.log(F.greatest(F.col("n") / F.col("n_e"), F.lit(2.0)))
+    weighed = met.join(counts, "term").join(seen, "entity")
+    degree = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_et"), F.lit(1.0))) / F.log(F.greatest(total / F.col("n_e"), F.lit(2.0)))
     telling = weighed.where(degree >= disclosure).select("entity", "term")
     hits = near.join(telling, ["entity", "term"]).select("doc_id", "start", "end", "term").distinct()
     return hits.select("doc_id", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
