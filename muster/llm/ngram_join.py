@@ -12,12 +12,12 @@ Method.
 3. Within a bucket, pairs are pruned the Bayesian way (Chakrabarti et al.): MinHash values are compared
    ``STEP`` at a time, and a pair is dropped once the posterior probability that its similarity reaches the
    threshold, under a uniform prior, falls below ``tolerance``.  What survives links the bucket's members
-   into groups, and only each member's link to its group's first is emitted, never the pairs.
+   into groups, and a task emits one link for each document that it has linked, never the pairs.
 4. Components of those links are the near-duplicate clusters.  Their members' texts are brought together
    once, pruned again in the same way and the rest verified exactly on their shingle sets.  A row goes out
    for each document (its links counted, its group's first), not for each pair.
 
-Buckets and clusters over ``block`` members are split by hash into blocks, and each pair of blocks is a
+Buckets over ``bucket_block`` and clusters over ``cluster_block`` members are split by hash into blocks, and each pair of blocks is a
 group of its own, so a task holds two blocks at most, however large the bucket; no pair is lost.
 
 What may be missed: a pair at similarity s shares no band with probability (1 - s**5) ** bands, 1.3e-7 at
@@ -183,8 +183,18 @@ def _signed(whole: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(whole.num_rows, -1)
 
 
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """Links [node, first of its component] that connect what ``edges`` connects, one a node."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(edges.shape)
+    lead = _leads(len(nodes), at[:, 0], at[:, 1])
+    moved = lead != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[lead[moved]]], 1)
+
+
 def _link_buckets(least: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = np.zeros((0, 2), np.int64)
         for whole in _by_group(batches):
             sig, ids, size = _signed(whole), whole.column("doc_id").to_numpy(), whole.column("n").to_numpy()
             us, vs = [], []
@@ -196,8 +206,14 @@ def _link_buckets(least: np.ndarray, threshold: float):
                 vs.append(v[stay])
             lead = _leads(len(ids), np.concatenate(us), np.concatenate(vs))
             moved = np.flatnonzero(lead != np.arange(len(ids)))
-            edges = np.unique(np.stack([ids[moved], ids[lead[moved]]], 1), axis=0)
-            yield pa.record_batch({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
+            forest = np.concatenate([forest, np.stack([ids[moved], ids[lead[moved]]], 1)])
+            if len(forest) > PAIRS:
+                forest = _forest(forest)
+            if len(forest) > PAIRS:
+                yield pa.record_batch({"a": pa.array(forest[:, 0]), "b": pa.array(forest[:, 1])})
+                forest = forest[:0]
+        forest = _forest(forest)
+        yield pa.record_batch({"a": pa.array(forest[:, 0]), "b": pa.array(forest[:, 1])})
 
     return run
 
@@ -251,7 +267,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "side", "doc_id")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, bucket_block: int = 4096, cluster_block: int = 256) -> DataFrame:
     """doc_id, class_id, n_links for every document. docs: doc_id, text."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     least = least_matches(threshold, tolerance, bands * ROWS)
@@ -263,12 +279,12 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int =
     shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi")
     members = keys.join(shared, "key")
     sigs = signed.select("doc_id", "n", "sig")
-    buckets = _grouped(_blocked(members, "key", block).drop("key").join(sigs, "doc_id"))
+    buckets = _grouped(_blocked(members, "key", bucket_block).drop("key").join(sigs, "doc_id"))
     near = buckets.select("group", "side", "doc_id", "n", "sig").mapInArrow(_link_buckets(least, threshold), "a long, b long")
     clusters = components(near)
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    placed = _blocked(clusters.withColumnRenamed("node", "doc_id").join(sizes, "component"), "component", block).drop("component")
+    placed = _blocked(clusters.withColumnRenamed("node", "doc_id").join(sizes, "component"), "component", cluster_block).drop("component")
     whole = placed.join(firsts, "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
     found = kept(_grouped(whole.select("group", "side", "doc_id", "copies", "sig", "text")).mapInArrow(_verify_clusters(least, threshold, n), "doc_id long, links long, lead long"))
 
