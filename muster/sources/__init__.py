@@ -1,0 +1,8 @@
+"""Readers. Each gives the same cells frame: source, sheet_idx, sheet_name, table_id, row_pos, col_idx, value.
+
+A file that can't be read gives an error row (read_errors), never a failed job.
+"""
+
+from .readers import read_cells, read_csv, read_errors, read_lines, read_office
+
+__all__ = ["read_cells", "read_csv", "read_errors", "read_lines", "read_office"]
