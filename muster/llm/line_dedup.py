@@ -130,16 +130,17 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs with the remaining lines as text, n_lines and n_removed."""
-    gone = removed_lines(docs, min_words)
+    gone = removed_lines(docs, min_words).withColumnRenamed("lines", "_muster_gone")
     base = docs.drop("n_lines", "n_removed")
     rows = base.where("doc_id is not null").join(gone, "doc_id", "left")
-    rows = rows.unionByName(base.where("doc_id is null").withColumn("lines", F.lit(None).cast("array<int>")))
-    split = rows.withColumn("_all", F.split("text", "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("lines"))
-    text = F.array_join(F.transform(stay, lambda i: F.element_at("_all", i + 1)), "\n")
-    out = split.withColumn("text", F.when(F.col("text").isNull() | F.col("lines").isNull(), F.col("text")).otherwise(text))
-    out = out.withColumn("n_lines", F.coalesce(F.size("_all"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed"))).drop("_all", "lines")
+    rows = rows.unionByName(base.where("doc_id is null").withColumn("_muster_gone", F.lit(None).cast("array<int>")))
+    split = rows.withColumn("_muster_lines", F.split("text", "\n"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_muster_lines") - 1), F.col("_muster_gone"))
+    text = F.array_join(F.transform(stay, lambda i: F.element_at("_muster_lines", i + 1)), "\n")
+    out = split.withColumn("n_lines", count("_muster_lines")).withColumn("n_removed", count("_muster_gone"))
+    kept_text = F.when(F.col("text").isNull() | F.col("_muster_gone").isNull(), F.col("text")).otherwise(text)
+    return out.withColumn("text", kept_text).drop("_muster_lines", "_muster_gone")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
