@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _fold_pairs() -> tuple[str, str]:
@@ -58,7 +59,7 @@ def thousands(c: Column) -> Column:
     return F.translate(F.format_number(c, 0), ",", ".")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values):
     """Canonical composition; Spark has no function for it. Apply once, where text is read."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
