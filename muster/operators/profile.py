@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import HEADERS, NAMES_WITH_UNIT, header_field, is_stt_header, parse_stt, unit_rank
 from ..functions.phone import normalize_phone
 from ..functions.text import key
+from ..plans.staging import staged
 from .sequence import blank
 
 TABLE = ["source", "table_id"]
@@ -74,7 +75,7 @@ def infer_map(cells: DataFrame) -> DataFrame:
     half, the name is the dense text column whose cells look most like different names, the unit the dense
     one with least variety, the group the fullest of the sparse ones.
     """
-    p = column_profile(cells).where("rows >= 3")
+    p = staged(column_profile(cells).where("rows >= 3"))
     dense, variety = F.col("filled") >= 0.5 * F.col("rows"), F.col("distinct") / F.col("filled")
     text = F.col("texts") >= 0.5 * F.col("filled")
     likeness = F.col("names") / F.col("filled") * variety

@@ -26,19 +26,19 @@ class Result:
 def rows_of(cells: DataFrame, rich: bool = False) -> DataFrame:
     """source, row_pos, stt, raw_name, raw_unit, raw_email, raw_phone: from the header of each table, or, where
     none has an e-mail or name column, from its contents."""
-    headed = profile.rich_header_map(cells) if rich else profile.header_map(cells)
+    headed = staged(profile.rich_header_map(cells) if rich else profile.header_map(cells))
     bare = cells.join(headed.select(*profile.TABLE).distinct(), profile.TABLE, "left_anti")
-    guessed = profile.infer_map(bare).withColumn("header_pos", F.lit(-1).cast("long"))
+    guessed = staged(profile.infer_map(bare)).withColumn("header_pos", F.lit(-1).cast("long"))
     fields = headed.select(*profile.TABLE, "header_pos", "field", "col_idx").unionByName(guessed.select(*profile.TABLE, "header_pos", "field", "col_idx"))
     if not rich:
         head = fields.select(*profile.TABLE, "header_pos").distinct()
         phone = profile.guess_phone(cells, fields).join(head, profile.TABLE).select(*profile.TABLE, "header_pos", F.lit("phone").alias("field"), "col_idx")
-        fields = fields.unionByName(phone)
+        fields = fields.unionByName(staged(phone))
     rows = profile.to_rows(cells, fields)
     email = F.coalesce("email", "email_alt")
     place = F.col("table_id") * F.lit(1 << 32).cast("long") + F.col("row_pos")
     shown = rows.select("source", place.alias("row_pos"), "stt", F.col("name").alias("raw_name"), F.coalesce("unit", "group").alias("raw_unit"), email.alias("raw_email"), F.col("phone").alias("raw_phone"))
-    return sequence.mark_group_titles(shown).where("not is_group").drop("is_group")
+    return staged(sequence.mark_group_titles(shown).where("not is_group").drop("is_group"))
 
 
 def _warnings(rows: DataFrame, classified: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -71,11 +71,14 @@ def extract(rows: DataFrame, with_unit: bool = False, default: str | None = None
     return Result(final.select(*out), issues, _warnings(rows, classified, shown), records.counts(classified, final))
 
 
+def _cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Each file is parsed once; what follows reads the staged cells."""
+    return staged(only_sheet(sheets.pick_sheets(staged(read_cells(spark, paths)))))
+
+
 def run_mode1(spark: SparkSession, paths: list[str], dedupe: bool = True) -> Result:
-    cells = only_sheet(sheets.pick_sheets(read_cells(spark, paths)))
-    return extract(rows_of(cells), dedupe=dedupe)
+    return extract(rows_of(_cells(spark, paths)), dedupe=dedupe)
 
 
 def run_mode2(spark: SparkSession, paths: list[str], default: str | None = None, dedupe: bool = True) -> Result:
-    cells = only_sheet(sheets.pick_sheets(read_cells(spark, paths)))
-    return extract(rows_of(cells, rich=True), with_unit=True, default=default, dedupe=dedupe)
+    return extract(rows_of(_cells(spark, paths), rich=True), with_unit=True, default=default, dedupe=dedupe)
