@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import BOILERPLATE
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 DECONTAMINATE = rf"""
@@ -41,3 +43,28 @@ SELECT h.doc_id, (length(h.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::
        sha256(unhex(coalesce(l.x, h.x))) AS kept_sha256
 FROM h LEFT JOIN left_ l ON h.doc_id = l.doc_id LEFT JOIN cut c ON h.doc_id = c.doc_id
 """
+
+_LINE = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+QUALITY_RULES = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, line, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+j AS (
+  SELECT doc_id, line, len(ws) AS m,
+         (len(ws) < 4 AND NOT regexp_matches(ws[-1], '[.!?:;")\]…。！？»”’'']$'))
+      OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.3 * len(ws)
+      OR 2 * len(list_filter(ws, lambda w: regexp_matches(w, '[!?][!?]$'))) > len(ws)
+      OR 2 * len(list_filter(list_zip(ws[2:], ws[:-2]), lambda z: z[1] = z[2])) > len(ws)
+      OR (length(regexp_replace(line, '[^|»›]', '', 'g')) >= 2 AND 10 * length(regexp_replace(line, '[^|»›]', '', 'g')) >= len(ws))
+      OR {" OR ".join(f"contains({_LINE}, '{x}')" for x in BOILERPLATE)} AS bad
+  FROM l WHERE len(ws) > 0),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(m) FILTER (NOT bad), 0)::BIGINT AS n_kept_words, count(*) FILTER (bad) AS n_bad_lines FROM j GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_kept_words, 0) AS n_kept_words, coalesce(n_bad_lines, 0) AS n_bad_lines
+  FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN r ON d.doc_id = r.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_kept_words >= 0.5 * n_words AS kept FROM c
+"""

@@ -141,6 +141,7 @@ def _bad_lines(buf, start, end, h, symbols, ls, le, lwords, first, last, options
     bad |= 2 * _sums(loud, first, last) > lwords
     again = np.zeros(len(start), bool)
     again[1:] = h[1:] == h[:-1]
+    again[first[full]] = False  # the word before is another line's
     bad |= 2 * _sums(again, first, last) > lwords
     bad |= (n_bars >= 2) & (10 * n_bars >= lwords)
     for phrase in BOILERPLATE:

@@ -24,10 +24,11 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
-#: op3, op5, op6, op9 and op10 are held against brute force or held-out accuracy in tests/llm instead.
+#: op5, op6, op9 and op10 are held against brute force or held-out accuracy in tests/llm instead.
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_decontaminate": oracle.DECONTAMINATE,
+    "op3_quality_rules": oracle.QUALITY_RULES,
     "op4_ngram_jaccard_join": oracle.NGRAM_JOIN,
     "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op8_mix_sources": mixing.SQL,
