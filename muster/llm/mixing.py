@@ -9,7 +9,7 @@ The shares are water-filling: a source is cut if its bound over its weight, r =
 at most the level that the rest shares.  Sorted by r, a source is cut if the level that it would share,
 (total - bounds of those before it) / (weights from it on), is at least r; the cut ones come first.  One
 sort of the sources gives all targets, with no loop.  Only the per-source sums (one row a source, summed on
-the map side) meet in one task; they join the documents by source.
+the map side) meet in one task; they are written, counted, and broadcast to the documents if they are few.
 
 Sources are ordered by code point, null last, and weigh ``weights`` in turn.  Empty and null texts have
 size 0 and are still emitted at their source's rate; a source whose size is 0 has target 0 and rate 0.
@@ -22,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import WORD, table
+from .tables import WORD, kept, table
 
 WEIGHTS = (1, 2, 3)
+#: Targets of up to so many sources (a few MB) are broadcast, so that the documents stay where they are; more are
+#: joined by a shuffle, where adaptive execution splits a hot source.
+BROADCAST_SOURCES = 50_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -59,7 +62,9 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFram
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 8) -> DataFrame:
     """docs with size, source_size, target and copies, the number of times that each is taken."""
     sized = docs.withColumn("size", n_words())
-    targets = source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
+    targets = kept(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source"))
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     base = sized.drop("source_size", "target", "copies")
     joined = base.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
