@@ -102,6 +102,20 @@ def test_language_predictions(spark, empty):
     assert {r.lang_pred for r in none.predict(frame).collect()} == {"und"} and none.keep(frame).count() == 0
 
 
+def test_language_rejects_what_no_language_fits(spark):
+    rnd = random.Random(7)
+    stems = {"en": "the and of to in that with for was house river", "de": "der die und das nicht ein mit haus fluss über"}
+    say = lambda lang, n: " ".join(rnd.choice(stems[lang].split()) for _ in range(n))
+    rows = [(k, say(lang, 30), lang) for k, lang in enumerate(["en", "de"] * 100)]
+    soup = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(20))
+    odd = ["Talon takana kasvaa vanha koivu, jonka oksilla linnut laulavat joka aamu", "Старая женщина каждое утро кормила птиц", "河边的小房子里住着一位老妇人", soup, "ж" * 700]
+    fine = [say("en", 30).upper(), say("en", 15) + " " + say("de", 15), say("de", 4) + ' token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" 4734663219866878', "the"]
+    frame = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(odd)] + [(2000 + k, t, None) for k, t in enumerate(fine)], "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    assert {r.doc_id for r in model.keep(frame).collect()} == {k for k, *_ in rows} | {2000 + k for k in range(len(fine))}
+    assert all(r.score < 0.5 for r in model.predict(frame.where("doc_id between 1000 and 1999")).collect())
+
+
 # personal data
 
 PATTERNS = {
