@@ -4,8 +4,9 @@ Restoration.  A character trigram model is counted over all documents.  A word t
 (``1d10t``), filler between letters (``i.d-i.o_t``), letters three times or more, or a row of single letters
 (``i d i o t``) is a noisy reading of a word: at each character the channel offers the letter itself, the
 letters that a leet sign stands for, or silence (filler, a repeated letter), each at a cost, and the Viterbi
-path of least cost under channel and language model is its restored reading.  All other words are their
-own reading.
+path of least cost under channel and language model is its restored reading.  A blank of a row of single letters
+is silence or the end of a word, so a row can hold several words.  All other words are their own reading, also
+those without a letter (numbers).
 
 Score.  Terms are maximal runs of letters (ASCII case folded) of words, and restored readings.  From at most
 ``sample`` labelled documents (those of least hash) each term gets a log-odds weight if its count differs
@@ -16,7 +17,7 @@ the two and of their logarithms.
 Plan.  Three Arrow passes without a shuffle of texts: trigram counts (28 cubed numbers a task, summed in
 Spark), the labelled sample, and the scores.  Readings are remembered by word in each worker (at most
 ``CACHE``).  Model sizes are bounded by the sample, and no text is cut: words of more than ``LATTICE``
-characters are read in pieces.
+characters are read in pieces that overlap by half, so a word of half a piece is whole in one.
 
 Defined results: a null or empty text has no terms and gets the score of having none; without labels of both
 kinds the score is the share of label 1 (0.5 without labels); rows that repeat a doc_id are scored alike;
@@ -61,6 +62,26 @@ _FILL = np.zeros(256, bool)
 _FILL[np.frombuffer(b".-_*~'`^,:;/\\", np.uint8)] = True
 
 
+def _wide(buf: np.ndarray, signs: str) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte belongs to one of the signs of several bytes, and whether it is the first of it."""
+    every, lead = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    for sign in signs:
+        code = sign.encode()
+        if len(code) > 1 and len(buf) >= len(code):
+            at = np.flatnonzero(buf[: len(buf) - len(code) + 1] == code[0])
+            for k in range(1, len(code)):
+                at = at[buf[at + k] == code[k]]
+            lead[at] = True
+            for k in range(len(code)):
+                every[at + k] = True
+    return every, lead
+
+
+def _pieces(n: int) -> Iterator[tuple[int, int]]:
+    for i in range(0, max(n - LATTICE // 2, 1), LATTICE // 2):
+        yield i, min(n, i + LATTICE)
+
+
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, np.int64)
     for batch in batches:
@@ -84,12 +105,21 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def restore(word: str, cost: np.ndarray) -> str:
-    """The reading of least cost of a noisy word (lower case): a Viterbi path over its character lattice."""
+    """The reading of least cost of a noisy word (lower case), or of a row with its blanks: a Viterbi path over
+    its character lattice."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     last, times = "", 0
     for k, c in enumerate(word):
+        if c == " ":
+            new = {state: (spent + COST["filler"], read) for state, (spent, read) in best.items()}
+            for (a, b), (spent, read) in best.items():
+                total = spent + cost[a, b, 0]
+                if b and ((b, 0) not in new or total < new[b, 0][0]):
+                    new[b, 0] = (total, read + " ")
+            best = new
+            continue
         times = times + 1 if c == last else 1
-        long = times > 2 or times == 2 and word[k + 1 : k + 2] == c  # a doubled letter is spelling
+        long = times > 2 or times == 2 and word[k + 1 : k + 3].strip()[:1] == c  # a doubled letter is spelling
         ways = []
         if "a" <= c <= "z":
             ways.append((0.0, c))
@@ -122,38 +152,42 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     start, end, doc = T.words(buf, offs)
     if not len(start):
         return []
-    alpha = _ALPHA[buf]
+    sign, sign_lead = _wide(buf, "".join(LEET))
+    fill, _ = _wide(buf, FILLER)
+    alpha = _ALPHA[buf] & ~sign & ~fill
+    sign |= _SIGN[buf]
     odd = np.zeros(len(buf), bool)
-    # a sign or filler next to a letter, or a sign within the word
-    inner = _SIGN[buf] | _FILL[buf]
+    # a sign or filler after a letter and within the word, or a sign before a letter
+    inner = sign | fill | _FILL[buf]
     near = np.zeros(len(buf), bool)
     near[1:] |= alpha[:-1]
     after = np.zeros(len(buf), bool)
     after[:-1] |= alpha[1:] | inner[1:]
     odd |= inner & near & after
-    lone = _SIGN[buf].copy()
+    odd |= sign & np.append(alpha[1:], False)
+    # or a single one after a letter
+    lone = sign & (buf < 128)
     lone[1:] &= buf[1:] != buf[:-1]
     lone[:-1] &= buf[:-1] != buf[1:]
-    odd |= lone & (near | np.append(alpha[1:], False)) & (buf != 33) & (buf != 124)
+    odd |= (lone | sign_lead) & near & (buf != 33) & (buf != 124)
     odd[2:] |= alpha[2:] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & (buf[2:] < 128)
-    seen = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(odd, out=seen[1:])
-    letters = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(alpha, out=letters[1:])
-    noisy = (seen[end] > seen[start]) & (letters[end] - letters[start] >= 2)
+    seen, letters, signs = (np.append(0, np.cumsum(x)) for x in (odd, alpha, sign_lead | _SIGN[buf]))
+    many = letters[end] - letters[start]
+    noisy = (seen[end] > seen[start]) & ((many >= 2) | (many == 1) & (signs[end] - signs[start] >= 2))
     data = buf.tobytes()
     out = []
     for k in np.flatnonzero(noisy):
         word = data[start[k] : end[k]].decode().lower()
-        out += [(int(doc[k]), word[i : i + LATTICE]) for i in range(0, len(word), LATTICE)]
-    # rows of three or more single letters or signs: the blanks are filler
-    single = (end - start == 1) & (alpha[start] | _SIGN[buf[start]])
+        out += [(int(doc[k]), word[i:j]) for i, j in _pieces(len(word))]
+    # rows of three or more single letters or signs
+    width = np.where(buf[start] < 128, 1, np.where(buf[start] < 224, 2, 3))
+    single = (end - start == width) & (alpha[start] & (buf[start] < 128) | _SIGN[buf[start]] | sign_lead[start])
     joins = np.append(False, single[1:] & single[:-1] & (doc[1:] == doc[:-1]))
     first = np.flatnonzero(single & ~joins)
     last = np.flatnonzero(single & ~np.append(joins[1:], False))
     for a, b in zip(first[last - first >= 2], last[last - first >= 2], strict=True):
-        for i in range(a, b + 1, LATTICE):
-            out.append((int(doc[a]), bytes(buf[start[i : min(b + 1, i + LATTICE)]]).decode().lower()))
+        row = [data[start[k] : end[k]].decode().lower() for k in range(a, b + 1)]
+        out += [(int(doc[a]), " ".join(row[i:j])) for i, j in _pieces(len(row))]
     return out
 
 
@@ -176,7 +210,7 @@ class _Reader:
         low = np.where(_ALPHA[buf], T.LOWER[buf], np.uint8(32))
         start, end, doc = T.words(low, offs)
         h = T.span_hash(T.prefix(low), start, end)
-        read = [(d, x) for d, word in _suspects(buf, offs) if (x := self.read(word))]
+        read = [(d, x) for d, word in _suspects(buf, offs) for x in self.read(word).split(" ") if x]
         if read:
             extra = np.frombuffer("".join(x for _, x in read).encode(), np.uint8)
             stop = np.cumsum([len(x.encode()) for _, x in read])

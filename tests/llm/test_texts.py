@@ -257,6 +257,31 @@ def test_restoration():
         assert toxicity.restore(noisy, cost) == plain
 
 
+def test_readings_of_the_whole_channel():
+    text = "the idiot and a clown saw a moron with an asshole " * 50
+    code = np.array([0, 0, *(ord(c) - 96 if c != " " else 0 for c in text), 0])
+    counts = np.zeros((28, 28, 28))
+    np.add.at(counts, (code[:-2], code[1:-1], code[2:]), 1)
+    reader = toxicity._Reader(-np.log((counts + 1e-3) / (counts.sum(2, keepdims=True) + 28e-3)))
+
+    def readings(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return [x for _, word in toxicity._suspects(buf, np.array([0, len(buf)])) for x in reader.read(word).split(" ")]
+
+    for sign in toxicity.FILLER.replace(" ", ""):
+        assert "idiot" in readings("the " + sign.join("idiot") + " saw"), hex(ord(sign))
+    for sign, plain in toxicity.LEET.items():
+        for word in ("idiot", "clown", "asshole"):
+            for x in plain:
+                if x in word:
+                    assert word in readings(word.replace(x, sign, 1)), (sign, word)
+    assert "idiot" in readings("1d107") and "asshole" in readings("455hole")
+    assert readings("a m o r o n") == ["a", "moron"]
+    long = readings(" ".join("theidiotandaclownsawamoron" * 4))
+    assert {"idiot", "clown", "moron"} <= set(long) and len(long) > 20
+    assert readings("1234 12 000 the clown 5") == []
+
+
 def test_quality_classifier(spark, empty):
     def make(rnd, words, y):
         return " ".join(words) + "." if y else " ".join(w + rnd.choice(["***", "%%", "!!"]) for w in words)
