@@ -1,8 +1,8 @@
 """Line dedup within one word of edit distance, by a deletion-neighbourhood join in DataFrame functions.
 
 A line is its words ``[^\\x20\\x09-\\x0D]+``; blank lines are never touched.  A line is removed if an earlier
-one (smaller doc_id, or earlier in the same document) is equal or, for lines of ``min_words`` words or more
-on both sides, one word was inserted, deleted or replaced.  A removed line still removes later ones.
+one (smaller doc_id, or earlier in the same document) is equal, or if one word was inserted, deleted or replaced
+between them and a word is left that both have.  A removed line still removes later ones.
 
 Method.  Two lines are within one edit if deleting a word from one or both, at the same place, gives equal
 variants; so variants are hashed to keys and equal keys joined.  A long line has as many variants as words,
@@ -12,14 +12,15 @@ so they are made in two steps that lose nothing:
    pair can have.  One edit lies within one half, so the rest is equal: three keys a line, whatever its length.
    Keys that one line alone has are dropped by an aggregation.
 2. Fine variants, only for the lines and halves that share a coarse key: the line without each word of that
-   half, with the place (replacement: equal keys are all within one edit of each other), and without it
-   against the whole of shorter lines (insertion, deletion).  The equal variant at an equal place is the
-   verification of the edit distance; 96 bits of two hashes stand for the words.
+   half, with the place (replacement), and without it against the whole of shorter lines (insertion, deletion).
+3. Per key only the earliest line of each kind is kept, by a minimum that is combined on the map side, so a key that a
+   third of all lines share makes no pairs.  Each line and the earliest one of its keys are then verified: their
+   words are compared.
 
-Per key only the earliest line (of each kind) is kept by a minimum, combined on the map side, so a key that
-a third of all lines share makes no pairs.  Earliest is decided per distinct line; copies of a line share it.
-
-The texts are joined by doc_id twice, to fetch the lines of step 2 and to cut the result.  No Python runs on the executors.
+Earliest is decided per distinct line (96 bits of two hashes of its words); copies of a line share it.  The texts
+are joined by doc_id twice, to fetch the lines of step 2 and to cut the result.  Tables of the steps are deleted
+when the numbers of the lines to remove are written.  Keys with many rows are joined by a broadcast of those keys,
+which are fewer than a constant (``join_groups``).  No Python runs on the executors.
 
 Defined results: a null text stays null with 0 lines; an empty text has one blank line; a document may lose
 all its lines and keeps an empty text; rows that repeat a doc_id with the same text are cut alike (doc_id is
@@ -29,10 +30,12 @@ a key: it mustn't repeat with another text); rows with a null doc_id stay as the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import BLANKS, kept, table
+from .tables import BLANKS, join_groups, kept, scratch, table
 
 
 def _words(line: Column) -> Column:
@@ -64,73 +67,84 @@ def _coarse(words: Column, m: Column) -> Column:
     return F.array(*[F.struct(k.alias("k"), key.alias("key")) for k, key in pairs])
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """Every line with a word: where it stands, its identity h1, h2, and its coarse keys."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     worded = split.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
     sized = worded.select("*", F.size("words").alias("m")).where("m > 0")
     words, m = F.col("words"), F.col("m")
     h1, h2 = _hashes(words)
-    return sized.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(m >= min_words, _coarse(words, m)).alias("keys"))
-
+    return sized.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), _coarse(words, m).alias("keys"))
 
-def _shared_halves(lines: DataFrame) -> DataFrame:
-    """One row a distinct line that shares a coarse key: its first place and the numbers of those keys."""
-    spread = lines.select("h1", "h2", "doc_id", "line_no", F.inline("keys"))
-    shared = spread.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    return spread.join(shared, "key").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.collect_set("k").alias("ks"))
 
-
-def _fine(lines: DataFrame, min_words: int) -> DataFrame:
+def _fine(lines: DataFrame) -> DataFrame:
     """Fine variants: key (v1, v2), kind (whole, cut or replaced) and the line's first place.
 
-    lines: words, ks, first.
+    lines: first, words, ks (bit k is set if the line shares coarse key k).
     """
     sized = lines.select("words", "first", "ks", F.size("words").alias("m"))
-    words, m, k, p = F.col("words"), F.col("m"), F.col("k"), F.col("p")
-    have, too = F.when(m % 2 == 0, 0).otherwise(1), F.when(m % 2 == 0, 2).otherwise(3)
-    ks = F.when(F.array_contains("ks", have), F.array_union("ks", F.array(too))).otherwise(F.col("ks"))
-    t = F.when(k >= 2, 1).otherwise(0)
+    words, m, k, p, t = (F.col(c) for c in ("words", "m", "k", "p", "t"))
+    even = m % 2 == 0
+    both = F.when(even, F.col("ks").bitwiseOR(F.shiftleft(F.col("ks").bitwiseAND(1), 2))).otherwise(F.col("ks").bitwiseOR(F.shiftleft(F.col("ks").bitwiseAND(2), 2)))
+    each = sized.where("m > 1").withColumn("ks", both).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).where("(ks & shiftleft(1, k)) > 0")
+    each = each.withColumn("t", F.when(k >= 2, 1).otherwise(0))
     half = _half(m - t)
     start, stop = F.when(k % 2 == 0, 0).otherwise(half), F.when(k % 2 == 0, half + t).otherwise(m)
-    each = sized.withColumn("k", F.explode(ks)).withColumn("t", t).where(m - F.col("t") >= min_words).withColumn("p", F.explode(F.sequence(start, stop - 1)))
-    v1, v2 = _hashes(m - F.col("t"), F.when(F.col("t") == 0, p).otherwise(-1), *_without(words, m, p, p + 1))
-    cut = each.select(v1.alias("v1"), v2.alias("v2"), F.when(F.col("t") == 0, "replaced").otherwise("cut").alias("kind"), "first")
+    each = each.withColumn("p", F.explode(F.sequence(start, stop - 1)))
+    v1, v2 = _hashes(m - t, F.when(t == 0, p).otherwise(-1), *_without(words, m, p, p + 1))
+    cut = each.select(v1.alias("v1"), v2.alias("v2"), F.when(t == 0, "replaced").otherwise("cut").alias("kind"), "first")
     w1, w2 = _hashes(m, F.lit(-1), words)
     return cut.unionByName(sized.select(w1.alias("v1"), w2.alias("v2"), F.lit("whole").alias("kind"), "first"))
 
 
-def _later_neighbours(fine: DataFrame) -> DataFrame:
-    """first: the first places of the lines that have an earlier line within one edit."""
+def _candidates(fine: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """first, other: each line and the earliest that shares one of its variants in a way that allows for one edit."""
     first = F.col("first")
     groups = fine.groupBy("v1", "v2").agg(
-        F.min("first").alias("lo"), F.max("first").alias("hi"),
+        F.count("*").alias("size"), F.min("first").alias("lo"), F.max("first").alias("hi"),
         F.min(F.when(F.col("kind") == "whole", first)).alias("whole"), F.min(F.when(F.col("kind") == "cut", first)).alias("cut"),
-    ).where("lo <> hi").select("v1", "v2", "lo", "whole", "cut")
+    ).where("lo <> hi").select("v1", "v2", "size", "lo", "whole", "cut")
     other = F.when(F.col("kind") == "replaced", F.col("lo")).when(F.col("kind") == "cut", F.col("whole")).otherwise(F.col("cut"))
-    return fine.join(groups, ["v1", "v2"]).where(other < first).select("first").distinct()
+    joined = join_groups(fine, keep(groups), ["v1", "v2"], fine.count())
+    return joined.select("first", other.alias("other")).where("other < first").distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """doc_id, lines: the numbers (from 0) of the lines to remove from each document that has any."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    lines = kept(_lines(texts, min_words))
-    shared = _shared_halves(lines.where("keys is not null"))
-    per_doc = shared.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks")).alias("wanted"))
-    fetched = texts.join(per_doc, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
-    with_words = fetched.select(_words(F.element_at("all", F.col("one.first.line_no") + 1)).alias("words"), "one.first", "one.ks")
-    near = _later_neighbours(kept(_fine(with_words, min_words))).withColumn("near", F.lit(True))
-
-    places = lines.select("h1", "h2", "doc_id", "line_no")
-    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    judged = firsts.join(near, "first", "left").where("n > 1 or near").select("h1", "h2", "first", "near")
-    gone = places.join(judged, ["h1", "h2"]).where((F.struct("doc_id", "line_no") != F.col("first")) | F.col("near"))
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether one word was replaced, or added to the shorter, between two different arrays of words."""
+    n, m = F.size(a), F.size(b)
+    place = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    place = F.greatest(place.cast("int"), F.lit(1))  # of the first difference
+    rest = lambda x, skip: F.slice(x, place + skip, F.greatest(F.size(x) - place + 1 - skip, F.lit(0)))
+    return (F.abs(n - m) <= 1) & (rest(a, F.when(n >= m, 1).otherwise(0)) == rest(b, F.when(m >= n, 1).otherwise(0)))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, lines: the numbers (from 0) of the lines to remove from each document that has any."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    with scratch(docs.sparkSession) as keep:
+        lines = keep(_lines(texts))
+        n = lines.count()
+        firsts = keep(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("size")))
+        spread = lines.select("h1", "h2", F.inline("keys"))
+        shared = keep(spread.groupBy("key").agg(F.count("*").alias("size"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key", "size"))
+        masks = join_groups(spread, shared, ["key"], 3 * n).groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
+        per_doc = masks.join(firsts, ["h1", "h2"]).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks")).alias("wanted"))
+        fetched = texts.join(per_doc, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
+        worded = keep(fetched.select(_words(F.element_at("all", F.col("one.first.line_no") + 1)).alias("words"), "one.first", "one.ks").dropDuplicates(["first"]))
+
+        pairs = _candidates(keep(_fine(worded)), keep)
+        sides = [worded.select(F.col("first").alias(c), F.col("words").alias(f"{c}_words")) for c in ("first", "other")]
+        near = pairs.join(sides[0], "first").join(sides[1], "other").where(_one_edit(F.col("first_words"), F.col("other_words"))).select("first", F.lit(True).alias("near")).distinct()
+
+        judged = keep(firsts.join(near, "first", "left").where("size > 1 or near"))
+        places = lines.select("h1", "h2", "doc_id", "line_no")
+        gone = join_groups(places, judged, ["h1", "h2"], n).where((F.struct("doc_id", "line_no") != F.col("first")) | F.col("near"))
+        return kept(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the remaining lines as text, n_lines and n_removed."""
-    gone = removed_lines(docs, min_words).withColumnRenamed("lines", "_muster_gone")
+    gone = removed_lines(docs).withColumnRenamed("lines", "_muster_gone")
     base = docs.drop("n_lines", "n_removed")
     rows = base.where("doc_id is not null").join(gone, "doc_id", "left")
     rows = rows.unionByName(base.where("doc_id is null").withColumn("_muster_gone", F.lit(None).cast("array<int>")))
@@ -157,8 +171,8 @@ lines AS (
 uniq AS (SELECT ws, len(ws) AS m, min(place) AS first FROM lines WHERE len(ws) > 0 GROUP BY ws),
 cut AS (
   SELECT ws, m, first, p, md5(array_to_string(ws[1:p - 1] || ws[p + 1:], ' ')) AS rest
-  FROM (SELECT ws, m, first, unnest(range(1, m + 1)) AS p FROM uniq WHERE m >= 5)),
-whole AS (SELECT m, first, md5(array_to_string(ws, ' ')) AS h FROM uniq WHERE m >= 5),
+  FROM (SELECT ws, m, first, unnest(range(1, m + 1)) AS p FROM uniq WHERE m >= 2)),
+whole AS (SELECT m, first, md5(array_to_string(ws, ' ')) AS h FROM uniq),
 links AS (
   SELECT a.first AS first, b.lo AS other
   FROM cut a JOIN (SELECT m, p, rest, min(first) AS lo FROM cut GROUP BY m, p, rest HAVING count(*) > 1) b

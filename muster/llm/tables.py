@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Shuffle files of a finished write go at once, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key is hot if it has more than one in so many rows; there are fewer hot keys than this.
+HOT = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,25 +31,69 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.gettempdir() + "/muster-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
     return f"{where}/{spark.sparkContext.applicationId}"
 
 
+def _write(df: DataFrame) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: cuts the lineage, outlives executors.
 
     Parquet rather than checkpoint(), as it is compressed and later steps read only their columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df)[1]
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``keep``, which works like kept(), but what it wrote is deleted at the end of the block.
+
+    So that nothing needs a deleted table, what leaves the block has to be kept() in it.
+    """
+    paths = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path, out = _write(df)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            _delete(spark, path)
 
 
 def drop_kept(spark: SparkSession) -> None:
     """Deletes all that kept() has written for this application; earlier results can't be read after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: int) -> DataFrame:
+    """rows joined (inner) to groups, of which each key has one row and its number of rows in ``size``.
+
+    A key with more than one in HOT of the ``n`` rows is joined by a broadcast, so that its rows stay where they
+    are; there are fewer than HOT such keys, whatever the data. The others meet by a shuffle. Give tables that are
+    cheap to read twice.
+    """
+    hot = F.broadcast(groups.where(F.col("size") > n / HOT))
+    usual = rows.join(F.broadcast(groups.where(F.col("size") > n / HOT).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(usual.join(groups.where(F.col("size") <= n / HOT), on))
 
 
 def crc_mod(column: str, m: int):

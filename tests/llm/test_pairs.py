@@ -78,7 +78,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def lines_expected(rows, least=5):
+def lines_expected(rows):
     first, places = {}, []
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
@@ -93,12 +93,12 @@ def lines_expected(rows, least=5):
 
     def close(a, b):
         if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+            return len(a) > 1 and sum(x != y for x, y in zip(a, b, strict=True)) == 1
         long, short = (a, b) if len(a) > len(b) else (b, a)
-        return any(long[:p] + long[p + 1 :] == short for p in range(len(long)))
+        return bool(short) and any(long[:p] + long[p + 1 :] == short for p in range(len(long)))
 
     for a in first:
-        others = (b for n in (len(a) - 1, len(a), len(a) + 1) for b in by_size[n] if min(len(a), len(b)) >= least)
+        others = (b for n in (len(a) - 1, len(a), len(a) + 1) for b in by_size[n])
         if any(first[b] < first[a] and close(a, b) for b in others if b != a):
             near.add(a)
     return {(i, k) for i, k, w in places if first[w] != (i, k) or w in near}
@@ -132,6 +132,15 @@ def test_line_dedup_template_lines(spark):
     assert [r.doc_id for r in out.where("text <> ''").collect()] == [0]
 
 
+def test_line_dedup_short_and_long_lines(spark):
+    """One word of any line may differ, if another is left; a repeated row is cut like its twin."""
+    long = " ".join(f"w{k}" for k in range(2500))
+    rows = [(1, "alpha beta gamma delta\none two\nsolo\n" + long), (2, "alpha beta gamma zeta\none three\nother\n" + long.replace("w777 ", "")), (2, "alpha beta gamma zeta\none three\nother\n" + long.replace("w777 ", "")), (3, "two one\nsolo more\nx y z\nx y"), (4, "y x z\nz")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.text if r.doc_id > 1 else "") for r in out.collect())
+    assert got == [(1, ""), (2, "other"), (2, "other"), (3, "two one\nx y z"), (4, "y x z\nz")]
+
+
 def test_decontaminate(spark, docs, corpus):
     items = [(0, corpus[80][1]), (1, corpus[3][1]), (2, "too short"), (3, None), (4, " ".join(corpus[6][1].split()[:9]).upper())]
     frame = spark.createDataFrame(items, "item_id long, text string")
