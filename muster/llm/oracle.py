@@ -9,10 +9,11 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 DECONTAMINATE = rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 i AS (SELECT item_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM d WHERE len(ws) >= 5)),
-ig AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM i WHERE len(ws) >= 5)),
+sizes AS (SELECT DISTINCT least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, sizes WHERE len(ws) >= k)),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM (SELECT *, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0))),
 n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id),
-hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (g) GROUP BY ALL)
+hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM hits JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
