@@ -13,12 +13,17 @@ Method.
    ``STEP`` at a time, and a pair is dropped once the posterior probability that its similarity reaches the
    threshold, under a uniform prior, falls below ``tolerance``.  What survives links the bucket's members
    into groups, and a task emits one link for each document that it has linked, never the pairs.
-4. Components of those links are the near-duplicate clusters.  Their members' texts are brought together
-   once, pruned again in the same way and the rest verified exactly on their shingle sets.  A row goes out
-   for each document (its links counted, its group's first), not for each pair.
-
-Buckets over ``bucket_block`` and clusters over ``cluster_block`` members are split by hash into blocks, and each pair of blocks is a
-group of its own, so a task holds two blocks at most, however large the bucket; no pair is lost.
+4. Components of those links are the near-duplicate clusters.  Their members' texts are brought together.  What
+   each member lacks of the first one's shingles and has besides bounds the similarity of two members from both
+   sides, which decides nearly all pairs of a large cluster by a few sums; the others are pruned again in the same
+   way and the rest verified exactly on their shingle sets.  A row goes out for each document (its links counted,
+   its group's first), not for each pair.
+
+Buckets over ``bucket_block`` members and clusters over ``cluster_block`` members or ``cluster_shingles`` shingles are
+split by hash into blocks, and each pair of blocks is a group of its own, so a task holds two blocks at most, however
+large the bucket; no pair is lost.  A text goes out once a block of its cluster: with texts of 200 words once for
+each 5,000 members.  Comparisons in a cluster of m different texts are m^2 / 2, as its links are, but of numbers.
+Hot bands, copies and centres of clusters are joined by a broadcast of those keys (``join_groups``).
 
 What may be missed: a pair at similarity s shares no band with probability (1 - s**5) ** bands, 1.3e-7 at
 0.8 with 40 bands; pruning adds ``tolerance`` a step.  Nothing that is reported is approximate, as every
@@ -36,12 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import components
-from .tables import kept, table
+from .tables import join_groups, kept, scratch, table
 
 ROWS = 5
 STEP = 40
@@ -218,6 +223,12 @@ def _link_buckets(least: np.ndarray, threshold: float):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    near = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[near] == x).sum())
+
+
 def _verify_clusters(least: np.ndarray, threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _by_group(batches):
@@ -232,16 +243,26 @@ def _verify_clusters(least: np.ndarray, threshold: float, n: int):
                 h.append(x)
             h, at = np.concatenate(h), T.per_doc(np.concatenate(doc), len(ids))
             sets = [h[at[k] : at[k + 1]] for k in range(len(ids))]
-            sig, links, us, vs = _signed(whole), np.zeros(len(ids), np.int64), [], []
-            for u, v in _pairs(_starts(whole.column("group").to_numpy()), whole.column("side").to_numpy(), len(ids)):
+            sig, size, links = _signed(whole), np.array([len(x) for x in sets], np.int64), np.zeros(len(ids), np.int64)
+            start = _starts(whole.column("group").to_numpy())
+            first = np.repeat(start, np.diff(np.append(start, len(ids))))
+            both = np.array([_shared(sets[c], x) for c, x in zip(first.tolist(), sets, strict=True)], np.int64)
+            lacks, us, vs = size[first] - both, [], []
+            for u, v in _pairs(start, whole.column("side").to_numpy(), len(ids)):
+                total = size[u] + size[v]
+                least_shared = size[first[u]] - lacks[u] - lacks[v]
+                most_shared = np.minimum(size[first[u]] - np.maximum(lacks[u], lacks[v]) + np.minimum(size[u] - both[u], size[v] - both[v]), np.minimum(size[u], size[v]))
+                sure = least_shared >= threshold * (total - least_shared) - 1e-9
+                links += np.bincount(u[sure], copies[v[sure]], len(ids)).astype(np.int64) + np.bincount(v[sure], copies[u[sure]], len(ids)).astype(np.int64)
+                near = np.unique(np.concatenate([u[sure], v[sure]]))  # these are as similar to the first at least
+                us += near.tolist()
+                vs += first[near].tolist()
+                open_ = ~sure & (most_shared >= threshold * (total - most_shared) - 1e-9)
+                u, v = u[open_], v[open_]
                 stay = prune(sig, u, v, least)
                 for a, b in zip(u[stay].tolist(), v[stay].tolist(), strict=True):
-                    x, y = sets[a], sets[b]
-                    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-                        continue
-                    near = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    shared = int((y[near] == x).sum())
-                    if shared >= threshold * (len(x) + len(y) - shared) - 1e-9:
+                    shared = _shared(sets[a], sets[b])
+                    if shared >= threshold * (size[a] + size[b] - shared) - 1e-9:
                         us.append(a)
                         vs.append(b)
                         links[a] += copies[b]
@@ -253,46 +274,49 @@ def _verify_clusters(least: np.ndarray, threshold: float, n: int):
     return run
 
 
-def _blocked(members: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows of members (with ``m``, the size of their group) for each pair of blocks they are part of:
-    ``group`` names the pair, ``side`` is 1 for the second of two blocks."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _blocked(members: DataFrame, by: str, blocks: Column) -> DataFrame:
+    """Rows of members for each pair of the blocks that their group is split into: ``group`` names the pair, ``side``
+    is 1 for the second of two blocks."""
+    spread = members.withColumn("blocks", F.ceil(blocks).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
-    return spread.withColumn("group", group).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "m")
+    return spread.withColumn("group", group).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks", "size")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "side", "doc_id")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, bucket_block: int = 4096, cluster_block: int = 256) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, bucket_block: int = 4096, cluster_block: int = 8192, cluster_shingles: int = 1 << 20
+) -> DataFrame:
     """doc_id, class_id, n_links for every document. docs: doc_id, text."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     least = least_matches(threshold, tolerance, bands * ROWS)
-    signed = kept(texts.mapInArrow(_sign(n, bands), "doc_id long, n int, f1 long, f2 long, sig binary, bands array<long>"))
-    sets = kept(signed.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    firsts = sets.select(F.col("rep").alias("doc_id"), "copies")
-
-    keys = signed.join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi")
-    members = keys.join(shared, "key")
-    sigs = signed.select("doc_id", "n", "sig")
-    buckets = _grouped(_blocked(members, "key", bucket_block).drop("key").join(sigs, "doc_id"))
-    near = buckets.select("group", "side", "doc_id", "n", "sig").mapInArrow(_link_buckets(least, threshold), "a long, b long")
-    clusters = components(near)
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    placed = _blocked(clusters.withColumnRenamed("node", "doc_id").join(sizes, "component"), "component", cluster_block).drop("component")
-    whole = placed.join(firsts, "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
-    found = kept(_grouped(whole.select("group", "side", "doc_id", "copies", "sig", "text")).mapInArrow(_verify_clusters(least, threshold, n), "doc_id long, links long, lead long"))
-
-    classes = components(found.select("doc_id", "lead")).select(F.col("node").alias("rep"), F.col("component").alias("class"))
-    links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = sets.join(links, "rep", "left").join(classes, "rep", "left")
-    per_set = joined.select("f1", "f2", "n", F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = signed.select("doc_id", "f1", "f2", "n").join(per_set, ["f1", "f2", "n"]).select("doc_id", "class_id", "n_links")
+    with scratch(docs.sparkSession) as keep:
+        signed = keep(texts.mapInArrow(_sign(n, bands), "doc_id long, n int, f1 long, f2 long, sig binary, bands array<long>"))
+        sets = keep(signed.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+        firsts = sets.select(F.col("rep").alias("doc_id"), "copies")
+
+        keys = keep(signed.join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")))
+        shared = keep(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi"))
+        members = join_groups(keys, shared, ["key"], keys.count())
+        sigs = signed.select("doc_id", "n", "sig")
+        buckets = _grouped(_blocked(members, "key", F.col("size") / bucket_block).drop("key").join(sigs, "doc_id"))
+        near = buckets.select("group", "side", "doc_id", "n", "sig").mapInArrow(_link_buckets(least, threshold), "a long, b long")
+        clusters = keep(components(near).withColumnRenamed("node", "doc_id").join(signed.select("doc_id", "n").distinct(), "doc_id"))
+
+        sizes = keep(clusters.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("all")))
+        blocks = F.greatest(F.col("size") / cluster_block, F.col("all") / cluster_shingles)
+        placed = _blocked(join_groups(clusters.drop("n"), sizes, ["component"], clusters.count()), "component", blocks).drop("component", "all")
+        whole = placed.join(firsts, "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+        found = keep(_grouped(whole.select("group", "side", "doc_id", "copies", "sig", "text")).mapInArrow(_verify_clusters(least, threshold, n), "doc_id long, links long, lead long"))
+
+        classes = components(found.select("doc_id", "lead")).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+        links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
+        joined = sets.join(links, "rep", "left").join(classes, "rep", "left")
+        per_set = keep(joined.select("f1", "f2", "n", F.col("copies").alias("size"), F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+        rows = kept(join_groups(signed.select("doc_id", "f1", "f2", "n"), per_set, ["f1", "f2", "n"], signed.count()).select("doc_id", "class_id", "n_links"))
     empty = texts.where(F.coalesce(F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) == 0)
     return rows.unionByName(empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
