@@ -3,25 +3,28 @@
 Each text is its UTF-8 bytes.  A byte goes if it lies in a ``length``-byte string (100) that also starts
 earlier: at a smaller doc_id, or earlier in the same document.  All strings are judged on the input.
 
-Method.  Buckets of suffixes are refined by sorting on identifiers of what stands at later offsets, until
-they decide each string.  Two changes make that a Spark job.  Suffixes are sampled: of the ``length - Q + 1``
+Method.  Suffixes are put into buckets by their first q-gram; a bucket is refined by sorting on the bucket identifiers
+of later offsets, and refined identifiers are used again for the offsets before, until ``length`` bytes decide.
+As sorting all suffixes would be a shuffle of many times the text, they are sampled first: of the ``length - Q + 1``
 q-grams of every string, the one of the least hash (the leftmost of equal ones) is an anchor, so equal
 strings have their anchor at the same place, and about 2 in 70 suffixes suffice without losing any string.
-And identifiers are 64-bit fingerprints of the bytes, so refining needs no look-up of another row.
 
 1. One pass emits the anchors: (bucket of its q-gram, fingerprint of all bytes that the strings with this
-   anchor can reach, position).  Anchors that agree in both within a task are settled there: all but the
-   first are covered, which collapses copies before the shuffle.
-2. Anchors are dealt by bucket and sorted by (bucket, fingerprint, position).  A scan of the sorted rows
-   settles every anchor but the first of each fingerprint as covered; a bucket with one fingerprint is done.
-3. The firsts of buckets with several fingerprints (where repeats begin and end) get their bytes by a join
-   on doc_id, and their buckets are refined at each offset of a string around the anchor, reusing the
-   bucket and order from before.  The strings of one anchor overlap, so their union is one interval, from
-   the largest refined offset to the smallest.  Buckets of over ``hot`` fingerprints are refined by a
-   distributed minimum per (bucket, offset, fingerprint) instead of in a task.
+   anchor can reach, position).  Within a task, anchors that agree in both are settled: all but the first are covered,
+   which collapses copies before the shuffle; a bucket that has several fingerprints there is open, and its anchors are
+   dealt by bucket and fingerprint, with one marker of it dealt by bucket.  So a hot bucket gathers a row a task.
+2. All other anchors are dealt by bucket and sorted by (bucket, fingerprint, position).  A scan settles every anchor
+   but the first of each fingerprint as covered; a bucket with one fingerprint and no marker is done.
+3. The firsts of open buckets (where repeats begin and end) get their bytes by a join on doc_id and are refined
+   (``_refine_buckets``): to the right by the bucket so far and the identifier at the next offset, to the left by the
+   refined bucket of the suffix one byte later and the byte before it; suffixes alone in their bucket drop out.
+   A string is the bucket of what its anchor has to the left and of what it has to the right.  The strings of one
+   anchor overlap, so their union is one interval, from the largest refined offset to the smallest.  Buckets of over
+   ``hot`` anchors are refined by a distributed minimum per (bucket, offset, fingerprint) instead of in a task.
 4. Intervals are joined to the documents and merged there.
 
-No task holds more than a block of documents, a batch of anchors or ``hot`` contexts.
+No task holds more than a block of documents, a batch of anchors or ``hot`` contexts; numpy needs about 60 bytes a
+byte of the longest text.
 
 Defined results: a null text is empty; texts of under ``length`` bytes lose nothing; rows that repeat a
 doc_id aren't earlier than each other and get the same spans (doc_id is a key: it mustn't repeat with
@@ -41,11 +44,16 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .ngram_join import _by_group
-from .tables import kept, table
+from .tables import join_groups, kept, scratch, table
 
 Q = 32
 FLUSH = 1_000_000
-ANCHORS = "done boolean, bucket long, context long, doc_id long, pos int, before int, after int"
+#: A text of 2**32 bytes would be too long for an Arrow column, so 32 bits hold a place in a block.
+PLACE = np.uint64(32)
+COVERED, OPEN, USUAL = 0, 1, 2
+#: The fingerprint that markers have instead of one; what they have besides is never read.
+MARKER = np.iinfo(np.int64).min
+ANCHORS = "route long, kind int, bucket long, context long, doc_id long, pos int, before int, after int"
 SETTLED = "bucket long, doc_id long, pos int, before int, after int"
 
 
@@ -67,8 +75,7 @@ def find_anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nda
     p = T.prefix(buf)
     grams = len(buf) - Q + 1
     raw = T.mix((p[Q:] - p[:-Q]) * T.powers(T.INVERSE, len(p))[:grams])
-    bits = np.uint64(max(1, int(grams).bit_length()))
-    key = ((raw >> bits) << bits) | np.arange(grams, dtype=np.uint64)
+    key = ((raw >> PLACE) << PLACE) | np.arange(grams, dtype=np.uint64)
     low = _sliding_min(key, length - Q + 1)
     inside = np.zeros(len(buf) + 1, np.int32)
     long = np.flatnonzero(size >= length)
@@ -76,7 +83,7 @@ def find_anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nda
     np.add.at(inside, offs[long + 1] - length + 1, -1)
     windows = np.cumsum(inside[:-1])[: len(low)] > 0
     chosen = np.zeros(grams, bool)
-    chosen[(low[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+    chosen[(low[windows] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
     doc = np.searchsorted(offs, at, "right") - 1
     return at, doc, np.minimum(length - Q, at - offs[doc]), np.minimum(length, offs[doc + 1] - at)
@@ -88,15 +95,23 @@ def _later(doc: np.ndarray, pos: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _settle(bucket, context, doc, pos, before, after) -> pa.RecordBatch:
+    """Anchors of a task with their kind and where they go, and markers."""
     order = np.lexsort((pos, doc, context, bucket))
     bucket, context, doc, pos, before, after = (x[order] for x in (bucket, context, doc, pos, before, after))
-    new = np.append(True, (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1]))
+    fresh = np.append(True, bucket[1:] != bucket[:-1])
+    new = fresh | np.append(True, context[1:] != context[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    done = _later(doc, pos, first)
-    spread = T.mix(doc.astype(np.uint64) * np.uint64(T.BASE) + pos.astype(np.uint64))  # deals out what is settled
+    starts = np.flatnonzero(fresh)
+    several = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, np.diff(np.append(starts, len(new))))
+    kind = np.where(_later(doc, pos, first), COVERED, np.where(several, OPEN, USUAL))
+    spread = T.mix(doc.astype(np.uint64) * np.uint64(T.BASE) + pos.astype(np.uint64))
+    route = np.where(kind == COVERED, spread, np.where(kind == OPEN, T.mix(bucket ^ context), bucket))
+    mark = starts[several[starts]]
+    add = lambda x, y: np.append(x, np.broadcast_to(y, len(mark)).astype(x.dtype))
     return pa.record_batch({
-        "done": pa.array(done), "bucket": pa.array(np.where(done, spread, bucket).view(np.int64)), "context": pa.array(context.view(np.int64)), "doc_id": pa.array(doc),
-        "pos": pa.array(pos.astype(np.int32)), "before": pa.array(before.astype(np.int32)), "after": pa.array(after.astype(np.int32)),
+        "route": pa.array(add(route, bucket[mark]).view(np.int64)), "kind": pa.array(add(kind, USUAL).astype(np.int32)), "bucket": pa.array(add(bucket, bucket[mark]).view(np.int64)),
+        "context": pa.array(add(context.view(np.int64), MARKER)), "doc_id": pa.array(add(doc, 0)), "pos": pa.array(add(pos, 0).astype(np.int32)),
+        "before": pa.array(add(before, 0).astype(np.int32)), "after": pa.array(add(after, 0).astype(np.int32)),
     })
 
 
@@ -123,42 +138,31 @@ def _anchors(length: int):
     return run
 
 
-def _out(bucket, doc, pos, before, after, covered) -> pa.RecordBatch:
-    return pa.record_batch({"bucket": pa.array(bucket, mask=covered), "doc_id": pa.array(doc), "pos": pa.array(pos), "before": pa.array(before), "after": pa.array(after)})
-
-
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (done, bucket, context, doc_id, pos): covered anchors with a null bucket, and the
-    first of each context of the buckets that have several. A bucket may span any number of batches."""
-    names = ("bucket", "context", "doc_id", "pos", "before", "after")
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (kind, bucket, context, doc_id, pos): covered anchors with a null bucket, and the
+    first of each context of the open buckets. A bucket may span any number of batches."""
+    names = ("kind", "bucket", "context", "doc_id", "pos", "before", "after")
     open_, waits = None, False  # the first row of the open context; whether it still waits for a second context
     for batch in batches:
         if not batch.num_rows:
             continue
-        done = np.asarray(batch.column("done"))
-        if done.any():
-            b = batch.filter(pa.array(done))
-            yield _out(*(b.column(n).to_numpy() for n in ("bucket", "doc_id", "pos", "before", "after")), np.ones(b.num_rows, bool))
-            batch = batch.filter(pa.array(~done))
-            if not batch.num_rows:
-                continue
         cols = [batch.column(n).to_numpy() for n in names]
         if open_ is not None:
             cols = [np.append(x, y).astype(y.dtype) for x, y in zip(open_, cols, strict=True)]
-        bucket, context, doc, pos, before, after = cols
-        fresh = np.append(True, bucket[1:] != bucket[:-1])
+        kind, bucket, context, doc, pos, before, after = cols
+        fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]))
         new = fresh | np.append(True, context[1:] != context[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        covered = _later(doc, pos, first)
+        covered = _later(doc, pos, first) | (kind == COVERED)
         classes = np.add.reduceat(new.astype(np.int64), starts := np.flatnonzero(fresh))
         if open_ is not None and not waits:
             classes[0] += 1  # its bucket had a context before
-        several = np.repeat(classes > 1, np.diff(np.append(starts, len(new))))
-        emit = covered | (new & several)
+        several = np.repeat(classes > 1, np.diff(np.append(starts, len(new)))) | (kind == OPEN)
+        emit = (covered | (new & several)) & ((context != MARKER) | (kind == COVERED))
         if open_ is not None and not waits:
             emit[0] = False  # it went out before
-        yield _out(bucket[emit], doc[emit], pos[emit], before[emit], after[emit], covered[emit])
-        open_, waits = [x[first[-1] : first[-1] + 1] for x in cols], not several[-1]
+        yield pa.record_batch({"bucket": pa.array(bucket[emit], mask=covered[emit]), "doc_id": pa.array(doc[emit]), "pos": pa.array(pos[emit]), "before": pa.array(before[emit]), "after": pa.array(after[emit])})
+        open_, waits = [x[first[-1] : first[-1] + 1] for x in cols], not (several[-1] or kind[-1] == COVERED)
 
 
 def _contexts(length: int):
@@ -184,8 +188,9 @@ def _contexts(length: int):
     return run
 
 
-def _offset_hashes(rows: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(offset, rows that have a string there, its fingerprints) for each offset of a string's start."""
+def _grid(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes plus 1 (0 where there are none), each with its anchor in column ``length - Q``; the number of
+    bytes before the anchor, and from it on."""
     reach = length - Q
     before = rows.column("before").to_numpy()
     col = rows.column("bytes").combine_chunks()
@@ -193,32 +198,48 @@ def _offset_hashes(rows: pa.Table, length: int) -> Iterator[tuple[int, np.ndarra
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     size = np.diff(offs)
-    left = reach - before
-    grid = np.zeros((len(size), reach + length), np.uint64)
+    grid = np.zeros((len(size), reach + length), np.int64)
     row = np.repeat(np.arange(len(size)), size)
-    grid[row, np.arange(len(data)) - np.repeat(offs[:-1] - offs[0], size) + left[row]] = data.astype(np.uint64) + np.uint64(1)
-    grid *= T.powers(T.BASE, reach + length)
-    p = np.zeros((len(size), reach + length + 1), np.uint64)
-    np.cumsum(grid, axis=1, out=p[:, 1:])
-    back = T.powers(T.INVERSE, reach + 1)
-    for o in range(reach + 1):
-        own = np.flatnonzero((o <= before) & (size - before >= length - o))
-        yield o, own, T.mix((p[own, reach + length - o] - p[own, reach - o]) * back[reach - o])
+    grid[row, np.arange(len(data)) - np.repeat(offs[:-1] - offs[0], size) + (reach - before)[row]] = data.astype(np.int64) + 1
+    return grid, before, size - before
+
 
+def _refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Buckets (numbers from 0; -1 is alone) sorted on the identifiers of another offset."""
+    out = np.full(len(bucket), -1)
+    live = np.flatnonzero(bucket >= 0)
+    if len(live):
+        _, name, count = np.unique(bucket[live] * 257 + later[live], return_inverse=True, return_counts=True)
+        out[live] = np.where(count[name] > 1, name, -1)
+    return out
 
-def _refine_offsets(length: int):
+
+def _refine_buckets(length: int):
     """Over whole buckets sorted by (bucket, doc_id, pos): the interval of each anchor's repeated strings."""
+    reach = length - Q
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group((b.rename_columns(["group", *b.schema.names[1:]]) for b in batches), 4 << 20):
-            bucket, doc, pos = (rows.column(n).to_numpy() for n in ("group", "doc_id", "pos"))
-            salt = T.mix(bucket.view(np.uint64))
+            group, doc, pos = (rows.column(n).to_numpy() for n in ("group", "doc_id", "pos"))
+            grid, before, after = _grid(rows, length)
+            start = np.unique(group, return_inverse=True)[1]
             least, most = np.full(len(doc), length), np.full(len(doc), -1)
-            for o, own, h in _offset_hashes(rows, length):
-                key = h ^ salt[own]
+            right = [start]  # after Q bytes, Q + 1, ...
+            for k in range(Q, length):
+                right.append(_refined(right[-1], grid[:, reach + k]))
+            left = start  # the bytes before the anchor, the nearest first
+            for o in range(reach + 1):
+                if o:
+                    left = _refined(left, grid[:, reach - o])
+                there = right[length - o - Q]
+                own = np.flatnonzero((left >= 0) & (there >= 0) & (o <= before) & (after >= length - o))
+                if not len(own):
+                    continue
+                key = left[own] * len(doc) + there[own]
                 order = np.argsort(key, kind="stable")
                 s, at = key[order], own[order]
-                new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
-                first = at[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))] if len(s) else at
+                new = np.append(True, s[1:] != s[:-1])
+                first = at[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
                 hit = at[(doc[at] != doc[first]) | (pos[at] != pos[first])]
                 least[hit] = np.minimum(least[hit], o)
                 most[hit] = o
@@ -229,13 +250,23 @@ def _refine_offsets(length: int):
 
 
 def _explode_offsets(length: int):
+    """A row for each string of each anchor, with its fingerprint."""
+    reach = length - Q
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 5000):
                 rows = pa.Table.from_batches([batch.slice(k, 5000)])
-                for o, own, h in _offset_hashes(rows, length):
-                    part = rows.take(pa.array(own))
-                    yield pa.record_batch({"bucket": part.column("bucket").combine_chunks(), "o": pa.array(np.full(len(own), o, np.int32)), "h": pa.array(h.view(np.int64)), "doc_id": part.column("doc_id").combine_chunks(), "pos": part.column("pos").combine_chunks()})
+                grid, before, after = _grid(rows, length)
+                p = np.zeros((len(grid), reach + length + 1), np.uint64)
+                np.cumsum(grid.astype(np.uint64) * T.powers(T.BASE, reach + length), axis=1, out=p[:, 1:])
+                back = T.powers(T.INVERSE, reach + 1)
+                for o in range(reach + 1):
+                    own = np.flatnonzero((o <= before) & (after >= length - o))
+                    h = T.mix((p[own, reach + length - o] - p[own, reach - o]) * back[reach - o])
+                    part = rows.select(["bucket", "doc_id", "pos"]).take(pa.array(own)).combine_chunks()
+                    cols = [part.column(c).combine_chunks() for c in ("bucket", "doc_id", "pos")]
+                    yield pa.record_batch([cols[0], pa.array(np.full(len(own), o, np.int32)), pa.array(h.view(np.int64)), cols[1], cols[2]], ["bucket", "o", "h", "doc_id", "pos"])
 
     return run
 
@@ -273,28 +304,34 @@ def _cut(digest: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
     """doc_id, start, end: byte intervals whose union is all that is to be removed."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
-    anchors = texts.mapInArrow(_anchors(length), ANCHORS).repartition("bucket")
-    settled = kept(anchors.sortWithinPartitions("done", "bucket", "context", "doc_id", "pos").mapInArrow(_refine, SETTLED))
-    spans = settled.where("bucket is null").selectExpr("doc_id", "pos - before start", "pos + after end")
-
-    rest = settled.where("bucket is not null")
-    per_doc = rest.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "before", "after")).alias("anchors"))
-    contexts = kept(per_doc.join(texts, "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary"))
-    large = kept(contexts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("bucket"))
-    usual = contexts.join(large, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "pos")
-    spans = spans.union(usual.mapInArrow(_refine_offsets(length), "doc_id long, start int, end int"))
-    if not large.isEmpty():
-        strings = contexts.join(large, "bucket").mapInArrow(_explode_offsets(length), "bucket long, o int, h long, doc_id long, pos int")
-        first = strings.groupBy("bucket", "o", "h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = strings.join(first, ["bucket", "o", "h"]).where("doc_id <> first.doc_id or pos <> first.pos")
-        spans = spans.union(again.groupBy("doc_id", "pos").agg(F.max("o").alias("most"), F.min("o").alias("least")).selectExpr("doc_id", "pos - most start", f"pos - least + {length} end"))
-    return spans
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, digest: bool = False) -> DataFrame:
+    with scratch(docs.sparkSession) as keep:
+        anchors = texts.mapInArrow(_anchors(length), ANCHORS).repartition("route").drop("route")
+        settled = keep(anchors.sortWithinPartitions("kind", "bucket", "context", "doc_id", "pos").mapInArrow(_scan, SETTLED))
+        spans = settled.where("bucket is null").selectExpr("doc_id", "pos - before start", "pos + after end")
+
+        rest = settled.where("bucket is not null")
+        sizes = keep(rest.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {hot}"))
+        large = join_groups(rest, sizes, ["bucket"], rest.count())
+        usual = rest.join(sizes, "bucket", "left_anti") if sizes.count() else rest
+
+        def contexts(some: DataFrame) -> DataFrame:
+            per_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "before", "after")).alias("anchors"))
+            return per_doc.join(texts, "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary")
+
+        dealt = contexts(usual).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "pos")
+        spans = spans.union(keep(dealt.mapInArrow(_refine_buckets(length), "doc_id long, start int, end int")))
+        if sizes.count():
+            strings = keep(contexts(large).mapInArrow(_explode_offsets(length), "bucket long, o int, h long, doc_id long, pos int"))
+            first = keep(strings.groupBy("bucket", "o", "h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("size")).where("size > 1"))
+            again = join_groups(strings, first, ["bucket", "o", "h"], strings.count()).where("doc_id <> first.doc_id or pos <> first.pos")
+            spans = spans.union(again.groupBy("doc_id", "pos").agg(F.max("o").alias("most"), F.min("o").alias("least")).selectExpr("doc_id", "pos - most start", f"pos - least + {length} end"))
+        return kept(spans)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (kept) or their SHA-256 (digest)."""
     spans = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(spans, "doc_id", "left")

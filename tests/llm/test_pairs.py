@@ -1,12 +1,16 @@
 """Operators that compare documents or lines, against brute force."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from muster.llm import decontaminate, line_dedup, ngram_join, suffix_dedup
 from muster.llm.components import components
+from muster.llm.tables import join_groups, kept, scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,7 +50,7 @@ def test_ngram_join(docs, corpus):
 
 def test_ngram_join_in_blocks(docs, corpus):
     """Buckets and clusters that are split give the same result."""
-    got = ngram_join.ngram_join(docs, bucket_block=3, cluster_block=4)
+    got = ngram_join.ngram_join(docs, bucket_block=3, cluster_block=4, cluster_shingles=2000)
     assert {tuple(r) for r in got.collect()} == jaccard_expected(corpus)
 
 
@@ -65,6 +69,21 @@ def test_drop_near_duplicates(docs, corpus):
     assert kept == {i for i, c, _ in jaccard_expected(corpus) if i == c}
 
 
+def test_ngram_join_of_a_large_cluster(spark):
+    """Links of many variants of one text, decided by bounds or on the sets, in one block and in several."""
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(240):
+        words = list(base)
+        for place in (7 * k, 7 * k + 60, 11 * k)[: 1 + k % 3]:
+            words[place % 120] = f"edit{place % 9}"
+        rows.append((k, " ".join(words)))
+    frame, expected = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), jaccard_expected(rows)
+    assert len({n for *_, n in expected}) > 5
+    for options in ({}, {"cluster_block": 50}):
+        assert {tuple(r) for r in ngram_join.ngram_join(frame, **options).collect()} == expected
+
+
 def test_least_matches_follow_the_posterior():
     least = ngram_join.least_matches(0.8, 1e-6, 200)
     assert all(m <= 0.8 * n for n, m in enumerate(least.tolist()))
@@ -73,11 +92,28 @@ def test_least_matches_follow_the_posterior():
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (200, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
+    for small in (10_000, 0):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+        assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_joined_by_broadcast(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 0, id) k", "id")
+    groups = kept(rows.groupBy("k").agg(F.count("*").alias("size")))
+    got = join_groups(rows, groups, ["k"], 3000)
+    assert sorted((r.k, r.id, r.size) for r in got.collect()) == sorted((r.k, r.id, r.size) for r in rows.join(groups, "k").collect())
+
+
+def test_scratch_tables_are_deleted(spark):
+    with scratch(spark) as keep:
+        one = keep(spark.range(5))
+        two = kept(one.where("id > 2"))
+    assert two.count() == 2
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(*one.inputFiles())
+
+
 def lines_expected(rows):
     first, places = {}, []
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
@@ -142,22 +178,26 @@ def test_line_dedup_short_and_long_lines(spark):
 
 
 def test_decontaminate(spark, docs, corpus):
-    items = [(0, corpus[80][1]), (1, corpus[3][1]), (2, "too short"), (3, None), (4, " ".join(corpus[6][1].split()[:9]).upper())]
+    items = [(0, corpus[80][1]), (1, corpus[3][1]), (2, "too short"), (3, None), (4, " ".join(corpus[6][1].split()[:9]).upper()), (5, ""), (6, "a  B"), (7, " ".join(corpus[9][1].split()[3:6])), (7, " ".join(corpus[9][1].split()[3:6])), (8, "WORD")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     fold = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
     expected = set()
     for i, t, *_ in corpus:
         for k, x in items:
-            want = shingles(fold(x), whole=False)
-            found = len(want & shingles(fold(t), whole=False))
+            want = shingles(fold(x))
+            found = len(want & shingles(fold(t), n=min(5, max(1, len(WORD.findall(x or "")))), whole=False))
             if want and found >= 0.8 * len(want) - 1e-9:
                 expected.add((i, k, len(want), found))
     for size in (2_000_000, 10):  # one block, and a block an item
         got = decontaminate.contaminated(docs, frame, block_shingles=size)
-        assert {tuple(r)[:4] for r in got.collect()} == expected
+        rows = [tuple(r)[:4] for r in got.collect()]
+        assert set(rows) == expected and len(rows) == len(expected) + sum(e[1] == 7 for e in expected)
         left = decontaminate.decontaminate(docs.withColumn("item_id", F.lit("x")), frame, block_shingles=size)
         assert {r.doc_id for r in left.collect()} == {r[0] for r in corpus} - {e[0] for e in expected}
-    assert decontaminate.contaminated(docs, frame.limit(0)).count() == 0
+    assert decontaminate.contaminated(docs, frame.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), frame).count() == 0
+    assert {e[1] for e in expected} >= {6, 7, 8}
+    twice = decontaminate.contaminated(docs.union(docs), frame)
+    assert twice.count() == 2 * len(rows)
 
 
 def test_sketch_loses_nothing():
@@ -185,11 +225,35 @@ def spans_expected(rows, length):
 
 
 def test_suffix_dedup(docs, corpus):
-    for hot in (20_000, 0):  # in a task, and by distributed minimums
+    for hot in (1000, 0):  # in a task, and by distributed minimums
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()}
         assert got == spans_expected(corpus, 100)
 
 
+def test_buckets_are_refined_like_a_suffix_sort():
+    """Each round's buckets are those of a plain sort by the bytes that it covers."""
+    rnd = np.random.default_rng(3)
+    words = rnd.integers(0, 2, (300, 30))
+    bucket = np.zeros(300, np.int64)
+    for k in range(30):
+        bucket = suffix_dedup._refined(bucket, words[:, k])
+        seen = Counter(tuple(w[: k + 1]) for w in words.tolist())
+        rank = {w: n for n, w in enumerate(sorted(w for w in seen if seen[w] > 1))}
+        named = [rank.get(tuple(w[: k + 1]), -1) for w in words.tolist()]
+        assert [b < 0 for b in bucket] == [n < 0 for n in named]
+        live = sorted((n, b) for n, b in zip(named, bucket.tolist(), strict=True) if n >= 0)
+        assert live == sorted(live, key=lambda x: x[1]) and len(set(live)) == len(rank)
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """One passage in all documents of many partitions, with other words around it: a bucket that no task gathers."""
+    rnd = random.Random(9)
+    passage = " ".join(str(rnd.random()) for _ in range(12))
+    rows = [(k, f"{rnd.random()} {passage[k % 40 :]} {rnd.random()}") for k in range(150)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=50).collect()}
+    assert got == {i: v[1] for i, v in spans_expected(rows, 100).items()}
+
+
 def test_suffix_dedup_small_batches(spark, docs, corpus):
     """Buckets that span Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
