@@ -1,30 +1,32 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found leftmost and non-overlapping
-per kind in the whole text; a match that fails its test is dropped.  The method adds ``term`` spans: words
-near a base span that reveal its value.
+per kind in the whole text; a match that fails its test is dropped.  The method adds ``secret`` spans (long keys of letters
+and digits, which are protected entities too) and ``term`` spans: words near an entity that reveal it.
 
 Method (after Sanchez and Batet's C-sanitisation).  A word t reveals an entity e to the degree
 PMI(e; t) / IC(e) = 1 - log(n_t / n_et) / log(N / n_e), where N is the number of words of the corpus, n_e
 and n_t the occurrences of e and t, and n_et those of t within ``reach`` characters of e.  It is 1 if t
-occurs only near e.  A word at or above ``disclosure`` is generalised to [TERM], if it was seen near the entity in
-``support`` different texts or more (one text is no estimate).  All counts are over all documents.
-
-Plan.  Two passes over the texts in whole-stage code: the base spans, and one count a word, combined on the
-map side.  Only documents with an entity give up their words' places, which meet the entities by (doc_id,
-stretch of ``reach`` characters), so an entity meets a bounded number of words, however long the text.
+occurs only near e.  A word at or above ``disclosure`` is generalised to [TERM].  A word is judged against the entity's
+value and, as a back-off, against the group that the value belongs to (``_group``: an address's domain, the first
+digits of a number), which occurs more often.  n_t has ``spare`` occurrences added, that one sighting is no certainty;
+there is no least number of sightings, as an unusual name beside an address that occurs once is the ordinary case.
+All counts are over all documents.
+
+Plan.  Two passes over the texts in whole-stage code: the texts that hold an entity (distinct ones, with their number of
+rows), and one count a word, combined on the map side.  Only the former give up their words' places, which meet the
+entities by (text, stretch of ``reach`` characters), so an entity meets a bounded number of words, however long the text.
 Counts of a value are summed by (entity, word), so a value that a third of all rows share is combined
 before the shuffle.  No Python runs on the executors.
 
-Places of matches are running sums over the gaps between matches and the matches themselves, in a window a
-document and kind.  The patterns are the contract's with possessive quantifiers where nothing can follow, so
-that they take linear time and no stack on long runs.
+Spans belong to a distinct text (128 bits of two hashes), not to a doc_id, which may be null or repeat.  Places of
+matches are running sums over the gaps between matches and the matches themselves, in a window a text and kind.  The
+patterns are the contract's with possessive quantifiers where nothing can follow, so that they take linear time and no
+stack on long runs.
 
 Defined results: a null text is empty and has no spans; spans are in code points, end exclusive; equal
-places go by kind as listed; rows that repeat a doc_id with the same text get the same spans and count once
-(doc_id is a key: it mustn't repeat with another text); a null doc_id is no key, such a row counts nowhere
-and keeps only what a row without spans has; extra columns are ignored or passed through (sanitize);
-an empty table gives no rows.
+places go by kind as listed; rows that repeat a text get the same spans, and each of them counts; doc_id isn't used;
+extra columns are ignored or passed through (sanitize, which replaces ``spans``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +34,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import kept, table
+from .tables import join_groups, kept, scratch, table
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE = KINDS[:4]
+TEXT = ["_text1", "_text2"]
 #: \G is the end of the match before: an address can start there or after a character that none can hold.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"[A-Za-z0-9_-]{24,}+",
 }
 TERM = r"[\p{L}\p{N}]++"
 
@@ -66,7 +71,7 @@ def _valid(kind: Column, value: Column) -> Column:
     parts = F.split(value, r"\.")
     small = F.forall(parts, lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | ((F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255")))
     card = F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
-    return F.when(kind == "ip", small).when(kind == "card", card).when(kind == "phone", F.length(digits).between(9, 15)).otherwise(True)
+    return F.when(kind == "ip", small).when(kind == "card", card).when(kind == "phone", F.length(digits).between(9, 15)).when(kind == "secret", (F.length(digits) >= 4) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4)).otherwise(True)
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -77,74 +82,93 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 
 def _placed(matches: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, value of matches: doc_id, kind, i, gap, value."""
-    before = Window.partitionBy("doc_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("value")).over(before)
-    rows = matches.dropDuplicates(["doc_id", "kind", "i"]).withColumn("end", end.cast("long"))
-    return rows.select("doc_id", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
+    """The text, kind, start, end, value of matches: the text, kind, i, gap, value."""
+    before = Window.partitionBy(*TEXT, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = matches.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(before).cast("long"))
+    return rows.select(*TEXT, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
 def _base_matches(text: Column) -> Column:
-    """All matches of the base patterns, valid or not; a pattern runs only where its signs occur."""
+    """All matches of the entities' patterns, valid or not; a pattern runs only where its signs occur."""
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,value:string>>")
-    has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
+    has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]"), "secret": text.rlike(PATTERNS["secret"])}
     return F.concat(*[F.when(has[k], _matches(text, k, p)).otherwise(none) for k, p in PATTERNS.items()])
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, value: the base spans of every document. docs: doc_id, text."""
-    texts = docs.where("doc_id is not null and text is not null")
-    rows = texts.select("doc_id", F.explode(_base_matches(F.col("text"))).alias("m")).select("doc_id", "m.*")
+def _by_text(docs: DataFrame) -> DataFrame:
+    """docs with the two hashes that stand for a text."""
+    return docs.withColumn(TEXT[0], F.xxhash64("text")).withColumn(TEXT[1], F.xxhash64(F.lit("2"), F.col("text")))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """Each distinct text that holds an entity, and its number of rows (n)."""
+    texts = docs.select("text").where("text is not null")
+    with_entity = texts.where(F.exists(_base_matches(F.col("text")), lambda m: _valid(m["kind"], m["value"])))
+    return _by_text(with_entity).groupBy(*TEXT).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+
+
+def base_spans(texts: DataFrame) -> DataFrame:
+    """kind, start, end, value of the entities of each of entity_texts()."""
+    rows = texts.select(*TEXT, F.explode(_base_matches(F.col("text"))).alias("m")).select(*TEXT, "m.*")
     return _placed(rows).where(_valid(F.col("kind"), F.col("value")))
 
 
-def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
-    """entity, term, doc_id, start, end, copy: the words within reach of each base span and outside of all.
+def _group(kind: Column, value: Column) -> Column:
+    """What a value has in common with others: a domain, a network, an issuer, an area; null for a key."""
+    digits = _digits(value)
+    return F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.substr(digits, F.lit(1), F.lit(6))).when(kind == "phone", F.substr(digits, F.lit(1), F.lit(4)))
 
-    The documents with a base span are told by their own texts again, which spares a join of all texts.
-    """
-    with_entity = texts.where(F.exists(_base_matches(F.col("text")), lambda m: _valid(m["kind"], m["value"])))
-    words = with_entity.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
-    places = _placed(words.select("doc_id", "m.*"))
-    copies = with_entity.select("doc_id", F.xxhash64("text").alias("copy")).distinct()
-    entities = spans.select("doc_id", F.concat_ws(":", "kind", "value").alias("entity"), F.col("start").alias("s"), F.col("end").alias("e"))
+
+def _entities(kind: Column, value: Column) -> Column:
+    """The names under which a span is an entity: its value's and its group's."""
+    group = _group(kind, value)
+    return F.array_compact(F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit(" group:"), group)))
+
+
+def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    """entity, term, start, end and text of the words within reach of each entity and outside of all; and n."""
+    words = texts.select(*TEXT, F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
+    places = _placed(words.select(*TEXT, "m.*"))
+    entities = spans.select(*TEXT, _entities(F.col("kind"), F.col("value")).alias("names"), F.col("start").alias("s"), F.col("end").alias("e"))
     first, last = F.floor((F.col("s") - reach) / reach), F.floor((F.col("e") + reach) / reach)
     entities = entities.withColumn("stretch", F.explode(F.sequence(first, last)))
-    terms = places.select("doc_id", "start", "end", F.lower("value").alias("term"), F.floor(F.col("start") / reach).alias("stretch"))
-    pairs = terms.join(entities, ["doc_id", "stretch"]).where((F.col("start") < F.col("e") + reach) & (F.col("end") > F.col("s") - reach))
-    inside = F.max(((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).cast("int")).over(Window.partitionBy("doc_id", "start"))
-    return pairs.withColumn("inside", inside).where("inside = 0").select("entity", "term", "doc_id", "start", "end").distinct().join(copies, "doc_id")
-
-
-def term_spans(docs: DataFrame, spans: DataFrame, disclosure: float = 0.9, reach: int = 160, support: int = 2) -> DataFrame:
-    """doc_id, kind (term), start, end, value: words that disclose a base span near them."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    near = kept(_near(texts, spans, reach))
-    per_copy = near.groupBy("entity", "term", "copy").agg(F.count("*").alias("n"))
-    met = per_copy.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    counts = kept(texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    terms = places.select(*TEXT, "start", "end", F.lower("value").alias("term"), F.floor(F.col("start") / reach).alias("stretch"))
+    pairs = terms.join(entities, [*TEXT, "stretch"]).where((F.col("start") < F.col("e") + reach) & (F.col("end") > F.col("s") - reach))
+    inside = F.max(((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).cast("int")).over(Window.partitionBy(*TEXT, "start"))
+    outside = pairs.withColumn("inside", inside).where("inside = 0").select(*TEXT, "term", "start", "end", F.explode("names").alias("entity")).distinct()
+    return outside.join(texts.select(*TEXT, "n"), TEXT)
+
+
+def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclosure: float = 0.9, reach: int = 160, spare: float = 1.0) -> DataFrame:
+    """The text, kind (term), start, end, value: words that disclose an entity near them."""
+    near = keep(_near(texts, spans, reach))
+    met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"))
+    every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    counts = keep(every.groupBy("term").agg(F.count("*").alias("n_t")))
     total = F.lit(float(counts.agg(F.sum("n_t")).first()[0] or 0))
-    seen = spans.groupBy(F.concat_ws(":", "kind", "value").alias("entity")).agg(F.count("*").alias("n_e"))
-    weighed = met.join(counts, "term").join(seen, "entity")
-    degree = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_et"), F.lit(1.0))) / F.log(F.greatest(total / F.col("n_e"), F.lit(2.0)))
-    telling = weighed.where(degree >= disclosure).select("entity", "term")
-    hits = near.join(telling, ["entity", "term"]).select("doc_id", "start", "end", "term").distinct()
-    return hits.select("doc_id", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
+    named = spans.join(texts.select(*TEXT, "n"), TEXT).select(F.explode(_entities(F.col("kind"), F.col("value"))).alias("entity"), "n")
+    weighed = met.join(counts, "term").join(named.groupBy("entity").agg(F.sum("n").alias("n_e")), "entity")
+    rarity = F.greatest((F.col("n_t") + spare) / F.col("n_et"), F.lit(1.0))
+    degree = 1 - F.log(rarity) / F.log(F.greatest(total / F.col("n_e"), F.lit(2.0)))
+    telling = keep(weighed.where(degree >= disclosure).select("entity", "term", "size"))
+    hits = join_groups(near, telling, ["entity", "term"], near.count()).select(*TEXT, "start", "end", "term").distinct()
+    return hits.select(*TEXT, F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
 
 
 def all_spans(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and spans, an array of (start, rank of kind, kind, end, value) in order, of documents with any."""
-    base = kept(base_spans(docs.select("doc_id", "text")))
-    spans = base.unionByName(term_spans(docs, base, **options))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "value"))).alias("spans"))
+    """Of each distinct text with any: spans, an array of (start, rank of kind, kind, end, value) in order."""
+    with scratch(docs.sparkSession) as keep:
+        texts = keep(entity_texts(docs))
+        base = keep(base_spans(texts))
+        spans = base.unionByName(term_spans(docs, texts, base, keep, **options))
+        rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+        return kept(spans.groupBy(*TEXT).agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "value"))).alias("spans")))
 
 
 def sanitize(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of ``text`` generalised to its kind, as in [EMAIL] (where spans overlap, the
     first one's), and the spans."""
-    found = all_spans(docs, **options)
-    rows = docs.drop("spans").join(found, "doc_id", "left")
+    rows = _by_text(docs.drop("spans")).join(all_spans(docs, **options), TEXT, "left").drop(*TEXT)
     start = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -158,7 +182,7 @@ def sanitize(docs: DataFrame, **options) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id").join(all_spans(docs), "doc_id", "left")
+    rows = _by_text(docs).drop("text").join(all_spans(docs), TEXT, "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,end:bigint,value:string>>"))
 
     def told(which: Column) -> Column:
@@ -167,6 +191,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(kind: str) -> Column:
         return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [number(k) for k in KINDS[:4]]
-    base = F.filter(spans, lambda x: x["kind"] != "term")
-    return rows.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(spans).alias("spans"))
+    counts = [number(k) for k in KINDS]
+    base = F.filter(spans, lambda x: x["kind"].isin(*BASE))
+    found = F.size(spans).cast("long").alias("n_spans")
+    return rows.select("doc_id", *counts[:4], F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(spans).alias("spans"), *counts[4:], found)
