@@ -16,8 +16,8 @@ the two and of their logarithms.
 
 Plan.  Three Arrow passes without a shuffle of texts: trigram counts (28 cubed numbers a task, summed in
 Spark), the labelled sample, and the scores.  Readings are remembered by word in each worker (at most
-``CACHE``).  Model sizes are bounded by the sample, and no text is cut: words of more than ``LATTICE``
-characters are read in pieces that overlap by half, so a word of half a piece is whole in one.
+``CACHE``).  Model sizes are bounded by the sample, and no text, word or row of letters is cut: the path is linear in
+their length, and the branches of a path share what they have in common.
 
 Defined results: a null or empty text has no terms and gets the score of having none; without labels of both
 kinds the score is the share of label 1 (0.5 without labels); rows that repeat a doc_id are scored alike;
@@ -45,7 +45,7 @@ LEET = {
 }
 FILLER = ".-_*~'`^,:;/\\ ​‌‍­·"
 
-LATTICE, CACHE = 48, 200_000
+CACHE = 200_000
 #: Costs in nats of the channel: a leet sign, filler, the second and a later letter of a repetition left out,
 #: a sign left out.
 COST = {"leet": 1.0, "filler": 0.2, "second": 2.5, "later": 0.3, "drop": 9.0}
@@ -77,11 +77,6 @@ def _wide(buf: np.ndarray, signs: str) -> tuple[np.ndarray, np.ndarray]:
     return every, lead
 
 
-def _pieces(n: int) -> Iterator[tuple[int, int]]:
-    for i in range(0, max(n - LATTICE // 2, 1), LATTICE // 2):
-        yield i, min(n, i + LATTICE)
-
-
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, np.int64)
     for batch in batches:
@@ -104,18 +99,19 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log((tri + 5 * two[None]) / (tri.sum(2)[:, :, None] + 5))
 
 
-def restore(word: str, cost: np.ndarray) -> str:
+def restore(word: str, cost: np.ndarray | list) -> str:
     """The reading of least cost of a noisy word (lower case), or of a row with its blanks: a Viterbi path over
-    its character lattice."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    its character lattice. A state is the last two characters read; a path is a linked list, the last character first."""
+    table = cost if isinstance(cost, list) else cost.tolist()
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last, times = "", 0
     for k, c in enumerate(word):
         if c == " ":
-            new = {state: (spent + COST["filler"], read) for state, (spent, read) in best.items()}
-            for (a, b), (spent, read) in best.items():
-                total = spent + cost[a, b, 0]
+            new = {state: (spent + COST["filler"], path) for state, (spent, path) in best.items()}
+            for (a, b), (spent, path) in best.items():
+                total = spent + table[a][b][0]
                 if b and ((b, 0) not in new or total < new[b, 0][0]):
-                    new[b, 0] = (total, read + " ")
+                    new[b, 0] = (total, (" ", path))
             best = new
             continue
         times = times + 1 if c == last else 1
@@ -133,18 +129,23 @@ def restore(word: str, cost: np.ndarray) -> str:
             ways.append((COST["drop"], ""))
         ways += [(COST["leet"], x) for x in LEET.get(c, "")]
         last = c
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, read) in best.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (spent, path) in best.items():
             for extra, x in ways:
                 if x:
                     code = ord(x) - 96 if x <= "z" else 27
-                    state, total = (b, code), spent + extra + cost[a, b, code]
+                    state, total = (b, code), spent + extra + table[a][b][code]
                 else:
                     state, total = (a, b), spent + extra
                 if state not in new or total < new[state][0]:
-                    new[state] = (total, read + x)
+                    new[state] = (total, (x, path) if x else path)
         best = new
-    return min((spent + cost[a, b, 0], read) for (a, b), (spent, read) in best.items())[1]
+    path = min(((spent + table[a][b][0], n, path) for n, ((a, b), (spent, path)) in enumerate(best.items())), key=lambda x: x[:2])[2]
+    read = []
+    while path:
+        read.append(path[0])
+        path = path[1]
+    return "".join(reversed(read))
 
 
 def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
@@ -177,8 +178,7 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     data = buf.tobytes()
     out = []
     for k in np.flatnonzero(noisy):
-        word = data[start[k] : end[k]].decode().lower()
-        out += [(int(doc[k]), word[i:j]) for i, j in _pieces(len(word))]
+        out.append((int(doc[k]), data[start[k] : end[k]].decode().lower()))
     # rows of three or more single letters or signs
     width = np.where(buf[start] < 128, 1, np.where(buf[start] < 224, 2, 3))
     single = (end - start == width) & (alpha[start] & (buf[start] < 128) | _SIGN[buf[start]] | sign_lead[start])
@@ -186,8 +186,7 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
     first = np.flatnonzero(single & ~joins)
     last = np.flatnonzero(single & ~np.append(joins[1:], False))
     for a, b in zip(first[last - first >= 2], last[last - first >= 2], strict=True):
-        row = [data[start[k] : end[k]].decode().lower() for k in range(a, b + 1)]
-        out += [(int(doc[a]), " ".join(row[i:j])) for i, j in _pieces(len(row))]
+        out.append((int(doc[a]), " ".join(data[start[k] : end[k]].decode().lower() for k in range(a, b + 1))))
     return out
 
 
@@ -195,7 +194,7 @@ class _Reader:
     """Distinct (document, term fingerprint) of blocks, with the readings of noisy words."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost, {}
+        self.cost, self.known = cost.tolist(), {}
 
     def read(self, word: str) -> str:
         got = self.known.get(word)
