@@ -22,7 +22,7 @@ Method.
 Buckets over ``bucket_block`` members and clusters over ``cluster_block`` members or ``cluster_shingles`` shingles are
 split by hash into blocks, and each pair of blocks is a group of its own, so a task holds two blocks at most, however
 large the bucket; no pair is lost.  A text goes out once a block of its cluster: with texts of 200 words once for
-each 5,000 members.  Comparisons in a cluster of m different texts are m^2 / 2, as its links are, but of numbers.
+each 2,048 members.  Comparisons in a cluster of m different texts are m^2 / 2, as its links are, but of numbers.
 Hot bands, copies and centres of clusters are joined by a broadcast of those keys (``join_groups``).
 
 What may be missed: a pair at similarity s shares no band with probability (1 - s**5) ** bands, 1.3e-7 at
@@ -288,7 +288,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def ngram_join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, bucket_block: int = 4096, cluster_block: int = 8192, cluster_shingles: int = 1 << 20
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, tolerance: float = 1e-6, bucket_block: int = 4096, cluster_block: int = 2048, cluster_shingles: int = 1 << 19
 ) -> DataFrame:
     """doc_id, class_id, n_links for every document. docs: doc_id, text."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")

@@ -1,5 +1,6 @@
 """Operators on single texts and on mixes, against brute force or held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import random
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.llm import language_id, mixing, pii, quality_classifier, quality_rules, toxicity
+from muster.llm import textops as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,34 +57,79 @@ def test_quality_rules_verdicts(spark, empty):
 # language
 
 
-def test_language_forward_sums_all_segmentations():
-    pieces = language_id.Pieces()
-    rnd = np.random.default_rng(1)
-    prob = np.vstack([rnd.random((pieces.n, 2)) / pieces.n, np.zeros((1, 2))])
-    table = {}
-    import base64
-
+def vocabulary():
     with open(language_id.VOCABULARY, "rb") as f:
         names = [base64.b64decode(x.split()[0]) for x in f]
-    names = [p for p in dict.fromkeys(names) if p and len(p) <= 16 and not any(b in b"\t\n\x0b\x0c\r " for b in p[1:])]
-    for k, p in enumerate(names):
-        table[p] = k
+    return [p for p in dict.fromkeys(names) if p and not any(b in b"\t\n\x0b\x0c\r " for b in p[1:])]
+
+
+def packed(words):
+    buf, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    return buf, np.append(0, end[:-1]), end
+
+
+@pytest.mark.parametrize("least", [1.0, 1e-11])
+def test_language_forward_sums_all_segmentations(least, monkeypatch):
+    """Against a sum in logarithms over every start of a last piece; also of probabilities that underflow."""
+    monkeypatch.setattr(language_id, "WINDOW", 100)
+    pieces = language_id.Pieces()
+    rnd = np.random.default_rng(1)
+    prob = np.vstack([rnd.random((pieces.n, 2)) / pieces.n * least, np.zeros((1, 2))])
+    table = {p: k for k, p in enumerate(vocabulary())}
+    longest = max(map(len, table))
+    assert longest > 100
 
     def total(word, lang):
-        alpha = [1.0] + [0.0] * len(word)
+        alpha = [0.0] + [-math.inf] * len(word)
         for e in range(1, len(word) + 1):
-            alpha[e] = sum(alpha[s] * prob[table[word[s:e]], lang] for s in range(max(0, e - 16), e) if word[s:e] in table)
-        return math.log(alpha[-1])
+            terms = [alpha[s] + math.log(prob[table[word[s:e]], lang]) for s in range(max(0, e - longest), e) if word[s:e] in table]
+            alpha[e] = max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+        return alpha[-1]
 
-    words = [b"a", b"hello", "größer".encode(), b"internationalisation", b"x" * 90]
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum([len(w) for w in words])
-    got = language_id.score_words(pieces, prob, buf, np.append(0, end[:-1]), end)
+    words = [b"a", b"hello", "größer".encode(), b"internationalisation", b"x" * 90, b"-" * 400, bytes(rnd.integers(97, 123, 1500).astype(np.uint8))]
+    got = language_id.score_words(pieces, prob, *packed(words))
     for k, w in enumerate(words):
         assert got[k] == pytest.approx([total(b" " + w, 0), total(b" " + w, 1)], rel=1e-9)
-    count = language_id.expected_counts(pieces, np.ones((len(words), 1)), buf, np.append(0, end[:-1]), end)
-    sizes = np.array([len(p) for p in names] + [1] * (pieces.n - len(names)))
-    assert float((count[:, 0] * sizes).sum()) == pytest.approx(sum(len(w) + 1 for w in words))
+    sizes = pieces.size
+    counts, log = language_id.expected_counts(pieces, prob[:, 0], np.ones(len(words)), *packed(words))
+    assert float((counts * sizes).sum()) == pytest.approx(sum(len(w) + 1 for w in words))
+    assert log == pytest.approx(got[:, 0].sum())
+
+
+def test_language_expected_counts_enumerate_segmentations():
+    pieces, table = language_id.Pieces(), {p: k for k, p in enumerate(vocabulary())}
+    prob = np.append(np.random.default_rng(2).random(pieces.n), 0)
+
+    def ways(word):
+        return [[table[word[:k]], *rest] for k in range(1, len(word) + 1) if word[:k] in table for rest in (ways(word[k:]) if k < len(word) else [[]])]
+
+    for word in (b"the", b"house", "ügen".encode()):
+        expected, weights = np.zeros(pieces.n), [math.prod(prob[k] for k in way) for way in ways(b" " + word)]
+        for way, w in zip(ways(b" " + word), weights, strict=True):
+            np.add.at(expected, way, w / sum(weights))
+        for scale in (1.0, 1e-60):  # the second is summed in logarithms
+            got, _ = language_id.expected_counts(pieces, prob * scale, np.array([3.0]), *packed([word]))
+            if scale == 1.0:
+                assert got == pytest.approx(3 * expected)
+            else:
+                assert float((got * pieces.size).sum()) == pytest.approx(3 * (len(word) + 1))
+
+
+def test_language_training_gains_likelihood(spark):
+    """Rounds of expectation maximisation, against the same in plain numpy."""
+    texts = ["the house of the river", "the river and the house", "a house", None]
+    frame = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    pieces = language_id.Pieces()
+    words = Counter(w.encode() for t in texts if t for w in t.split())
+    args, n = packed(list(words)), np.array(list(words.values()), float)
+    prob, logs = np.append(np.full(pieces.n, 1e-2), 0), []
+    for rounds in range(1, 4):
+        counts, log = language_id.expected_counts(pieces, prob, n, *args)
+        prob = np.append((counts + 0.1) / (counts + 0.1).sum(), 0)
+        logs.append(log)
+        model = language_id.train(frame, rounds=rounds, settled=-1.0)
+        assert model._shared.value[1][:, 0] == pytest.approx(prob)
+    assert logs[2] > logs[1]
 
 
 def test_language_predictions(spark, empty):
@@ -145,28 +192,72 @@ ODD = [
 
 
 def test_base_spans(spark, docs, corpus, empty):
-    rows = [(1000 + k, t) for k, t in enumerate(ODD)]
+    rows = [(1000 + k, t) for k, t in enumerate(ODD)] + [(None, "null key 1.2.3.4 and a.b@c.de"), (1000, "another text of this key, x@y.zw"), (1001, ODD[1]), (1001, ODD[1])]
     frame = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {}
-    for r in pii.base_spans(frame).collect():
-        got.setdefault(r.doc_id, []).append((r.start, pii.KINDS.index(r.kind), r.kind, r.end))
+    for r in pii._by_text(frame).join(pii.base_spans(pii.entity_texts(frame)), pii.TEXT).where("kind <> 'secret'").select("doc_id", "text", "start", "kind", "end").distinct().collect():
+        got.setdefault((r.doc_id, r.text), []).append((r.start, pii.KINDS.index(r.kind), r.kind, r.end))
     for i, t in [(r[0], r[1]) for r in corpus] + rows:
-        assert ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(got.get(i, []))) == spans(t), t
+        assert ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(got.get((i, t), []))) == spans(t), t
     assert pii.all_spans(empty).count() == 0
 
 
-def test_terms_that_reveal(spark):
+WORDS = re.compile(r"[^\W_]+")
+SECRET = re.compile(r"[A-Za-z0-9_-]{24,}")
+
+
+def terms_expected(texts, disclosure, reach, spare):
+    """Term spans of each text by counting everything, row by row."""
+    texts = [t or "" for t in texts]
+    n_t, n_e, n_et, places = Counter(), Counter(), Counter(), []
+    for row, text in enumerate(texts):
+        n_t.update(w.lower() for w in WORDS.findall(text))
+        found = [(m.start(), m.end(), k, m.group()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m.group())]
+        found += [(m.start(), m.end(), "secret", m.group()) for m in SECRET.finditer(text) if sum(c.isdigit() for c in m.group()) >= 4 and sum(c.isalpha() for c in m.group()) >= 4]
+        names = {}
+        for a, b, kind, value in found:
+            digits = re.sub("[^0-9]", "", value)
+            group = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}.get(kind)
+            names[a, b, kind] = [(kind, value), *([(kind, "group", group)] if group else [])]
+            n_e.update(names[a, b, kind])
+        for w in WORDS.finditer(text):
+            if any(w.start() < b and w.end() > a for a, b, *_ in found):
+                continue
+            near = {x for (a, b, k) in names for x in names[a, b, k] if w.start() < b + reach and w.end() > a - reach}
+            n_et.update((x, w.group().lower()) for x in near)
+            places += [(row, w.start(), w.end(), x, w.group().lower()) for x in near]
+    total, out = sum(n_t.values()), {}
+    for row, a, b, x, w in places:
+        degree = 1 - math.log(max((n_t[w] + spare) / n_et[x, w], 1)) / math.log(max(total / n_e[x], 2))
+        if degree >= disclosure:
+            out.setdefault(row, set()).add((a, b))
+    return out
+
+
+def test_terms_that_reveal(spark, empty):
     filler = "the of and to in was for on that with as by at from this".split()
     rnd = random.Random(3)
     talk = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
-    rows = [(k, f"{talk(30)} Zephyrine {talk(3)} zeph@mail.example {talk(30 + k)}") for k in range(4)]
-    rows += [(10 + k, talk(80)) for k in range(200)] + [(500, None), (501, "")]
+    texts = [f"{talk(30)} Zephyrine {talk(3)} zeph@mail.example {talk(30 + k)}" for k in range(4)]
+    texts += [talk(80) for _ in range(200)] + [None, ""]
+    texts += [f"{talk(40)} Quorlix rang +1 743 555 3824 twice {talk(40)}"] * 3 + [f"Contact of Vornak: ip 10.1.2.{k} {talk(60)} unnear" for k in range(3)]
+    texts += [f"{talk(20)} key abcd0123456789abcdef99aa {talk(20)}", "Vornak elsewhere " + talk(9)]
+    rows = [(None if k % 3 == 0 else k // 2, t) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("old"))
-    out = {r.doc_id: r for r in pii.sanitize(frame).collect()}
-    for k in range(4):
-        assert "Zephyrine" not in out[k].text and "[EMAIL]" in out[k].text and "[TERM]" in out[k].text
-        assert [s.kind for s in out[k].spans] == ["term", "email"]
-    assert all(out[i].text == t for i, t in rows[4:])
+    out = pii.sanitize(frame).collect()
+    expected = terms_expected(texts, 0.9, 160, 1.0)
+    want, got = Counter(), Counter()
+    for k, t in enumerate(texts):
+        want[t, tuple(sorted(expected.get(k, ())))] += 1
+    found = pii._by_text(frame.drop("spans")).join(pii.all_spans(frame), pii.TEXT, "left").collect()
+    for r in found:
+        got[r.text, tuple(sorted((s.start, s.end) for s in r.spans or [] if s.kind == "term"))] += 1
+    assert got == want and sum(len(x) for _, x in want) > 8
+    clean = [r.text for r in out if r.text and "[" in r.text]
+    assert len(clean) == 11 and not any(w in x for x in clean for w in ("Zephyrine", "zeph@", "Quorlix", "555", "10.1.2", "abcd0123"))
+    assert sum("[EMAIL]" in x for x in clean) == 4 and sum("[SECRET]" in x for x in clean) == 1
+    assert Counter(r.text for r in out if not (r.text and "[" in r.text)) == Counter(t for k, t in enumerate(texts) if not (4 + 200 + 2 <= k < 213 or k < 4))
+    assert pii.sanitize(empty).count() == 0
 
 
 # mixing
@@ -203,6 +294,30 @@ def test_mixing(spark, docs, corpus, empty):
     assert {(r.doc_id, r.size) for r in mixing.plan(blank).collect()} == {(1, 0), (None, 2)}
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    odd = docs.withColumns({c: F.lit("mine") for c in ("_source", "size", "source_size", "target", "copies", "_range", "weight")})
+    out = mixing.mix(odd)
+    assert out.columns == [*odd.columns, "copy"] and {(r["size"], r._source, r.copies) for r in out.collect()} == {("mine", "mine", "mine")}
+    twice = mixing.mix(docs.union(docs).withColumn("copy", F.lit("x"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("copy")).collect()
+    assert all(r.n == 2 * r.copy for r in twice if r.doc_id is not None)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Words taken of each of many sources, within four standard deviations of the draws; and the targets."""
+    rnd = random.Random(12)
+    rows = [(k, "w " * rnd.randint(1, 60), f"host{int(rnd.paretovariate(0.7)) % 40}") for k in range(4000)]
+    sizes, squares = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text) // 2
+        squares[source] += (len(text) // 2) ** 2
+    out = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    got = {r.source: r for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    want = targets(sizes)
+    for s, r in got.items():
+        assert r.target == pytest.approx(want[s]) and abs(r.taken - r.target) <= 2 * math.sqrt(squares[s])
+    assert sum(r.taken for r in got.values()) == pytest.approx(sum(sizes.values()), rel=0.02)
+
+
 def test_mixing_cuts_small_sources(spark):
     rows = [(k, "w " * 10, "big" if k else "tiny") for k in range(100)]
     got = {r.source: r.target for r in mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -257,6 +372,49 @@ def test_restoration():
         assert toxicity.restore(noisy, cost) == plain
 
 
+def test_restoration_is_the_least_of_all_readings():
+    """The Viterbi path against every reading of a lattice, and of a word that is far too long to enumerate."""
+    rnd = np.random.default_rng(8)
+    cost = rnd.random((28, 28, 28)) * 3
+
+    def ways(word, k):
+        c, times = word[k], 1
+        while k - times >= 0 and word[k - times] == c:
+            times += 1
+        if c == " ":
+            return [(toxicity.COST["filler"], "", False), (0.0, "", True)]
+        out = [(toxicity.COST["leet"], x, False) for x in toxicity.LEET.get(c, "")]
+        if c.isalpha():
+            out.append((0.0, c, False))
+            if times > 2 or times == 2 and word[k + 1 : k + 3].strip()[:1] == c:
+                out.append((toxicity.COST["second" if times == 2 else "later"], "", False))
+        else:
+            out.append((toxicity.COST["filler" if c in toxicity.FILLER else "drop"], "", False))
+        return out
+
+    def least(word, k=0, a=0, b=0):
+        if k == len(word):
+            return cost[a, b, 0], ""
+        out = []
+        for extra, x, ends in ways(word, k):
+            if ends and not b:
+                continue
+            code = 0 if ends else ord(x) - 96 if x else None
+            rest = least(word, k + 1, *((b, code) if code is not None else (a, b)))
+            out.append((extra + rest[0] + (cost[a, b, code] if code is not None else 0), (" " if ends else x) + rest[1]))
+        return min(out)
+
+    for word in ("1d10t", "a.b-c", "cloooown", "i d 1 0 t", "4$$h0le", "x1!1+", "aaab8", "q"):
+        assert toxicity.restore(word, cost) == least(word)[1]
+    text = "the idiot " * 50
+    code = np.array([0, 0, *(ord(c) - 96 if c != " " else 0 for c in text), 0])
+    counts = np.zeros((28, 28, 28))
+    np.add.at(counts, (code[:-2], code[1:-1], code[2:]), 1)
+    plain = -np.log((counts + 1e-3) / (counts.sum(2, keepdims=True) + 28e-3))
+    assert toxicity.restore(" ".join("theidiot" * 3000), plain) == " ".join(["the idiot"] * 3000)
+    assert len(toxicity.restore("5a" * 50_000, plain)) > 50_000
+
+
 def test_readings_of_the_whole_channel():
     text = "the idiot and a clown saw a moron with an asshole " * 50
     code = np.array([0, 0, *(ord(c) - 96 if c != " " else 0 for c in text), 0])
@@ -296,6 +454,49 @@ def test_quality_classifier(spark, empty):
     assert {r.score for r in quality_classifier.quality_scores(docs, labels.limit(0), label="y").collect()} == {0.5}
 
 
+def plain_statistics(text):
+    """The features of a text from their names, in plain Python."""
+    text = text or ""
+    words, runs, over = WORD.findall(text), Counter(WORD.findall(text)), lambda a, b: a / max(b, 1)
+    blanks = sum(c in " \t\n\x0b\x0c\r" for c in text)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    wide, lines = sum(ord(c) > 127 for c in text), [x for x in text.split("\n") if WORD.search(x)]
+    n, size, bytes_ = len(words), len(text), len(text.encode())
+    count = lambda signs: sum(c in signs for c in text)
+    return [
+        math.log1p(n), math.log1p(size), over(size - blanks, n), over(upper + lower + wide, size), over(upper, upper + lower), over(count("0123456789"), size),
+        over(count("#*$%&|<>"), n), over(count("!?"), n), over(count(".,;:"), n), over(n, len(lines)), over(len(lines) - len(set(lines)), len(lines)), over(base_counts(text)[4], n),
+        over(len(runs), n), over(sum(a == b for a, b in zip(words, words[1:], strict=False)), n), over(max(runs.values(), default=0), n), over(blanks, bytes_),
+        over(len(text.encode()) - sum(ord(c) < 128 for c in text), bytes_), over(count("|"), n),
+    ]
+
+
+def test_statistics(corpus):
+    texts = [(t or "").encode() for _, t, *_ in corpus] + ["A a a! B?? é|| 12\n\nA a a! B?? é|| 12".encode()]
+    buf, end = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = quality_classifier.statistics(buf, end)
+    for t, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(plain_statistics(t.decode())), t[:80]
+
+
+def test_texts_of_several_blocks(spark, corpus):
+    """Texts over the size of a block, repeated rows, ties and null keys give each document what it gets alone."""
+    long = " ".join(corpus[k][1] for k in range(50)) + " " + " ".join(f"w{k % 3001}" for k in range(450_000))
+    assert len(long) > T.CHUNK
+    rows = [(1, long), (2, corpus[3][1]), (2, corpus[3][1]), (None, corpus[4][1]), (None, None), (3, long + " x"), (4, corpus[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rules = {(r.doc_id, r.n_words): r for r in quality_rules.quality_rules(docs, with_text=False).collect()}
+    for i, t in rows:
+        r = rules[i, len(WORD.findall(t or ""))]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_counts(t)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (4, None), (9, 1)], "doc_id long, y int")
+    lang = language_id.train(docs.withColumn("lang", F.lit("en"))).predict(docs).collect()
+    tox = toxicity.toxicity_scores(docs, labels, label="y").collect()
+    qual = quality_classifier.quality_scores(docs, labels, label="y").collect()
+    for out in (lang, tox, qual):
+        assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out) and len({r.score for r in out if r.doc_id in (2, 4)}) == 1
+
+
 def test_flat_trees_match_a_walk():
     rnd = np.random.default_rng(6)
     x = rnd.random((500, 3))
