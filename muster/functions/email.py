@@ -68,6 +68,22 @@ def all_addresses(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), F.lower)
 
 
+def squeeze_at(c: Column) -> Column:
+    """Without white space around the @."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s*@\s*", "@"))
+
+
+def is_email_like(c: Column) -> Column:
+    """An @ and nothing that no address holds, blanks aside."""
+    return F.contains(c, F.lit("@")) & c.rlike(r"(?U)^[\w.%+\-,@\s]+$")
+
+
 def is_bare(c: Column) -> Column:
-    """An address that lost its @: no @, two dots or more, and a usual ending."""
-    return ~F.contains(c, F.lit("@")) & (F.length(F.regexp_replace(c, r"[^.]", "")) >= 2) & F.lower(F.trim(c)).rlike(r"\.(vn|com|net)$")
+    """An address that lost its @: no @, two dots or more before a usual ending."""
+    return ~F.contains(c, F.lit("@")) & F.trim(c).rlike(r"(?iU)^[\w%+\-]+(?:\.[\w%+\-]+){2,}\.(?:vn|com|net)$")
+
+
+def holds_email(c: Column) -> Column:
+    """The cell holds an address, a mistyped one, or one without its @."""
+    tight = squeeze_at(c)
+    return F.coalesce(tight.rlike(ADDRESS) | (F.contains(c, F.lit("@")) & (~F.contains(tight, F.lit(" ")) | is_email_like(c))) | is_bare(c), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import deaccent, squeeze
+from .text import deaccent, deaccent_in_place, squeeze
 
 # Words that start a position or unit inside a name cell, the longest first.
 NOISE = (
@@ -13,13 +13,15 @@ NOISE = (
     "chuc vu", "bo phan", "co quan", "vi tri", "don vi",
 )
 NOISE_PATTERN = "|".join(NOISE)
+#: The same on text whose accents may still stand behind their letters.
+_NOISE_IN_PLACE = "|".join("".join(f"{letter}\\p{{Mn}}*" for letter in word) for word in NOISE)
 #: Titles before a name.
 HONORIFICS = ("ông", "bà")
 
 
 def cut_noise(c: Column) -> Column:
     """The part of a name cell before a position or unit word."""
-    place = F.regexp_instr(F.lower(deaccent(c)), F.lit(NOISE_PATTERN))
+    place = F.regexp_instr(F.lower(deaccent_in_place(c)), F.lit(_NOISE_IN_PLACE))
     return F.regexp_replace(F.when(place > 0, F.substr(c, F.lit(1), place - 1)).otherwise(c), r"^[ \t\-|/,;:]+|[ \t\-|/,;:]+$", "")
 
 

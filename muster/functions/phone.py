@@ -31,6 +31,12 @@ def normalize_phone(raw: Column) -> Column:
     return F.coalesce(_ten_digits(F.regexp_replace(first, keep, "")), _ten_digits(F.regexp_replace(text, keep, "")), F.lit(""))
 
 
+def holds_phone(c: Column) -> Column:
+    """The cell holds a number from 0 or +84 on, or is one of nine digits that lost its 0."""
+    tight = F.regexp_replace(number_text(c), r"(?U)[\s.\-]", "")
+    return F.coalesce(tight.rlike(r"(?:\+?84|0)\d{8,10}") | tight.rlike(r"^\d{9}$"), F.lit(False))
+
+
 def is_full_phone(c: Column) -> Column:
     """The cell is a phone number and nothing else."""
     return F.trim(c).rlike(r"^[\d\s.+\-()]{9,20}$") & (normalize_phone(c) != "")

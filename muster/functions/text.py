@@ -24,9 +24,14 @@ def _fold_pairs() -> tuple[str, str]:
 _FROM, _TO = _fold_pairs()
 
 
+def deaccent_in_place(c: Column) -> Column:
+    """Without the accents of composed letters; every character stays at its place."""
+    return F.translate(c, _FROM, _TO)
+
+
 def deaccent(c: Column) -> Column:
     """Without accents (composed or decomposed), case kept."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
+    return F.regexp_replace(deaccent_in_place(c), r"\p{Mn}+", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -54,6 +59,13 @@ def number_text(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"^(\+?\d+)\.0+$", "$1")
 
 
+def display(c: Column) -> Column:
+    """A cell as reports show it: '' for null, and numbers within 1e-6 of an integer as one."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    number = F.when(text.rlike(r"^-?\d+\.\d+$"), text.try_cast("double"))
+    return F.when(F.abs(number - F.round(number)) < 1e-6, F.round(number).cast("long").cast("string")).otherwise(text)
+
+
 def thousands(c: Column) -> Column:
     """1234567 as 1.234.567."""
     return F.translate(F.format_number(c, 0), ",", ".")

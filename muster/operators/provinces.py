@@ -7,67 +7,63 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.email import domain
+from ..functions.email import ADDRESS, domain
 from ..functions.text import deaccent, key
 
-# The provinces of today (* is a city) and, after the colon, the names merged into them.
-PROVINCES = """
-Tuyên Quang: Hà Giang
-Lào Cai: Yên Bái
-Thái Nguyên: Bắc Kạn
-Phú Thọ: Vĩnh Phúc, Hòa Bình
-Bắc Ninh: Bắc Giang
-Hưng Yên: Thái Bình
-Hải Phòng*: Hải Dương
-Ninh Bình: Hà Nam, Nam Định
-Quảng Trị: Quảng Bình
-Đà Nẵng*: Quảng Nam
-Quảng Ngãi: Kon Tum
-Gia Lai: Bình Định
-Khánh Hòa: Ninh Thuận
-Lâm Đồng: Đắk Nông, Bình Thuận
-Đắk Lắk: Phú Yên
-Hồ Chí Minh*: Bà Rịa - Vũng Tàu, Bà Rịa Vũng Tàu, Bình Dương
-Đồng Nai: Bình Phước
-Tây Ninh: Long An
-Cần Thơ*: Sóc Trăng, Hậu Giang
-Vĩnh Long: Bến Tre, Trà Vinh
-Đồng Tháp: Tiền Giang
-Cà Mau: Bạc Liêu
-An Giang: Kiên Giang
-Cao Bằng:
-Điện Biên:
-Hà Tĩnh:
-Lai Châu:
-Lạng Sơn:
-Nghệ An:
-Quảng Ninh:
-Thanh Hóa:
-Sơn La:
-Hà Nội*:
-Huế*:
-"""
+# The provinces of today, their kind, and the older names merged into them.
+PROVINCES = {
+    "Tuyên Quang": ("tỉnh", ("Hà Giang",)),
+    "Lào Cai": ("tỉnh", ("Yên Bái",)),
+    "Thái Nguyên": ("tỉnh", ("Bắc Kạn",)),
+    "Phú Thọ": ("tỉnh", ("Vĩnh Phúc", "Hòa Bình")),
+    "Bắc Ninh": ("tỉnh", ("Bắc Giang",)),
+    "Hưng Yên": ("tỉnh", ("Thái Bình",)),
+    "Hải Phòng": ("thành phố", ("Hải Dương",)),
+    "Ninh Bình": ("tỉnh", ("Hà Nam", "Nam Định")),
+    "Quảng Trị": ("tỉnh", ("Quảng Bình",)),
+    "Đà Nẵng": ("thành phố", ("Quảng Nam",)),
+    "Quảng Ngãi": ("tỉnh", ("Kon Tum",)),
+    "Gia Lai": ("tỉnh", ("Bình Định",)),
+    "Khánh Hòa": ("tỉnh", ("Ninh Thuận",)),
+    "Lâm Đồng": ("tỉnh", ("Đắk Nông", "Bình Thuận")),
+    "Đắk Lắk": ("tỉnh", ("Phú Yên",)),
+    "Hồ Chí Minh": ("thành phố", ("Bà Rịa - Vũng Tàu", "Bà Rịa Vũng Tàu", "Bình Dương")),
+    "Đồng Nai": ("tỉnh", ("Bình Phước",)),
+    "Tây Ninh": ("tỉnh", ("Long An",)),
+    "Cần Thơ": ("thành phố", ("Sóc Trăng", "Hậu Giang")),
+    "Vĩnh Long": ("tỉnh", ("Bến Tre", "Trà Vinh")),
+    "Đồng Tháp": ("tỉnh", ("Tiền Giang",)),
+    "Cà Mau": ("tỉnh", ("Bạc Liêu",)),
+    "An Giang": ("tỉnh", ("Kiên Giang",)),
+    "Cao Bằng": ("tỉnh", ()),
+    "Điện Biên": ("tỉnh", ()),
+    "Hà Tĩnh": ("tỉnh", ()),
+    "Lai Châu": ("tỉnh", ()),
+    "Lạng Sơn": ("tỉnh", ()),
+    "Nghệ An": ("tỉnh", ()),
+    "Quảng Ninh": ("tỉnh", ()),
+    "Thanh Hóa": ("tỉnh", ()),
+    "Sơn La": ("tỉnh", ()),
+    "Hà Nội": ("thành phố", ()),
+    "Huế": ("thành phố", ()),
+}
+# The two usual placings of the tone in oa, oe and uy.
+TONES = (
+    ("òa", "oà"), ("óa", "oá"), ("ỏa", "oả"), ("õa", "oã"), ("ọa", "oạ"),
+    ("òe", "oè"), ("óe", "oé"), ("ỏe", "oẻ"), ("õe", "oẽ"), ("ọe", "oẹ"),
+    ("ùy", "uỳ"), ("úy", "uý"), ("ủy", "uỷ"), ("ũy", "uỹ"), ("ụy", "uỵ"),
+)
 #: Further first labels of e-mail domains.
 SLUGS = {"tphcm": "Hồ Chí Minh", "hcm": "Hồ Chí Minh", "hochiminh": "Hồ Chí Minh", "tphochiminh": "Hồ Chí Minh"}
 
 
-def _parsed() -> list[tuple[str, str, str]]:
-    """(name as written, province of today, kind) of every name."""
-    out = []
-    for line in PROVINCES.strip().splitlines():
-        now, _, old = line.partition(":")
-        kind, now = ("thành phố" if now.endswith("*") else "tỉnh"), now.rstrip("*")
-        out += [(name, now, kind) for name in (now, *filter(None, (x.strip() for x in old.split(","))))]
-    return out
-
-
-NAMES = _parsed()
+#: Every name as written, the province of today, and its kind.
+NAMES = [(name, now, kind) for now, (kind, old) in PROVINCES.items() for name in (now, *old)]
 
 
 def _swap_tone(name: str) -> set[str]:
-    """The other usual placing of the tone in oa, oe and uy."""
-    pairs = [(a[k] + b[0], a[0] + b[k]) for a, b in (("oòóỏõọ", "aàáảãạ"), ("oòóỏõọ", "eèéẻẽẹ"), ("uùúủũụ", "yỳýỷỹỵ")) for k in range(1, 6)]
-    return {name.replace(x, y) for x, y in pairs if x in name} | {name.replace(y, x) for x, y in pairs if y in name}
+    """The name with each tone at its other usual place."""
+    return {name.replace(x, y) for a, b in TONES for x, y in ((a, b), (b, a)) if x in name}
 
 
 def _fold(text: str) -> str:
@@ -117,9 +113,13 @@ def mentioned_province(text: Column, prefixed: bool = False) -> Column:
     return F.when(plain != low, out[0]).otherwise(out[1])
 
 
-def province_of(text: Column, default: str | None = None) -> Column:
+def province_of(text: Column, default: Column | str | None = None) -> Column:
     """The province that goes with a unit. A default that is no province stops the search; one that is gives
-    way only to a prefixed mention."""
+    way only to a prefixed mention. A column gives each row its own."""
+    if isinstance(default, Column):
+        chosen = current_province(default)
+        given = F.when(chosen.isNotNull(), F.coalesce(mentioned_province(text, prefixed=True), chosen))
+        return F.when(F.trim(F.coalesce(default, F.lit(""))) == "", mentioned_province(text)).otherwise(given)
     if not default:
         return mentioned_province(text)
     chosen = _PLAIN.get(_fold(default).strip())
@@ -128,8 +128,13 @@ def province_of(text: Column, default: str | None = None) -> Column:
     return F.coalesce(mentioned_province(text, prefixed=True), F.lit(chosen))
 
 
-def organisation(text: Column, default: str | None = None) -> Column:
+def organisation(text: Column, default: Column | str | None = None) -> Column:
     """The organisation in capitals: kind and province, a default that is no province as it is, or ''."""
+    if isinstance(default, Column):
+        current = province_of(text, default)
+        shown = F.when(current.isNull(), "").otherwise(F.upper(F.concat(kind_of(current), F.lit(" "), current)))
+        other = (F.trim(F.coalesce(default, F.lit(""))) != "") & current_province(default).isNull()
+        return F.when(other, F.upper(F.trim(default))).otherwise(shown)
     if default and not _PLAIN.get(_fold(default).strip()):
         return F.lit(default.strip().upper())
     current = province_of(text, default)
@@ -147,9 +152,16 @@ def province_from_domains(emails: DataFrame, least: int = 3, share: float = 0.5)
     return sure.select("source", "best.domain", F.try_element_at(_map(_BY_SLUG), F.element_at(F.split("best.domain", r"\."), -3)).alias("province"))
 
 
-def default_mismatch(emails: DataFrame, default: str) -> DataFrame:
-    """A warning for each source whose domains suggest another province than the default."""
-    chosen = _PLAIN.get(_fold(default).strip())
-    guess = province_from_domains(emails).where(F.col("province") != F.lit(chosen) if chosen else F.lit(False))
-    message = F.concat(F.lit("@"), F.col("domain"), F.lit(" gợi ý "), F.col("province"), F.lit(f", mặc định là {chosen}"))
+def default_mismatch(emails: DataFrame) -> DataFrame:
+    """A warning for each source whose domains suggest another province than its default (a column of emails)."""
+    chosen = emails.groupBy("source").agg(current_province(F.first("default", ignorenulls=True)).alias("chosen"))
+    guess = province_from_domains(emails).join(chosen, "source").where("province <> chosen")
+    message = F.concat(F.lit("Email phổ biến @"), "domain", F.lit(" gợi ý "), "province", F.lit(", nhưng Tổ chức mặc định đang là "), "chosen")
     return guess.select("source", F.lit("province_mismatch").alias("code"), message.alias("message"))
+
+
+def suggestions(cells: DataFrame) -> DataFrame:
+    """source, province: what the addresses in a source's cells suggest as its default."""
+    text = F.regexp_replace(F.lower("value"), r"(?U)\s+", "")
+    emails = cells.select("source", "row_pos", F.explode(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0))).alias("email"))
+    return province_from_domains(emails).where("province is not null").select("source", "province")

@@ -39,30 +39,37 @@ def fit_names(records: DataFrame) -> DataFrame:
 
 
 def rank_duplicates(records: DataFrame, order: list[str]) -> DataFrame:
-    """records with score, rank (1 is the one that stays: best score, then earliest) and kept, the struct of
-    the one that stays. One shuffle by address."""
-    fields = [c for c in ("source", "row_pos", "stt", "name") if c in records.columns]
-    by_email = Window.partitionBy("email").orderBy(F.col("score").desc(), *order)
-    whole = Window.partitionBy("email").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """records with score, rank (1 is the one that stays: best score, then earliest), kept, the struct of the one
+    that stays, and first_..., the place of the address's first occurrence. One shuffle and one sort by address."""
+    fields = [c for c in ("source", "label", "row_pos", "stt", "name") if c in records.columns]
+    address = Window.partitionBy("email")
+    by_email = address.orderBy(F.col("score").desc(), *order)
     scored = records.withColumn("score", match_score(F.col("name"), F.col("email")))
     ranked = scored.withColumn("rank", F.row_number().over(by_email)).withColumn("kept", F.first(F.struct(*fields)).over(by_email))
-    for c in order:
-        ranked = ranked.withColumn(f"first_{c}", F.first(c).over(whole))
-    return ranked
+    ranked = ranked.withColumn("_first", F.min(F.struct(*order)).over(address))
+    return ranked.withColumns({f"first_{c}": F.col(f"_first.{c}") for c in order}).drop("_first")
+
+
+def winners(ranked: DataFrame) -> DataFrame:
+    return ranked.where("rank = 1").drop("rank", "kept")
+
+
+def losers(ranked: DataFrame) -> DataFrame:
+    """The records that lost, with reason and a note that points at the one that stayed."""
+    kept, shown = F.col("kept"), "label" if "label" in ranked.columns else "source"
+    place = F.concat(F.lit("dòng "), kept["row_pos"].cast("string"), F.when(F.coalesce(kept["stt"], F.lit("")) != "", F.concat(F.lit(" (STT "), kept["stt"], F.lit(")"))).otherwise(""))
+    note = F.concat(F.lit("Trùng email với "), place, F.lit(" - "), kept["name"], F.lit(" (tệp "), kept[shown], F.lit(")"))
+    lost = ranked.where("rank > 1").withColumn("reason", F.lit("duplicate_email")).withColumn("note", note)
+    return lost.drop("rank", "kept", *[c for c in lost.columns if c.startswith("first_")])
 
 
 def dedupe(records: DataFrame, order: list[str]) -> DataFrame:
     """The best record of each address, with the place (first_...) of the address's first occurrence."""
-    return rank_duplicates(records, order).where("rank = 1").drop("rank", "kept")
+    return winners(rank_duplicates(records, order))
 
 
 def duplicate_issues(records: DataFrame, order: list[str]) -> DataFrame:
-    """The records that lost, with reason and a note that points at the one that stayed."""
-    lost = rank_duplicates(records, order).where("rank > 1")
-    kept = F.col("kept")
-    place = F.concat(F.lit("dòng "), kept["row_pos"].cast("string"), F.when(F.coalesce(kept["stt"], F.lit("")) != "", F.concat(F.lit(" (STT "), kept["stt"], F.lit(")"))).otherwise(""))
-    note = F.concat(F.lit("Trùng email với "), place, F.lit(" - "), kept["name"], F.lit(" (tệp "), kept["source"], F.lit(")"))
-    return lost.withColumn("reason", F.lit("duplicate_email")).withColumn("note", note).drop("rank", "kept", *[f"first_{c}" for c in order])
+    return losers(rank_duplicates(records, order))
 
 
 def issues(classified: DataFrame) -> DataFrame:
@@ -70,16 +77,15 @@ def issues(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("status") != OK).withColumnRenamed("status", "reason").withColumn("note", F.lit(None).cast("string"))
 
 
-def counts(classified: DataFrame, final: DataFrame) -> DataFrame:
-    """The funnel in one row."""
+def counts(classified: DataFrame, final: DataFrame, cut: DataFrame) -> DataFrame:
+    """The funnel in one row. cut: the records that went for a cut domain, which count as invalid."""
     status = F.col("status")
-    whole = classified.agg(
-        F.count("*").alias("total_rows"), F.count_if(status == OK).alias("valid_rows"), F.count_if(status == "missing_email").alias("missing_email"),
-        F.count_if(status == "invalid_email_format").alias("invalid_email_format"),
+    rows = classified.select(status.alias("what")).unionByName(final.select(F.lit("final").alias("what"))).unionByName(cut.select(F.lit("cut").alias("what")))
+    n = lambda *codes: F.count_if(F.col("what").isin(*codes))
+    return rows.agg(
+        n(OK, "missing_email", "invalid_email_format").alias("total_rows"), (n(OK) - n("cut")).alias("valid_rows"), n("missing_email").alias("missing_email"),
+        n("invalid_email_format", "cut").alias("invalid_email_format"), n("final").alias("final_count"), (n(OK) - n("cut") - n("final")).alias("duplicates_removed"),
     )
-    left = final.agg(F.count("*").alias("final_count"))
-    both = whole.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
-    return both.withColumn("duplicates_removed", F.col("valid_rows") - F.col("final_count"))
 
 
 def counts_by_source(classified: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import is_group_stt, parse_stt, stt_list
-from ..functions.phone import is_full_phone
+from ..functions.phone import NUMBER, is_full_phone
 from ..functions.text import fold
 
 # Words that start the name of an agency in a group's title (without accents).
@@ -69,10 +69,25 @@ def mark_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:
     return marked.withColumn("group", F.last(title, ignorenulls=True).over(_window(by).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def unit_under_group(unit: Column, group: Column) -> Column:
-    """The group's name for a cell of a single word or none, else the cell."""
-    name = F.regexp_replace(group, r"(?iu)^\s*cơ quan\s+", "")
-    return F.when(group.isNotNull() & ~F.contains(F.trim(F.coalesce(unit, F.lit(""))), F.lit(" ")), name).otherwise(unit)
+def drop_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
+    """rows of tables with an ordinal column without the titles of groups. rows: also cells, stt_col and name_col.
+
+    A title has a blank or roman ordinal, a name, no address or number in any cell, and nothing but crumbs beside, or the
+    name of an agency; or a plain ordinal and nothing beside the name of an agency, or beside any name if the next row
+    has no ordinal but an address; or a roman ordinal and its text in the ordinal's cell and nothing else.
+    """
+    cell = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    filled = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), cell(c).alias("c"))), lambda x: x["c"] != "")
+    contact = F.exists(filled, lambda x: F.contains(x["c"], F.lit("@")) | x["c"].rlike(NUMBER) | x["c"].rlike(r"^[\d\s.+\-()]{9,20}$"))
+    beside = F.filter(filled, lambda x: (x["i"] != F.coalesce("stt_col", F.lit(-1))) & (x["i"] != F.coalesce("name_col", F.lit(-1))))
+    others = F.aggregate(beside, F.lit(0), lambda s, x: s + F.length(x["c"]))
+    agency = fold(F.coalesce("raw_name", F.lit(""))).rlike(AGENCY)
+    roman_text = blank(F.col("raw_name")) & F.trim("stt").rlike(r"^[IVXLC]{1,6}[.)]?\s+\S") & (F.size(filled) == 1)
+    below = F.lead(F.struct("stt", F.exists("cells", lambda c: F.contains(cell(c), F.lit("@"))).alias("at"))).over(_window(by))
+    numbered = parse_stt(F.col("stt")).isNotNull() & (others == 0) & (agency | (blank(below["stt"]) & below["at"]))
+    loose = is_group_stt(F.col("stt")) & ((others <= 3) | agency)
+    title = F.col("stt_col").isNotNull() & F.col("name_col").isNotNull() & (roman_text | (~blank(F.col("raw_name")) & ~contact & (loose | numbered)))
+    return rows.withColumn("_title", F.coalesce(title, F.lit(False))).where("not _title").drop("_title")
 
 
 def merge_continuations(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -94,8 +109,9 @@ def merge_continuations(rows: DataFrame, by: list[str] = ["source"]) -> DataFram
         ordered = F.array_sort(F.collect_list(F.struct("row_pos", F.coalesce(c, F.lit("")).alias("cell"))))
         return F.array_join(F.transform(ordered, lambda x: F.trim(x["cell"])), "").alias(c)
 
-    first = F.min_by("stt", "row_pos").alias("stt")
-    return island.groupBy(*by, "_island").agg(F.min("row_pos").alias("row_pos"), first, F.count("*").alias("n_rows"), joined("raw_name"), joined("raw_email"), joined("raw_phone")).drop("_island")
+    used = {*by, "row_pos", "raw_name", "raw_email", "raw_phone"}
+    first = [F.min_by(c, "row_pos").alias(c) for c in rows.columns if c not in used]
+    return island.groupBy(*by, "_island").agg(F.min("row_pos").alias("row_pos"), *first, F.count("*").alias("n_rows"), joined("raw_name"), joined("raw_email"), joined("raw_phone")).drop("_island")
 
 
 def join_name_fragments(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -114,21 +130,24 @@ def join_name_fragments(rows: DataFrame, by: list[str] = ["source"]) -> DataFram
     return marked.withColumn("raw_name", name).where(~F.col("is_fragment")).drop("is_fragment")
 
 
-def logical_tables(cells: DataFrame) -> DataFrame:
-    """Tables of a document (source, table_idx, row_pos, cells) that follow each other with equal width are one:
-    adds logical_id, and drops the repeated header of a continuation (half of its cells or more equal)."""
-    widths = cells.groupBy("source", "table_idx").agg(F.max(F.size("cells")).alias("width"))
+def logical_tables(rows: DataFrame) -> DataFrame:
+    """Tables of a document that follow each other with equal width are one: source, logical_id, row_pos (from its
+    start), cells; without the header that a continuation repeats (half of its cells or more equal).
+
+    rows: source, table_idx, row_pos, cells, and header_pos, the row of the table's header (0 if none is known).
+    """
+    sizes = rows.groupBy("source", "table_idx").agg(F.max(F.size("cells")).alias("width"), (F.max("row_pos") + 1).alias("rows"))
     w = Window.partitionBy("source").orderBy("table_idx")
     start = F.coalesce((F.col("width") != F.lag("width").over(w)).cast("int"), F.lit(1))
-    ids = widths.withColumn("_start", start).withColumn("logical_id", F.sum("_start").over(w)).select("source", "table_idx", "logical_id")
-    joined = cells.join(ids, ["source", "table_idx"])
-    whole = Window.partitionBy("source", "logical_id").orderBy("table_idx", "row_pos")
-    head, first = F.first("cells").over(whole), F.row_number().over(whole)
-    top = F.row_number().over(Window.partitionBy("source", "table_idx").orderBy("row_pos"))
-    ranked = joined.withColumn("_head", head).withColumn("_n", first).withColumn("_top", top)
+    ids = sizes.withColumn("_start", start).withColumn("logical_id", F.sum("_start").over(w))
+    inner = Window.partitionBy("source", "logical_id").orderBy("table_idx")
+    ids = ids.withColumn("_before", F.coalesce(F.sum("rows").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ids = ids.withColumn("_lead", F.first("table_idx").over(inner)).select("source", "table_idx", "logical_id", "_before", "_lead")
+    heads = rows.where("row_pos = header_pos").select("source", F.col("table_idx").alias("_lead"), F.col("cells").alias("_head"))
+    joined = rows.join(ids, ["source", "table_idx"]).join(heads, ["source", "_lead"], "left")
     equal = F.aggregate(F.zip_with("cells", "_head", lambda a, b: (fold(F.coalesce(a, F.lit(""))) == fold(F.coalesce(b, F.lit("")))).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    repeated = (F.col("_n") > 1) & (F.col("_top") == 1) & (2 * equal >= F.size("_head"))
-    return ranked.where(~repeated).drop("_head", "_n", "_top")
+    repeated = F.coalesce((F.col("table_idx") != F.col("_lead")) & (F.col("row_pos") == 0) & (2 * equal >= F.size("_head")), F.lit(False))
+    return joined.where(~repeated).select("source", "logical_id", (F.col("row_pos") + F.col("_before")).alias("row_pos"), "cells")
 
 
 def asof_unit(recovered: DataFrame, known: DataFrame) -> DataFrame:

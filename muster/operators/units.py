@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_words, key, squeeze
@@ -19,8 +19,17 @@ BESIDE = (
     r"bảo\s*hiểm\s*xã\s*hội|chi\s*cục|điện\s*lực|bưu\s*điện|viettel|vnpt|công\s*ty)(?![\p{L}])"
 )
 BODY = r"(?iu)^\s*(?:UBND|HĐND|Ủy\s*ban\s*nhân\s*dân|Hội\s*đồng\s*nhân\s*dân)\s+(xã|phường|thị\s*trấn)\s+(.+?)\s*$"
-TITLES = r"(?iu)^\s*(?:phó\s+)?(?:giám đốc|chủ tịch|trưởng phòng|trưởng ban|bí thư|chuyên viên|kế toán|văn thư|công chức|viên chức|cán bộ|nhân viên|hiệu trưởng)(?![\p{L}])[\s,\-]*"
-UNIT_STARTS = r"(?iu)^(?:văn phòng|ban|ubnd|hđnd|ủy ban|phòng|trung tâm|hội|đoàn|sở|viện|cơ quan|đảng ủy|trường|trạm|bệnh viện|chi cục|cục|thanh tra|công an|xã|phường)(?![\p{L}])"
+TITLES = (
+    r"^(?:chuyên viên|nhân viên|viên chức|công chức|cán bộ|kế toán|văn thư|thủ quỹ|"
+    r"giám đốc|phó|trưởng|chủ tịch|bí thư|chánh|chủ nhiệm|ủy viên|uỷ viên|thanh tra viên|"
+    r"giáo viên|bác sĩ|y sĩ|điều dưỡng|kỹ thuật viên|lãnh đạo|thư ký|lái xe|bảo vệ|tạp vụ|"
+    r"chi cục trưởng|cục trưởng|hiệu trưởng|hiệu phó|tổ trưởng|đội trưởng|trạm trưởng|"
+    r"p\.\s*(?=[\p{L}\p{N}_])|pgđ(?![\p{L}\p{N}_])|gđ(?![\p{L}\p{N}_])|tp\.\s*(?=[\p{L}\p{N}_])|pp\.\s*(?=[\p{L}\p{N}_]))"
+)
+UNIT_STARTS = (
+    r"^(?:phòng|ban|văn phòng|trung tâm|sở|bệnh viện|chi cục|cục|trạm|trường|viện|hội|đoàn|"
+    r"ủy ban|uỷ ban|ubnd|hđnd|đảng ủy|đảng uỷ|mặt trận|công an|ban quản lý|thanh tra|kho bạc)(?![\p{L}\p{N}_])"
+)
 
 _SEP = r"[^\s,;:()/\-–]"
 _LEVEL = r"(thị\s*trấn|xã|phường)"
@@ -53,16 +62,27 @@ def find_commune(rows: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def is_job_title(c: Column) -> Column:
-    return c.rlike(TITLES)
+    return F.coalesce(F.lower(F.trim(c)).rlike(TITLES), F.lit(False))
 
 
 def without_job_titles(c: Column) -> Column:
     """What follows up to four titles, if it is a unit of two words or more; else ''."""
-    rest = c
+    rest = F.trim(c)
     for _ in range(4):
-        rest = F.regexp_replace(rest, TITLES, "")
-    rest = squeeze(rest)
-    return F.when(rest.rlike(UNIT_STARTS) & F.contains(rest, F.lit(" ")), rest).otherwise("")
+        rest = F.regexp_replace(F.regexp_replace(rest, "(?iu)" + TITLES + r"[ ,\-–/]*", ""), r"[ ,\-–/]+$", "")
+    return F.when(F.lower(rest).rlike(UNIT_STARTS) & rest.rlike(r"\S\s+\S"), rest).otherwise("")
+
+
+def is_unit_name(c: Column) -> Column:
+    """Units have two words or more; account names have none."""
+    return F.contains(F.trim(F.coalesce(c, F.lit(""))), F.lit(" "))
+
+
+def unit_under_group(unit: Column, group: Column) -> Column:
+    """The unit of a row below a title: the title (without 'Cơ quan' before it) for a cell of a single word, none, or a
+    job, else the cell. A null title changes nothing."""
+    name = F.nullif(F.trim(F.regexp_replace(F.coalesce(group, F.lit("")), r"(?iu)^\s*cơ quan\s+", "")), F.lit(""))
+    return F.when(~is_unit_name(unit), F.coalesce(name, unit)).when(name.isNotNull() & is_job_title(unit), name).otherwise(unit)
 
 
 def parent_agency(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -82,7 +102,46 @@ def expand_abbreviations(text: Column) -> Column:
     return squeeze(text)
 
 
-def normalize_units(rows: DataFrame, default: str | None = None) -> DataFrame:
+def units_of_rows(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
+    """The people among the rows of a table, with their raw_unit; titles of groups are dropped.
+
+    rows: raw_name, raw_email, raw_phone, raw_unit; and, if they have them, raw_unit2 (the second column of a merged
+    header), raw_group (a sparse column, filled on the first row of a block), has_group (their table has such a column) and
+    fallback_unit.
+
+    * A row without an address and number in which only the name or only the unit is filled is a title, unless the
+      table has a sparse column.
+    * raw_unit2 follows the unit if it differs.
+    * Under a sparse value: its commune if it names one; itself for a blank unit or a job; the unit behind a job.
+    * Under a title: ``unit_under_group``. A unit that is blank then is the fallback.
+    """
+    none = F.lit(None).cast("string")
+    for c in ("raw_unit2", "raw_group", "fallback_unit"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, none)
+    if "has_group" not in rows.columns:
+        rows = rows.withColumn("has_group", F.lit(False))
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    one = filled("raw_name") != filled("raw_unit")
+    title = ~F.col("has_group") & ~filled("raw_email") & ~filled("raw_phone") & one
+    w = Window.partitionBy(*by).orderBy("row_pos").rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.when(filled("raw_name"), F.trim("raw_name")).otherwise(F.trim("raw_unit"))
+    marked = rows.withColumn("_title", title)
+    marked = marked.withColumn("_group", F.last(F.when(F.col("_title"), shown), ignorenulls=True).over(w)).withColumn("_block", F.last(F.when(filled("raw_group"), F.trim("raw_group")), ignorenulls=True).over(w))
+    blocks = find_commune(marked.select("_block").distinct().where("_block is not null"), "_block", "_commune")
+    people = marked.where("not _title").join(blocks, "_block", "left")
+    unit, second = F.trim(F.coalesce("raw_unit", F.lit(""))), F.trim(F.coalesce("raw_unit2", F.lit("")))
+    people = people.withColumn("raw_unit", F.when((second != "") & (key(second) != key(unit)), F.trim(F.concat_ws(" ", unit, second))).otherwise(unit))
+    unit, block = F.col("raw_unit"), F.col("_block")
+    behind = F.nullif(without_job_titles(unit), F.lit(""))
+    in_block = F.when(F.col("_commune").isNotNull(), F.col("_commune")).when(unit == "", block).when(is_job_title(unit), F.coalesce(behind, block)).otherwise(unit)
+    people = people.withColumn("raw_unit", F.when(block.isNotNull(), in_block).otherwise(unit))
+    people = people.withColumn("raw_unit", F.when(F.col("_group").isNotNull(), unit_under_group(unit, F.col("_group"))).otherwise(unit))
+    people = people.withColumn("raw_unit", F.when(unit == "", F.coalesce("fallback_unit", unit)).otherwise(unit))
+    return people.where(filled("raw_name") | filled("raw_email") | filled("raw_phone") | (unit != "")).drop("_title", "_group", "_block", "_commune", "raw_unit2", "raw_group", "has_group", "fallback_unit")
+
+
+def normalize_units(rows: DataFrame, default: Column | str | None = None) -> DataFrame:
     """rows with don_vi: raw_unit in its canonical form, with ' - province' where one is certain; '' for a blank.
 
     doc_commune and doc_issuer, if rows have them, are those of the document that holds the row. Meant for the
@@ -120,6 +179,13 @@ def document_communes(headers: DataFrame, lines: int = 15) -> DataFrame:
     return each.groupBy("source").agg(F.min_by("commune", "line_no").alias("doc_commune"))
 
 
+def as_written(name: Column, body: Column) -> Column:
+    """The name as the body writes it, if it does so with small letters and capitals; else as it is."""
+    pattern = F.concat(F.lit("(?iu)"), F.regexp_replace(name, " ", r"\\s+"))
+    found = F.filter(F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), squeeze), lambda x: (x != F.upper(x)) & (x != F.lower(x)))
+    return F.coalesce(F.try_element_at(found, F.lit(1)), name)
+
+
 def document_issuer(header: Column, lines: int = 8) -> Column:
     """The agency in capitals that opens one of the first lines, each word capitalised; null if none does."""
     start = r"^((?:SỞ|BAN|TRUNG\s+TÂM|VĂN\s+PHÒNG|BỆNH\s+VIỆN|VIỆN|CHI\s+CỤC|CỤC|TỔNG\s+CỤC|TRƯỜNG|BẢO\s+TÀNG|THANH\s+TRA)(?:\s+" + _MOTTO + r"(?:[\p{Lu}\p{Nd}]+|và|VÀ|&)(?![\p{L}]))+)"

@@ -34,9 +34,10 @@ def _found(c: str) -> str:
     return f"CASE WHEN {got} <> '' AND NOT regexp_matches({got}, '\\.\\.|^\\.|\\.@|@\\.|\\.$') AND NOT regexp_matches({before}, '[\\p{{L}}\\p{{N}}]') THEN lower({got}) END"
 
 
-#: valid: registrations with address, name, phone and status.
-STEPS = f"""
-WITH {REGISTRATIONS},
+def _steps(registrations: str = REGISTRATIONS) -> str:
+    """valid: registrations with address, name, phone and status."""
+    return f"""
+WITH {registrations},
 cells AS (
   SELECT *, regexp_replace(raw_email, '\\s+', '', 'g') AS joined,
          trim(split_part(raw_email, '@', 1)) AS local_cell,
@@ -75,6 +76,9 @@ valid AS (SELECT * FROM classified WHERE status = 'ok')
 """
 
 
+STEPS = _steps()
+
+
 def _words(name: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(strip_accents(replace(replace({name}, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+'), lambda x: x <> '')"
 
@@ -92,41 +96,50 @@ def _fitted(name: str, email: str) -> str:
     return f"CASE WHEN {titled} AND {_score(rest, email)} > {_score(name, email)} THEN {rest} ELSE {name} END"
 
 
-def _fixes(source: str, prefix: str) -> str:
-    """CTEs that correct mistyped domains of the table ``source`` and drop cut ones, with statistics over all."""
+def _fixes(source: str, prefix: str, each: str = "") -> str:
+    """CTEs that find the mistyped domains of the table ``source``, with statistics over all, or over each source."""
+    key, also = (f"{each}, ", f" AND a.{each} = b.{each}") if each else ("", "")
     return f""",
-{prefix}_d AS (SELECT split_part(email, '@', 2) AS domain, count(*) AS n FROM {source} GROUP BY 1),
+{prefix}_d AS (SELECT {key}split_part(email, '@', 2) AS domain, count(*) AS n FROM {source} GROUP BY ALL),
 {prefix}_p AS (SELECT *, string_split(domain, '.') AS parts FROM {prefix}_d),
 {prefix}_c AS (
-  SELECT a.domain AS old, b.domain AS new, a.n, b.n AS n_new, 0 AS rule FROM {prefix}_p a JOIN {prefix}_p b
-    ON b.domain = array_to_string(a.parts[1:len(a.parts) - 2], '.') || '.gov.vn'
+  SELECT {f"a.{each}, " if each else ""}a.domain AS old, b.domain AS new, a.n, b.n AS n_new, 0 AS rule FROM {prefix}_p a JOIN {prefix}_p b
+    ON b.domain = array_to_string(a.parts[1:len(a.parts) - 2], '.') || '.gov.vn'{also}
   WHERE len(a.parts) >= 3 AND a.parts[-2] IN ({_list(GOV_TYPOS)}) AND NOT ends_with(a.domain, '.gov.vn') AND b.n >= 3
   UNION ALL
-  SELECT a.domain, b.domain, a.n, b.n, 1 FROM {prefix}_p a JOIN {prefix}_p b ON a.domain <> b.domain AND levenshtein(a.domain, b.domain) = 1
+  SELECT {f"a.{each}, " if each else ""}a.domain, b.domain, a.n, b.n, 1 FROM {prefix}_p a JOIN {prefix}_p b ON a.domain <> b.domain AND levenshtein(a.domain, b.domain) = 1{also}
   WHERE b.n >= 10 AND length(a.parts[1]) >= 5 AND length(b.parts[1]) >= 5),
 {prefix}_f AS (
-  SELECT old, new, n, n_new FROM (SELECT *, row_number() OVER (PARTITION BY old ORDER BY rule, n_new DESC, new) AS r FROM {prefix}_c WHERE n_new >= 5 * n AND old <> new) WHERE r = 1)"""
+  SELECT {key}old, new, n, n_new FROM (SELECT *, row_number() OVER (PARTITION BY {key}old ORDER BY rule, n_new DESC, new) AS r FROM {prefix}_c WHERE n_new >= 5 * n AND old <> new) WHERE r = 1)"""
 
 
-_FIXED = STEPS + _fixes("valid", "v")
-_MODE1 = (
-    STEPS
-    + f""",
+def _mode(each: str = "") -> str:
+    """ranked: the records of a mode, with statistics of domains over all or over each source; cut: the cut domains."""
+    key, also = (f"{each}, ", f" AND a.{each} = b.{each}") if each else ("", "")
+    gone = f"({key}split_part(email, '@', 2))" if each else "split_part(email, '@', 2)"
+    return (
+        STEPS
+        + f""",
 fitted AS (SELECT * REPLACE ({_fitted("name", "email")} AS name) FROM valid)"""
-    + _fixes("fitted", "v")
-    + f""",
+        + _fixes("fitted", "v", each)
+        + f""",
 corrected AS (
   SELECT t.* REPLACE (CASE WHEN f.new IS NULL THEN t.email ELSE split_part(t.email, '@', 1) || '@' || f.new END AS email)
-  FROM fitted t LEFT JOIN v_f f ON split_part(t.email, '@', 2) = f.old),
-hist AS (SELECT split_part(email, '@', 2) AS domain, count(*) AS n FROM corrected GROUP BY 1),
+  FROM fitted t LEFT JOIN v_f f ON split_part(t.email, '@', 2) = f.old{f" AND t.{each} = f.{each}" if each else ""}),
+hist AS (SELECT {key}split_part(email, '@', 2) AS domain, count(*) AS n FROM corrected GROUP BY ALL),
 cut AS (
-  SELECT DISTINCT a.domain FROM hist a JOIN hist b ON a.domain <> b.domain AND b.n >= 3 AND b.n >= 5 * a.n
+  SELECT DISTINCT {f"a.{each}, " if each else ""}a.domain FROM hist a JOIN hist b ON a.domain <> b.domain AND b.n >= 3 AND b.n >= 5 * a.n{also}
   WHERE (len(string_split(a.domain, '.')) > 1 AND string_split(a.domain, '.')[-1] IN ({_list(CUT_TAILS)}) AND starts_with(b.domain, a.domain))
      OR (a.domain IN ({_list(BARE_ENDS)}) AND ends_with(b.domain, '.' || a.domain))),
-good AS (SELECT * FROM corrected WHERE split_part(email, '@', 2) NOT IN (SELECT domain FROM cut)),
+cutoff AS (SELECT * FROM corrected WHERE {gone} IN (SELECT {f"({each}, domain)" if each else "domain"} FROM cut)),
+good AS (SELECT * FROM corrected WHERE {gone} NOT IN (SELECT {f"({each}, domain)" if each else "domain"} FROM cut)),
 scored AS (SELECT *, {_score("name", "email")} AS score FROM good),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY score DESC, source, row_pos) AS rank FROM scored)"""
-)
+    )
+
+
+_FIXED = STEPS + _fixes("valid", "v")
+_MODE1, _MODE2 = _mode(), _mode("source")
 _NOTE = """'Trùng email với dòng ' || w.row_pos || CASE WHEN coalesce(w.stt, '') <> '' THEN ' (STT ' || w.stt || ')' ELSE '' END
   || ' - ' || w.name || ' (tệp ' || w.source || ')'"""
 _RANKED = STEPS + f""",
@@ -158,6 +171,74 @@ hits AS (
                                ELSE regexp_matches(trim(l.plain), '(?:^|[^a-z0-9]){prefix_plain}' || d.plain || '(?:[^a-z0-9]|$)') END)"""
 
 
+def _commune(c: str) -> str:
+    """The last commune that a text names, as '<level> <name>'."""
+    sep, level = "[^\\s,;:()/–-]", "(?:^|[^\\p{L}\\p{N}])"
+    patterns = {
+        "low": f"{level}(xã|phường|thị trấn)((?:\\s+{sep}+){{1,5}})", "mixed": f"{level}([Tt]hị\\s*[Tt]rấn|[Xx]ã|[Pp]hường)((?:\\s+[\\p{{Lu}}\\p{{Nd}}]{sep}*)+)",
+        "up": f"{level}(THỊ\\s*TRẤN|XÃ|PHƯỜNG)((?:\\s+[\\p{{Lu}}\\p{{Nd}}]+)+)",
+    }
+    last = {k: [f"regexp_extract_all({c}, '{p}', {g})[-1]" for g in (1, 2)] for k, p in patterns.items()}
+    pick = [f"CASE WHEN {c} = lower({c}) THEN {last['low'][g]} ELSE coalesce({last['mixed'][g]}, {last['up'][g]}) END" for g in (0, 1)]
+    name, first = f"trim({pick[1]})", f"lower({pick[0]})"
+    titled = f"array_to_string(list_transform(string_split({name}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+    return f"upper(substr({first}, 1, 1)) || substr({first}, 2) || ' ' || CASE WHEN {name} = upper({name}) OR {c} = lower({c}) THEN {titled} ELSE {name} END"
+
+
+_PLAIN_UNIT = "strip_accents(replace(lower({}), 'đ', 'd'))"
+#: unit: raw_unit, don_vi and to_chuc of each distinct unit, with Cần Thơ as the default.
+_UNITS = f"""{_PROVINCES}, {_mentioned("(?:tỉnh|thành\\s*phố|tp\\.?)\\s*", "(?:tinh|thanh\\s*pho|tp\\.?)\\s*")},
+u0 AS (SELECT raw_unit, trim(raw_unit) AS cell, list_filter(list_transform(regexp_split_to_array(trim(raw_unit), '\\s+[-–—]\\s+|,\\s*|;\\s*'), lambda x: trim(x)), lambda x: x <> '') AS parts
+       FROM (SELECT DISTINCT raw_unit FROM registrations)),
+u1 AS (SELECT *, regexp_extract(parts[-1], '\\s+(?:thành\\s*phố|tỉnh)\\s+(.+)$', 1) AS tail FROM u0),
+u2 AS (SELECT *, CASE WHEN len(parts) > 1 AND regexp_matches(parts[-1], '^Sở\\s+\\S') THEN
+         CASE WHEN {_PLAIN_UNIT.format("tail")} IN (SELECT plain FROM dim) THEN regexp_replace(parts[-1], '\\s+(?:thành\\s*phố|tỉnh)\\s+.+$', '') ELSE parts[-1] END ELSE cell END AS text FROM u1),
+u3 AS (SELECT *, {_commune("text")} AS commune, regexp_replace(text, '^(?:tỉnh|thành phố)\\s+', '') AS bare FROM u2),
+unit AS (
+  SELECT u.raw_unit, CASE WHEN cell = '' THEN '' WHEN commune IS NULL AND {_PLAIN_UNIT.format("bare")} IN (SELECT plain FROM dim) THEN bare
+           ELSE coalesce(commune, trim(regexp_replace(text, 'TP\\.\\s*', 'Thành phố '))) || ' - ' || coalesce(h.current, 'Cần Thơ') END AS don_vi,
+         upper(coalesce(h.kind || ' ' || h.current, 'thành phố Cần Thơ')) AS to_chuc
+  FROM u3 u LEFT JOIN hits h ON u.raw_unit = h.raw_unit AND h.r = 1)"""
+_MODE2_RECORDS = f"{_MODE2}, {_UNITS}, records AS (SELECT r.source, row_pos, stt, email, name, phone, don_vi, to_chuc FROM ranked r LEFT JOIN unit u ON r.raw_unit IS NOT DISTINCT FROM u.raw_unit WHERE rank = 1)"
+_TITLED = f"""WITH {REGISTRATIONS}, t AS (SELECT source, row_pos, CASE WHEN stt = 'IV' THEN 'Phòng Mẫu' ELSE raw_name END AS raw_name,
+        CASE WHEN stt <> 'IV' THEN raw_email END AS raw_email, CASE WHEN stt <> 'IV' THEN raw_phone END AS raw_phone, CASE WHEN stt <> 'IV' THEN raw_unit END AS raw_unit FROM registrations)"""
+_JOB = "regexp_matches(lower({}), '^(?:chuyên viên|giám đốc)')"
+#: Cells of shifted rows, each (id 0 to 5), each with the one after it (10 to 14), and the own cells of address and number
+#: (20 and 21), as registrations of their own.
+_FLAT = (
+    REGISTRATIONS.replace("registrations AS", "base AS", 1)
+    + """, s AS (SELECT source, row_pos, row_pos % 5 AS k, coalesce(stt, '') AS c0, coalesce(raw_name, '') AS c1, coalesce(raw_unit, '') AS c2, coalesce(raw_email, '') AS e, raw_phone AS p FROM base),
+shifted AS (SELECT source, row_pos, c0, c1, c2, CASE k WHEN 0 THEN p WHEN 1 THEN '' ELSE e END AS c3,
+  CASE k WHEN 0 THEN substr(e, 1, greatest(length(e) - 2, 0)) ELSE p END AS c4, CASE k WHEN 0 THEN substr(e, greatest(length(e) - 2, 0) + 1) WHEN 1 THEN e ELSE '' END AS c5 FROM s),
+flat AS (SELECT source, row_pos, c3, c4, unnest([0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 14, 20, 21]) AS id,
+  unnest([trim(c0), trim(c1), trim(c2), trim(c3), trim(c4), trim(c5), trim(c0) || trim(c1), trim(c1) || trim(c2), trim(c2) || trim(c3), trim(c3) || trim(c4), trim(c4) || trim(c5), c3, c4]) AS cell FROM shifted),
+registrations AS (SELECT source, row_pos * 100 + id AS row_pos, '' AS stt, '' AS raw_name, '' AS raw_unit, cell AS raw_email, cell AS raw_phone FROM flat)"""
+)
+_CELL_SEARCH = _steps(_FLAT) + r"""
+, n AS (SELECT source, row_pos // 100 AS row_pos, row_pos % 100 AS id, raw_email AS c, email, phone FROM classified),
+pairs AS (SELECT p.source, p.row_pos, min(p.id) AS id FROM n p JOIN n a ON a.source = p.source AND a.row_pos = p.row_pos AND a.id = p.id - 10 JOIN n b ON b.source = p.source AND b.row_pos = p.row_pos AND b.id = p.id - 9
+  WHERE p.id BETWEEN 10 AND 14 AND p.email IS NOT NULL AND a.email IS NULL AND contains(a.c, '@') AND regexp_matches(b.c, '^[A-Za-z0-9.\-]{1,15}$') GROUP BY ALL),
+own AS (SELECT source, row_pos, max(CASE WHEN id = 20 THEN email END) AS own, max(CASE WHEN id = 20 THEN c END) AS raw_email, max(CASE WHEN id = 21 THEN c END) AS raw_phone, max(CASE WHEN id = 21 THEN phone END) AS phone,
+  min(id) FILTER (id IN (2, 4, 5) AND contains(c, '@') AND email IS NOT NULL) AS other FROM n GROUP BY ALL),
+used AS (SELECT o.*, p.id AS pair, CASE WHEN own IS NOT NULL THEN 3 WHEN other IS NOT NULL THEN other WHEN p.id IS NOT NULL THEN -1 ELSE 3 END AS used FROM own o LEFT JOIN pairs p ON o.source = p.source AND o.row_pos = p.row_pos),
+number AS (SELECT u.source, u.row_pos, arg_min(n.c, n.id) AS c FROM used u JOIN n ON n.source = u.source AND n.row_pos = u.row_pos AND n.id IN (2, 3, 5) AND n.id <> u.used
+  WHERE u.phone = '' AND (u.used <> 3 OR trim(u.raw_phone) <> '') AND regexp_matches(n.c, '^[\d\s.+\-()]{9,20}$') AND n.phone <> '' GROUP BY ALL)
+SELECT u.source, u.row_pos, coalesce(e.c, u.raw_email) AS raw_email, coalesce(k.c, u.raw_phone) AS raw_phone FROM used u
+LEFT JOIN n e ON e.source = u.source AND e.row_pos = u.row_pos AND u.own IS NULL AND e.id = coalesce(u.other, u.pair)
+LEFT JOIN number k ON k.source = u.source AND k.row_pos = u.row_pos"""
+_CONTENT_ROWS = f"""WITH {REGISTRATIONS}, a AS (SELECT source, row_pos, CASE row_pos % 3 WHEN 0 THEN [stt, raw_name, raw_unit, raw_email, raw_phone] WHEN 1 THEN [stt, raw_email, raw_name, raw_phone, raw_unit]
+          ELSE ['', stt, '', raw_name, raw_phone, raw_unit, raw_email] END AS cs FROM registrations),
+        f AS (SELECT source, row_pos, i, c, trim(regexp_replace(c, '\\s*@\\s*', '@', 'g')) AS sq, regexp_replace(regexp_replace(c, '^(\\+?\\d+)\\.0+$', '\\1'), '[\\s.\\-]', '', 'g') AS tight
+              FROM (SELECT source, row_pos, unnest(range(len(cs))) AS i, trim(coalesce(unnest(cs), '')) AS c FROM a) WHERE c <> ''),
+        g AS (SELECT *, regexp_matches(sq, '{ADDRESS}') AS good, contains(c, '@') AND (NOT contains(sq, ' ') OR regexp_matches(c, '^[\\p{{L}}\\p{{M}}\\p{{N}}_.%+\\-,@\\s]+$')) AS at_,
+              regexp_matches(c, '(?i)^[\\p{{L}}\\p{{N}}_%+\\-]+(?:\\.[\\p{{L}}\\p{{N}}_%+\\-]+){{2,}}\\.(?:vn|com|net)$') AS bare, regexp_matches(tight, '(?:\\+?84|0)\\d{{8,10}}|^\\d{{9}}$') AS number FROM f),
+        e AS (SELECT source, row_pos, coalesce(min(i) FILTER (good), min(i) FILTER (at_), min(i) FILTER (bare), -1) AS ei, bool_or(good OR at_ OR bare OR number) AS has_identity, min(i) AS lo, arg_min(c, i) AS first FROM g GROUP BY ALL),
+        p AS (SELECT e.*, coalesce((SELECT min(g.i) FROM g WHERE g.source = e.source AND g.row_pos = e.row_pos AND g.number AND g.i <> e.ei), -1) AS pi FROM e),
+        q AS (SELECT *, CASE WHEN lo > 0 AND regexp_matches(first, '^(?:\\d{{1,4}}\\.?|[IVXLC]{{1,6}}\\.?)$') AND lo NOT IN (ei, pi) THEN lo ELSE 0 END AS si FROM p),
+        r AS (SELECT q.source, q.row_pos, any_value(has_identity) AS has_identity, max(CASE WHEN i = ei THEN c END) AS raw_email, max(CASE WHEN i = pi THEN c END) AS raw_phone, coalesce(max(CASE WHEN i = si THEN c END), '') AS stt,
+              list(c ORDER BY i) FILTER (i NOT IN (ei, pi, si)) AS texts FROM q JOIN g ON g.source = q.source AND g.row_pos = q.row_pos GROUP BY ALL)
+        SELECT source, row_pos, regexp_replace(regexp_replace(stt, '^(\\d+)\\.$', '\\1'), '^(\\d+)\\.0$', '\\1') AS stt, coalesce(texts[1], '') AS raw_name, coalesce(texts[2], '') AS raw_unit, raw_email, raw_phone, has_identity FROM r"""
+
 ORACLE_SQL: dict[str, str] = {
     "email_normalize": STEPS + "SELECT source, row_pos, email FROM classified",
     "email_classify": STEPS + "SELECT source, status, count(*) AS n FROM classified GROUP BY ALL",
@@ -182,11 +263,29 @@ ORACLE_SQL: dict[str, str] = {
         FROM ranked l JOIN ranked w ON l.email = w.email AND w.rank = 1 WHERE l.rank > 1""",
     "mode1_records": _MODE1 + " SELECT source, row_pos, stt, email, name, phone FROM ranked WHERE rank = 1",
     "mode1_issues": _MODE1 + f""" SELECT source, row_pos, stt, raw_name, raw_email, raw_phone, status AS reason, NULL::VARCHAR AS note FROM classified WHERE status <> 'ok'
-        UNION ALL SELECT source, row_pos, stt, raw_name, raw_email, raw_phone, 'invalid_email_format', NULL FROM corrected WHERE split_part(email, '@', 2) IN (SELECT domain FROM cut)
+        UNION ALL SELECT source, row_pos, stt, raw_name, raw_email, raw_phone, 'invalid_email_format', NULL FROM cutoff
         UNION ALL SELECT l.source, l.row_pos, l.stt, l.raw_name, l.raw_email, l.raw_phone, 'duplicate_email', {_NOTE} FROM ranked l JOIN ranked w ON l.email = w.email AND w.rank = 1 WHERE l.rank > 1""",
-    "mode1_stats": _MODE1 + """, t AS (SELECT count(*) AS total_rows, count(*) FILTER (status = 'ok') AS valid_rows, count(*) FILTER (status = 'missing_email') AS missing_email,
-        count(*) FILTER (status = 'invalid_email_format') AS invalid_email_format FROM classified), f AS (SELECT count(*) AS final_count FROM ranked WHERE rank = 1)
-        SELECT t.*, final_count, valid_rows - final_count AS duplicates_removed FROM t, f""",
+    "mode1_stats": _MODE1 + """, t AS (SELECT count(*) AS total_rows, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'missing_email') AS missing_email,
+        count(*) FILTER (status = 'invalid_email_format') AS invalid FROM classified), f AS (SELECT count(*) AS final_count FROM ranked WHERE rank = 1), c AS (SELECT count(*) AS n FROM cutoff)
+        SELECT total_rows, ok - n AS valid_rows, missing_email, invalid + n AS invalid_email_format, final_count, ok - n - final_count AS duplicates_removed FROM t, f, c""",
+    "mode2_records": f"{_MODE2_RECORDS} SELECT * FROM records",
+    "mode2_issues": _MODE2 + f""" SELECT source, row_pos, raw_unit, status AS reason, NULL::VARCHAR AS note FROM classified WHERE status <> 'ok' UNION ALL SELECT source, row_pos, raw_unit, 'invalid_email_format', NULL FROM cutoff
+        UNION ALL SELECT l.source, l.row_pos, l.raw_unit, 'duplicate_email', {_NOTE} FROM ranked l JOIN ranked w ON l.email = w.email AND w.rank = 1 WHERE l.rank > 1""",
+    "mode2_per_source": f"{_MODE2_RECORDS} SELECT source, count(*) AS final_count, count(*) FILTER (to_chuc = '') AS to_chuc_missing FROM records GROUP BY source",
+    "unit_normalize": f"WITH {REGISTRATIONS}, {_UNITS} SELECT raw_unit, don_vi FROM unit",
+    "group_units": f"""{_TITLED}, m AS (SELECT *, trim(coalesce(raw_email, '')) = '' AND trim(coalesce(raw_phone, '')) = '' AND (trim(coalesce(raw_name, '')) <> '') <> (trim(coalesce(raw_unit, '')) <> '') AS title FROM t),
+        g AS (SELECT *, trim(coalesce(raw_unit, '')) AS u, last_value(CASE WHEN title THEN coalesce(nullif(trim(coalesce(raw_name, '')), ''), trim(raw_unit)) END IGNORE NULLS) OVER (PARTITION BY source ORDER BY row_pos) AS grp FROM m)
+        SELECT source, row_pos, CASE WHEN grp IS NOT NULL AND (NOT contains(u, ' ') OR {_JOB.format("u")}) THEN grp ELSE u END AS raw_unit FROM g WHERE NOT title""",
+    "unit_blocks": f"""WITH {REGISTRATIONS}, b AS (SELECT *, trim(raw_unit) AS u, last_value(CASE row_pos % 9 WHEN 0 THEN 'UBND xã Mẫu Năm' WHEN 4 THEN 'Sở Mẫu Sáu' END IGNORE NULLS) OVER (PARTITION BY source ORDER BY row_pos) AS block FROM registrations)
+        SELECT source, row_pos, CASE WHEN block IS NULL THEN u WHEN block LIKE 'UBND%' THEN 'Xã Mẫu Năm' WHEN u = '' OR u = 'Chuyên viên' THEN block WHEN u LIKE 'Giám đốc %' THEN substr(u, 10) ELSE u END AS raw_unit FROM b""",
+    "continuation_rows": f"""WITH {REGISTRATIONS}, t AS (SELECT source, row_pos, stt, CASE WHEN row_pos % 7 <> 0 THEN raw_name END AS raw_name, CASE WHEN row_pos % 7 = 0 THEN 'gov.vn' ELSE raw_email END AS raw_email,
+          CASE WHEN row_pos % 7 <> 0 THEN raw_phone END AS raw_phone FROM registrations),
+        i AS (SELECT *, sum((row_pos % 7 <> 0)::INT) OVER w AS named, row_number() OVER w AS r FROM t WINDOW w AS (PARTITION BY source ORDER BY row_pos)),
+        j AS (SELECT *, CASE WHEN named = 0 THEN -r ELSE named END AS island FROM i)
+        SELECT source, min(row_pos) AS row_pos, arg_min(stt, row_pos) AS stt, count(*) AS n_rows, string_agg(trim(coalesce(raw_name, '')), '' ORDER BY row_pos) AS raw_name,
+          string_agg(trim(coalesce(raw_email, '')), '' ORDER BY row_pos) AS raw_email, string_agg(trim(coalesce(raw_phone, '')), '' ORDER BY row_pos) AS raw_phone FROM j GROUP BY source, island""",
+    "cell_search": _CELL_SEARCH,
+    "content_rows": _CONTENT_ROWS,
     "per_source_counts": STEPS + """SELECT source, count(*) AS total_rows, count(*) FILTER (status = 'ok') AS valid_rows, count(*) FILTER (status = 'missing_email') AS missing_email,
         count(*) FILTER (status = 'invalid_email_format') AS invalid_email_format, count(*) FILTER (phone = '') AS without_phone FROM classified GROUP BY source""",
     "stt_parse": _STT + " SELECT source, row_pos, stt_no FROM n",
@@ -218,17 +317,19 @@ ORACLE_SQL: dict[str, str] = {
     "to_chuc": f"""WITH {REGISTRATIONS}, {_PROVINCES}, {_mentioned("(?:tỉnh|thành\\s*phố|tp\\.?)\\s*", "(?:tinh|thanh\\s*pho|tp\\.?)\\s*")}
         SELECT r.source, r.row_pos, upper(coalesce(h.kind || ' ' || h.current, 'thành phố Cần Thơ')) AS to_chuc FROM registrations r LEFT JOIN hits h ON r.raw_unit = h.raw_unit AND h.r = 1""",
     "province_from_domain": STEPS + f""", {_PROVINCES}, slugs AS (SELECT replace(replace(plain, ' ', ''), '-', '') AS slug, current FROM dim UNION SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SLUGS.items())}) AS t(slug, current)),
-        c AS (SELECT source, split_part(email, '@', 2) AS domain, count(*) AS n, min(row_pos) AS p FROM valid WHERE NOT ends_with(email, '@gmail.com') GROUP BY ALL),
+        c AS (SELECT source, split_part(email, '@', 2) AS domain, count(*) AS n, min(row_pos) AS p FROM valid GROUP BY ALL),
         t AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM c),
         g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, p) AS r FROM t WHERE ends_with(domain, '.gov.vn'))
         , one AS (SELECT slug, max(current) AS current FROM slugs GROUP BY slug)
-        SELECT g.source, g.domain, current AS province FROM g LEFT JOIN one ON slug = string_split(g.domain, '.')[-3] WHERE r = 1 AND n >= 3 AND n >= 0.4 * total""",
+        SELECT g.source, g.domain, current AS province FROM g LEFT JOIN one ON slug = string_split(g.domain, '.')[-3] WHERE r = 1 AND n >= 3 AND n >= 0.5 * total""",
     "freetext_contacts": f"""SELECT doc_id, email, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{ADDRESS}'))) AS email FROM documents) GROUP BY ALL""",
     "page_contacts": f"""SELECT page_id, email, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '{ADDRESS}'))) AS email FROM pages) GROUP BY ALL""",
     "search_fold": f"""WITH {REGISTRATIONS} SELECT source, row_pos, raw_name, raw_email FROM registrations
         WHERE contains({fold("coalesce(raw_name, '')")}, 'dung') OR contains({fold("coalesce(raw_email, '')")}, 'dung')""",
     "preview_topk": f"""WITH {REGISTRATIONS} SELECT source, row_pos, raw_name FROM registrations ORDER BY {fold("coalesce(raw_name, '')")} COLLATE "C", source, row_pos LIMIT 200""",
-    "used_phone_semi": STEPS + "SELECT source, row_pos, phone FROM classified WHERE row_pos % 2 = 1 AND phone IN (SELECT phone FROM classified WHERE row_pos % 2 = 0 AND phone <> '')",
+    "used_phones": _MODE1 + """, lost AS (SELECT source, row_pos, status AS reason, raw_phone, phone FROM classified WHERE status <> 'ok' UNION ALL SELECT source, row_pos, 'invalid_email_format', raw_phone, phone FROM cutoff
+        UNION ALL SELECT source, row_pos, 'duplicate_email', raw_phone, phone FROM ranked WHERE rank > 1), used AS (SELECT DISTINCT phone FROM ranked WHERE rank = 1 AND phone <> '')
+        SELECT source, row_pos, reason, CASE WHEN u.phone IS NULL THEN raw_phone END AS raw_phone, u.phone IS NOT NULL AS phone_conflict FROM lost l LEFT JOIN used u ON l.phone = u.phone""",
     "asof_unit": _GAPS + """ SELECT g.source, g.stt_no, max_by(n.raw_unit, n.stt_no) AS unit FROM gaps g
         LEFT JOIN n ON n.source = g.source AND n.stt_no < g.stt_no AND n.raw_unit <> '' GROUP BY ALL""",
 }

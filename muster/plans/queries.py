@@ -12,7 +12,8 @@ from ..functions.names import match_score, normalize_name, strip_honorific
 from ..functions.ordinal import parse_stt
 from ..functions.phone import normalize_phone
 from ..functions.text import fold
-from ..operators import domains, freetext, provinces, records, search, sequence, sheets, units
+from ..operators import content, domains, freetext, provinces, records, recover, search, sequence, sheets, units
+from ..operators.cells import search_cells
 from . import pipelines
 from .oracle import ORACLE_SQL
 from .registrations import registrations, table
@@ -174,8 +175,7 @@ def to_chuc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def province_from_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = _valid(spark, sf_dir).where(~F.col("email").endswith("@gmail.com"))
-    return provinces.province_from_domains(work, share=0.4)
+    return provinces.province_from_domains(_valid(spark, sf_dir))
 
 
 def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def mode2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mode2_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.extract(registrations(spark, sf_dir), with_unit=True, default="Cần Thơ").issues.select(*KEYS, "reason", "note")
+    return pipelines.extract(registrations(spark, sf_dir), with_unit=True, default="Cần Thơ").issues.select(*KEYS, "raw_unit", "reason", "note")
 
 
 def mode2_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,10 +212,51 @@ def preview_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.preview(registrations(spark, sf_dir), "raw_name", list(KEYS)).select(*KEYS, "raw_name")
 
 
-def used_phone_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registrations(spark, sf_dir).withColumn("phone", normalize_phone(F.col("raw_phone")))
-    used = rows.where("row_pos % 2 = 0 and phone <> ''").select("phone")
-    return rows.where("row_pos % 2 = 1").join(used, "phone", "left_semi").select(*KEYS, "phone")
+def used_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under review lose a number that a record already has."""
+    result = pipelines.extract(registrations(spark, sf_dir))
+    cleared = recover.clear_used_phones(result.issues, result.records.select("source", "phone"))
+    return cleared.select(*KEYS, "reason", "raw_phone", "phone_conflict")
+
+
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as arrays of cells; in every fifth the number stands in the address's cell and the address, cut before its last
+    two letters, in the number's; in every fifth after it the address stands in a last column."""
+    rows = registrations(spark, sf_dir)
+    email, k = F.coalesce("raw_email", F.lit("")), F.col("row_pos") % 5
+    cut = F.greatest(F.length(email) - 2, F.lit(0))
+    fourth = F.when(k == 0, F.col("raw_phone")).when(k == 1, "").otherwise(email)
+    fifth = F.when(k == 0, F.substr(email, F.lit(1), cut)).otherwise(F.col("raw_phone"))
+    last = F.when(k == 0, F.substr(email, cut + 1)).when(k == 1, email).otherwise("")
+    out = rows.select(*KEYS, F.array("stt", "raw_name", "raw_unit", fourth, fifth, last).alias("cells"), fourth.alias("raw_email"), fifth.alias("raw_phone"))
+    return staged(out.withColumns({c: F.lit(i) for c, i in (("stt_col", 0), ("name_col", 1), ("email_col", 3), ("phone_col", 4))}))
+
+
+def cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_cells(_shifted(spark, sf_dir)).select(*KEYS, "raw_email", "raw_phone")
+
+
+def content_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three column orders, read by what their cells hold."""
+    rows = registrations(spark, sf_dir)
+    one = F.array("stt", "raw_name", "raw_unit", "raw_email", "raw_phone")
+    two = F.array("stt", "raw_email", "raw_name", "raw_phone", "raw_unit")
+    three = F.array(F.lit(""), "stt", F.lit(""), "raw_name", "raw_phone", "raw_unit", "raw_email")
+    k = F.col("row_pos") % 3
+    parsed = content.parse_rows(staged(rows.select(*KEYS, F.when(k == 0, one).when(k == 1, two).otherwise(three).alias("cells"))))
+    return parsed.select(*KEYS, "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "has_identity")
+
+
+def group_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of people below titles of groups."""
+    return units.units_of_rows(_titled(spark, sf_dir).withColumn("raw_unit", F.when(F.col("stt") != "IV", F.col("raw_unit")))).select(*KEYS, "raw_unit")
+
+
+def unit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of people in blocks that a sparse column names."""
+    block = F.when(F.col("row_pos") % 9 == 0, "UBND xã Mẫu Năm").when(F.col("row_pos") % 9 == 4, "Sở Mẫu Sáu")
+    rows = registrations(spark, sf_dir).withColumn("raw_group", block).withColumn("has_group", F.lit(True))
+    return units.units_of_rows(rows).select(*KEYS, "raw_unit")
 
 
 def asof_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         domain_histogram, dominant_domain, typo_domain_fixes, typo_domain_apply, truncated_domains, dedupe_best_match, dedupe_notes,
         mode1_records, mode1_issues, mode1_stats, per_source_counts, stt_parse, stt_gaps, stt_warnings, after_stt_label, fill_forward_group,
         group_headers, continuation_rows, sheet_overlap, province_lookup, province_detect, to_chuc, province_from_domain, unit_normalize,
-        mode2_records, mode2_issues, mode2_per_source, freetext_contacts, page_contacts, search_fold, preview_topk, used_phone_semi, asof_unit,
+        mode2_records, mode2_issues, mode2_per_source, freetext_contacts, page_contacts, search_fold, preview_topk, used_phones, asof_unit,
+        cell_search, content_rows, group_units, unit_blocks,
     )
 }

@@ -19,9 +19,11 @@ _LOCAL = (
     " || (CASE k % 3 WHEN 0 THEN 'v' WHEN 1 THEN 't' ELSE 'm' END)"
 )
 _DOMAIN = (
-    "CASE k % 9 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'haiphong.gov.vn' WHEN 2 THEN 'cantho.gov.vn' WHEN 3 THEN 'haiphong.gov.vn'"
+    "CASE k % 9 WHEN 0 THEN (CASE WHEN c_nationkey % 3 = 0 THEN 'haiphong.gov.vn' ELSE 'gmail.com' END) WHEN 1 THEN 'haiphong.gov.vn'"
+    " WHEN 2 THEN (CASE WHEN c_nationkey % 3 = 0 THEN 'haiphong.gov.vn' ELSE 'cantho.gov.vn' END) WHEN 3 THEN 'haiphong.gov.vn'"
     " WHEN 4 THEN 'haiphong.gov.vn' WHEN 5 THEN 'donvimau.edu.vn' WHEN 6 THEN (CASE WHEN k % 4 = 0 THEN 'haiphong.goc.vn' WHEN k % 5 = 0 THEN 'haiphon.gov.vn' ELSE 'haiphong.gov.vn' END)"
-    " WHEN 7 THEN (CASE WHEN k % 6 = 0 THEN 'haiphong.gov.v' ELSE 'cantho.gov.vn' END) ELSE 'gmail.com' END"
+    " WHEN 7 THEN (CASE WHEN k % 5 = 0 THEN 'haiphong.go' ELSE 'cantho.gov.vn' END)"
+    " ELSE (CASE WHEN c_nationkey % 3 = 0 THEN 'haiphong.gov.vn' ELSE 'gmail.com' END) END"
 )
 
 COLUMNS = {
@@ -34,9 +36,10 @@ COLUMNS = {
         " || CASE WHEN k % 23 = 0 THEN ' - Chức vụ: Trưởng phòng' WHEN k % 37 = 0 THEN ' (2)' ELSE '' END"
     ),
     "raw_unit": (
-        "CASE k % 11 WHEN 0 THEN 'UBND xã Mẫu Một, tỉnh Cần Thơ' WHEN 1 THEN 'Sở Mẫu thành phố Hải Phòng' WHEN 2 THEN 'Phòng Mẫu' WHEN 3 THEN ''"
+        "CASE WHEN k % 31 = 4 THEN 'Phòng Mẫu, Sở Mẫu Hai tỉnh Hà Nam' WHEN k % 37 = 5 THEN 'VĂN PHÒNG PHƯỜNG MẪU HAI' WHEN k % 41 = 6 THEN 'tổ mẫu xã mẫu ba'"
+        " WHEN k % 43 = 7 THEN 'Giám đốc Trung tâm Mẫu Bốn' ELSE CASE k % 11 WHEN 0 THEN 'UBND xã Mẫu Một, tỉnh Cần Thơ' WHEN 1 THEN 'Sở Mẫu thành phố Hải Phòng' WHEN 2 THEN 'Phòng Mẫu' WHEN 3 THEN ''"
         " WHEN 4 THEN 'Trường Mẫu, tỉnh Vĩnh Phúc' WHEN 5 THEN 'Trung tâm Mẫu TP. Huế' WHEN 6 THEN 'Chuyên viên' WHEN 7 THEN 'Trạm Mẫu tinh Bac Giang'"
-        " WHEN 8 THEN 'Hải Dương' WHEN 9 THEN 'Hội Mẫu' ELSE 'Ban Mẫu tỉnh Hà Nam' END"
+        " WHEN 8 THEN 'Hải Dương' WHEN 9 THEN 'Hội Mẫu' ELSE 'Ban Mẫu tỉnh Hà Nam' END END"
     ),
     "raw_email": (
         "CASE WHEN k % 19 = 0 THEN NULL WHEN k % 47 = 0 THEN '   ' WHEN k % 41 = 0 THEN 'khong co' WHEN k % 53 = 0 THEN 'ă' || local || '@gmail.com'"
@@ -45,7 +48,7 @@ COLUMNS = {
         " ELSE local || CASE WHEN k % 10 < 4 THEN CAST(k % 20 AS STRING) ELSE CAST(k AS STRING) END || '@' || domain END"
     ),
     "raw_phone": (
-        "CASE WHEN k % 15 = 0 THEN '' WHEN k % 8 = 0 THEN '+84 9' || digits WHEN k % 9 = 0 THEN '9' || digits || '.0' WHEN k % 10 = 0 THEN '9' || digits"
+        "CASE WHEN k % 15 = 0 THEN '' WHEN k % 7 = 3 THEN '09' || CAST(10000000 + k % 50 AS STRING) WHEN k % 8 = 0 THEN '+84 9' || digits WHEN k % 9 = 0 THEN '9' || digits || '.0' WHEN k % 10 = 0 THEN '9' || digits"
         " WHEN k % 11 = 0 THEN '09' || digits || ' / 0900000001' WHEN k % 12 = 0 THEN '123456789012' ELSE '09' || digits END"
     ),
 }

@@ -20,7 +20,6 @@ def staged(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.gettempdir() + "/muster-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-Cell = tuple[int, str, int, int, int, str]  # sheet, its name, table, row, column, value
+Cell = tuple[int, int, str, int, int, int, str]  # number of sheets, sheet, its name, table, row, column, value
 
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -52,7 +52,7 @@ def xlsx_cells(data: bytes) -> Iterator[Cell]:
                         elif kind in (None, "n") and re.fullmatch(r"-?\d+\.0+", value):
                             value = value.split(".")[0]
                         if value:
-                            yield s, sheet.get("name"), 0, row, at, value
+                            yield len(sheets), s, sheet.get("name"), s, row, at, value
                     elif event == "end" and _tag(node) == "row":
                         node.clear()
 
@@ -63,20 +63,18 @@ def _docx_body(data: bytes):
 
 
 def docx_cells(data: bytes) -> Iterator[Cell]:
-    """The cells of all tables; a merged cell keeps its text in its first column. Links count as text."""
-    for t, table in enumerate(x for x in _docx_body(data) if _tag(x) == "tbl"):
+    """The cells of all tables, and the paragraphs outside of them as table -1. A merged cell keeps its text in its
+    first column; links count as text."""
+    body = _docx_body(data)
+    for r, text in enumerate(_texts(p) for p in body if _tag(p) == "p"):
+        if text.strip():
+            yield 1, 0, "", -1, r, 0, text
+    for t, table in enumerate(x for x in body if _tag(x) == "tbl"):
         for r, row in enumerate(x for x in table if _tag(x) == "tr"):
             at = 0
             for cell in (x for x in row if _tag(x) == "tc"):
                 span = next((int(v) for x in cell.iter() if _tag(x) == "gridSpan" for k, v in x.attrib.items() if k.endswith("val")), 1)
                 value = "\n".join(_texts(p) for p in cell if _tag(p) == "p")
                 if value.strip():
-                    yield 0, "", t, r, at, value
+                    yield 1, 0, "", t, r, at, value
                 at += span
-
-
-def docx_lines(data: bytes) -> Iterator[str]:
-    """The paragraphs outside of tables."""
-    for p in _docx_body(data):
-        if _tag(p) == "p":
-            yield _texts(p)

@@ -1,67 +1,75 @@
 from __future__ import annotations
 
-import os
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc
+from .office import Cell, docx_cells, xlsx_cells
 
-CELLS = "source string, sheet_idx int, sheet_name string, table_id int, row_pos long, col_idx int, value string"
-OFFICE = CELLS + ", error string"
+CELLS = "source string, file string, kind string, n_sheets int, sheet_idx int, sheet_name string, table_id int, row_pos long, col_idx int, value string, error string"
+COLUMNS = [c.split()[0] for c in CELLS.split(", ")]
+KINDS = {"csv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "docx": "docx"}
+_SMALL = {"n_sheets": "Int32", "sheet_idx": "Int32", "table_id": "Int32", "row_pos": "Int64", "col_idx": "Int32"}
 
 
 def _name(path):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of CSV files without a header row. A file is one split (its rows are in order, quoted cells may
-    hold line breaks) and is parsed by one task; more files give more tasks."""
-    files = spark.read.format("binaryFile").load(path).select(_name(F.col("path")).alias("source"), F.decode("content", "UTF-8").alias("text"))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
+def csv_cells(data: bytes) -> Iterator[Cell]:
+    """Bytes that are no UTF-8 are left out; quoted cells may hold line breaks."""
+    for r, row in enumerate(csv.reader(io.StringIO(data.decode("utf-8-sig", errors="ignore")))):
+        for c, v in enumerate(row):
+            if v.strip():
+                yield 1, 0, "", 0, r, c, v
 
-        for batch in batches:
-            for source, text in zip(batch["source"], batch["text"], strict=True):
-                rows = csv.reader(io.StringIO((text or "").lstrip("﻿").replace("�", "")))
-                out = [(source, 0, "", 0, r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row) if v.strip()]
-                yield pd.DataFrame(out, columns=["source", "sheet_idx", "sheet_name", "table_id", "row_pos", "col_idx", "value"])
 
-    return files.mapInPandas(parse, CELLS).withColumn("value", nfc("value"))
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = {"csv": csv_cells, "xlsx": xlsx_cells, "docx": docx_cells}
+    for batch in batches:
+        for where, data in zip(batch["path"], batch["content"], strict=True):
+            file = where.rsplit("/", 1)[-1]
+            kind = file.rsplit(".", 1)[-1].lower() if "." in file else ""
+            try:
+                if kind not in KINDS:
+                    raise ValueError(f"no reader for .{kind}; .pdf, .doc and .xls have to be converted first")
+                rows = [(where, file, KINDS[kind], *cell, None) for cell in reader[KINDS[kind]](bytes(data))]
+            except Exception as e:  # a damaged file is a row, not a failed job
+                rows = [(where, file, kind, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+            for k in range(0, len(rows), 50_000):
+                yield pd.DataFrame(rows[k : k + 50_000], columns=COLUMNS).astype(_SMALL)
 
 
-def _office(spark: SparkSession, path: str) -> DataFrame:
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .office import docx_cells, xlsx_cells
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of a file or of all files of a folder, and a row with ``error`` for each that can't be read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_parse, CELLS).withColumn("value", nfc("value"))
 
-        for batch in batches:
-            for where, data in zip(batch["path"], batch["content"], strict=True):
-                source, kind = where.rsplit("/", 1)[-1], where.rsplit(".", 1)[-1].lower()
-                try:
-                    reader = {"xlsx": xlsx_cells, "xlsm": xlsx_cells, "docx": docx_cells}[kind]
-                    rows = [(source, *cell, None) for cell in reader(bytes(data))]
-                except KeyError as e:
-                    rows = [(source, None, None, None, None, None, None, f"unsupported or broken: {e}")]
-                except Exception as e:  # a damaged file is a row, not a failed job
-                    rows = [(source, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["source", "sheet_idx", "sheet_name", "table_id", "row_pos", "col_idx", "value", "error"]).astype({"sheet_idx": "Int32", "table_id": "Int32", "row_pos": "Int64", "col_idx": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, OFFICE)
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of CSV files without a header row. A file is parsed by one task, which holds it in memory: lists of
+    people are small, and more files give more tasks."""
+    return _read(spark, path).where("error is null and kind = 'csv'")
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of .xlsx, .xlsm and .docx files."""
-    return _office(spark, path).where("error is null").drop("error").withColumn("value", nfc("value"))
+    """Cells of .xlsx, .xlsm and .docx files; table_id is the sheet or table, and -1 for paragraphs."""
+    return _read(spark, path).where("error is null and kind <> 'csv'")
+
+
+def errors(cells: DataFrame) -> DataFrame:
+    """source, code, message of the files that couldn't be read. cells: with their rows of errors."""
+    return cells.where("error is not null").select("source", F.lit("source_unreadable").alias("code"), F.concat("file", F.lit(": không đọc được tệp ("), "error", F.lit(")")).alias("message"))
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    """source, code, message of the files that read_office couldn't read."""
-    return _office(spark, path).where("error is not null").select("source", F.lit("source_unreadable").alias("code"), F.col("error").alias("message"))
+    return errors(_read(spark, path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -70,20 +78,35 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("source", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "text"))
 
 
+def _is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether path is a file without a byte, which Spark's readers pass over."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isFile() and files.getFileStatus(where).getLen() == 0
+
+
 def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cells of files of any supported kind, chosen by extension."""
-    readers = {".csv": read_csv, ".xlsx": read_office, ".xlsm": read_office, ".docx": read_office}
+    """Cells of files of any supported kind, with source_no (their place in paths) and error.
+
+    A file is known by its whole path (source) and shown by its name (file), so two files of one name stay two. One
+    that is missing, broken or of another kind is a row with an error.
+    """
     out = None
-    for path in paths:
-        kind = os.path.splitext(path)[1].lower()
-        if kind not in readers:
-            raise ValueError(f"no reader for {kind or path}: .pdf, .doc and .xls have to be converted first")
-        cells = readers[kind](spark, path)
+    for no, path in enumerate(paths):
+        broken = lambda why: spark.createDataFrame([(path, path.rsplit("/", 1)[-1], "", None, None, None, None, None, None, None, why)], CELLS)  # noqa: B023, E731
+        try:
+            cells = broken("empty file") if _is_empty(spark, path) else _read(spark, path)
+        except AnalysisException as e:
+            cells = broken(str(e).split("\n")[0])
+        cells = cells.withColumn("source_no", F.lit(no))
         out = cells if out is None else out.unionByName(cells)
-    return out
+    return spark.createDataFrame([], CELLS + ", source_no int") if out is None else out
 
 
-def only_sheet(cells: DataFrame) -> DataFrame:
-    """cells with source named 'file [Sheet: name]' where a workbook has several sheets."""
-    several = F.max("sheet_idx").over(Window.partitionBy("source")) > 0
-    return cells.withColumn("source", F.when(several, F.concat("source", F.lit(" [Sheet: "), "sheet_name", F.lit("]"))).otherwise(F.col("source")))
+def label_sheets(cells: DataFrame, always: bool = True) -> DataFrame:
+    """cells with label, what people see: the file's name, and the sheet's if the workbook has several (``always``) or
+    more than one of its sheets is asked for. Sheets become sources of their own."""
+    several = F.col("n_sheets") > 1 if always else F.col("parts") > 1
+    sheet = F.concat(F.lit(" [Sheet: "), "sheet_name", F.lit("]"))
+    named = cells.withColumn("label", F.when(several, F.concat("file", sheet)).otherwise(F.col("file")))
+    return named.withColumn("source", F.when(F.col("n_sheets") > 1, F.concat("source", sheet)).otherwise(F.col("source")))

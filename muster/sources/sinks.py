@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -13,7 +14,10 @@ from ..operators.records import reason_label
 # The headers of the two layouts and of the issue report.
 LAYOUT_1 = ("Email", "Mật khẩu", "Họ và tên", "Điện thoại")
 LAYOUT_2 = ("Tên tài khoản", "Email", "SĐT", "Mật khẩu", "Giới tính", "Ngày sinh", "Đơn vị", "Tổ chức")
-ISSUES = ("Tệp nguồn", "STT", "Họ và tên (gốc)", "Email (gốc)", "Điện thoại (gốc)", "Lý do", "Ghi chú")
+ISSUES = {
+    "source": "Tệp nguồn", "stt": "STT", "raw_name": "Họ và tên (gốc)", "raw_email": "Email (gốc)", "raw_phone": "Điện thoại (gốc)",
+    "raw_unit": "Đơn vị công tác (gốc)", "reason": "Lý do", "note": "Ghi chú",
+}
 
 
 def layout(records: DataFrame, password: str | None = None) -> DataFrame:
@@ -27,9 +31,17 @@ def layout(records: DataFrame, password: str | None = None) -> DataFrame:
     return records.select(*[c.alias(n) for c, n in zip([text("email"), secret, text("name"), text("phone")], LAYOUT_1, strict=True)])
 
 
-def issue_report(issues: DataFrame) -> DataFrame:
-    columns = [F.col("source"), F.col("stt"), F.col("raw_name"), F.col("raw_email"), F.col("raw_phone"), reason_label(F.col("reason")), F.col("note")]
-    return issues.select(*[c.alias(n) for c, n in zip(columns, ISSUES, strict=True)])
+def issue_columns(issues: DataFrame) -> list[str]:
+    """The columns of a report: the source only if there are several, the unit if rows have one, the note if one is given."""
+    seen = issues.agg(F.count_distinct("source").alias("sources"), F.count("note").alias("notes")).first()
+    optional = {"source": seen["sources"] > 1, "raw_unit": "raw_unit" in issues.columns, "note": seen["notes"] > 0}
+    return [c for c in ISSUES if optional.get(c, True)]
+
+
+def issue_report(issues: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    value = {"reason": reason_label(F.col("reason"))}
+    wanted = columns or [c for c in ISSUES if c in issues.columns]
+    return issues.select(*[value.get(c, F.col(c)).alias(ISSUES[c]) for c in wanted])
 
 
 def write_table(rows: DataFrame, path: str, kind: str = "csv") -> None:
@@ -38,9 +50,10 @@ def write_table(rows: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
-def write_xlsx(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
+def write_xlsx(rows: DataFrame, path: str, most: int = 1_000_000, template: str | None = None) -> int:
     """One workbook, written by the driver from a stream of rows; a sheet holds at most ``most`` of them, and
-    more is an error, not a cut. Returns the number of rows."""
+    more is an error, not a cut. Returns the number of rows. template: a workbook whose first sheet's header row, styles
+    and other parts are kept; the rows go below its header in place of what is there."""
 
     def line(r: int, values) -> str:
         cells = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else "<c/>" for v in values)
@@ -50,7 +63,29 @@ def write_xlsx(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    n = 0
+
+    def below(f) -> int:
+        n = 0
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            n += 1
+            if n > most:
+                raise ValueError(f"more than {most} rows: write CSV or Parquet instead")
+            f.write(line(n + 1, row).encode())
+        return n
+
+    if template:
+        with zipfile.ZipFile(template) as old, zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            sheet = next(n for n in sorted(old.namelist()) if re.match(r"xl/worksheets/[^/]+\.xml$", n))
+            for name in old.namelist():
+                if name != sheet:
+                    z.writestr(old.getinfo(name), old.read(name))
+            before, data, after = re.fullmatch(r"(.*?)(<sheetData\s*/>|<sheetData>.*</sheetData>)(.*)", old.read(sheet).decode(), re.S).groups()
+            header = re.search(r"<row\b.*?</row>", data, re.S)
+            with z.open(sheet, "w") as f:
+                f.write(re.sub(r"<dimension[^>]*/>", "", before).encode() + b"<sheetData>" + (header.group() if header else line(1, rows.columns)).encode())
+                n = below(f)
+                f.write(("</sheetData>" + after).encode())
+        return n
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -58,10 +93,6 @@ def write_xlsx(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
             f.write(f'{head}<worksheet xmlns="{main}"><sheetData>{line(1, rows.columns)}'.encode())
-            for row in rows.toLocalIterator(prefetchPartitions=True):
-                n += 1
-                if n > most:
-                    raise ValueError(f"more than {most} rows: write CSV or Parquet instead")
-                f.write(line(n + 1, row).encode())
+            n = below(f)
             f.write(b"</sheetData></worksheet>")
     return n

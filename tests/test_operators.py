@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from muster.operators import domains, freetext, profile, provinces, recover, search, sequence, sheets, units
+from muster.operators import content, context, domains, freetext, profile, provinces, recover, search, sequence, sheets, units
 
 ROWS = "source string, row_pos long, stt string, raw_name string, raw_email string, raw_phone string"
 
@@ -65,9 +65,10 @@ def test_name_fragments(spark):
 
 def test_logical_tables(spark):
     head = ["STT", "Họ tên", "Email"]
-    data = [("a", 0, 0, head), ("a", 0, 1, ["1", "A", "a@x"]), ("a", 1, 0, head), ("a", 1, 1, ["2", "B", "b@x"]), ("a", 2, 0, ["x", "y"])]
-    got = sequence.logical_tables(spark.createDataFrame(data, "source string, table_idx int, row_pos long, cells array<string>"))
-    assert sorted((r.logical_id, r.cells[0]) for r in got.collect()) == [(1, "1"), (1, "2"), (1, "STT"), (2, "x")]
+    data = [("a", 0, 0, ["Mẫu", None, None]), ("a", 0, 1, head), ("a", 0, 2, ["1", "A", "a@x"]), ("a", 1, 0, head), ("a", 1, 1, ["2", "B", "b@x"]), ("a", 2, 0, ["x", "y"])]
+    data = [(*r, 1 if r[1] == 0 else 0) for r in data]
+    got = sequence.logical_tables(spark.createDataFrame(data, "source string, table_idx int, row_pos long, cells array<string>, header_pos long"))
+    assert sorted((r.logical_id, r.row_pos, r.cells[0]) for r in got.collect()) == [(1, 0, "Mẫu"), (1, 1, "STT"), (1, 2, "1"), (1, 4, "2"), (2, 0, "x")]
 
 
 def test_asof_unit(spark):
@@ -77,8 +78,8 @@ def test_asof_unit(spark):
 
 
 def cells(spark, table, source="a", sheet=0):
-    data = [(source, sheet, "", 0, r, c, v) for r, row in enumerate(table) for c, v in enumerate(row) if v]
-    return spark.createDataFrame(data, "source string, sheet_idx int, sheet_name string, table_id int, row_pos long, col_idx int, value string")
+    data = [(source, source, "xlsx", sheet, f"s{sheet}", sheet, r, c, v) for r, row in enumerate(table) for c, v in enumerate(row) if v]
+    return spark.createDataFrame(data, "source string, file string, kind string, sheet_idx int, sheet_name string, table_id int, row_pos long, col_idx int, value string")
 
 
 TABLE = [["Danh sách mẫu"], ["STT", "Họ và tên", "Đơn vị công tác", "Email", "Số điện thoại"], ["1", "Test Văn Một", "Sở Mẫu", "mot@x.vn", "0900000001"], ["2", "Test Thị Hai", "Sở Mẫu", "hai@x.vn", "0900000002"]]
@@ -111,6 +112,13 @@ def test_sheets(spark):
     book = cells(spark, first, sheet=0).union(cells(spark, second, sheet=1)).union(cells(spark, third, sheet=2))
     assert [(r.emails, r.overlap, r.skip) for r in sheets.sheet_stats(book).orderBy("sheet_idx").collect()] == [(4, 0, False), (4, 3, True), (3, 0, False)]
     assert {r.sheet_idx for r in sheets.pick_sheets(book).select("sheet_idx").distinct().collect()} == {0, 2}
+    assert {r.sheet_idx for r in sheets.pick_sheets(book, "s1").collect()} == {1} and sheets.pick_sheets(book, "x").count() == 0
+    assert [(r.sheet, r.suggest_skip) for r in sheets.list_sheets(book).collect()] == [("s0", False), ("s1", True), ("s2", False)]
+    assert sheets.skip_warnings(sheets.sheet_stats(book), book).first().message == "a [Sheet: s1]: bỏ qua sheet này vì trùng 3/4 email với sheet trước; 1 email mới trong sheet không được đọc"
+    people = cells(spark, [["Họ tên", "Email"], ["Test A", ""], ["Test B", ""], ["Test C", ""]], sheet=3)
+    both = book.union(people)
+    assert [r.code for r in sheets.people_warnings(sheets.sheet_stats(both), both, profile.rich_header_map(both)).collect()] == ["sheet_without_email"]
+    assert {r.sheet_idx for r in sheets.pick_sheets(both, every=True).collect()} == {0, 2, 3}
     assert {r.sheet_idx for r in sheets.pick_sheets(cells(spark, [["x"]]).union(cells(spark, [["y"]], sheet=1))).collect()} == {0}
 
 
@@ -124,12 +132,17 @@ def test_provinces(spark):
     assert provinces.province_table(spark).where("not is_old").select("current").distinct().count() == 34
     source = emails(spark, {"cantho.gov.vn": 5, "gmail.com": 2})
     assert provinces.province_from_domains(source).first().province == "Cần Thơ"
-    assert provinces.default_mismatch(source, "Huế").count() == 1 and provinces.default_mismatch(source, "Cần Thơ").count() == 0
+    given = lambda name: source.withColumn("default", F.lit(name))
+    assert [provinces.default_mismatch(given(x)).count() for x in ("Huế", "Cần Thơ", "Viện Mẫu", None)] == [1, 0, 0, 0]
+    assert provinces.suggestions(source.select("source", "row_pos", F.col("email").alias("value"))).first().province == "Cần Thơ"
+    each = data.withColumn("d", F.when(F.col("t").startswith("Sở"), "Viện Mẫu").when(F.col("t").startswith("TP"), "Huế").when(F.col("t").startswith("Trường"), "Huế"))
+    got = {r.t: r.o for r in each.withColumn("o", provinces.organisation(F.col("t"), F.col("d"))).collect()}
+    assert (got["Sở Mẫu tỉnh Vĩnh Phúc"], got["Trường Hải Đường"], got["TP. Hồ Chí Minh"], got["Khánh Hoà"]) == ("VIỆN MẪU", "THÀNH PHỐ HUẾ", "THÀNH PHỐ HỒ CHÍ MINH", "TỈNH KHÁNH HÒA")
 
 
 def test_units(spark):
     cases = {
-        "Văn phòng Đảng ủy xã Mẫu Phìn": "Xã Mẫu Phìn - Cần Thơ", "phòng vh xã nam định": "Xã Nam Định - Cần Thơ", "UBND PHƯỜNG MẪU HƯNG": "Phường Mẫu Hưng - Cần Thơ", "Hải Dương": "Hải Dương",
+        "Văn phòng Đảng ủy xã Mẫu Phìn": "Xã Mẫu Phìn - Cần Thơ", "phòng ct xã mẫu ninh": "Xã Mẫu Ninh - Cần Thơ", "UBND PHƯỜNG MẪU HƯNG": "Phường Mẫu Hưng - Cần Thơ", "Hải Dương": "Hải Dương",
         "Hợp tác xã Mẫu": "Hợp tác xã Mẫu - Cần Thơ", "TT Y tế": "Trung tâm Y tế - Cần Thơ", "Ngân hàng Chính sách Xã hội": "Ngân hàng Chính sách Xã hội - Cần Thơ", "": "", None: "",
         "Chi nhánh số 1 - Văn phòng Mẫu - Sở Mẫu Một thành phố Hồ Chí Minh": "Sở Mẫu Một - Hồ Chí Minh", "Phường 5": "Phường 5 - Cần Thơ",
     }
@@ -142,6 +155,37 @@ def test_units(spark):
     assert spark.sql("select 'SỞ MẪU MỘT CỘNG HÒA XÃ HỘI' h").select(units.document_issuer(F.col("h"))).first()[0] == "Sở Mẫu Một"
 
 
+def test_job_titles(spark):
+    cases = {"Chuyên viên": "", "Phó Giám đốc Trung tâm Mẫu": "Trung tâm Mẫu", "Trưởng phòng": "", "Trường Mẫu": None, "Giám đốc, Phòng Mẫu Hai": "Phòng Mẫu Hai", "P. Chi cục trưởng": ""}
+    data = spark.createDataFrame([(k,) for k in cases], "u string")
+    got = {r.u: (r.rest if r.job else None) for r in data.select("u", units.is_job_title(F.col("u")).alias("job"), units.without_job_titles(F.col("u")).alias("rest")).collect()}
+    assert got == cases
+    under = data.select("u", units.unit_under_group(F.col("u"), F.lit("Cơ quan Sở Mẫu")).alias("x")).collect()
+    assert {r.u: r.x for r in under}["Trường Mẫu"] == "Trường Mẫu" and {r.x for r in under} == {"Sở Mẫu", "Trường Mẫu"}
+
+
+def test_context(spark):
+    lines = {"Tên cơ quan, đơn vị: Phòng Mẫu\nkhác": "Phòng Mẫu", "Danh sách đăng ký của Văn phòng Mẫu Một.": "Văn phòng Mẫu Một", "Danh sách": None}
+    got = spark.createDataFrame([(k,) for k in lines], "t string").select("t", context.title_unit(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got} == lines
+    table = [["SỞ MẪU VÀ THỬ Độc lập", ""], ["Sở Mẫu và Thử báo cáo", ""], ["Họ tên", "Email"], ["A", "a@x.vn"]]
+    frame = cells(spark, table)
+    assert context.table_context(frame, profile.rich_header_map(frame)).first().doc_issuer == "Sở Mẫu và Thử"
+
+
+def test_content_rows(spark):
+    table = [
+        ["I", "ĐẢNG ỦY MẪU"], ["1", "Nguyễn Test", "Chuyên viên", "mot@x.vn", "0900000001"], ["", "Ba", "", "", ""], ["", "2", "", "hai @x.vn", "Test Hai", "900000002"],
+        ["3", "Test Bốn", "Phòng Mẫu Năm", "", ""], ["", "", "", "bon@x.vn", ""], ["", "", "", "", "0900000004"], ["4", "Test Sáu", "Sở Mẫu", "sau.tinh.gov.vn", ""],
+    ]
+    data = spark.createDataFrame([("a", k, r) for k, r in enumerate(table)], "source string, row_pos long, cells array<string>")
+    got = content.assemble_rows(content.parse_rows(data)).orderBy("row_pos").collect()
+    assert [(r.stt, r.raw_name, r.raw_unit, r.raw_email, r.raw_phone, r.group) for r in got] == [
+        ("1", "Nguyễn Test Ba", "Chuyên viên", "mot@x.vn", "0900000001", "ĐẢNG ỦY MẪU"), ("2", "Test Hai", "", "hai @x.vn", "900000002", "ĐẢNG ỦY MẪU"),
+        ("3", "Test Bốn", "Phòng Mẫu Năm", "bon@x.vn", "0900000004", "ĐẢNG ỦY MẪU"), ("4", "Test Sáu", "Sở Mẫu", "sau.tinh.gov.vn", None, "ĐẢNG ỦY MẪU"),
+    ]
+
+
 def test_freetext(spark):
     text = "Họ tên: Test Một\nEmail: mot@x.vn\nSĐT: 0900000001\n\nghi chú chung\n\nPhụ lục liên hệ\n0900000009\n\nTest Hai\nhai@x.vn"
     got = freetext.contacts(spark.createDataFrame([("a", text)], "source string, text string")).orderBy("row_pos").collect()

@@ -73,16 +73,18 @@ def test_word_tables(spark, tmp_path):
     body = f'<w:p><w:r><w:t>lead</w:t></w:r></w:p><w:tbl><w:tr>{cell("Họ tên", "<w:gridSpan w:val=%s/>" % chr(34) .join(["", "2", ""]))}{cell("Email")}</w:tr><w:tr>{cell("Test")}{cell("x")}{cell("a@x.vn")}</w:tr></w:tbl>'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
-    got = {(r.row_pos, r.col_idx): r.value for r in read_office(spark, str(tmp_path / "a.docx")).collect()}
+    got = {(r.row_pos, r.col_idx): r.value for r in read_office(spark, str(tmp_path / "a.docx")).where("table_id >= 0").collect()}
     assert got == {(0, 0): "Họ tên", (0, 2): "Email", (1, 0): "Test", (1, 1): "x", (1, 2): "a@x.vn"}
+    assert [r.value for r in read_office(spark, str(tmp_path / "a.docx")).where("table_id = -1").collect()] == ["lead"]
 
 
 def test_broken_files_are_rows(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
     assert read_office(spark, str(tmp_path / "bad.xlsx")).count() == 0
     assert read_errors(spark, str(tmp_path / "bad.xlsx")).first().code == "source_unreadable"
-    with pytest.raises(ValueError):
-        read_cells(spark, ["x.pdf"])
+    (tmp_path / "x.pdf").write_bytes(b"")
+    every = read_cells(spark, [str(tmp_path / "x.pdf"), str(tmp_path / "none.csv"), str(tmp_path / "bad.xlsx")])
+    assert [r.file for r in every.where("error is not null").orderBy("source_no").collect()] == ["x.pdf", "none.csv", "bad.xlsx"]
 
 
 def test_text_lines(spark, tmp_path):
