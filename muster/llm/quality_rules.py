@@ -28,10 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import textops as T
 from .tables import table
 
+# Phrases of notices and page furniture in English, German, French and Spanish (ASCII capitals folded).
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies",
     "enable javascript", "subscribe to our newsletter", "click here", "sign up for", "licensed under", "released under the",
     "powered by", "lorem ipsum", "share this", "skip to content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "newsletter abonnieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "cliquez ici", "abonnez-vous à", "aller au contenu",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "política de cookies", "haga clic aquí", "suscríbase a", "saltar al contenido",
 )
 
 _SYMBOL = np.zeros(256, bool)
