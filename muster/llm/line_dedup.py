@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import BLANKS, join_groups, kept, scratch, table
+from .tables import BLANKS, join_groups, kept, merged, scratch, table
 
 
 def _words(line: Column) -> Column:
@@ -128,15 +128,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         spread = lines.select("h1", "h2", F.inline("keys"))
         shared = keep(spread.groupBy("key").agg(F.count("*").alias("size"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key", "size"))
         masks = join_groups(spread, shared, ["key"], 3 * n).groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
-        per_doc = masks.join(firsts, ["h1", "h2"]).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks")).alias("wanted"))
-        fetched = texts.join(per_doc, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
+        per_doc = masks.join(merged(firsts), ["h1", "h2"]).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first", "ks")).alias("wanted"))
+        fetched = texts.join(merged(per_doc), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
         worded = keep(fetched.select(_words(F.element_at("all", F.col("one.first.line_no") + 1)).alias("words"), "one.first", "one.ks").dropDuplicates(["first"]))
 
         pairs = _candidates(keep(_fine(worded)), keep)
         sides = [worded.select(F.col("first").alias(c), F.col("words").alias(f"{c}_words")) for c in ("first", "other")]
-        near = pairs.join(sides[0], "first").join(sides[1], "other").where(_one_edit(F.col("first_words"), F.col("other_words"))).select("first", F.lit(True).alias("near")).distinct()
+        near = pairs.join(merged(sides[0]), "first").join(merged(sides[1]), "other").where(_one_edit(F.col("first_words"), F.col("other_words"))).select("first", F.lit(True).alias("near")).distinct()
 
-        judged = keep(firsts.join(near, "first", "left").where("size > 1 or near"))
+        judged = keep(firsts.join(merged(near), "first", "left").where("size > 1 or near"))
         places = lines.select("h1", "h2", "doc_id", "line_no")
         gone = join_groups(places, judged, ["h1", "h2"], n).where((F.struct("doc_id", "line_no") != F.col("first")) | F.col("near"))
         return kept(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")))
@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the remaining lines as text, n_lines and n_removed."""
     gone = removed_lines(docs).withColumnRenamed("lines", "_muster_gone")
     base = docs.drop("n_lines", "n_removed")
-    rows = base.where("doc_id is not null").join(gone, "doc_id", "left")
+    rows = base.where("doc_id is not null").join(merged(gone), "doc_id", "left")
     rows = rows.unionByName(base.where("doc_id is null").withColumn("_muster_gone", F.lit(None).cast("array<int>")))
     split = rows.withColumn("_muster_lines", F.split("text", "\n"))
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import components
-from .tables import join_groups, kept, scratch, table
+from .tables import join_groups, kept, merged, scratch, table
 
 ROWS = 5
 STEP = 40
@@ -298,23 +298,23 @@ def ngram_join(
         sets = keep(signed.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
         firsts = sets.select(F.col("rep").alias("doc_id"), "copies")
 
-        keys = keep(signed.join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")))
+        keys = keep(signed.join(merged(firsts), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")))
         shared = keep(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi"))
         members = join_groups(keys, shared, ["key"], keys.count())
         sigs = signed.select("doc_id", "n", "sig")
-        buckets = _grouped(_blocked(members, "key", F.col("size") / bucket_block).drop("key").join(sigs, "doc_id"))
+        buckets = _grouped(_blocked(members, "key", F.col("size") / bucket_block).drop("key").join(merged(sigs), "doc_id"))
         near = buckets.select("group", "side", "doc_id", "n", "sig").mapInArrow(_link_buckets(least, threshold), "a long, b long")
         clusters = keep(components(near).withColumnRenamed("node", "doc_id").join(signed.select("doc_id", "n").distinct(), "doc_id"))
 
         sizes = keep(clusters.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("all")))
         blocks = F.greatest(F.col("size") / cluster_block, F.col("all") / cluster_shingles)
         placed = _blocked(join_groups(clusters.drop("n"), sizes, ["component"], clusters.count()), "component", blocks).drop("component", "all")
-        whole = placed.join(firsts, "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+        whole = placed.join(merged(firsts), "doc_id").join(merged(sigs.select("doc_id", "sig")), "doc_id").join(merged(texts), "doc_id")
         found = keep(_grouped(whole.select("group", "side", "doc_id", "copies", "sig", "text")).mapInArrow(_verify_clusters(least, threshold, n), "doc_id long, links long, lead long"))
 
         classes = components(found.select("doc_id", "lead")).select(F.col("node").alias("rep"), F.col("component").alias("class"))
         links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-        joined = sets.join(links, "rep", "left").join(classes, "rep", "left")
+        joined = sets.join(merged(links), "rep", "left").join(merged(classes), "rep", "left")
         per_set = keep(joined.select("f1", "f2", "n", F.col("copies").alias("size"), F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
         rows = kept(join_groups(signed.select("doc_id", "f1", "f2", "n"), per_set, ["f1", "f2", "n"], signed.count()).select("doc_id", "class_id", "n_links"))
     empty = texts.where(F.coalesce(F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) == 0)
@@ -324,7 +324,7 @@ def ngram_join(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents of a class but its first, with all their columns."""
     gone = ngram_join(docs, **options).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(merged(gone), "doc_id", "left_anti")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

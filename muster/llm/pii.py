@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import join_groups, kept, scratch, table
+from .tables import join_groups, kept, merged, scratch, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE = KINDS[:4]
@@ -168,7 +168,7 @@ def all_spans(docs: DataFrame, **options) -> DataFrame:
 def sanitize(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of ``text`` generalised to its kind, as in [EMAIL] (where spans overlap, the
     first one's), and the spans."""
-    rows = _by_text(docs.drop("spans")).join(all_spans(docs, **options), TEXT, "left").drop(*TEXT)
+    rows = _by_text(docs.drop("spans")).join(merged(all_spans(docs, **options)), TEXT, "left").drop(*TEXT)
     start = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -182,7 +182,7 @@ def sanitize(docs: DataFrame, **options) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = _by_text(docs).drop("text").join(all_spans(docs), TEXT, "left")
+    rows = _by_text(docs).drop("text").join(merged(all_spans(docs)), TEXT, "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,end:bigint,value:string>>"))
 
     def told(which: Column) -> Column:

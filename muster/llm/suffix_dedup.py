@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .ngram_join import _by_group
-from .tables import join_groups, kept, scratch, table
+from .tables import join_groups, kept, merged, scratch, table
 
 Q = 32
 FLUSH = 1_000_000
@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
 
         def contexts(some: DataFrame) -> DataFrame:
             per_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "before", "after")).alias("anchors"))
-            return per_doc.join(texts, "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary")
+            return texts.join(merged(per_doc), "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary")
 
         dealt = contexts(usual).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "pos")
         spans = spans.union(keep(dealt.mapInArrow(_refine_buckets(length), "doc_id long, start int, end int")))
@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (kept) or their SHA-256 (digest)."""
     spans = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(spans, "doc_id", "left")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(merged(spans), "doc_id", "left")
     last = "kept_sha256 string" if digest else "kept binary"
     return rows.mapInArrow(_cut(digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 

@@ -84,18 +84,24 @@ def drop_kept(spark: SparkSession) -> None:
     _delete(spark, shared_dir(spark))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: joined by sorting at every size, never by a broadcast, so that small
+    runs do what large ones do."""
+    return df.hint("merge")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: int, least: int = 1000) -> DataFrame:
     """rows joined (inner) to groups, of which each key has one row and its number of rows in ``size``.
 
     A key with more than one in HOT of the ``n`` rows (and ``least``) is joined by a broadcast, so that its rows stay
-    where they are; there are fewer than HOT such keys, whatever the data. The others meet by a shuffle. Give tables
-    that are cheap to read twice.
+    where they are; there are fewer than HOT such keys, whatever the data. The others meet by a shuffle (merged()).
+    Give tables that are cheap to read twice.
     """
     bound = max(n / HOT, least)
     hot = groups.where(F.col("size") > bound)
     if hot.isEmpty():
-        return rows.join(groups, on)
-    usual = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col("size") <= bound), on)
+        return rows.join(merged(groups), on)
+    usual = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(merged(groups.where(F.col("size") <= bound)), on)
     return rows.join(F.broadcast(hot), on).unionByName(usual)
 
 
