@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .tables import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 #: op5, op6, op9 and op10 are held against brute force or held-out accuracy in tests/llm instead.
 ORACLE_SQL = {
@@ -32,4 +33,5 @@ ORACLE_SQL = {
     "op4_ngram_jaccard_join": oracle.NGRAM_JOIN,
     "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op8_mix_sources": mixing.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }

@@ -54,7 +54,7 @@ def kept(df: DataFrame) -> DataFrame:
     return _write(df)[1]
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def delete(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -76,12 +76,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def drop_kept(spark: SparkSession) -> None:
     """Deletes all that kept() has written for this application; earlier results can't be read after."""
-    _delete(spark, shared_dir(spark))
+    delete(spark, shared_dir(spark))
 
 
 def merged(df: DataFrame) -> DataFrame:
