@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
 from .tables import table
 
 
@@ -23,9 +23,10 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
-#: op5, op6, op9 and op10 are held against brute force or held-out accuracy in tests/llm instead.
+#: op5, op6, op9, op10 and op11 are held against brute force or held-out accuracy in tests/llm instead.
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_decontaminate": oracle.DECONTAMINATE,
