@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
+from . import decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, mixing, ngram_join, oracle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
 from .tables import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 #: op5, op6, op9, op10 and op11 are held against brute force or held-out accuracy in tests/llm instead.
@@ -34,5 +35,6 @@ ORACLE_SQL = {
     "op4_ngram_jaccard_join": oracle.NGRAM_JOIN,
     "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op8_mix_sources": mixing.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }
