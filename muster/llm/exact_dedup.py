@@ -36,11 +36,13 @@ from .tables import delete, kept, merged, scratch, shared_dir
 BLANKS = " \t\n\x0b\x0c\r"
 #: Fewer groups of copies than this (16 bytes each) are broadcast, so that texts without a copy stay where they are.
 BROADCAST_GROUPS = 1_000_000
-#: The state is in RocksDB; the memory of all its stores in an executor is bounded.
+#: The state is in RocksDB; the memory of all its stores in an executor is bounded, and a store allocates no disk ahead (else
+#: several MB each, whatever it holds).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
