@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.email import ADDRESS, holds_email, is_bare, is_email_like, normalize_email, squeeze_at
 from ..functions.phone import holds_phone, normalize_phone
 from ..functions.text import display, fold
+from .scan import above, look, total, upto
 from .sequence import AGENCY
 
 SHORT_STT = r"^(?:\d{1,4}\.?|[IVXLC]{1,6}\.?)$"
@@ -53,12 +54,9 @@ def assemble_rows(parsed: DataFrame, by: list[str] = ["source"]) -> DataFrame:
     cells without an address or number is a title. A row without a name belongs to the person above: it gives an address
     if theirs isn't one, and a number if they have none.
     """
-    w = Window.partitionBy(*by).orderBy("row_pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     name, nothing = F.col("raw_name"), F.col("raw_email").isNull() & (F.col("stt") == "")
     person_like = (F.col("has_identity") | (F.col("n_filled") > 2)) & (name != "")
-    above = F.last(F.when(person_like, F.struct("raw_name", "name_col", "raw_phone")), ignorenulls=True).over(before)
-    marked = parsed.where("n_filled > 0").withColumn("_above", above)
+    marked = look(parsed.where("n_filled > 0"), by, _above=above(F.when(person_like, F.struct("raw_name", "name_col", "raw_phone"))))
     last = F.col("_above")
     word = name.rlike(r"^\p{L}+$") & (F.col("n_text") == 1) & ~fold(name).rlike(AGENCY)
     fits = (F.col("name_col") == last["name_col"]) & ((name == F.upper(name)) == (last["raw_name"] == F.upper(last["raw_name"]))) & F.size(F.split(last["raw_name"], r"\s+")).between(1, 3) & (last["raw_name"] != "")
@@ -67,9 +65,8 @@ def assemble_rows(parsed: DataFrame, by: list[str] = ["source"]) -> DataFrame:
     title = ~F.col("_joins") & ~F.col("has_identity") & (F.col("n_filled") <= 2)
     marked = marked.withColumn("_title", title)
     person = ~F.col("_joins") & ~F.col("_title") & ((name != "") | last.isNull())
-    marked = marked.withColumn("_no", F.sum(person.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_person", person)
     shown = F.element_at(F.filter(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), -1)
-    marked = marked.withColumn("group", F.last(F.when(F.col("_title"), shown), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = look(marked.withColumn("_person", person), by, _no=total(F.col("_person").cast("int")), group=upto(F.when(F.col("_title"), shown)))
 
     piece = ~F.col("_person") & ~F.col("_joins") & ~F.col("_title")
     valid = normalize_email(F.col("raw_email")).isNotNull()

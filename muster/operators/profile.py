@@ -153,8 +153,8 @@ def to_rows(cells: DataFrame, fields: DataFrame, span: int = 3) -> DataFrame:
     c = cells.where(~blank(F.col("value")))
     hits = c.join(head, TABLE).where((F.col("row_pos") > F.col("header_pos")) & F.col("col_idx").between(F.col("first_col"), F.col("last")))
     per = hits.groupBy(*TABLE, "row_pos", "field", "first_col").agg(F.min_by(F.struct("col_idx", "value"), "col_idx").alias("v"))
-    off = F.count_if(F.col("v.col_idx") > F.col("first_col")).over(Window.partitionBy(*TABLE, "field"))
-    moved = per.withColumn("off", off).where((F.col("v.col_idx") == F.col("first_col")) | (F.col("off") >= 2))
+    off = per.groupBy(*TABLE, "field").agg(F.count_if(F.col("v.col_idx") > F.col("first_col")).alias("off"))  # a row a field, not a window over a list
+    moved = per.join(off, [*TABLE, "field"]).where((F.col("v.col_idx") == F.col("first_col")) | (F.col("off") >= 2))
     named = moved.groupBy(*TABLE, "row_pos").pivot("field", FIELDS).agg(F.first("v.value"))
     at = head.groupBy(*TABLE, "header_pos").pivot("field", FIELDS).agg(F.first("first_col"))
     at = at.select(*TABLE, "header_pos", *[F.col(f"`{f}`").alias(f"{f}_col") for f in FIELDS])

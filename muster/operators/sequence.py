@@ -1,7 +1,7 @@
 """Operators over the order of rows in a table: repair, ordinals, groups, fill-down.
 
-Order is row_pos within the keys ``by`` (a source, sheet or table); every window is partitioned by them, so
-tables are independent and none is gathered on the driver.
+Order is row_pos within the keys ``by`` (a source, sheet or table).  Rows of ``scan.in_ranges`` are worked on range by range, so
+that one list of any length is many tasks; other rows list by list.
 """
 
 from __future__ import annotations
@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import is_group_stt, parse_stt, stt_list
 from ..functions.phone import NUMBER, is_full_phone
 from ..functions.text import fold
+from .scan import above, after, before, look, total, upto
 
 # Words that start the name of an agency in a group's title (without accents).
 AGENCY = r"^(?:so|ban|phong|trung tam|van phong|vien|truong|tram|hoi|ubnd|hdnd|uy ban|co quan|dang uy|benh vien|chi cuc|cuc|cong an|xa|phuong|thi tran)(?![a-z])"
 
 
-def _window(by: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy("row_pos")
-
-
 def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
 def ordinals(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
-    """rows with stt_no and row_label: the ordinal, 'sau STT N' after the last one, or 'đầu bảng'."""
-    last = F.last(F.col("stt_no"), ignorenulls=True).over(_window(by).rowsBetween(Window.unboundedPreceding, -1))
-    label = F.when(F.col("stt_no").isNotNull(), F.col("stt_no").cast("string")).when(F.col("last_stt").isNotNull(), F.concat(F.lit("sau STT "), F.col("last_stt").cast("string"))).otherwise("đầu bảng")
-    return rows.withColumn("stt_no", parse_stt(F.col("stt"))).withColumn("last_stt", last).withColumn("row_label", label)
+    """rows with stt_no and row_label: the ordinal, 'sau STT N' after the last one, or 'đầu bảng'.
+
+    If rows have stt_col, those of a table without an ordinal column (null) are numbered from 1 instead.
+    """
+    numbered = rows.withColumn("stt_no", parse_stt(F.col("stt")))
+    looks = {"last_stt": above(F.col("stt_no"))} | ({"_nth": total(F.lit(1))} if "stt_col" in rows.columns else {})
+    seen = look(numbered, by, **looks)
+    label = F.when(F.col("stt_no").isNotNull(), F.col("stt_no").cast("string"))
+    if "stt_col" in rows.columns:
+        label = label.when(F.col("stt_col").isNull(), F.col("_nth").cast("string"))
+    label = label.when(F.col("last_stt").isNotNull(), F.concat(F.lit("sau STT "), F.col("last_stt").cast("string"))).otherwise("đầu bảng")
+    return seen.withColumn("row_label", label).drop("_nth")
 
 
 def stt_gaps(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -50,8 +55,7 @@ def gap_warnings(rows: DataFrame, by: list[str] = ["source"], sparse: float = 0.
 
 def fill_down(rows: DataFrame, column: str, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
     """rows with <column>_filled: the last value that isn't blank, down to the next."""
-    value = F.when(~blank(F.col(column)), F.trim(column))
-    return rows.withColumn(f"{column}_filled", F.last(value, ignorenulls=True).over(_window(by).rowsBetween(Window.unboundedPreceding, 0)))
+    return look(rows, by, **{f"{column}_filled": upto(F.when(~blank(F.col(column)), F.trim(column)))})
 
 
 def mark_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -60,13 +64,11 @@ def mark_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:
     nothing = blank(F.col("raw_email")) & blank(F.col("raw_phone"))
     titled = fold(F.coalesce("raw_name", F.lit(""))).rlike(AGENCY)
     roman = F.trim(F.coalesce("stt", F.lit(""))).rlike(r"^[IVXLC]{1,6}\.?$")
-    following = F.struct("stt", "raw_email")
-    ahead = F.lead(following).over(_window(by))
+    rows, ahead = look(rows, by, _ahead=after(F.struct("stt", "raw_email"))), F.col("_ahead")
     below = blank(ahead["stt"]) & F.contains(ahead["raw_email"], F.lit("@"))
     is_group = nothing & ~blank(F.col("raw_name")) & ((is_group_stt(F.col("stt")) & (titled | roman)) | (~is_group_stt(F.col("stt")) & (titled | F.coalesce(below, F.lit(False)))))
-    marked = rows.withColumn("is_group", F.coalesce(is_group, F.lit(False)))
-    title = F.when(F.col("is_group"), F.trim("raw_name"))
-    return marked.withColumn("group", F.last(title, ignorenulls=True).over(_window(by).rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("is_group", F.coalesce(is_group, F.lit(False))).drop("_ahead")
+    return look(marked, by, group=upto(F.when(F.col("is_group"), F.trim("raw_name"))))
 
 
 def drop_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -83,11 +85,12 @@ def drop_group_titles(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:
     others = F.aggregate(beside, F.lit(0), lambda s, x: s + F.length(x["c"]))
     agency = fold(F.coalesce("raw_name", F.lit(""))).rlike(AGENCY)
     roman_text = blank(F.col("raw_name")) & F.trim("stt").rlike(r"^[IVXLC]{1,6}[.)]?\s+\S") & (F.size(filled) == 1)
-    below = F.lead(F.struct("stt", F.exists("cells", lambda c: F.contains(cell(c), F.lit("@"))).alias("at"))).over(_window(by))
+    ahead = after(F.struct("stt", F.exists("cells", lambda c: F.contains(cell(c), F.lit("@"))).alias("at")))
+    rows, below = look(rows, by, _ahead=ahead), F.col("_ahead")
     numbered = parse_stt(F.col("stt")).isNotNull() & (others == 0) & (agency | (blank(below["stt"]) & below["at"]))
     loose = is_group_stt(F.col("stt")) & ((others <= 3) | agency)
     title = F.col("stt_col").isNotNull() & F.col("name_col").isNotNull() & (roman_text | (~blank(F.col("raw_name")) & ~contact & (loose | numbered)))
-    return rows.withColumn("_title", F.coalesce(title, F.lit(False))).where("not _title").drop("_title")
+    return rows.withColumn("_title", F.coalesce(title, F.lit(False))).where("not _title").drop("_title", "_ahead")
 
 
 def merge_continuations(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -96,14 +99,13 @@ def merge_continuations(rows: DataFrame, by: list[str] = ["source"]) -> DataFram
     Not if both have an @ in the address or both are whole phone numbers. Rows of one record make an island;
     the guards look at the cell above and at whether the island already has an address or number.
     """
-    has_at, full = F.contains(F.coalesce("raw_email", F.lit("")), F.lit("@")), is_full_phone(F.coalesce("raw_phone", F.lit("")))
-    w = _window(by)
-    named = F.sum((~blank(F.col("raw_name"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    filled = rows.where(~(blank(F.col("raw_name")) & blank(F.col("raw_email")) & blank(F.col("raw_phone")))).withColumn("_run", named)
-    inner = Window.partitionBy(*by, "_run").orderBy("row_pos").rowsBetween(Window.unboundedPreceding, -1)
-    again = (has_at & (F.coalesce(F.max(has_at.cast("int")).over(inner), F.lit(0)) == 1)) | (full & (F.coalesce(F.max(full.cast("int")).over(inner), F.lit(0)) == 1))
-    starts = (~blank(F.col("raw_name"))) | again | (F.col("_run") == 0)
-    island = filled.withColumn("_start", starts.cast("int")).withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named, place = ~blank(F.col("raw_name")), F.col("row_pos")
+    filled = rows.where(named | ~blank(F.col("raw_email")) | ~blank(F.col("raw_phone")))
+    filled = filled.withColumn("_at", F.contains(F.coalesce("raw_email", F.lit("")), F.lit("@"))).withColumn("_full", is_full_phone(F.coalesce("raw_phone", F.lit(""))))
+    seen = look(filled, by, _named=upto(F.when(named, place)), _at_above=above(F.when(F.col("_at"), place)), _full_above=above(F.when(F.col("_full"), place)))
+    again = lambda c: F.coalesce(F.col(c) & (F.col(f"{c}_above") >= F.col("_named")), F.lit(False))
+    starts = named | again("_at") | again("_full") | F.col("_named").isNull()
+    island = look(seen.withColumn("_start", starts.cast("int")), by, _island=total(F.col("_start")))
 
     def joined(c: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.struct("row_pos", F.coalesce(c, F.lit("")).alias("cell"))))
@@ -117,17 +119,16 @@ def merge_continuations(rows: DataFrame, by: list[str] = ["source"]) -> DataFram
 def join_name_fragments(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
     """A row of one word and nothing else is the second line of the name above it, of one to three words, if that
     row has an address or digits and the word isn't an agency's."""
-    w = _window(by)
-    above = F.lag(F.struct("raw_name", "raw_email", "raw_phone")).over(w)
+    rows, up = look(rows, by, _up=before(F.struct("raw_name", "raw_email", "raw_phone"))), F.col("_up")
     word = F.trim(F.coalesce("raw_name", F.lit("")))
-    one = word.rlike(r"^\p{L}+$") & blank(F.col("raw_email")) & (blank(F.col("raw_phone")) | (F.trim("raw_phone") == F.trim(above["raw_phone"]))) & blank(F.col("stt"))
-    same_case = (word == F.upper(word)) == (above["raw_name"] == F.upper(above["raw_name"]))
-    fits = F.size(F.split(F.trim(above["raw_name"]), r"\s+")).between(1, 3) & ~blank(above["raw_name"]) & (F.contains(above["raw_email"], F.lit("@")) | above["raw_phone"].rlike(r"\d"))
+    one = word.rlike(r"^\p{L}+$") & blank(F.col("raw_email")) & (blank(F.col("raw_phone")) | (F.trim("raw_phone") == F.trim(up["raw_phone"]))) & blank(F.col("stt"))
+    same_case = (word == F.upper(word)) == (up["raw_name"] == F.upper(up["raw_name"]))
+    fits = F.size(F.split(F.trim(up["raw_name"]), r"\s+")).between(1, 3) & ~blank(up["raw_name"]) & (F.contains(up["raw_email"], F.lit("@")) | up["raw_phone"].rlike(r"\d"))
     fragment = F.coalesce(one & same_case & fits & ~fold(word).rlike(AGENCY), F.lit(False))
-    marked = rows.withColumn("is_fragment", fragment)
-    nxt = F.lead(F.struct("is_fragment", "raw_name")).over(w)
-    name = F.when(F.coalesce(nxt["is_fragment"], F.lit(False)), F.concat_ws(" ", F.trim("raw_name"), F.trim(nxt["raw_name"]))).otherwise(F.col("raw_name"))
-    return marked.withColumn("raw_name", name).where(~F.col("is_fragment")).drop("is_fragment")
+    marked = look(rows.withColumn("is_fragment", fragment).drop("_up"), by, _down=after(F.struct("is_fragment", "raw_name")))
+    down = F.col("_down")
+    name = F.when(F.coalesce(down["is_fragment"], F.lit(False)), F.concat_ws(" ", F.trim("raw_name"), F.trim(down["raw_name"]))).otherwise(F.col("raw_name"))
+    return marked.withColumn("raw_name", name).where(~F.col("is_fragment")).drop("is_fragment", "_down")
 
 
 def logical_tables(rows: DataFrame) -> DataFrame:
@@ -152,6 +153,7 @@ def logical_tables(rows: DataFrame) -> DataFrame:
 
 def asof_unit(recovered: DataFrame, known: DataFrame) -> DataFrame:
     """recovered (source, stt_no) with the unit of the nearest lower ordinal of known (source, stt_no, unit)."""
+    known = known.groupBy("source", "stt_no").agg(F.max("unit").alias("unit"))  # an ordinal is one row: at most 99,999 a source
     both = known.select("source", "stt_no", "unit", F.lit(0).alias("side")).unionByName(recovered.select("source", "stt_no", F.lit(None).cast("string").alias("unit"), F.lit(1).alias("side")))
     w = Window.partitionBy("source").orderBy("stt_no", "side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("unit", F.last("unit", ignorenulls=True).over(w)).where("side = 1").drop("side")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_words, key, squeeze
 from .provinces import current_province, province_of
+from .scan import look, upto
 
 # What precedes a level word that names no commune, what ends a name in lower-case text, units
 # above or beside the commune, kinds of issuers, titles of jobs, and how units start.
@@ -124,10 +125,9 @@ def units_of_rows(rows: DataFrame, by: list[str] = ["source"]) -> DataFrame:  #
     filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     one = filled("raw_name") != filled("raw_unit")
     title = ~F.col("has_group") & ~filled("raw_email") & ~filled("raw_phone") & one
-    w = Window.partitionBy(*by).orderBy("row_pos").rowsBetween(Window.unboundedPreceding, 0)
     shown = F.when(filled("raw_name"), F.trim("raw_name")).otherwise(F.trim("raw_unit"))
     marked = rows.withColumn("_title", title)
-    marked = marked.withColumn("_group", F.last(F.when(F.col("_title"), shown), ignorenulls=True).over(w)).withColumn("_block", F.last(F.when(filled("raw_group"), F.trim("raw_group")), ignorenulls=True).over(w))
+    marked = look(marked, by, _group=upto(F.when(F.col("_title"), shown)), _block=upto(F.when(filled("raw_group"), F.trim("raw_group"))))
     blocks = find_commune(marked.select("_block").distinct().where("_block is not null"), "_block", "_commune")
     people = marked.where("not _title").join(blocks, "_block", "left")
     unit, second = F.trim(F.coalesce("raw_unit", F.lit(""))), F.trim(F.coalesce("raw_unit2", F.lit("")))

@@ -333,3 +333,7 @@ ORACLE_SQL: dict[str, str] = {
     "asof_unit": _GAPS + """ SELECT g.source, g.stt_no, max_by(n.raw_unit, n.stt_no) AS unit FROM gaps g
         LEFT JOIN n ON n.source = g.source AND n.stt_no < g.stt_no AND n.raw_unit <> '' GROUP BY ALL""",
 }
+
+#: The same with the rows of all sources as one list.
+for _long, _short in (("continuations", "continuation_rows"), ("titles", "group_headers"), ("units", "group_units"), ("labels", "after_stt_label"), ("gaps", "stt_gaps")):
+    ORACLE_SQL[f"long_list_{_long}"] = ORACLE_SQL[_short].replace("SELECT n_name AS source", "SELECT 'all' AS source", 1)

@@ -12,7 +12,7 @@ from ..functions.names import match_score, normalize_name, strip_honorific
 from ..functions.ordinal import parse_stt
 from ..functions.phone import normalize_phone
 from ..functions.text import fold
-from ..operators import content, domains, freetext, provinces, records, recover, search, sequence, sheets, units
+from ..operators import content, domains, freetext, provinces, records, recover, scan, search, sequence, sheets, units
 from ..operators.cells import search_cells
 from . import pipelines
 from .oracle import ORACLE_SQL
@@ -266,6 +266,32 @@ def asof_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("source", F.col("stt_no").cast("long").alias("stt_no"), "unit")
 
 
+def _one_list(rows: DataFrame) -> DataFrame:
+    """The rows of all sources as one list, in eight ranges."""
+    return scan.in_ranges(rows.withColumn("source", F.lit("all")), ["source"], staged, 8)
+
+
+def long_list_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.merge_continuations(_one_list(_wrapped(spark, sf_dir))).select(*KEYS, "stt", "n_rows", "raw_name", "raw_email", "raw_phone")
+
+
+def long_list_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.mark_group_titles(_one_list(_titled(spark, sf_dir))).select(*KEYS, "is_group", "group")
+
+
+def long_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titled = _titled(spark, sf_dir).withColumn("raw_unit", F.when(F.col("stt") != "IV", F.col("raw_unit")))
+    return units.units_of_rows(_one_list(titled)).select(*KEYS, "raw_unit")
+
+
+def long_list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.ordinals(_one_list(registrations(spark, sf_dir))).select(*KEYS, "row_label")
+
+
+def long_list_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.stt_gaps(_one_list(registrations(spark, sf_dir))).select("source", F.col("stt_no").cast("long").alias("stt_no"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -274,6 +300,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mode1_records, mode1_issues, mode1_stats, per_source_counts, stt_parse, stt_gaps, stt_warnings, after_stt_label, fill_forward_group,
         group_headers, continuation_rows, sheet_overlap, province_lookup, province_detect, to_chuc, province_from_domain, unit_normalize,
         mode2_records, mode2_issues, mode2_per_source, freetext_contacts, page_contacts, search_fold, preview_topk, used_phones, asof_unit,
-        cell_search, content_rows, group_units, unit_blocks,
+        cell_search, content_rows, group_units, unit_blocks, long_list_continuations, long_list_titles, long_list_units, long_list_labels, long_list_gaps,
     )
 }
