@@ -7,7 +7,7 @@ import sys
 
 from .plans.pipelines import Source, run_mode1, run_mode2
 from .plans.reports import report
-from .sources.sinks import issue_columns, issue_report, layout, write_table, write_xlsx
+from .sources.sinks import issue_columns, issue_report, layout, write_table, write_template, write_xlsx
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,9 +23,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _write(rows, path: str, template: str | None = None) -> None:
+def _write(rows, path: str) -> None:
     if path.endswith(".xlsx"):
-        write_xlsx(rows, path, template=template)
+        write_xlsx(rows, path)
     else:
         write_table(rows, path, path.rsplit(".", 1)[-1])
 
@@ -41,7 +41,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if not result.sources.take(1):
         print(report(result), file=sys.stderr)
         return 1
-    _write(layout(result.records, args.password), args.output, args.template)
+    if args.template:
+        write_template(result.records, args.output, args.template, args.password)
+    else:
+        _write(layout(result.records, args.password), args.output)
     if result.issues.take(1):
         _write(issue_report(result.issues, issue_columns(result.issues)), args.issues_output or args.output.removesuffix(".xlsx") + "_issues.xlsx")
     print(report(result))

@@ -41,7 +41,7 @@ def fit_names(records: DataFrame) -> DataFrame:
 def rank_duplicates(records: DataFrame, order: list[str]) -> DataFrame:
     """records with score, rank (1 is the one that stays: best score, then earliest), kept, the struct of the one
     that stays, and first_..., the place of the address's first occurrence. One shuffle and one sort by address."""
-    fields = [c for c in ("source", "label", "row_pos", "stt", "name") if c in records.columns]
+    fields = [c for c in ("source", "label", "row_pos", "row_label", "stt", "name") if c in records.columns]
     address = Window.partitionBy("email")
     by_email = address.orderBy(F.col("score").desc(), *order)
     scored = records.withColumn("score", match_score(F.col("name"), F.col("email")))
@@ -57,8 +57,11 @@ def winners(ranked: DataFrame) -> DataFrame:
 def losers(ranked: DataFrame) -> DataFrame:
     """The records that lost, with reason and a note that points at the one that stayed."""
     kept, shown = F.col("kept"), "label" if "label" in ranked.columns else "source"
-    place = F.concat(F.lit("dòng "), kept["row_pos"].cast("string"), F.when(F.coalesce(kept["stt"], F.lit("")) != "", F.concat(F.lit(" (STT "), kept["stt"], F.lit(")"))).otherwise(""))
-    note = F.concat(F.lit("Trùng email với "), place, F.lit(" - "), kept["name"], F.lit(" (tệp "), kept[shown], F.lit(")"))
+    row = kept["row_label"] if "row_label" in ranked.columns else kept["row_pos"].cast("string")
+    stt = F.nullif(kept["stt"], F.lit(""))
+    where = F.when(stt.isNotNull(), F.concat(F.lit(" (STT "), stt, F.lit(")"))).otherwise("")
+    where = F.when(row.isNotNull(), F.concat(F.lit("dòng "), row, where)).when(stt.isNotNull(), F.concat(F.lit("dòng STT "), stt)).otherwise("một dòng khác")
+    note = F.concat(F.lit("Trùng email với "), where, F.lit(" - "), kept["name"], F.lit(" (tệp "), kept[shown], F.lit(")"))
     lost = ranked.where("rank > 1").withColumn("reason", F.lit("duplicate_email")).withColumn("note", note)
     return lost.drop("rank", "kept", *[c for c in lost.columns if c.startswith("first_")])
 

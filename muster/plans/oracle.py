@@ -337,3 +337,25 @@ ORACLE_SQL: dict[str, str] = {
 #: The same with the rows of all sources as one list.
 for _long, _short in (("continuations", "continuation_rows"), ("titles", "group_headers"), ("units", "group_units"), ("labels", "after_stt_label"), ("gaps", "stt_gaps")):
     ORACLE_SQL[f"long_list_{_long}"] = ORACLE_SQL[_short].replace("SELECT n_name AS source", "SELECT 'all' AS source", 1)
+
+# Numbers as people see them.
+_LABELS = """, seen AS (SELECT *, last_value(no IGNORE NULLS) OVER (PARTITION BY source ORDER BY row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+    FROM (SELECT source, row_pos, CASE WHEN {0} BETWEEN 1 AND 99999 THEN {0} END AS no FROM registrations)),
+  labels AS (SELECT source, row_pos, CASE WHEN no IS NOT NULL THEN no::VARCHAR WHEN prev IS NOT NULL THEN 'sau STT ' || prev ELSE 'đầu bảng' END AS row_label FROM seen)""".format(_ORDINAL)
+ORACLE_SQL["issue_labels"] = _MODE1 + _LABELS + f""", lost AS (SELECT source, row_pos, status AS reason, NULL::VARCHAR AS note FROM classified WHERE status <> 'ok' UNION ALL SELECT source, row_pos, 'invalid_email_format', NULL FROM cutoff
+    UNION ALL SELECT l.source, l.row_pos, 'duplicate_email', {_NOTE.replace("w.row_pos", "k.row_label")} FROM ranked l JOIN ranked w ON l.email = w.email AND w.rank = 1 JOIN labels k ON k.source = w.source AND k.row_pos = w.row_pos WHERE l.rank > 1)
+    SELECT l.source, l.row_pos, k.row_label, reason, note FROM lost l JOIN labels k ON k.source = l.source AND k.row_pos = l.row_pos"""
+ORACLE_SQL["template_binding"] = _MODE1 + """ SELECT NULL::VARCHAR AS c0, nullif(name, '') AS c1, email AS c2, NULL::VARCHAR AS c3, nullif(phone, '') AS c4, 'x' AS c5 FROM ranked WHERE rank = 1"""
+
+
+def _natural(c: str) -> str:
+    number = "regexp_replace(x, '^0+(\\d)', '\\1')"
+    return f"""array_to_string(list_transform(regexp_extract_all({fold(f"coalesce({c}, '')")}, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(length({number})::VARCHAR, 5, '0') || {number} ELSE x END), '') COLLATE "C" """
+
+
+_SORTED = f"WITH {REGISTRATIONS}, n AS (SELECT source, row_pos, stt, row_number() OVER (ORDER BY {_natural('stt')}, source, row_pos) AS nth FROM registrations)"
+ORACLE_SQL["preview_natural"] = f"WITH {REGISTRATIONS} SELECT source, row_pos, raw_phone FROM registrations ORDER BY {_natural('raw_phone')} DESC, source, row_pos LIMIT 200"
+ORACLE_SQL["preview_next"] = _SORTED + " SELECT source, row_pos, stt FROM n WHERE nth BETWEEN 201 AND 400"
+ORACLE_SQL["all_pages"] = _SORTED + " SELECT source, row_pos, stt, nth, (nth + 49) // 50 AS page FROM n"
+ORACLE_SQL["filter_counts"] = _MODE1 + f""", lost AS (SELECT raw_name, status AS reason FROM classified WHERE status <> 'ok' UNION ALL SELECT raw_name, 'invalid_email_format' FROM cutoff UNION ALL SELECT raw_name, 'duplicate_email' FROM ranked WHERE rank > 1)
+    SELECT count(*) AS total, count(*) FILTER (contains({fold("coalesce(raw_name, '')")}, 'sai dinh') OR reason = 'invalid_email_format') AS filtered FROM lost"""

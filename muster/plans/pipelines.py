@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, context, domains, freetext, profile, provinces, records, recover, sequence, sheets, units
+from ..operators import content, context, domains, freetext, profile, provinces, records, recover, scan, sequence, sheets, units
+from ..functions.names import normalize_name
 from ..operators.cells import search_cells
 from ..sources import errors, label_sheets, read_cells
 from .staging import staged
 
 #: Rows of table t have places from t * PLACE on.
 PLACE = 1 << 32
+#: A list of more rows is worked on in ranges, as many tasks as its size asks for.
+LONG = 1_000_000
 
 
 @dataclass
@@ -28,13 +31,15 @@ class Source:
 @dataclass
 class Result:
     """records; issues, the rows that are none, with their reason; warnings of what may be missing without a trace;
-    counts, the funnel in one row; sources, what each gave."""
+    counts, the funnel in one row; sources, what each gave; recovered (source, stt_no, name), the rows that the text of the
+    sources' pages gave back."""
 
     records: DataFrame
     issues: DataFrame
     warnings: DataFrame
     counts: DataFrame
     sources: DataFrame
+    recovered: DataFrame | None = None
 
 
 def _order(rows: DataFrame) -> list[str]:
@@ -44,6 +49,13 @@ def _order(rows: DataFrame) -> list[str]:
 # tables to rows
 
 
+def _listed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows, written; in ranges if one of their lists is long."""
+    rows = staged(rows)
+    longest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return scan.in_ranges(rows, by, staged) if longest > LONG else rows
+
+
 def _column_maps(cells: DataFrame, rich: bool) -> DataFrame:
     """source, table_id, header_pos, field, col_idx: from the header of each table, or, where none has an e-mail or name
     column, from its contents (header_pos -1)."""
@@ -84,27 +96,32 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def mode1_rows(cells: DataFrame) -> DataFrame:
-    """source, row_pos, stt, raw_name, raw_email, raw_phone of all tables, and of the running text of documents."""
+    """source, row_pos, row_label, stt, raw_name, raw_email, raw_phone of all tables, and of the running text of documents.
+
+    row_pos is the order only; people see row_label: the ordinal, the one before ('sau STT N'), or the number of the row
+    in a table without ordinals, or of the block in a text.
+    """
     document = F.col("kind") == "docx"
     in_tables = cells.where("table_id >= 0")
     kinds = cells.select("source", document.alias("is_document")).distinct()
     columns = [*profile.TABLE, "row_pos", "col_idx", "value"]
     tables = staged(_from_top(in_tables.where(~document).select(*columns)).unionByName(_logical(in_tables.where(document).select(*columns))))
-    rows = staged(_named(profile.to_rows(tables, _column_maps(tables, rich=False))).join(kinds, "source"))
     by = ["source", "table_id"]
+    rows = _listed(_named(profile.to_rows(tables, _column_maps(tables, rich=False))).join(kinds, "source"), by)
     wrapped = sequence.merge_continuations(sequence.join_name_fragments(rows.where("is_document"), by), by)
     plain = sequence.drop_group_titles(rows.where("not is_document").unionByName(wrapped, allowMissingColumns=True), by)
-    keep = ["source", "row_pos", "stt", "raw_name", "raw_email", "raw_phone"]
-    found = search_cells(plain).select(*keep)
-    lines = cells.where("table_id < 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("row_pos", "value"))).alias("lines"))
-    line = lambda i: F.coalesce(F.try_element_at(F.filter("lines", lambda x: x["row_pos"] == i), F.lit(1))["value"], F.lit(""))
-    texts = lines.select("source", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("lines", -1)["row_pos"]), line), "\n").alias("text"))
-    people = freetext.contacts(texts).withColumn("row_pos", F.col("row_pos") + (PLACE << 20)).select(*keep)
+    keep = ["source", "row_pos", "row_label", "stt", "raw_name", "raw_email", "raw_phone"]
+    found = search_cells(sequence.ordinals(plain, by)).select(*keep)
+    lines = cells.where("table_id < 0").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("row_pos", "value"))).alias("lines"), F.max("row_pos").alias("last"))
+    line = lambda i: F.coalesce(F.try_element_at("lines", i), F.lit(""))
+    texts = lines.select("source", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), line), "\n").alias("text"))
+    people = freetext.contacts(texts).withColumn("row_label", (F.col("row_pos") + 1).cast("string")).withColumn("row_pos", F.col("row_pos") + (PLACE << 20)).select(*keep)
     return staged(found.unionByName(people))
 
 
 def mode2_rows(cells: DataFrame) -> DataFrame:
-    """source, row_pos, stt, raw_name, raw_unit, raw_email, raw_phone, doc_commune, doc_issuer of all tables."""
+    """source, row_pos, row_label, stt, raw_name, raw_unit, raw_email, raw_phone, doc_commune, doc_issuer of all tables.
+    row_label is the row of the sheet; rows of documents are known by their ordinal."""
     document = F.col("kind") == "docx"
     columns = [*profile.TABLE, "row_pos", "col_idx", "value"]
     sheet = staged(cells.where(~document).select(*columns))
@@ -112,16 +129,17 @@ def mode2_rows(cells: DataFrame) -> DataFrame:
     where = context.table_context(sheet, fields)
     rows = _named(profile.to_rows(sheet, fields)).join(where, profile.TABLE, "left")
     rows = rows.withColumn("has_group", F.col("group_col").isNotNull()).withColumnsRenamed({"unit": "raw_unit", "unit2": "raw_unit2", "group": "raw_group"})
-    keep = ["source", "row_pos", "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "doc_commune", "doc_issuer"]
+    rows = _listed(rows.withColumn("row_label", (F.col("row_pos") % PLACE + 1).cast("string")), profile.TABLE)
+    keep = ["source", "row_pos", "row_label", "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "doc_commune", "doc_issuer"]
     people = units.units_of_rows(rows, profile.TABLE).select(*keep)
 
     pages = staged(cells.where(document).select(*columns))
     in_tables = pages.where("table_id >= 0")
     flat = content.flatten_tables(in_tables, staged(profile.rich_header_map(in_tables)))
-    named = content.assemble_rows(staged(content.parse_rows(flat))).join(context.document_context(pages), "source", "left")
+    named = content.assemble_rows(_listed(content.parse_rows(flat), ["source"])).join(context.document_context(pages), "source", "left")
     unit = F.when(F.col("group").isNotNull(), units.unit_under_group(F.col("raw_unit"), F.col("group"))).otherwise(F.col("raw_unit"))
     unit = F.when(F.trim(F.coalesce(unit, F.lit(""))) == "", F.coalesce("fallback_unit", F.lit(""))).otherwise(unit)
-    return staged(people.unionByName(named.withColumn("raw_unit", unit).select(*keep)))
+    return staged(people.unionByName(named.withColumn("raw_unit", unit).withColumn("row_label", F.lit(None).cast("string")).select(*keep)))
 
 
 # rows to records
@@ -142,7 +160,9 @@ def _restored(rows: DataFrame, lines: DataFrame, with_unit: bool) -> tuple[DataF
         units_ = numbered.where("_no is not null and trim(raw_unit) <> ''").select("source", F.col("_no").alias("stt_no"), F.col("raw_unit").alias("unit"))
         near = sequence.asof_unit(cleared.select("source", "stt_no"), units_).withColumnRenamed("unit", "_unit")
         new = new.join(near, ["source", "stt_no"]).withColumn("raw_unit", F.coalesce("raw_unit", "_unit"))
-    about = [c for c in rows.columns if c not in ("row_pos", "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "source")]
+    if "row_label" in rows.columns:
+        new = new.withColumn("row_label", F.col("stt"))
+    about = [c for c in rows.columns if c not in ("row_pos", "row_label", "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "source")]
     sources = rows.groupBy("source").agg(*[F.first(c, ignorenulls=True).alias(c) for c in about]) if about else rows.select("source").distinct()
     new = new.join(sources, "source").select(*rows.columns)
     return staged(rows.unionByName(new)), spared, staged(new)
@@ -188,7 +208,8 @@ def extract(rows: DataFrame, with_unit: bool = False, default: str | None = None
     final = records.winners(ranked) if dedupe else ranked
     shown = "label" if "label" in rows.columns else "source"
     named = lambda frame: frame.drop("source").withColumnRenamed(shown, "source") if shown != "source" else frame
-    keep = ["source", "row_pos", "stt", "raw_name", *(["raw_unit"] if with_unit else []), "raw_email", "raw_phone", "reason", "note"]
+    label = ["row_label"] if "row_label" in rows.columns else []
+    keep = ["source", "row_pos", *label, "stt", "raw_name", *(["raw_unit"] if with_unit else []), "raw_email", "raw_phone", "reason", "note"]
     lost = records.issues(classified)
     if found is not None:
         lost = recover.drop_phantom_issues(lost, found)
@@ -203,7 +224,10 @@ def extract(rows: DataFrame, with_unit: bool = False, default: str | None = None
         labels = rows.select("source", "label").distinct()
         warnings = warnings.join(labels, "source", "left").select(F.coalesce("label", "source").alias("source"), "code", "message")
     sources = named(classified).groupBy("source").agg(F.count("*").alias("total_read")).join(named(final).groupBy("source").agg(F.count("*").alias("final_count")), "source", "left").na.fill(0, ["final_count"])
-    return Result(named(final).select(*out), issues, warnings.distinct(), records.counts(classified, final, cut), sources)
+    recovered = None
+    if found is not None:
+        recovered = named(found).select("source", sequence.parse_stt(F.col("stt")).alias("stt_no"), normalize_name(F.col("raw_name")).alias("name"))
+    return Result(named(final).select(*out), issues, warnings.distinct(), records.counts(classified, final, cut), sources, recovered)
 
 
 # files to records
@@ -216,8 +240,8 @@ def _read(spark: SparkSession, sources: list[str | Source], every: bool) -> tupl
     parsed = staged(read_cells(spark, [s.path for s in wanted]))
     # one file that is asked for several times is a source each time
     cells = parsed.where("error is null").drop("error").join(F.broadcast(about), "source_no")
-    many = F.size(F.collect_set("source_no").over(Window.partitionBy("source"))) > 1
-    cells = cells.withColumn("_many", many).withColumn("source", F.when(F.col("_many"), F.concat("source", F.lit("#"), F.col("source_no").cast("string"))).otherwise(F.col("source")))
+    many = cells.select("source", "source_no").distinct().groupBy("source").agg((F.count("*") > 1).alias("_many"))  # a row a path
+    cells = cells.join(F.broadcast(many), "source").withColumn("source", F.when(F.col("_many"), F.concat("source", F.lit("#"), F.col("source_no").cast("string"))).otherwise(F.col("source")))
     picked = staged(sheets.pick_sheets(cells, every=every))
     unknown = cells.where("wanted is not null").select("source", "file", "wanted").distinct().join(picked.select("source").distinct(), "source", "left_anti")
     stats = sheets.sheet_stats(cells.where("kind = 'xlsx' and wanted is null"))

@@ -14,6 +14,7 @@ from ..functions.phone import normalize_phone
 from ..functions.text import fold
 from ..operators import content, domains, freetext, provinces, records, recover, scan, search, sequence, sheets, units
 from ..operators.cells import search_cells
+from ..sources import sinks
 from . import pipelines
 from .oracle import ORACLE_SQL
 from .registrations import registrations, table
@@ -292,6 +293,40 @@ def long_list_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.stt_gaps(_one_list(registrations(spark, sf_dir))).select("source", F.col("stt_no").cast("long").alias("stt_no"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.ordinals(registrations(spark, sf_dir)).drop("stt_no", "last_stt")
+
+
+def issue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues and notes with the number that people see, which isn't the order of rows."""
+    return pipelines.extract(_labelled(spark, sf_dir)).issues.select(*KEYS, "row_label", "reason", "note")
+
+
+def template_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in a template whose columns stand in another order than ours: the header of the registrations' own list."""
+    header = registrations(spark, sf_dir).limit(1).select(F.posexplode(F.array(*map(F.lit, ("STT", "Họ và tên", "E-mail", "Ghi chú", "SĐT", "Mật khẩu")))).alias("col_idx", "value"))
+    return sinks.in_template(pipelines.extract(registrations(spark, sf_dir)).records, sinks.bind_header(header), "x")
+
+
+def preview_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.preview(registrations(spark, sf_dir), "raw_phone", list(KEYS), descending=True).select(*KEYS, "raw_phone")
+
+
+def preview_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind the one that ends with the 200th row."""
+    rows = registrations(spark, sf_dir)
+    last = search.preview(rows, "stt", list(KEYS)).collect()[-1]
+    return search.preview(rows, "stt", list(KEYS), start=last.asDict()).select(*KEYS, "stt")
+
+
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.paged(registrations(spark, sf_dir), "stt", list(KEYS), staged, 50).select(*KEYS, "stt", "nth", "page")
+
+
+def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.counts(pipelines.extract(registrations(spark, sf_dir)).issues, ["raw_name", "reason"], "sai định")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -301,5 +336,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         group_headers, continuation_rows, sheet_overlap, province_lookup, province_detect, to_chuc, province_from_domain, unit_normalize,
         mode2_records, mode2_issues, mode2_per_source, freetext_contacts, page_contacts, search_fold, preview_topk, used_phones, asof_unit,
         cell_search, content_rows, group_units, unit_blocks, long_list_continuations, long_list_titles, long_list_units, long_list_labels, long_list_gaps,
+        issue_labels, template_binding, preview_natural, preview_next, all_pages, filter_counts,
     )
 }

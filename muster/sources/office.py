@@ -62,19 +62,36 @@ def _docx_body(data: bytes):
         return next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _tag(x) == "body")
 
 
+def _property(node, name: str, what: str = "val") -> str | None:
+    """An attribute of a property of a cell or row; '' for a property without it, None without the property."""
+    for props in node:
+        if _tag(props) in ("tcPr", "trPr"):
+            for x in props:
+                if _tag(x) == name:
+                    return next((v for k, v in x.attrib.items() if k.rpartition("}")[2] == what), "")
+    return None
+
+
 def docx_cells(data: bytes) -> Iterator[Cell]:
-    """The cells of all tables, and the paragraphs outside of them as table -1. A merged cell keeps its text in its
-    first column; links count as text."""
+    """The cells of all tables, and the paragraphs outside of them as table -1; links count as text.
+
+    Columns are those of the table's grid. A cell merged over columns keeps its text in the first of them; one merged over
+    rows has it in each row, as whoever reads a row wants its unit.
+    """
     body = _docx_body(data)
     for r, text in enumerate(_texts(p) for p in body if _tag(p) == "p"):
         if text.strip():
             yield 1, 0, "", -1, r, 0, text
     for t, table in enumerate(x for x in body if _tag(x) == "tbl"):
+        above: dict[int, str] = {}
         for r, row in enumerate(x for x in table if _tag(x) == "tr"):
-            at = 0
+            at, merged = int(_property(row, "gridBefore") or 0), {}
             for cell in (x for x in row if _tag(x) == "tc"):
-                span = next((int(v) for x in cell.iter() if _tag(x) == "gridSpan" for k, v in x.attrib.items() if k.endswith("val")), 1)
+                goes_on = _property(cell, "vMerge")
                 value = "\n".join(_texts(p) for p in cell if _tag(p) == "p")
+                if goes_on is not None:
+                    value = merged[at] = value if goes_on == "restart" else above.get(at, value)
                 if value.strip():
                     yield 1, 0, "", t, r, at, value
-                at += span
+                at += int(_property(cell, "gridSpan") or 1)
+            above = merged

@@ -9,7 +9,9 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import header_field
 from ..operators.records import reason_label
+from .readers import read_office
 
 # The headers of the two layouts and of the issue report.
 LAYOUT_1 = ("Email", "Mật khẩu", "Họ và tên", "Điện thoại")
@@ -31,6 +33,39 @@ def layout(records: DataFrame, password: str | None = None) -> DataFrame:
     return records.select(*[c.alias(n) for c, n in zip([text("email"), secret, text("name"), text("phone")], LAYOUT_1, strict=True)])
 
 
+#: The fields of mode 1 that a template must have a column for, and their names.
+BOUND = {"email": "Email", "name": "Họ và tên", "phone": "Điện thoại"}
+
+
+def bind_header(header: DataFrame) -> dict[str, int]:
+    """The column (from 0) of each field in a header: col_idx, value. The first column that names a field has it. A header
+    without one of email, name and phone is an error that says which."""
+    named = header.withColumn("field", header_field(F.col("value"))).where("field is not null")
+    columns = {r.field: r.col_idx for r in named.groupBy("field").agg(F.min("col_idx").alias("col_idx")).collect()}
+    missing = [label for field, label in BOUND.items() if field not in columns]
+    if missing:
+        raise ValueError(f"Không tìm thấy cột phù hợp trong file mẫu cho: {', '.join(missing)}. Vui lòng kiểm tra lại tiêu đề cột của file mẫu.")
+    return columns
+
+
+def in_template(records: DataFrame, columns: dict[str, int], password: str | None = None) -> DataFrame:
+    """The records of mode 1 in the order of a template's columns (``bind_header``): c0, c1, ...; other columns are null."""
+    empty = F.lit(None).cast("string")
+    value = {columns[f]: F.nullif(F.col(f), F.lit("")) for f in BOUND}
+    if "password" in columns:
+        value[columns["password"]] = F.lit(password).cast("string")
+    return records.select(*[value.get(k, empty).alias(f"c{k}") for k in range(max(columns.values()) + 1)])
+
+
+def write_template(records: DataFrame, path: str, template: str, password: str | None = None) -> int:
+    """A workbook made from a template: mode 1 by its header, wherever its columns stand; mode 2 in the order of its
+    layout, which templates of that mode keep."""
+    if "to_chuc" in records.columns:
+        return write_xlsx(layout(records, password), path, template=template)
+    header = read_office(records.sparkSession, template).where("sheet_idx = 0 and row_pos = 0").select("col_idx", "value")
+    return write_xlsx(in_template(records, bind_header(header), password), path, template=template)
+
+
 def issue_columns(issues: DataFrame) -> list[str]:
     """The columns of a report: the source only if there are several, the unit if rows have one, the note if one is given."""
     seen = issues.agg(F.count_distinct("source").alias("sources"), F.count("note").alias("notes")).first()
@@ -40,6 +75,8 @@ def issue_columns(issues: DataFrame) -> list[str]:
 
 def issue_report(issues: DataFrame, columns: list[str] | None = None) -> DataFrame:
     value = {"reason": reason_label(F.col("reason"))}
+    if "row_label" in issues.columns and "raw_unit" not in issues.columns:
+        value["stt"] = F.coalesce("row_label", "stt")  # in mode 1 also for rows without an ordinal
     wanted = columns or [c for c in ISSUES if c in issues.columns]
     return issues.select(*[value.get(c, F.col(c)).alias(ISSUES[c]) for c in wanted])
 

@@ -62,7 +62,7 @@ def test_mode1(spark, tmp_path):
         "chin@tinh.gov.vn": ("d.docx", "Lê Test", "0900000009"), "muoi@x.vn": ("d.docx", "Lê Văn Mười", ""), "kep@x.vn": ("d.docx", "Test Kép", "0900000010"), "le@x.vn": ("d.docx", "Test Lẻ", ""),
         **{f"a{k}@x.vn": ("w.xlsx [Sheet: Một]", f"Test A{chr(97 + k)}", "") for k in range(1, 5)},
     }
-    assert [(r.raw_name, r.reason) for r in result.issues.collect()] == [("Test Bảy", "missing_email")]
+    assert [(r.raw_name, r.reason, r.row_label) for r in result.issues.collect()] == [("Test Bảy", "missing_email", "3")]
     codes = sorted((r.source, r.code) for r in result.warnings.collect())
     assert codes == [("bad.xlsx", "source_unreadable"), ("no.pdf", "source_unreadable"), ("none.csv", "source_unreadable"), ("s.csv", "stt_gap"), ("w.xlsx", "sheet_skipped"), ("w.xlsx [Sheet: Một]", "no_phone")]
     count = result.counts.first()
@@ -97,6 +97,16 @@ def rows(spark, data, columns):
     return spark.createDataFrame(data, columns)
 
 
+def test_row_labels_are_numbers_that_people_see(spark, tmp_path):
+    people = docx(tmp_path / "d.docx", [["Họ tên", "Email"], ["Test Một", "mot@x.vn"], ["Test Một", "mot@x.vn"]], "", [["STT", "Ghi chú", "Họ tên", "Email"], ["7", "", "Test Ba", "ba@x.vn"], ["", "x y z", "Test Bốn", "không có"]])
+    result = pipelines.run_mode1(spark, [people])
+    assert sorted((r.row_label, r.reason, r.note) for r in result.issues.collect()) == [
+        ("2", "duplicate_email", "Trùng email với dòng 1 - Test Một (tệp d.docx)"), ("sau STT 7", "invalid_email_format", None),
+    ]
+    assert {r.STT for r in issue_report(result.issues).collect()} == {"2", "sau STT 7"}
+    assert reports.segments(result)[0] == "4 dòng đọc được  →  -0 thiếu email  →  -1 sai định dạng  →  -1 trùng email  →  2 dòng kết quả"
+
+
 def test_cut_domains_count_as_invalid(spark):
     people = [("a", k, str(k), f"Test {chr(64 + k)}", f"u{k}@{'tinhmau.go' if k == 16 else 'tinhmau.gov.vn'}", "") for k in range(1, 17)]
     result = pipelines.extract(rows(spark, people, "source string, row_pos long, stt string, raw_name string, raw_email string, raw_phone string"))
@@ -113,6 +123,9 @@ def test_lost_rows_come_back_from_the_text(spark):
         ("1", "mot@x.vn", "Test Một", "0900000001", "Sở Mẫu"), ("2", "hai@x.vn", "Test Hai", "0900000002", "Sở Mẫu"), ("3", "ba@x.vn", "Test Ba", "0900000003", "Phòng Mẫu"),
     ]
     assert result.issues.count() == 0 and result.warnings.where("code = 'stt_gap'").count() == 0
+    assert [(r.source, r.stt_no, r.name) for r in result.recovered.collect()] == [("a", 2, "Test Hai")]
+    assert "Đã khôi phục STT 2 từ văn bản gốc (a)\n   2: Test Hai\n" in reports.report(result)
+    assert reports.segments(result)[1] == "Đã khôi phục 1 dòng bị bỏ sót" and "thiếu/sai email" in reports.segments(result)[0]
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from muster.plans import pipelines
 from muster.sources import read_cells, read_errors, read_lines, read_office
-from muster.sources.sinks import LAYOUT_1, LAYOUT_2, issue_report, layout, write_table, write_xlsx
+from muster.sources.sinks import LAYOUT_1, LAYOUT_2, issue_report, layout, write_table, write_template, write_xlsx
 
 TABLE = [
     ["STT", "Họ và tên", "Đơn vị công tác", "Email", "Số điện thoại"], ["1", "test văn một", "UBND phường Mẫu Một", "mot.tv@example.vn", "900000001"],
@@ -78,6 +78,35 @@ def test_word_tables(spark, tmp_path):
     assert [r.value for r in read_office(spark, str(tmp_path / "a.docx")).where("table_id = -1").collect()] == ["lead"]
 
 
+def test_cells_merged_over_rows(spark, tmp_path):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    start, on = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = [
+        cell("STT") + cell("Họ tên") + cell("Đơn vị") + cell("Email"), cell("1") + cell("Test Một") + cell("Sở Mẫu", start) + cell("a@x.vn"), cell("2") + cell("Test Hai") + cell("", on) + cell("b@x.vn"),
+        '<w:trPr><w:gridBefore w:val="1"/></w:trPr>' + cell("Test Ba") + cell("", on) + cell("c@x.vn"), cell("4") + cell("Test Bốn") + cell("") + cell("d@x.vn"), cell("5") + cell("Test Năm") + cell("", on) + cell("e@x.vn"),
+    ]
+    with zipfile.ZipFile(tmp_path / "m.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:tbl>{''.join(f'<w:tr>{r}</w:tr>' for r in rows)}</w:tbl></w:body></w:document>")
+    got = {(r.row_pos, r.col_idx): r.value for r in read_office(spark, str(tmp_path / "m.docx")).collect()}
+    assert [got.get((k, 2)) for k in range(6)] == ["Đơn vị", "Sở Mẫu", "Sở Mẫu", "Sở Mẫu", None, None]
+    assert (3, 0) not in got and got[3, 1] == "Test Ba" and got[3, 3] == "c@x.vn"
+
+
+def test_template_is_bound_by_its_header(spark, tmp_path):
+    template = str(tmp_path / "mau.xlsx")
+    write_xlsx(spark.createDataFrame([("x", "y", "z", "w", "v")], "`Họ và tên` string, `Ghi chú` string, Email string, `Điện thoại` string, `Mật khẩu` string"), template)
+    people = spark.createDataFrame([("a", 1, "1", "mot@x.vn", "Test Một", "0900000001"), ("a", 2, "2", "hai@x.vn", "Test Hai", "")], "source string, row_pos long, stt string, email string, name string, phone string")
+    out = str(tmp_path / "out.xlsx")
+    assert write_template(people, out, template, "p") == 2
+    got = {(r.row_pos, r.col_idx): r.value for r in read_office(spark, out).collect()}
+    assert [got.get((1, c)) for c in range(5)] == ["Test Một", None, "mot@x.vn", "0900000001", "p"] and (2, 3) not in got
+    bad = str(tmp_path / "bad.xlsx")
+    write_xlsx(spark.createDataFrame([("x",)], "Email string"), bad)
+    with pytest.raises(ValueError, match="Họ và tên, Điện thoại"):
+        write_template(people, out, bad)
+
+
 def test_broken_files_are_rows(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
     assert read_office(spark, str(tmp_path / "bad.xlsx")).count() == 0
