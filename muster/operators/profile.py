@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import HEADERS, NAMES_WITH_UNIT, header_field, is_stt_header, parse_stt, unit_rank
 from ..functions.phone import normalize_phone
 from ..functions.text import key
-from ..plans.staging import staged
+from ..staging import staged
 from .sequence import blank
 
 TABLE = ["source", "table_id"]

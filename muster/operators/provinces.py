@@ -158,10 +158,3 @@ def default_mismatch(emails: DataFrame) -> DataFrame:
     guess = province_from_domains(emails).join(chosen, "source").where("province <> chosen")
     message = F.concat(F.lit("Email phổ biến @"), "domain", F.lit(" gợi ý "), "province", F.lit(", nhưng Tổ chức mặc định đang là "), "chosen")
     return guess.select("source", F.lit("province_mismatch").alias("code"), message.alias("message"))
-
-
-def suggestions(cells: DataFrame) -> DataFrame:
-    """source, province: what the addresses in a source's cells suggest as its default."""
-    text = F.regexp_replace(F.lower("value"), r"(?U)\s+", "")
-    emails = cells.select("source", "row_pos", F.explode(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0))).alias("email"))
-    return province_from_domains(emails).where("province is not null").select("source", "province")

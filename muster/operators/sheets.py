@@ -9,10 +9,14 @@ SEEN = r"(?U)[\w.%+\-]+@[\w.\-]+\.\w{2,}"
 SHEET = ["source", "sheet_idx"]
 
 
-def sheet_emails(cells: DataFrame) -> DataFrame:
-    """source, sheet_idx, email: distinct addresses of each sheet (white space inside a cell ignored)."""
+def sheet_emails(cells: DataFrame, place: str | None = None) -> DataFrame:
+    """source, sheet_idx, email: distinct addresses of each sheet (white space inside a cell ignored). place: a column
+    whose least value for each address is row_pos."""
     text = F.regexp_replace(F.lower("value"), r"(?U)\s+", "")
-    return cells.select(*SHEET, F.explode(F.regexp_extract_all(text, F.lit(SEEN), F.lit(0))).alias("email")).distinct()
+    email = F.explode(F.regexp_extract_all(text, F.lit(SEEN), F.lit(0))).alias("email")
+    if place:
+        return cells.select(*SHEET, place, email).groupBy(*SHEET, "email").agg(F.min(place).alias("row_pos"))
+    return cells.select(*SHEET, email).distinct()
 
 
 def sheet_stats(cells: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:

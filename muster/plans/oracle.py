@@ -359,3 +359,22 @@ ORACLE_SQL["preview_next"] = _SORTED + " SELECT source, row_pos, stt FROM n WHER
 ORACLE_SQL["all_pages"] = _SORTED + " SELECT source, row_pos, stt, nth, (nth + 49) // 50 AS page FROM n"
 ORACLE_SQL["filter_counts"] = _MODE1 + f""", lost AS (SELECT raw_name, status AS reason FROM classified WHERE status <> 'ok' UNION ALL SELECT raw_name, 'invalid_email_format' FROM cutoff UNION ALL SELECT raw_name, 'duplicate_email' FROM ranked WHERE rank > 1)
     SELECT count(*) AS total, count(*) FILTER (contains({fold("coalesce(raw_name, '')")}, 'sai dinh') OR reason = 'invalid_email_format') AS filtered FROM lost"""
+
+_SOURCES = f"""WITH {REGISTRATIONS}, {_PROVINCES}, c AS (SELECT source, row_pos % 3 AS sheet_idx, row_pos, raw_email AS value FROM registrations
+    UNION ALL SELECT source, 1, row_pos, raw_email FROM registrations WHERE row_pos % 3 = 0 AND row_pos % 4 > 0),
+  a AS (SELECT source, sheet_idx, row_pos, unnest(regexp_extract_all(regexp_replace(lower(value), '\\s+', '', 'g'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_.%+\\-]+@[\\p{{L}}\\p{{M}}\\p{{Nd}}_.\\-]+\\.[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}')) AS email FROM c),
+  e AS (SELECT source, sheet_idx, email, min(row_pos) AS p FROM a GROUP BY ALL),
+  f AS (SELECT *, min(sheet_idx) OVER (PARTITION BY source, email) AS first FROM e),
+  g AS (SELECT source, sheet_idx, count(*) AS emails, count(*) FILTER (first < sheet_idx) AS overlap FROM f GROUP BY ALL),
+  d AS (SELECT source, split_part(email, '@', 2) AS domain, count(*) AS n, min(p) AS p FROM e GROUP BY ALL),
+  t AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM d),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, p) AS r FROM t WHERE ends_with(domain, '.gov.vn')),
+  slugs AS (SELECT replace(replace(plain, ' ', ''), '-', '') AS slug, current FROM dim UNION SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SLUGS.items())}) AS t(slug, current)),
+  one AS (SELECT slug, max(current) AS current FROM slugs GROUP BY slug),
+  s AS (SELECT r.source, current FROM r JOIN one ON slug = string_split(r.domain, '.')[-3] WHERE r = 1 AND n >= 3 AND n >= 0.5 * total),
+  o AS (SELECT g.source AS path, g.source || '.xlsx' AS file, 's' || g.sheet_idx AS sheet, emails, overlap, emails >= 3 AND overlap >= 0.5 * emails AS skip, current AS "default" FROM g LEFT JOIN s ON s.source = g.source)"""
+ORACLE_SQL["source_relation"] = _SOURCES + " SELECT * FROM o"
+ORACLE_SQL["source_bulk_default"] = _SOURCES + """ SELECT path, sheet, skip, CASE WHEN skip THEN "default" ELSE 'Huế' END AS "default" FROM o"""
+ORACLE_SQL["csv_ranges"] = f"""WITH {REGISTRATIONS}, n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth,
+    [row_pos::VARCHAR, stt, raw_name || CASE WHEN row_pos % 3 = 0 THEN ' "x",' || chr(10) || 'y' || chr(10) ELSE '' END, raw_email, raw_phone] AS cs FROM registrations)
+  SELECT source, nth AS row_pos, (i - 1)::BIGINT AS col_idx, cs[i] AS value FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM n) WHERE trim(cs[i]) <> ''"""

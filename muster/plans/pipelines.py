@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, context, domains, freetext, profile, provinces, records, recover, scan, sequence, sheets, units
+from ..operators import content, context, domains, freetext, origins, profile, provinces, records, recover, scan, sequence, sheets, units
 from ..functions.names import normalize_name
 from ..operators.cells import search_cells
 from ..sources import errors, label_sheets, read_cells
-from .staging import staged
+from ..staging import staged
 
 #: Rows of table t have places from t * PLACE on.
 PLACE = 1 << 32
@@ -233,11 +233,26 @@ def extract(rows: DataFrame, with_unit: bool = False, default: str | None = None
 # files to records
 
 
-def _read(spark: SparkSession, sources: list[str | Source], every: bool) -> tuple[DataFrame, DataFrame]:
+def _wanted(sources: list[str | Source] | DataFrame) -> list[Source]:
+    """The list of sources; of a table of them (``operators.origins``) those that aren't left out. It is as long as the
+    list that people choose from."""
+    if isinstance(sources, DataFrame):
+        return [Source(r.path, r.default, r.sheet) for r in origins.active(sources).select("path", "default", "sheet").orderBy("path", "sheet").collect()]
+    return [s if isinstance(s, Source) else Source(s) for s in sources]
+
+
+def list_sources(spark: SparkSession, paths: list[str], default: str | None = None) -> DataFrame:
+    """The sources that files give, to look over and change (``operators.origins``) before run_mode2. A file that can't be
+    read is listed too; the run warns of it."""
+    cells = read_cells(spark, paths)
+    return staged(origins.relation(cells, default))
+
+
+def _read(spark: SparkSession, sources: list[str | Source] | DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
     """(cells of the sheets to read, with label and default; warnings). Each file is parsed once."""
-    wanted = [s if isinstance(s, Source) else Source(s) for s in sources]
+    wanted = _wanted(sources)
     about = spark.createDataFrame([(k, s.default, s.sheet) for k, s in enumerate(wanted)], "source_no int, default string, wanted string")
-    parsed = staged(read_cells(spark, [s.path for s in wanted]))
+    parsed = read_cells(spark, [s.path for s in wanted])
     # one file that is asked for several times is a source each time
     cells = parsed.where("error is null").drop("error").join(F.broadcast(about), "source_no")
     many = cells.select("source", "source_no").distinct().groupBy("source").agg((F.count("*") > 1).alias("_many"))  # a row a path
@@ -264,13 +279,13 @@ def _with(result: Result, warnings: DataFrame) -> Result:
     return result
 
 
-def run_mode1(spark: SparkSession, sources: list[str | Source], dedupe: bool = True, lines: DataFrame | None = None) -> Result:
+def run_mode1(spark: SparkSession, sources: list[str | Source] | DataFrame, dedupe: bool = True, lines: DataFrame | None = None) -> Result:
     """Addresses, names and numbers of the people in the files."""
     cells, warnings = _read(spark, sources, every=True)
     return _with(extract(staged(_about(mode1_rows(cells), cells)).drop("default"), dedupe=dedupe, lines=lines), warnings)
 
 
-def run_mode2(spark: SparkSession, sources: list[str | Source], default: str | None = None, dedupe: bool = True, lines: DataFrame | None = None) -> Result:
+def run_mode2(spark: SparkSession, sources: list[str | Source] | DataFrame, default: str | None = None, dedupe: bool = True, lines: DataFrame | None = None) -> Result:
     """The same with unit and organisation. default is that of the sources without one of their own."""
     cells, warnings = _read(spark, sources, every=False)
     rows = staged(_about(mode2_rows(cells), cells).withColumn("default", F.coalesce("default", F.lit(default))))

@@ -12,13 +12,13 @@ from ..functions.names import match_score, normalize_name, strip_honorific
 from ..functions.ordinal import parse_stt
 from ..functions.phone import normalize_phone
 from ..functions.text import fold
-from ..operators import content, domains, freetext, provinces, records, recover, scan, search, sequence, sheets, units
+from ..operators import content, domains, freetext, origins, provinces, records, recover, scan, search, sequence, sheets, units
 from ..operators.cells import search_cells
-from ..sources import sinks
+from ..sources import read_csv, sinks
 from . import pipelines
 from .oracle import ORACLE_SQL
 from .registrations import registrations, table
-from .staging import staged
+from ..staging import scratch_folder, staged
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -327,6 +327,29 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.counts(pipelines.extract(registrations(spark, sf_dir)).issues, ["raw_name", "reason"], "sai định")
 
 
+def source_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks as sources: their sheets with addresses, which repeat earlier ones, and the default that they suggest."""
+    cells = _sheet_cells(spark, sf_dir).withColumns({"file": F.concat("source", F.lit(".xlsx")), "kind": F.lit("xlsx"), "sheet_name": F.concat(F.lit("s"), F.col("sheet_idx").cast("string"))})
+    return origins.relation(staged(cells))
+
+
+def source_bulk_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins.with_default(source_relation(spark, sf_dir), "Huế").select("path", "sheet", "skip", "default")
+
+
+def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registrations written as CSV with line breaks and quotes in cells, and read again in splits of 4 KB: a file a
+    source, and all of its splits are tasks of their own."""
+    quoted = F.concat(F.col("raw_name"), F.when(F.col("row_pos") % 3 == 0, F.lit(' "x",\ny\n')).otherwise(""))
+    rows = registrations(spark, sf_dir).select("source", "row_pos", "stt", quoted.alias("name"), "raw_email", "raw_phone")
+    path = scratch_folder(spark)
+    ordered = rows.repartition("source").sortWithinPartitions("source", "row_pos")
+    ordered.write.partitionBy("source").option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreTrailingWhiteSpace", False).csv(path)
+    cells = read_csv(spark, path, split_bytes=4096)
+    source = F.url_decode(F.regexp_extract("source", "/source=([^/]+)/", 1))
+    return cells.select(source.alias("source"), "row_pos", F.col("col_idx").cast("long").alias("col_idx"), "value")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -336,6 +359,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         group_headers, continuation_rows, sheet_overlap, province_lookup, province_detect, to_chuc, province_from_domain, unit_normalize,
         mode2_records, mode2_issues, mode2_per_source, freetext_contacts, page_contacts, search_fold, preview_topk, used_phones, asof_unit,
         cell_search, content_rows, group_units, unit_blocks, long_list_continuations, long_list_titles, long_list_units, long_list_labels, long_list_gaps,
-        issue_labels, template_binding, preview_natural, preview_next, all_pages, filter_counts,
+        source_relation, source_bulk_default, csv_ranges, issue_labels, template_binding, preview_natural, preview_next, all_pages, filter_counts,
     )
 }

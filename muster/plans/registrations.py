@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .staging import staged
+from ..staging import staged
 
 _SURNAME = "CASE k % 5 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN 'Trần' WHEN 2 THEN 'Lê' WHEN 3 THEN 'Phạm' ELSE 'Đỗ' END"
 _MIDDLE = "CASE k % 3 WHEN 0 THEN 'Văn' WHEN 1 THEN 'Thị' ELSE 'Minh' END"

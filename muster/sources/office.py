@@ -1,4 +1,4 @@
-"""Cells and lines of .xlsx and .docx files (zipped XML), one file at a time inside a task."""
+"""Cells and lines of .xlsx and .docx files (zipped XML), one sheet or document at a time inside a task."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-Cell = tuple[int, int, str, int, int, int, str]  # number of sheets, sheet, its name, table, row, column, value
-
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -28,38 +26,42 @@ def _texts(node, name: str = "t") -> str:
     return "".join(x.text or "" for x in node.iter() if _tag(x) == name)
 
 
-def xlsx_cells(data: bytes) -> Iterator[Cell]:
-    """All values (not formulas) of all sheets in workbook order; integral numbers without '.0'."""
+def xlsx_parts(data: bytes) -> Iterator[tuple[int, int, str, bytes, bytes]]:
+    """Number of sheets, sheet, its name, its XML and that of the workbook's texts: what a task needs to read one sheet."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = [_texts(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        shared = z.read("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in z.namelist() else b""
         targets = {x.get("Id"): x.get("Target").lstrip("/") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = [x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _tag(x) == "sheet"]
         for s, sheet in enumerate(sheets):
             path = targets[sheet.get(_REL)]
-            path = path if path.startswith("xl/") else f"xl/{path}"
-            row, at = -1, -1
-            with z.open(path) as f:
-                for event, node in ElementTree.iterparse(f, ("start", "end")):
-                    if event == "start" and _tag(node) == "row":
-                        row, at = int(node.get("r", row + 2)) - 1, -1
-                    elif event == "end" and _tag(node) == "c":
-                        at = _column(node.get("r")) if node.get("r") else at + 1
-                        kind, value = node.get("t"), next((x.text or "" for x in node if _tag(x) == "v"), "")
-                        if kind == "s":
-                            value = shared[int(value)]
-                        elif kind == "inlineStr":
-                            value = _texts(node)
-                        elif kind in (None, "n") and re.fullmatch(r"-?\d+\.0+", value):
-                            value = value.split(".")[0]
-                        if value:
-                            yield len(sheets), s, sheet.get("name"), s, row, at, value
-                    elif event == "end" and _tag(node) == "row":
-                        node.clear()
-
-
-def _docx_body(data: bytes):
+            yield len(sheets), s, sheet.get("name"), z.read(path if path.startswith("xl/") else f"xl/{path}"), shared
+
+
+def sheet_cells(sheet: bytes, texts: bytes) -> Iterator[tuple[int, int, str]]:
+    """Row, column and value (not formula) of a sheet's cells; integral numbers without '.0'."""
+    shared = [_texts(x) for x in ElementTree.fromstring(texts)] if texts else []
+    row, at = -1, -1
+    for event, node in ElementTree.iterparse(io.BytesIO(sheet), ("start", "end")):
+        if event == "start" and _tag(node) == "row":
+            row, at = int(node.get("r", row + 2)) - 1, -1
+        elif event == "end" and _tag(node) == "c":
+            at = _column(node.get("r")) if node.get("r") else at + 1
+            kind, value = node.get("t"), next((x.text or "" for x in node if _tag(x) == "v"), "")
+            if kind == "s":
+                value = shared[int(value)]
+            elif kind == "inlineStr":
+                value = _texts(node)
+            elif kind in (None, "n") and re.fullmatch(r"-?\d+\.0+", value):
+                value = value.split(".")[0]
+            if value:
+                yield row, at, value
+        elif event == "end" and _tag(node) == "row":
+            node.clear()
+
+
+def docx_part(data: bytes) -> bytes:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _tag(x) == "body")
+        return z.read("word/document.xml")
 
 
 def _property(node, name: str, what: str = "val") -> str | None:
@@ -72,16 +74,17 @@ def _property(node, name: str, what: str = "val") -> str | None:
     return None
 
 
-def docx_cells(data: bytes) -> Iterator[Cell]:
-    """The cells of all tables, and the paragraphs outside of them as table -1; links count as text.
+def docx_cells(document: bytes) -> Iterator[tuple[int, int, int, str]]:
+    """Table, row, column and value of the cells of all tables, and the paragraphs outside of them as table -1; links
+    count as text.
 
     Columns are those of the table's grid. A cell merged over columns keeps its text in the first of them; one merged over
     rows has it in each row, as whoever reads a row wants its unit.
     """
-    body = _docx_body(data)
+    body = next(x for x in ElementTree.fromstring(document) if _tag(x) == "body")
     for r, text in enumerate(_texts(p) for p in body if _tag(p) == "p"):
         if text.strip():
-            yield 1, 0, "", -1, r, 0, text
+            yield -1, r, 0, text
     for t, table in enumerate(x for x in body if _tag(x) == "tbl"):
         above: dict[int, str] = {}
         for r, row in enumerate(x for x in table if _tag(x) == "tr"):
@@ -92,6 +95,6 @@ def docx_cells(data: bytes) -> Iterator[Cell]:
                 if goes_on is not None:
                     value = merged[at] = value if goes_on == "restart" else above.get(at, value)
                 if value.strip():
-                    yield 1, 0, "", t, r, at, value
+                    yield t, r, at, value
                 at += int(_property(cell, "gridSpan") or 1)
             above = merged

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from muster.operators import content, context, domains, freetext, profile, provinces, recover, search, sequence, sheets, units
+from muster.operators import content, context, domains, freetext, origins, profile, provinces, recover, search, sequence, sheets, units
 
 ROWS = "source string, row_pos long, stt string, raw_name string, raw_email string, raw_phone string"
 
@@ -134,7 +134,8 @@ def test_provinces(spark):
     assert provinces.province_from_domains(source).first().province == "Cần Thơ"
     given = lambda name: source.withColumn("default", F.lit(name))
     assert [provinces.default_mismatch(given(x)).count() for x in ("Huế", "Cần Thơ", "Viện Mẫu", None)] == [1, 0, 0, 0]
-    assert provinces.suggestions(source.select("source", "row_pos", F.col("email").alias("value"))).first().province == "Cần Thơ"
+    cells = source.select("source", "row_pos", F.col("email").alias("value"), F.lit("docx").alias("kind"), F.lit(0).alias("sheet_idx"))
+    assert origins.suggested(cells).first().province == "Cần Thơ"
     each = data.withColumn("d", F.when(F.col("t").startswith("Sở"), "Viện Mẫu").when(F.col("t").startswith("TP"), "Huế").when(F.col("t").startswith("Trường"), "Huế"))
     got = {r.t: r.o for r in each.withColumn("o", provinces.organisation(F.col("t"), F.col("d"))).collect()}
     assert (got["Sở Mẫu tỉnh Vĩnh Phúc"], got["Trường Hải Đường"], got["TP. Hồ Chí Minh"], got["Khánh Hoà"]) == ("VIỆN MẪU", "THÀNH PHỐ HUẾ", "THÀNH PHỐ HỒ CHÍ MINH", "TỈNH KHÁNH HÒA")

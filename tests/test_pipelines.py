@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.__main__ import main
+from muster.operators import origins
 from muster.plans import pipelines, reports
 from muster.plans.pipelines import Source
 from muster.sources import read_office
@@ -93,6 +94,27 @@ def test_mode2(spark, tmp_path):
     assert [(r.source.split("#")[0], r.code) for r in result.warnings.where("code = 'source_unreadable'").collect()] == [("w.xlsx", "source_unreadable")]
 
 
+def test_sources_as_a_table(spark, tmp_path):
+    people = lambda *ks: [HEAD, *[[str(k), f"Test {k}", "Sở Mẫu", f"u{k}@haiphong.gov.vn", ""] for k in ks]]
+    book = xlsx(tmp_path / "w.xlsx", {"Một": people(1, 2, 3, 4), "Hai": people(2, 3, 4, 5), "Ba": people(7), "Trống": [["x"]]})
+    plain = csv(tmp_path / "p.csv", people(8))
+    broken = str(tmp_path / "none.xlsx")
+    table = pipelines.list_sources(spark, [book, plain, broken])
+    got = {(r.file, r.sheet): (r.emails, r.overlap, r.skip, r.default) for r in table.collect()}
+    assert got == {
+        ("w.xlsx", "Một"): (4, 0, False, "Hải Phòng"), ("w.xlsx", "Hai"): (4, 3, True, "Hải Phòng"), ("w.xlsx", "Ba"): (1, 0, False, "Hải Phòng"),
+        ("p.csv", None): (None, 0, False, None), ("none.xlsx", None): (None, 0, False, None),
+    }
+    changed = origins.with_default(table, "Huế")
+    assert {r.sheet: r.default for r in changed.where("file = 'w.xlsx'").collect()} == {"Một": "Huế", "Hai": "Hải Phòng", "Ba": "Huế"}
+    chosen = table.where("sheet in ('Hai', 'Một') or file = 'none.xlsx'")
+    turned = origins.toggled(changed, chosen)
+    assert {(r.file, r.sheet) for r in origins.active(turned).collect()} == {("w.xlsx", "Hai"), ("w.xlsx", "Ba"), ("p.csv", None)}
+    assert origins.added(turned, pipelines.list_sources(spark, [plain])).count() == turned.count()
+    result = pipelines.run_mode2(spark, turned, default="Cần Thơ")
+    assert {r.email.split("@")[0]: r.to_chuc for r in result.records.collect()} == {"u2": "THÀNH PHỐ HẢI PHÒNG", "u3": "THÀNH PHỐ HẢI PHÒNG", "u4": "THÀNH PHỐ HẢI PHÒNG", "u5": "THÀNH PHỐ HẢI PHÒNG", "u7": "THÀNH PHỐ HUẾ", "u8": "THÀNH PHỐ HUẾ"}
+
+
 def rows(spark, data, columns):
     return spark.createDataFrame(data, columns)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.operators import scan, search, sequence
-from muster.plans.staging import staged
+from muster.staging import staged
 
 
 @pytest.fixture(scope="module")
