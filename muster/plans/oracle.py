@@ -378,3 +378,69 @@ ORACLE_SQL["source_bulk_default"] = _SOURCES + """ SELECT path, sheet, skip, CAS
 ORACLE_SQL["csv_ranges"] = f"""WITH {REGISTRATIONS}, n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth,
     [row_pos::VARCHAR, stt, raw_name || CASE WHEN row_pos % 3 = 0 THEN ' "x",' || chr(10) || 'y' || chr(10) ELSE '' END, raw_email, raw_phone] AS cs FROM registrations)
   SELECT source, nth AS row_pos, (i - 1)::BIGINT AS col_idx, cs[i] AS value FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM n) WHERE trim(cs[i]) <> ''"""
+
+# Lists as files hold them. The words and patterns below are written out here, not taken from the code.
+_SHEETS = f"""WITH {REGISTRATIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth, regexp_extract(source, '(\\d+)', 1)::INT % 3 AS v FROM registrations),
+  lists AS (SELECT source, nth + v + 1 AS row_pos, CASE v WHEN 0 THEN [stt, raw_name, raw_unit, raw_email, raw_phone] WHEN 1 THEN [stt, raw_email, raw_name, raw_phone, raw_unit] ELSE [stt, raw_name, raw_unit, raw_phone, raw_email] END AS cs FROM b
+    UNION ALL SELECT source, v, CASE v WHEN 0 THEN ['STT', 'Họ và tên', 'Đơn vị công tác', 'Email', 'SĐT'] WHEN 1 THEN ['TT', 'E-mail', 'Họ tên', 'Số điện thoại', 'Phòng ban'] ELSE ['Ghi chú', 'Họ và tên', 'Chức vụ', 'Điện thoại', 'Thư điện tử'] END FROM b WHERE nth = 0
+    UNION ALL SELECT source, unnest(range(v)), ['', 'Danh sách đăng ký'] FROM b WHERE nth = 0),
+  cells AS (SELECT * FROM (SELECT source, row_pos, unnest(range(len(cs))) AS col_idx, unnest(cs) AS value FROM lists) WHERE trim(coalesce(value, '')) <> ''),
+  top AS (SELECT *, {fold("value")} AS f, trim({_PLAIN_UNIT.format("value")}) AS k FROM cells WHERE row_pos < 15)"""
+_MAIL, _CALL = "mail|thu dien tu|dia chi thu|thu cong vu", "dien thoai|sdt|phone|hotline|tel|di dong|mobile|so dt|zalo|dien loai"
+ORACLE_SQL["header_search"] = _SHEETS + f""", n AS (SELECT source, row_pos, col_idx, CASE WHEN regexp_matches(f, '{NOISE_PATTERN}') THEN CASE WHEN trim(regexp_replace(f, '[^a-z0-9 ]', '', 'g')) IN ('stt', 'tt', 'so tt', 'so thu tu', 'thu tu') THEN 'stt' END
+      WHEN regexp_matches(f, '{_MAIL}') THEN 'email' WHEN regexp_matches(f, '{_CALL}') THEN 'phone' WHEN regexp_matches(f, 'ten|name') THEN 'name' WHEN regexp_matches(f, 'mat khau|pass|mk') THEN 'password'
+      WHEN trim(regexp_replace(f, '[^a-z0-9 ]', '', 'g')) IN ('stt', 'tt', 'so tt', 'so thu tu', 'thu tu') THEN 'stt' END AS field FROM top),
+  g AS (SELECT source, row_pos, field, min(col_idx) AS col_idx FROM n WHERE field IS NOT NULL GROUP BY ALL), h AS (SELECT source, min(row_pos) AS header_pos FROM g WHERE field = 'email' GROUP BY source)
+  SELECT g.source, header_pos, field, col_idx FROM g JOIN h ON g.source = h.source AND g.row_pos = h.header_pos"""
+_RICH = _SHEETS + f""", u AS (SELECT *, CASE WHEN contains(k, 'don vi cong tac') THEN 0 WHEN contains(k, 'don vi') THEN 1 WHEN contains(k, 'phong ban') THEN 2 WHEN contains(k, 'bo phan') THEN 3 WHEN contains(k, 'co quan') THEN 4
+      WHEN contains(k, 'noi cong tac') THEN 5 WHEN contains(k, 'chuc vu') THEN 6 WHEN contains(k, 'chuc danh') THEN 7 WHEN contains(k, 'vi tri cong tac') THEN 8 WHEN contains(k, 'vi tri') THEN 9 END AS best FROM top),
+  m AS (SELECT source, row_pos, col_idx, k, 'email' AS field, 0 AS rank FROM u WHERE regexp_matches(k, '{_MAIL}') UNION ALL SELECT source, row_pos, col_idx, k, 'phone', 0 FROM u WHERE regexp_matches(k, '{_CALL}')
+    UNION ALL SELECT source, row_pos, col_idx, k, 'name', 0 FROM u WHERE best IS NULL AND regexp_matches(k, 'ho va ten|ho ten|ten tai khoan|full name|hoten|ten nguoi dung') UNION ALL SELECT source, row_pos, col_idx, k, 'stt', 0 FROM u WHERE contains(k, 'tt')
+    UNION ALL SELECT source, row_pos, col_idx, k, 'unit', best FROM u WHERE best IS NOT NULL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY source, row_pos, field ORDER BY rank, col_idx) AS nth FROM m),
+  p AS (SELECT source, row_pos, col_idx, k, CASE WHEN nth = 1 THEN field WHEN nth = 2 AND field = 'email' THEN 'email_alt' END AS field FROM o),
+  q AS (SELECT source, row_pos, col_idx, field FROM p WHERE field IS NOT NULL UNION ALL SELECT t.source, t.row_pos, t.col_idx, 'unit2' FROM top t JOIN p ON p.field = 'unit' AND p.source = t.source AND p.row_pos = t.row_pos AND t.col_idx = p.col_idx + 1 AND t.k = p.k),
+  r AS (SELECT source, row_pos AS header_pos, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, row_pos) AS r FROM q GROUP BY source, row_pos HAVING bool_or(field IN ('name', 'email'))),
+  found AS (SELECT q.source, header_pos, field, col_idx FROM q JOIN r ON r.r = 1 AND q.source = r.source AND q.row_pos = r.header_pos)"""
+ORACLE_SQL["header_search_units"] = _RICH + " SELECT source, header_pos, field, col_idx FROM found"
+ORACLE_SQL["sheet_rows"] = f"""WITH {REGISTRATIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth, regexp_extract(source, '(\\d+)', 1)::INT % 3 AS v FROM registrations)
+  SELECT source, nth + v + 1 AS row_pos, CASE WHEN v < 2 AND trim(stt) <> '' THEN stt END AS stt, CASE WHEN trim(raw_name) <> '' THEN raw_name END AS name, CASE WHEN trim(raw_unit) <> '' THEN raw_unit END AS unit,
+    CASE WHEN trim(raw_email) <> '' THEN raw_email END AS email, CASE WHEN trim(raw_phone) <> '' THEN raw_phone END AS phone FROM b"""
+ORACLE_SQL["paged_tables"] = f"""WITH {REGISTRATIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth FROM registrations), t AS (SELECT *, nth // 40 AS t FROM b),
+  r AS (SELECT source, t, nth % 40 + 1 AS row_pos, coalesce(stt, '') || '|' || coalesce(raw_name, '') || '|' || coalesce(raw_email, '') || CASE WHEN t // 2 % 2 = 0 THEN '|' || coalesce(raw_unit, '') ELSE '' END AS cells FROM t
+    UNION ALL SELECT source, t, 0, 'STT|Họ tên|Email' || CASE WHEN t // 2 % 2 = 0 THEN '|Đơn vị' ELSE '' END FROM t WHERE nth % 40 = 0 AND t % 2 = 0)
+  SELECT source, t // 2 + 1 AS logical_id, row_pos + 41 * (t % 2) AS row_pos, cells FROM r"""
+ORACLE_SQL["text_people"] = f"""WITH {REGISTRATIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth FROM registrations)
+  SELECT source, nth AS row_pos, trim(raw_name) AS raw_name, CASE WHEN trim(raw_email) <> '' THEN strip_accents(trim(raw_email)) END AS raw_email, CASE WHEN trim(raw_phone) <> '' THEN trim(raw_phone) END AS raw_phone FROM b"""
+ORACLE_SQL["lost_rows"] = STEPS + f""", k AS (SELECT *, {_ORDINAL} AS no FROM valid WHERE phone <> ''), known AS (SELECT * FROM k WHERE no BETWEEN 1 AND 99999), most AS (SELECT source, max(no) AS most FROM known WHERE row_pos % 5 > 0 GROUP BY source)
+  SELECT k.source, no AS stt_no, name AS raw_name, 'Phòng Mẫu' AS raw_unit, email AS raw_email, phone AS raw_phone FROM known k JOIN most m ON k.source = m.source AND no < most WHERE row_pos % 5 = 0"""
+_STT_WARNINGS = f"""stt AS (SELECT source, CASE WHEN {_ORDINAL} BETWEEN 1 AND 99999 THEN {_ORDINAL} END AS no FROM registrations), most AS (SELECT source, max(no) AS most FROM stt GROUP BY source),
+  gaps AS (SELECT source, no FROM (SELECT source, unnest(generate_series(1, most)) AS no FROM most WHERE most IS NOT NULL) EXCEPT SELECT source, no FROM stt),
+  told AS (SELECT g.source, count(*) AS n, any_value(most) AS most, list(no ORDER BY no) AS nos FROM gaps g JOIN most m ON g.source = m.source GROUP BY g.source),
+  stt_told AS (SELECT source, CASE WHEN n > 0.3 * most THEN 'stt_sparse' ELSE 'stt_gap' END AS code, CASE WHEN n > 0.3 * most THEN 'STT thưa: thiếu ' || n || '/' || most
+    ELSE 'STT nhảy số: thiếu ' || array_to_string(nos[1:15], ', ') || CASE WHEN n > 15 THEN '... (tổng ' || n || ')' ELSE '' END END AS message FROM told)"""
+_BLANK_PHONES = "SELECT source, 'no_phone', 'Không có số điện thoại nào trong ' || count(*) || ' bản ghi - kiểm tra tiêu đề cột SĐT' FROM ranked GROUP BY source HAVING count(*) >= 3 AND count(*) FILTER (phone <> '') = 0"
+ORACLE_SQL["mode1_warnings"] = f"{_MODE1}, {_STT_WARNINGS} SELECT * FROM stt_told UNION ALL {_BLANK_PHONES} UNION ALL SELECT DISTINCT '', 'typo_domain_fixed', '@' || old || ' → @' || new FROM v_f"
+ORACLE_SQL["mode2_warnings"] = f"""{_MODE2}, {_STT_WARNINGS}, {_UNITS},
+  slugs AS (SELECT replace(replace(plain, ' ', ''), '-', '') AS slug, current FROM dim UNION SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SLUGS.items())}) AS t(slug, current)), one AS (SELECT slug, max(current) AS current FROM slugs GROUP BY slug),
+  dd AS (SELECT source, split_part(email, '@', 2) AS domain, count(*) AS n, min(row_pos) AS p FROM ranked GROUP BY ALL), dt AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM dd),
+  dr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, p) AS r FROM dt WHERE ends_with(domain, '.gov.vn') AND len(string_split(domain, '.')) >= 3)
+  SELECT * FROM stt_told UNION ALL {_BLANK_PHONES} UNION ALL SELECT source, 'typo_domain_fixed', '@' || old || ' → @' || new FROM v_f
+  UNION ALL SELECT r.source, 'no_unit', 'Không có Đơn vị nào trong ' || count(*) || ' bản ghi - kiểm tra cột Đơn vị công tác' FROM ranked r LEFT JOIN unit u ON r.raw_unit IS NOT DISTINCT FROM u.raw_unit GROUP BY r.source HAVING count(*) >= 3 AND count(*) FILTER (don_vi <> '') = 0
+  UNION ALL SELECT source, 'province_mismatch', 'Email phổ biến @' || domain || ' gợi ý ' || current || ', nhưng Tổ chức mặc định đang là Cần Thơ' FROM dr JOIN one ON slug = string_split(domain, '.')[-3] WHERE r = 1 AND n >= 3 AND n >= 0.5 * total AND current <> 'Cần Thơ'"""
+ORACLE_SQL["mode1_funnel"] = f"""WITH s AS ({ORACLE_SQL["mode1_stats"]}), l AS (SELECT unnest(['Tổng số dòng đọc được', 'Số dòng có email hợp lệ', 'Số dòng thiếu email', 'Số dòng email sai định dạng', 'Số dòng trùng email', 'Còn lại sau cùng']) AS line,
+    unnest([total_rows, valid_rows, missing_email, invalid_email_format, duplicates_removed, final_count]) AS n FROM s) SELECT line, replace(format('{{:,}}', n), ',', '.') AS n FROM l"""
+ORACLE_SQL["mode1_layout"] = _MODE1 + """ SELECT email AS "Email", 'x' AS "Mật khẩu", nullif(name, '') AS "Họ và tên", nullif(phone, '') AS "Điện thoại" FROM ranked WHERE rank = 1"""
+ORACLE_SQL["mode2_layout"] = _MODE2_RECORDS + """ SELECT nullif(name, '') AS "Tên tài khoản", email AS "Email", nullif(phone, '') AS "SĐT", NULL::VARCHAR AS "Mật khẩu", NULL::VARCHAR AS "Giới tính", NULL::VARCHAR AS "Ngày sinh",
+    nullif(don_vi, '') AS "Đơn vị", nullif(to_chuc, '') AS "Tổ chức" FROM records"""
+ORACLE_SQL["issue_sheet"] = f"""WITH i AS ({ORACLE_SQL["mode1_issues"]}) SELECT source AS "Tệp nguồn", stt AS "STT", raw_name AS "Họ và tên (gốc)", raw_email AS "Email (gốc)", raw_phone AS "Điện thoại (gốc)",
+    CASE reason WHEN 'missing_email' THEN 'Thiếu email' WHEN 'invalid_email_format' THEN 'Email sai định dạng' ELSE 'Trùng email' END AS "Lý do", note AS "Ghi chú" FROM i"""
+_SHOWN = "CASE WHEN regexp_matches(trim({0}), '^-?\\d+\\.\\d+$') AND abs(TRY_CAST(trim({0}) AS DOUBLE) - round(TRY_CAST(trim({0}) AS DOUBLE))) < 1e-6 THEN round(TRY_CAST(trim({0}) AS DOUBLE))::BIGINT::VARCHAR ELSE trim(coalesce({0}, '')) END"
+ORACLE_SQL["shown_cells"] = f"WITH {REGISTRATIONS} SELECT source, row_pos, {_SHOWN.format('stt')} AS stt, {_SHOWN.format('raw_phone')} AS phone FROM registrations"
+_BOOK = f"""WITH {REGISTRATIONS}, c AS (SELECT source, row_pos % 3 AS sheet_idx, raw_email AS value FROM registrations UNION ALL SELECT source, 1, raw_email FROM registrations WHERE row_pos % 3 = 0 AND row_pos % 4 > 0
+    UNION ALL SELECT source, 3, raw_name FROM registrations WHERE row_pos % 3 = 0),
+  e AS (SELECT DISTINCT source, sheet_idx, unnest(regexp_extract_all(regexp_replace(lower(value), '\\s+', '', 'g'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_.%+\\-]+@[\\p{{L}}\\p{{M}}\\p{{Nd}}_.\\-]+\\.[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}')) AS email FROM c),
+  f AS (SELECT *, min(sheet_idx) OVER (PARTITION BY source, email) AS first FROM e), g AS (SELECT source, sheet_idx, count(*) AS emails, count(*) FILTER (first < sheet_idx) AS overlap FROM f GROUP BY ALL)"""
+ORACLE_SQL["sheet_warnings"] = _BOOK + """ SELECT source, 'sheet_skipped' AS code, source || '.xlsx [Sheet: s' || sheet_idx || ']: bỏ qua sheet này vì trùng ' || overlap || '/' || emails || ' email với sheet trước; ' || (emails - overlap) || ' email mới trong sheet không được đọc' AS message
+    FROM g WHERE emails >= 3 AND overlap >= 0.5 * emails"""
+ORACLE_SQL["sheets_read"] = _BOOK + " SELECT c.source, c.sheet_idx, count(value) AS n FROM c JOIN g ON c.source = g.source AND c.sheet_idx = g.sheet_idx WHERE NOT (emails >= 3 AND overlap >= 0.5 * emails) GROUP BY ALL"

@@ -15,7 +15,7 @@ from ..functions.text import fold
 from ..operators import content, domains, freetext, origins, provinces, records, recover, scan, search, sequence, sheets, units
 from ..operators.cells import search_cells
 from ..sources import read_csv, sinks
-from . import pipelines
+from . import list_queries, pipelines
 from .oracle import ORACLE_SQL
 from .registrations import registrations, table
 from ..staging import scratch_folder, staged
@@ -362,3 +362,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         source_relation, source_bulk_default, csv_ranges, issue_labels, template_binding, preview_natural, preview_next, all_pages, filter_counts,
     )
 }
+QUERIES |= list_queries.QUERIES
