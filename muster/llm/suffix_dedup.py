@@ -3,11 +3,12 @@
 Each text is its UTF-8 bytes.  A byte goes if it lies in a ``length``-byte string (100) that also starts
 earlier: at a smaller doc_id, or earlier in the same document.  All strings are judged on the input.
 
-Method.  Suffixes are put into buckets by their first q-gram; a bucket is refined by sorting on the bucket identifiers
-of later offsets, and refined identifiers are used again for the offsets before, until ``length`` bytes decide.
-As sorting all suffixes would be a shuffle of many times the text, they are sampled first: of the ``length - Q + 1``
-q-grams of every string, the one of the least hash (the leftmost of equal ones) is an anchor, so equal
-strings have their anchor at the same place, and about 2 in 70 suffixes suffice without losing any string.
+Method.  Suffixes are put into buckets by their first q-gram.  A bucket is refined by sorting on (own bucket, bucket of the
+suffix h bytes later), which decides 2 h bytes; the new identifiers are written back and used for the next round, until
+``length`` bytes decide.  As sorting all suffixes would be a shuffle of many times the text, they are sampled first: of the
+``length - Q + 1`` q-grams of every string, the one of the least hash (the leftmost of equal ones) is an anchor, so equal
+strings have their anchor at the same place, and about 2 in 70 suffixes suffice to bring together all that is to be
+sorted, without losing any string.
 
 1. One pass emits the anchors: (bucket of its q-gram, fingerprint of all bytes that the strings with this
    anchor can reach, position).  Within a task, anchors that agree in both are settled: all but the first are covered,
@@ -15,13 +16,16 @@ strings have their anchor at the same place, and about 2 in 70 suffixes suffice
    dealt by bucket and fingerprint, with one marker of it dealt by bucket.  So a hot bucket gathers a row a task.
 2. All other anchors are dealt by bucket and sorted by (bucket, fingerprint, position).  A scan settles every anchor
    but the first of each fingerprint as covered; a bucket with one fingerprint and no marker is done.
-3. The firsts of open buckets (where repeats begin and end) get their bytes by a join on doc_id and are refined
-   (``_refine_buckets``): to the right by the bucket so far and the identifier at the next offset, to the left by the
-   refined bucket of the suffix one byte later and the byte before it; suffixes alone in their bucket drop out.
-   A string is the bucket of what its anchor has to the left and of what it has to the right.  The strings of one
-   anchor overlap, so their union is one interval, from the largest refined offset to the smallest.  Buckets of over
-   ``hot`` anchors are refined by a distributed minimum per (bucket, offset, fingerprint) instead of in a task.
-4. Intervals are joined to the documents and merged there.
+3. The firsts of open buckets (where repeats begin and end) get their bytes by a join on doc_id, and whole buckets
+   are refined in tasks (``_refine_buckets``): all suffixes in their reach, one for each (document, position), start with
+   buckets of 8 bytes; a round looks up the bucket of the suffix 8, 16, 32 bytes later and names the pairs; suffixes alone in
+   their bucket drop out.  A string of 100 bytes is the pair of its 64-byte bucket and the one 36 bytes later; all but the
+   first of a bucket of strings are repeats.
+4. A bucket of over ``hot`` anchors is split by further identifiers, those of the bytes that all strings of a range of
+   offsets share: its anchors' strings start 0 to 68 bytes before the anchor; halves of this range share more bytes, whose
+   fingerprint is the anchor's bucket in the half.  Buckets that are still hot are split again; in the end one string is
+   one bucket, and its first is a minimum.  So no task holds a hot bucket.
+5. Intervals are joined to the documents and merged there.
 
 No task holds more than a block of documents, a batch of anchors or ``hot`` contexts; numpy needs about 60 bytes a
 byte of the longest text.
@@ -188,85 +192,98 @@ def _contexts(length: int):
     return run
 
 
-def _grid(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows' bytes plus 1 (0 where there are none), each with its anchor in column ``length - Q``; the number of
-    bytes before the anchor, and from it on."""
-    reach = length - Q
-    before = rows.column("before").to_numpy()
+def _suffixes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that the contexts cover, each (document, position) once and in order: document, position, byte, and the
+    place behind the last byte that follows without a gap."""
+    doc, start = rows.column("doc_id").to_numpy(), rows.column("pos").to_numpy().astype(np.int64) - rows.column("before").to_numpy()
     col = rows.column("bytes").combine_chunks()
     col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     size = np.diff(offs)
-    grid = np.zeros((len(size), reach + length), np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    grid[row, np.arange(len(data)) - np.repeat(offs[:-1] - offs[0], size) + (reach - before)[row]] = data.astype(np.int64) + 1
-    return grid, before, size - before
-
-
-def _refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Buckets (numbers from 0; -1 is alone) sorted on the identifiers of another offset."""
-    out = np.full(len(bucket), -1)
-    live = np.flatnonzero(bucket >= 0)
+    at = np.arange(len(data)) - np.repeat(offs[:-1] - offs[0], size) + np.repeat(start, size)
+    names, doc = np.unique(doc, return_inverse=True)
+    doc = np.repeat(doc, size)
+    order = np.lexsort((at, doc))
+    doc, at, data = doc[order], at[order], data[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+    doc, at, data = doc[new], at[new], data[new]
+    ends = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1), True)) + 1
+    return names[doc], at, data, np.repeat(ends, np.diff(np.append(0, ends)))
+
+
+def _named(key: np.ndarray, live: np.ndarray, n: int) -> np.ndarray:
+    """A bucket number for each of n suffixes: equal keys of the ``live`` ones share one; -1 for those alone or not live."""
+    out = np.full(n, -1)
     if len(live):
-        _, name, count = np.unique(bucket[live] * 257 + later[live], return_inverse=True, return_counts=True)
+        _, name, count = np.unique(key, return_inverse=True, return_counts=True)
         out[live] = np.where(count[name] > 1, name, -1)
     return out
 
 
+def _refined(bucket: np.ndarray, later: int, end: np.ndarray, reach: int) -> np.ndarray:
+    """Buckets sorted on the buckets of the suffixes ``later`` bytes on; ``end``: the place behind each suffix's last byte;
+    reach: how many bytes a suffix must have for it."""
+    n = len(bucket)
+    live = np.flatnonzero((bucket >= 0) & (np.arange(n) + reach <= end))
+    live = live[bucket[live + later] >= 0]
+    return _named(bucket[live] * n + bucket[live + later], live, n)
+
+
+def string_buckets(data: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """The bucket of the ``length``-byte string at each place, -1 if it is the only one."""
+    n, h = len(data), 8
+    live = np.flatnonzero(np.arange(n) + h <= end)
+    gram = np.zeros(n, np.uint64)
+    for k in range(h):
+        gram[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    bucket = _named(gram[live], live, n)
+    while 2 * h <= length:
+        bucket = _refined(bucket, h, end, 2 * h)
+        h *= 2
+    return _refined(bucket, length - h, end, length) if h < length else bucket
+
+
 def _refine_buckets(length: int):
-    """Over whole buckets sorted by (bucket, doc_id, pos): the interval of each anchor's repeated strings."""
-    reach = length - Q
+    """Over whole buckets: the intervals of repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_group((b.rename_columns(["group", *b.schema.names[1:]]) for b in batches), 4 << 20):
-            group, doc, pos = (rows.column(n).to_numpy() for n in ("group", "doc_id", "pos"))
-            grid, before, after = _grid(rows, length)
-            start = np.unique(group, return_inverse=True)[1]
-            least, most = np.full(len(doc), length), np.full(len(doc), -1)
-            right = [start]  # after Q bytes, Q + 1, ...
-            for k in range(Q, length):
-                right.append(_refined(right[-1], grid[:, reach + k]))
-            left = start  # the bytes before the anchor, the nearest first
-            for o in range(reach + 1):
-                if o:
-                    left = _refined(left, grid[:, reach - o])
-                there = right[length - o - Q]
-                own = np.flatnonzero((left >= 0) & (there >= 0) & (o <= before) & (after >= length - o))
-                if not len(own):
-                    continue
-                key = left[own] * len(doc) + there[own]
-                order = np.argsort(key, kind="stable")
-                s, at = key[order], own[order]
-                new = np.append(True, s[1:] != s[:-1])
-                first = at[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-                hit = at[(doc[at] != doc[first]) | (pos[at] != pos[first])]
-                least[hit] = np.minimum(least[hit], o)
-                most[hit] = o
-            hit = np.flatnonzero(most >= 0)
-            yield pa.record_batch({"doc_id": pa.array(doc[hit]), "start": pa.array((pos[hit] - most[hit]).astype(np.int32)), "end": pa.array((pos[hit] - least[hit] + length).astype(np.int32))})
+        for rows in _by_group((b.rename_columns(["group", *b.schema.names[1:]]) for b in batches), 2 << 20):
+            doc, at, data, end = _suffixes(rows)
+            bucket = string_buckets(data, end, length)
+            own = np.flatnonzero(bucket >= 0)  # by document and position, so the first of a bucket is its earliest
+            order = own[np.argsort(bucket[own], kind="stable")]
+            hit = np.sort(order[1:][bucket[order[1:]] == bucket[order[:-1]]])
+            if len(hit):
+                fresh = np.append(True, (np.diff(hit) > 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (at[hit[1:]] != at[hit[:-1]] + 1))
+                last = np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)
+                yield pa.record_batch({"doc_id": pa.array(doc[hit[fresh]]), "start": pa.array(at[hit[fresh]].astype(np.int32)), "end": pa.array((at[hit[last]] + length).astype(np.int32))})
 
     return run
 
 
-def _explode_offsets(length: int):
-    """A row for each string of each anchor, with its fingerprint."""
-    reach = length - Q
+CONTEXTS = "bucket long, doc_id long, pos int, before int, bytes binary, low int, high int"
+
+
+def _split(length: int):
+    """Each context twice, in the buckets of the two halves of its range of offsets (low to high: how far before the anchor
+    a string starts), named by the bytes that all strings of the half share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 5000):
-                rows = pa.Table.from_batches([batch.slice(k, 5000)])
-                grid, before, after = _grid(rows, length)
-                p = np.zeros((len(grid), reach + length + 1), np.uint64)
-                np.cumsum(grid.astype(np.uint64) * T.powers(T.BASE, reach + length), axis=1, out=p[:, 1:])
-                back = T.powers(T.INVERSE, reach + 1)
-                for o in range(reach + 1):
-                    own = np.flatnonzero((o <= before) & (after >= length - o))
-                    h = T.mix((p[own, reach + length - o] - p[own, reach - o]) * back[reach - o])
-                    part = rows.select(["bucket", "doc_id", "pos"]).take(pa.array(own)).combine_chunks()
-                    cols = [part.column(c).combine_chunks() for c in ("bucket", "doc_id", "pos")]
-                    yield pa.record_batch([cols[0], pa.array(np.full(len(own), o, np.int32)), pa.array(h.view(np.int64)), cols[1], cols[2]], ["bucket", "o", "h", "doc_id", "pos"])
+            out = []
+            for row in batch.to_pylist():
+                middle, before, text = (row["low"] + row["high"]) // 2, row["before"], row["bytes"]
+                after = len(text) - before
+                for low, high in ((row["low"], middle), (middle + 1, row["high"])):
+                    if max(low, length - after) <= min(high, before):
+                        shared = text[before - low : before + length - high]
+                        name = hashlib.blake2b(shared, digest_size=8, salt=low.to_bytes(8, "little") + high.to_bytes(8, "little")).digest()
+                        reach = min(before, high)
+                        out.append((int.from_bytes(name, "little", signed=True), row["doc_id"], row["pos"], reach, text[before - reach : before + length - low], low, high))
+            names = [c.split()[0] for c in CONTEXTS.split(", ")]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
 
     return run
 
@@ -313,21 +330,23 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
         spans = settled.where("bucket is null").selectExpr("doc_id", "pos - before start", "pos + after end")
 
         rest = settled.where("bucket is not null")
-        sizes = keep(rest.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {hot}"))
-        large = join_groups(rest, sizes, ["bucket"], rest.count())
-        usual = rest.join(sizes, "bucket", "left_anti") if sizes.count() else rest
-
-        def contexts(some: DataFrame) -> DataFrame:
-            per_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "before", "after")).alias("anchors"))
-            return texts.join(merged(per_doc), "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary")
-
-        dealt = contexts(usual).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "pos")
-        spans = spans.union(keep(dealt.mapInArrow(_refine_buckets(length), "doc_id long, start int, end int")))
-        if sizes.count():
-            strings = keep(contexts(large).mapInArrow(_explode_offsets(length), "bucket long, o int, h long, doc_id long, pos int"))
-            first = keep(strings.groupBy("bucket", "o", "h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("size")).where("size > 1"))
-            again = join_groups(strings, first, ["bucket", "o", "h"], strings.count()).where("doc_id <> first.doc_id or pos <> first.pos")
-            spans = spans.union(again.groupBy("doc_id", "pos").agg(F.max("o").alias("most"), F.min("o").alias("least")).selectExpr("doc_id", "pos - most start", f"pos - least + {length} end"))
+        per_doc = rest.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "before", "after")).alias("anchors"))
+        found = texts.join(merged(per_doc), "doc_id").mapInArrow(_contexts(length), "bucket long, doc_id long, pos int, before int, bytes binary")
+        open_ = keep(found.withColumns({"low": F.lit(0), "high": F.lit(length - Q)}))
+        while True:
+            sizes = keep(open_.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+            large = sizes.where(f"size > {hot}")
+            usual = open_.join(merged(sizes.where(f"size <= {hot}").select("bucket")), "bucket", "left_semi")  # those alone in their bucket drop out
+            dealt = usual.select("bucket", "doc_id", "pos", "before", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+            spans = spans.union(keep(dealt.mapInArrow(_refine_buckets(length), "doc_id long, start int, end int")))
+            if large.isEmpty():
+                break
+            hot_rows = keep(join_groups(open_, large, ["bucket"], open_.count()).drop("size"))
+            single = hot_rows.where("low = high")  # a bucket is a string
+            first = keep(single.groupBy("bucket").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("size")))
+            again = join_groups(single, first, ["bucket"], single.count()).where("doc_id <> first.doc_id or pos <> first.pos")
+            spans = spans.union(keep(again.selectExpr("doc_id", "pos - low start", f"pos - low + {length} end")))
+            open_ = keep(hot_rows.where("low < high").select(*[c.split()[0] for c in CONTEXTS.split(", ")]).mapInArrow(_split(length), CONTEXTS))
         return kept(spans)
 
 

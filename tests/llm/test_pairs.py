@@ -230,19 +230,30 @@ def test_suffix_dedup(docs, corpus):
         assert got == spans_expected(corpus, 100)
 
 
-def test_buckets_are_refined_like_a_suffix_sort():
-    """Each round's buckets are those of a plain sort by the bytes that it covers."""
-    rnd = np.random.default_rng(3)
-    words = rnd.integers(0, 2, (300, 30))
-    bucket = np.zeros(300, np.int64)
-    for k in range(30):
-        bucket = suffix_dedup._refined(bucket, words[:, k])
-        seen = Counter(tuple(w[: k + 1]) for w in words.tolist())
-        rank = {w: n for n, w in enumerate(sorted(w for w in seen if seen[w] > 1))}
-        named = [rank.get(tuple(w[: k + 1]), -1) for w in words.tolist()]
-        assert [b < 0 for b in bucket] == [n < 0 for n in named]
-        live = sorted((n, b) for n, b in zip(named, bucket.tolist(), strict=True) if n >= 0)
-        assert live == sorted(live, key=lambda x: x[1]) and len(set(live)) == len(rank)
+@pytest.mark.parametrize("length", [40, 64, 100])
+def test_buckets_are_refined_like_a_suffix_sort(length):
+    """A round's buckets, made of the buckets of later suffixes only, are those of a plain sort by the bytes that it covers."""
+    rnd = np.random.default_rng(length)
+    motif = rnd.integers(0, 3, 300).astype(np.uint8)
+    runs = [np.concatenate([rnd.integers(0, 3, 20), motif[k % 90 : k % 90 + 150], rnd.integers(0, 3, k)]).astype(np.uint8) for k in range(8)]
+    data, end = np.concatenate(runs), np.repeat(np.cumsum([len(x) for x in runs]), [len(x) for x in runs])
+
+    def plain(h):
+        text = [bytes(data[k : k + h]) if k + h <= end[k] else None for k in range(len(data))]
+        seen = Counter(t for t in text if t is not None)
+        return [t if t is not None and seen[t] > 1 else None for t in text]
+
+    def same(bucket, text):
+        assert [b < 0 for b in bucket] == [t is None for t in text]
+        pairs = {(b, t) for b, t in zip(bucket.tolist(), text, strict=True) if t is not None}
+        assert len(pairs) == len({b for b, _ in pairs}) == len({t for _, t in pairs})
+
+    ids = {t: n for n, t in enumerate(sorted({t for t in plain(8) if t is not None}))}
+    bucket = np.array([ids.get(t, -1) for t in plain(8)])
+    for h in (8, 16):
+        bucket = suffix_dedup._refined(bucket, h, end, 2 * h)
+        same(bucket, plain(2 * h))
+    same(suffix_dedup.string_buckets(data, end, length), plain(length))
 
 
 def test_suffix_dedup_of_a_hot_passage(spark):
