@@ -135,10 +135,31 @@ def sheets_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.pick_sheets(_book(spark, sf_dir)).groupBy("source", F.col("sheet_idx").cast("long").alias("sheet_idx")).agg(F.count("value").alias("n"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of tables, 30 a page, in which every sixth address is cut; and the words of the pages, with the rest of a cut
+    address below its start, the row's number stuck to its end, and the addresses of other rows in the same column."""
+    known = staged(_nth(records.classify(registrations(spark, sf_dir)).where(F.col("status") == records.OK)).withColumn("page", F.floor(F.col("nth") / 30).cast("int")))
+    local, domain = F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+    cut = F.col("nth") % 6 == 0
+    rows = known.select("source", "page", "row_pos", F.array(F.coalesce("stt", F.lit("")), "name", F.when(cut, local).otherwise(F.col("email")), "phone").alias("cells"))
+    y = (F.col("nth") % 30 * 40).cast("double")
+    word = lambda text, dy: known.where(cut).select("source", "page", text.alias("text"), F.lit(100.0).alias("x0"), (y + dy).alias("top"))
+    half = F.floor(F.length(domain) / 2).cast("int")
+    words = word(local, 0).unionByName(word(F.concat(F.lit("@"), F.substr(domain, F.lit(1), half)), 12)).unionByName(word(F.concat(F.substr(domain, half + 1), F.substring("phone", 1, 6)), 24))
+    others = known.where(~cut).select("source", "page", F.col("email").alias("text"), F.lit(101.5).alias("x0"), y.alias("top"))
+    return staged(rows), staged(words.unionByName(others))
+
+
+def cut_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that a column's border cut, rebuilt from the words of their page."""
+    rows, words = _pages(spark, sf_dir)
+    return recover.repair_cut_emails(rows, words, staged).select("source", "row_pos", F.col("col_idx").cast("long").alias("col_idx"), "email")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         header_search, header_search_units, sheet_rows, paged_tables, text_people, lost_rows, mode1_warnings, mode2_warnings, mode1_funnel, mode1_layout,
-        mode2_layout, issue_sheet, shown_cells, sheet_warnings, sheets_read,
+        mode2_layout, cut_emails, issue_sheet, shown_cells, sheet_warnings, sheets_read,
     )
 }

@@ -444,3 +444,11 @@ _BOOK = f"""WITH {REGISTRATIONS}, c AS (SELECT source, row_pos % 3 AS sheet_idx,
 ORACLE_SQL["sheet_warnings"] = _BOOK + """ SELECT source, 'sheet_skipped' AS code, source || '.xlsx [Sheet: s' || sheet_idx || ']: bỏ qua sheet này vì trùng ' || overlap || '/' || emails || ' email với sheet trước; ' || (emails - overlap) || ' email mới trong sheet không được đọc' AS message
     FROM g WHERE emails >= 3 AND overlap >= 0.5 * emails"""
 ORACLE_SQL["sheets_read"] = _BOOK + " SELECT c.source, c.sheet_idx, count(value) AS n FROM c JOIN g ON c.source = g.source AND c.sheet_idx = g.sheet_idx WHERE NOT (emails >= 3 AND overlap >= 0.5 * emails) GROUP BY ALL"
+# A cut row can begin at its own word, or at a whole address of its page that starts like it.
+ORACLE_SQL["cut_emails"] = STEPS + """, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_pos) - 1 AS nth FROM valid), p AS (SELECT *, nth // 30 AS page, split_part(email, '@', 1) AS head, split_part(email, '@', 2) AS domain FROM k),
+  d AS (SELECT source, domain, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(row_pos)) AS r, count(*) AS n FROM p WHERE nth % 6 > 0 GROUP BY source, domain),
+  c AS (SELECT p.*, d.domain AS wanted FROM p JOIN d ON d.source = p.source AND d.r = 1 AND d.n >= 3 WHERE nth % 6 = 0 AND length(head) >= 3 AND regexp_matches(head, '[a-z]')),
+  v AS (SELECT source, page, head, row_pos, nth AS y, 1 AS good, email FROM c WHERE domain = wanted
+    UNION ALL SELECT c.source, c.page, c.head, c.row_pos, o.nth, (substr(o.email, length(c.head) + 1, 1) IN ('.', '@'))::INT, o.email FROM c JOIN p o ON o.source = c.source AND o.page = c.page AND o.nth % 6 > 0 AND starts_with(o.email, c.head) AND o.domain = c.wanted),
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY source, page, head ORDER BY row_pos) AS a, dense_rank() OVER (PARTITION BY source, page, head ORDER BY good DESC, y) AS b FROM v)
+  SELECT source, row_pos, 2::BIGINT AS col_idx, email FROM (SELECT *, row_number() OVER (PARTITION BY source, page, y ORDER BY row_pos) AS first FROM r WHERE a = b) WHERE first = 1"""

@@ -95,6 +95,19 @@ def _named(rows: DataFrame) -> DataFrame:
     )
 
 
+def _mended(cells: DataFrame, words: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(cells, warnings): cells of documents with the addresses that a column's border cut, from the words of their pages
+    (source, page, text, x0, top; a table's number is its page)."""
+    if words is None:
+        return cells, None
+    own = cells.where("kind = 'docx' and table_id >= 0")
+    rows = staged(profile.row_arrays(own.select(*profile.TABLE, "row_pos", "col_idx", "value")).withColumnRenamed("table_id", "page"))
+    repaired = staged(recover.repair_cut_emails(rows, words, staged))
+    found = repaired.select("source", F.col("page").alias("table_id"), "row_pos", "col_idx", "email")
+    mended = cells.join(found, ["source", "table_id", "row_pos", "col_idx"], "left").withColumn("value", F.coalesce("email", "value")).drop("email")
+    return staged(mended.select(*cells.columns)), recover.repair_warnings(repaired)
+
+
 def mode1_rows(cells: DataFrame) -> DataFrame:
     """source, row_pos, row_label, stt, raw_name, raw_email, raw_phone of all tables, and of the running text of documents.
 
@@ -279,14 +292,20 @@ def _with(result: Result, warnings: DataFrame) -> Result:
     return result
 
 
-def run_mode1(spark: SparkSession, sources: list[str | Source] | DataFrame, dedupe: bool = True, lines: DataFrame | None = None) -> Result:
-    """Addresses, names and numbers of the people in the files."""
+def run_mode1(spark: SparkSession, sources: list[str | Source] | DataFrame, dedupe: bool = True, lines: DataFrame | None = None, words: DataFrame | None = None) -> Result:
+    """Addresses, names and numbers of the people in the files. lines and words: the text of the sources' pages and where
+    its words stand, with a source's whole path, for rows that tables lost and addresses that they cut."""
     cells, warnings = _read(spark, sources, every=True)
-    return _with(extract(staged(_about(mode1_rows(cells), cells)).drop("default"), dedupe=dedupe, lines=lines), warnings)
+    cells, mended = _mended(cells, words)
+    result = extract(staged(_about(mode1_rows(cells), cells)).drop("default"), dedupe=dedupe, lines=lines)
+    return _with(result, warnings if mended is None else warnings.unionByName(mended))
 
 
-def run_mode2(spark: SparkSession, sources: list[str | Source] | DataFrame, default: str | None = None, dedupe: bool = True, lines: DataFrame | None = None) -> Result:
+def run_mode2(
+    spark: SparkSession, sources: list[str | Source] | DataFrame, default: str | None = None, dedupe: bool = True, lines: DataFrame | None = None, words: DataFrame | None = None,
+) -> Result:
     """The same with unit and organisation. default is that of the sources without one of their own."""
     cells, warnings = _read(spark, sources, every=False)
+    cells, mended = _mended(cells, words)
     rows = staged(_about(mode2_rows(cells), cells).withColumn("default", F.coalesce("default", F.lit(default))))
-    return _with(extract(rows, with_unit=True, dedupe=dedupe, lines=lines), warnings)
+    return _with(extract(rows, with_unit=True, dedupe=dedupe, lines=lines), warnings if mended is None else warnings.unionByName(mended))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from muster.operators import content, context, domains, freetext, origins, profile, provinces, recover, search, sequence, sheets, units
+from muster.staging import staged
 
 ROWS = "source string, row_pos long, stt string, raw_name string, raw_email string, raw_phone string"
 
@@ -206,10 +207,21 @@ def test_recovery(spark):
 
 
 def test_cut_addresses(spark):
-    fragment = spark.createDataFrame([("a", 1, 4, 2, "mot.tv@tinhma")], "source string, page int, row_pos long, col_idx int, value string")
-    words = spark.createDataFrame([("a", 1, "mot.tv@tinhma", 10.0, 100.0), ("a", 1, "u.gov.vn", 11.0, 112.0), ("a", 1, "khac", 80.0, 112.0)], "source string, page int, text string, x0 double, top double")
-    dominant = spark.createDataFrame([("a", "tinhmau.gov.vn")], "source string, domain string")
-    assert recover.repair_cut_emails(fragment, words, dominant).first().email == "mot.tv@tinhmau.gov.vn"
+    whole = [(f"u{k}@tinhmau.gov.vn", k) for k in range(3)]
+    cells = [("a", 0, k, [str(k), "Test", e, ""]) for e, k in whole] + [
+        ("a", 1, 10, ["10", "Test", "motv", "0900000001"]), ("a", 1, 11, ["11", "Test", "motv", "0900000002"]), ("a", 1, 12, ["12", "Test", "khac", ""]),
+        ("a", 1, 13, ["13", "Test", "12345", ""]), ("a", 1, 14, ["14", "Test", "ab", ""]), ("b", 1, 10, ["10", "Test", "motv", ""]),
+    ]
+    words = [
+        ("motv.nam@tinhma", 10.0, 100.0), ("u.gov.vn0900000001", 11.0, 112.0), ("khac", 80.0, 112.0), ("x@khac.vn", 80.0, 120.0),
+        ("motv", 10.0, 200.0), ("@tinhmau.", 9.0, 210.0), ("gov.vn", 10.0, 222.0), ("w@tinhmau.gov.vn", 10.0, 230.0),
+    ]
+    rows = spark.createDataFrame(cells, "source string, page int, row_pos long, cells array<string>")
+    placed = spark.createDataFrame([("a", 1, *w) for w in words], "source string, page int, text string, x0 double, top double")
+    got = recover.repair_cut_emails(rows, placed, staged)
+    assert sorted((r.row_pos, r.col_idx, r.email) for r in got.collect()) == [(10, 2, "motv.nam@tinhmau.gov.vn"), (11, 2, "motv@tinhmau.gov.vn")]
+    assert {r.row_pos: r.cells[2] for r in recover.with_repaired(rows, got).where("source = 'a' and page = 1").collect()}[11] == "motv@tinhmau.gov.vn"
+    assert recover.repair_warnings(got).first().message == "khôi phục 2 email bị cắt theo viền ô bảng (STT 10, 11) - hãy đối chiếu email với tệp gốc"
 
 
 def test_search_and_preview(spark):

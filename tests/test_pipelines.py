@@ -129,6 +129,15 @@ def test_row_labels_are_numbers_that_people_see(spark, tmp_path):
     assert reports.segments(result)[0] == "4 dòng đọc được  →  -0 thiếu email  →  -1 sai định dạng  →  -1 trùng email  →  2 dòng kết quả"
 
 
+def test_cut_addresses_come_back_from_the_words(spark, tmp_path):
+    people = [HEAD, *[[str(k), f"Test {chr(64 + k)}", "", f"u{k}@x.vn", ""] for k in range(1, 4)], ["4", "Test Năm", "Sở Mẫu", "namtest", "0900000005"]]
+    path = docx(tmp_path / "d.docx", people)
+    words = spark.createDataFrame([(f"file:{path}", 0, "namtest", 50.0, 10.0), (f"file:{path}", 0, "@x.vn09000", 50.5, 22.0)], "source string, page int, text string, x0 double, top double")
+    result = pipelines.run_mode1(spark, [path], words=words)
+    assert {r.email for r in result.records.collect()} == {"u1@x.vn", "u2@x.vn", "u3@x.vn", "namtest@x.vn"}
+    assert [r.message for r in result.warnings.where("code = 'cut_email_repaired'").collect()] == ["khôi phục 1 email bị cắt theo viền ô bảng (STT 4) - hãy đối chiếu email với tệp gốc"]
+
+
 def test_cut_domains_count_as_invalid(spark):
     people = [("a", k, str(k), f"Test {chr(64 + k)}", f"u{k}@{'tinhmau.go' if k == 16 else 'tinhmau.gov.vn'}", "") for k in range(1, 17)]
     result = pipelines.extract(rows(spark, people, "source string, row_pos long, stt string, raw_name string, raw_email string, raw_phone string"))
