@@ -4,8 +4,8 @@ Anchors are compared with all rows in blocks: a block of rows meets a block of a
 their scores; no score is stored.  What is wanted of a window (an anchor's rows of its label, or its rows of other
 labels with scores in a range) is the first k rows by falling score, then by rising id:
 
-1. Every task reports a histogram of a window's scores over ``BUCKETS`` equal parts of its range.  A task stops a window's
-   report at the bucket where its own rows reach k: the bucket of the kth row of all can't lie beyond.
+1. Every task reports a histogram of a window's scores over ``buckets`` equal parts of its range, summed over its blocks.  A
+   task stops a window's report at the bucket where its own rows reach k: the bucket of the kth row of all can't lie beyond.
 2. The histograms are added, and the bucket of the kth row becomes the window's new range.  Again, digit by digit,
    until the range's end falls on the kth row, or one score is left.  Then the digits of the ids of the rows with that
    score are refined in the same way, so ties of any number cost the same.
@@ -13,7 +13,7 @@ labels with scores in a range) is the first k rows by falling score, then by ris
 
 Step 1 to 3 run for the positives, then for the windows around them; positives of equal score share one.  A pass reads the
 blocks and moves histograms; its results are written, so a lost executor costs a part of one pass.  Blocks of anchors are
-broadcast where all anchors are within ``BROADCAST`` bytes; beyond, both kinds of blocks meet by a shuffle, salted by row
+broadcast where all anchors are within ``broadcast`` bytes; beyond, both kinds of blocks meet by a shuffle, salted by row
 block.  Products are exact: in doubles below 2**53, else in 64-bit integers.
 
 Defined results: rows with a null id, label or vector or with a null or non-finite component take no part; a vector's missing
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .tables import kept, merged, scratch, table
 
-ROW_BLOCK, ANCHOR_BLOCK, BUCKETS, SALTS = 4096, 512, 256, 16
-BROADCAST = 64 << 20
+SALTS = 16
+#: A task sums the histograms of so many windows before it reports them.
+HELD = 20_000
 LARGEST = (1 << 63) - 1
 
 #: A window: its rows' scores are from lo to hi, k are wanted.  axis 0: the kth has a score from low to high; axis 1: it has the
@@ -67,7 +68,7 @@ def quantised(vectors: DataFrame, key: str, label: str, vector: str, scale: int,
     return whole.select("id", F.struct("label", q.alias("q")).alias("row")).groupBy("id").agg(F.min("row").alias("row")).select("id", "row.*")
 
 
-def _pack(dim: int):
+def _pack(dim: int, size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, rows = [], [], []
 
@@ -82,7 +83,7 @@ def _pack(dim: int):
             for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for into, value in zip((ids, labels, rows), row, strict=True):
                     into.append(value)
-                if len(ids) == ROW_BLOCK:
+                if len(ids) == size:
                     yield block()
                     ids, labels, rows = [], [], []
         if ids:
@@ -94,8 +95,8 @@ def _pack(dim: int):
 class _Table:
     """The packed rows, the packed anchors, and how they meet."""
 
-    def __init__(self, rows: DataFrame, every: int, keep):
-        self.keep, self.spark = keep, rows.sparkSession
+    def __init__(self, rows: DataFrame, every: int, keep, row_block: int = 4096, anchor_block: int = 512, buckets: int = 256, broadcast: int = 64 << 20):
+        self.keep, self.spark, self.buckets = keep, rows.sparkSession, buckets
         rows = keep(rows)
         square = F.aggregate("q", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
         peak = F.array_max(F.transform("q", lambda c: F.abs(c.cast("double"))))
@@ -110,15 +111,15 @@ class _Table:
         self.kind = np.float64 if most < 2.0**53 else np.int64
         if not self.n_anchors:
             return
-        n_blocks = -(-self.n_anchors // ANCHOR_BLOCK)
+        n_blocks = -(-self.n_anchors // anchor_block)
         self.anchors = keep(rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("square", square))
-        tasks = min(-(-self.n // ROW_BLOCK), 10_000)
-        packed = rows.repartition(tasks, "id").mapInArrow(_pack(self.dim), "ids binary, labels binary, q binary")
+        tasks = min(-(-self.n // row_block), 10_000)
+        packed = rows.repartition(tasks, "id").mapInArrow(_pack(self.dim, row_block), "ids binary, labels binary, q binary")
         self.blocks = keep(packed.withColumn("first", F.monotonically_increasing_id() == 0).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")))
         per_block = self.anchors.groupBy("block").agg(F.collect_list(F.struct("id", "label", "q")).alias("anchors"))
         self.anchor_blocks = keep(per_block)
         self.n_blocks = n_blocks
-        self.broadcast = self.n_anchors * (8 * self.dim + 1024) <= BROADCAST
+        self.broadcast = self.n_anchors * (8 * self.dim + 1024) <= broadcast
 
     def met(self, windows: DataFrame) -> DataFrame:
         """Each block of rows with each block of anchors and its windows."""
@@ -129,71 +130,93 @@ class _Table:
         salted = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return rows.join(merged(salted), ["block", "salt"])
 
-    def passed(self, windows: DataFrame, each, schema: str, then=lambda df: df) -> DataFrame:
-        """The rows of ``each`` (for a window, its scores and ids) over all blocks, written after ``then``."""
-        run = _kernel(each, self.dim, self.kind, schema)
+    def passed(self, windows: DataFrame, run, schema: str, then=lambda df: df) -> DataFrame:
+        """What ``run`` makes of all blocks, written after ``then``."""
         with _small_batches(self.spark, 4):
             return self.keep(then(self.met(windows).mapInArrow(run, schema)))
 
 
-def _kernel(each, dim: int, kind: type, schema: str):
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+def _scored(batches: Iterator[pa.RecordBatch], dim: int, kind: type):
+    """Each window with a block's scores and ids, the rows that it may have, and whether the block is the first."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
+            x = np.frombuffer(row["q"], np.int64).reshape(-1, dim).astype(kind)
+            anchors = {a["id"]: k for k, a in enumerate(row["anchors"])}
+            q = np.zeros((len(anchors), dim), kind)
+            for k, a in enumerate(row["anchors"]):
+                q[k, : len(a["q"])] = a["q"]
+            scores = (q @ x.T).astype(np.int64)
+            for w in row["windows"]:
+                k = anchors[w["anchor_id"]]
+                same = labels == row["anchors"][k]["label"]
+                yield w, scores[k], ids, same & (ids != w["anchor_id"]) if w["same"] else ~same, row["first"]
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
     types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    target = pa.schema([(n, types[k]) for n, k in zip(names, kinds, strict=True)])
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+HISTOGRAM = f"{STATE}, bucket long, count long"
+
+
+def _histograms(dim: int, kind: type, buckets: int):
+    """A window's state with each bucket that has rows, up to the one where the task's rows reach what it needs; the
+    task of the first block reports a window even without rows."""
+
+    def offsets(w: dict, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if w["axis"]:
+            near = rows & (scores == w["score"]) & (ids >= w["low"]) & (ids <= w["high"])
+            return ids[near].astype(np.uint64) - np.uint64(w["low"] % (1 << 64))
+        return (w["high"] - scores[rows & (scores >= w["low"]) & (scores <= w["high"])]).astype(np.uint64)
+
+    def report(held: dict) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(len(FIELDS) + 2)]
+        for w, counts, first in held.values():
+            last = int(np.searchsorted(counts.cumsum(), w["need"]))
+            full = np.flatnonzero(counts[: last + 1]).tolist() or ([0] if first[0] else [])
+            for into, f in zip(out, FIELDS):
+                into += [w[f]] * len(full)
+            out[-2] += full
+            out[-1] += counts[full].tolist()
+        return _batch(out, HISTOGRAM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
-                x = np.frombuffer(row["q"], np.int64).reshape(-1, dim).astype(kind)
-                anchors = {a["id"]: k for k, a in enumerate(row["anchors"])}
-                q = np.zeros((len(anchors), dim), kind)
-                for k, a in enumerate(row["anchors"]):
-                    q[k, : len(a["q"])] = a["q"]
-                scores = (q @ x.T).astype(np.int64)
-                out = [[] for _ in names]
-                for w in row["windows"]:
-                    k = anchors[w["anchor_id"]]
-                    same = labels == row["anchors"][k]["label"]
-                    rows = same & (ids != w["anchor_id"]) if w["same"] else ~same
-                    for into, values in zip(out, each(w, scores[k], ids, rows, row["first"]), strict=True):
-                        into.append(values)
-                if out[0]:
-                    columns = [pa.array(np.concatenate([np.atleast_1d(v) for v in x]), types[kinds[i]]) for i, x in enumerate(out)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=target)
+        held: dict = {}
+        for w, scores, ids, rows, first in _scored(batches, dim, kind):
+            key = w["anchor_id"], w["w"]
+            if key not in held:
+                if len(held) == HELD:
+                    yield report(held)
+                    held = {}
+                held[key] = w, np.zeros(buckets, np.int64), [False]
+            width = np.uint64((w["high"] - w["low"]) // buckets + 1)
+            held[key][1][:] += np.bincount((offsets(w, scores, ids, rows) // width).astype(np.int64), minlength=buckets)
+            held[key][2][0] |= first
+        if held:
+            yield report(held)
 
     return run
 
 
-def _width(w: dict) -> int:
-    return (w["high"] - w["low"]) // BUCKETS + 1
+GATHERED = "anchor_id long, w long, id long, score long"
 
 
-def _histogram(w: dict, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, first: bool):
-    """The window's state, and its buckets with rows up to the one where they reach what it needs; the first block of
-    rows reports a window even without rows."""
-    if w["axis"]:
-        near = rows & (scores == w["score"]) & (ids >= w["low"]) & (ids <= w["high"])
-        offset = ids[near].astype(np.uint64) - np.uint64(w["low"] % (1 << 64))
-    else:
-        near = rows & (scores >= w["low"]) & (scores <= w["high"])
-        offset = (w["high"] - scores[near]).astype(np.uint64)
-    counts = np.bincount((offset // np.uint64(_width(w))).astype(np.int64), minlength=1)
-    last = int(np.searchsorted(counts.cumsum(), w["need"]))
-    buckets = np.flatnonzero(counts[: last + 1])
-    if first and not len(buckets):
-        buckets = np.zeros(1, np.int64)
-    state = [np.full(len(buckets), LARGEST if w[f] is None else w[f]) for f in FIELDS]
-    return *state, buckets, counts[buckets]
+def _gather(dim: int, kind: type):
+    """The rows of windows whose bounds are known: low is the least score, high the largest id that has it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, scores, ids, rows, _ in _scored(batches, dim, kind):
+            at = np.flatnonzero(rows & (scores <= w["hi"]) & ((scores > w["low"]) | (scores == w["low"]) & (ids <= w["high"])))
+            if len(at):
+                yield _batch([np.full(len(at), w["anchor_id"]), np.full(len(at), w["w"]), ids[at], scores[at]], GATHERED)
 
-def _gather(w: dict, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, first: bool):
-    """The rows of a window whose bounds are known: low is the least score, high the largest id that has it."""
-    at = np.flatnonzero(rows & (scores <= w["hi"]) & ((scores > w["low"]) | (scores == w["low"]) & (ids <= w["high"])))
-    return np.full(len(at), w["anchor_id"]), np.full(len(at), w["w"]), ids[at], scores[at]
+    return run
 
 
-def _refined(first: int, last: int):
+def _refined(first: int, last: int, buckets: int):
     """From histogram rows to the windows' next state: ``open`` ones go on, of the others low and high are as _gather has them."""
 
     def then(rows: DataFrame) -> DataFrame:
@@ -204,7 +227,7 @@ def _refined(first: int, last: int):
         hit = F.min(F.when(F.col("cum") >= F.col("need"), F.struct("bucket", "cum", "count")))
         found = summed.groupBy(*FIELDS).agg(hit.alias("hit"))
         wide = lambda c: F.col(c).cast("decimal(38,0)")
-        width = F.floor((wide("high") - wide("low")) / BUCKETS).cast("decimal(38,0)") + 1
+        width = F.floor((wide("high") - wide("low")) / buckets).cast("decimal(38,0)") + 1
         step = F.col("hit.bucket").cast("decimal(20,0)") * width
         long = lambda c: c.cast("long")
         by_score, none, ends = F.col("axis") == 0, F.col("hit").isNull(), F.col("hit.cum") == F.col("need")
@@ -232,29 +255,29 @@ def select(rows: _Table, windows: DataFrame) -> DataFrame:
     state = windows.where("lo <= hi").select(
         "anchor_id", "block", "w", "same", "lo", "hi", F.lit(0).alias("axis"), F.lit(LARGEST).alias("score"), F.col("lo").alias("low"), F.col("hi").alias("high"), "need"
     )
-    schema = f"{STATE}, bucket long, count long"
     closed = None
     while True:
-        state = rows.passed(state, _histogram, schema, _refined(rows.first, rows.last))
+        state = rows.passed(state, _histograms(rows.dim, rows.kind, rows.buckets), HISTOGRAM, _refined(rows.first, rows.last, rows.buckets))
         done = state.where("not open")
         closed = done if closed is None else closed.unionByName(done)
         state = state.where("open")
         if state.isEmpty():
             break
-    return rows.passed(closed, _gather, "anchor_id long, w long, id long, score long")
+    return rows.passed(closed, _gather(rows.dim, rows.kind), GATHERED)
 
 
 def mine(
     vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", label_of: Column | None = None,
-    every: int = 100, scale: int = 256, n_positives: int = 5, n_negatives: int = 10, least: int = 30, most: int = 90,
+    every: int = 100, scale: int = 256, n_positives: int = 5, n_negatives: int = 10, least: int = 30, most: int = 90, **sizes: int,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are the rows whose id ``every`` divides; the negatives of a pair have least to most percent of its positive's
-    score. label_of: a column to take for the label.
+    score. label_of: a column to take for the label. sizes: row_block, anchor_block, buckets and broadcast; they don't change
+    results.
     """
     with scratch(vectors.sparkSession) as keep:
-        rows = _Table(quantised(vectors, key, label, vector, scale, label_of), every, keep)
+        rows = _Table(quantised(vectors, key, label, vector, scale, label_of), every, keep, **sizes)
         if not rows.n_anchors:
             names = ["anchor_id long", "positive_id long", "rank int", "negative_id long", "positive_score long", "negative_score long"]
             return vectors.sparkSession.createDataFrame([], ", ".join(names))
