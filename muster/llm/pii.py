@@ -4,14 +4,18 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, found lef
 per kind in the whole text; a match that fails its test is dropped.  The method adds ``secret`` spans (long keys of letters
 and digits, which are protected entities too) and ``term`` spans: words near an entity that reveal it.
 
-Method (after Sanchez and Batet's C-sanitisation).  A word t reveals an entity e to the degree
-PMI(e; t) / IC(e) = 1 - log(n_t / n_et) / log(N / n_e), where N is the number of words of the corpus, n_e
-and n_t the occurrences of e and t, and n_et those of t within ``reach`` characters of e.  It is 1 if t
-occurs only near e.  A word at or above ``disclosure`` is generalised to [TERM].  A word is judged against the entity's
-value and, as a back-off, against the group that the value belongs to (``_group``: an address's domain, the first
-digits of a number), which occurs more often.  n_t has ``spare`` occurrences added, that one sighting is no certainty;
-there is no least number of sightings, as an unusual name beside an address that occurs once is the ordinary case.
-All counts are over all documents.
+Method (after Sanchez and Batet's C-sanitisation).  A word t reveals an entity e as far as PMI(e; t) comes near IC(e), the whole
+information of e: IC(e) - PMI(e; t) = -log P(e near | t), the bits that t leaves open.  P is estimated by n_et / n_t, where n_t
+are the occurrences of t and n_et those within ``reach`` characters of e, and by its lower bound (Wilson, one-sided at ``z``), so
+that few sightings prove little and N doesn't matter.  A word is generalised to [TERM] if this bound is at least
+``disclosure``.  It is judged against the entity's value and, as a back-off, against the group that the value belongs to
+(``_group``: an address's domain, the first digits of a number), which occurs more often.
+
+An unusual name beside an address that occurs once can't be proved that way, nor told from an unusual word that stands
+there by chance, by its own counts.  So words of at most ``rare`` occurrences, all near e, are judged by the base rate at their
+distance: if rare words are a share x of all words at so many characters from values (bins of ``bin``; lower bound), and a
+share x0 of all words of the corpus, then 1 - x0 / x of them stand there for a reason, and if that is at least
+``disclosure``, they are generalised.  All counts are over all documents.
 
 Plan.  Two passes over the texts in whole-stage code: the texts that hold an entity (distinct ones, with their number of
 rows), and one count a word, combined on the map side.  Only the former give up their words' places, which meet the
@@ -126,7 +130,8 @@ def _entities(kind: Column, value: Column) -> Column:
 
 
 def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
-    """entity, term, start, end and text of the words within reach of each entity and outside of all; and n."""
+    """entity, term, start, end, gap (characters to the entity) and text of the words within reach of each entity and outside
+    of all; and n."""
     words = texts.select(*TEXT, F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
     places = _placed(words.select(*TEXT, "m.*"))
     entities = spans.select(*TEXT, _entities(F.col("kind"), F.col("value")).alias("names"), F.col("start").alias("s"), F.col("end").alias("e"))
@@ -135,22 +140,32 @@ def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
     terms = places.select(*TEXT, "start", "end", F.lower("value").alias("term"), F.floor(F.col("start") / reach).alias("stretch"))
     pairs = terms.join(entities, [*TEXT, "stretch"]).where((F.col("start") < F.col("e") + reach) & (F.col("end") > F.col("s") - reach))
     inside = F.max(((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).cast("int")).over(Window.partitionBy(*TEXT, "start"))
-    outside = pairs.withColumn("inside", inside).where("inside = 0").select(*TEXT, "term", "start", "end", F.explode("names").alias("entity")).distinct()
+    gap = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"))
+    outside = pairs.withColumn("inside", inside).where("inside = 0").select(*TEXT, "term", "start", "end", gap.alias("gap"), F.explode("names").alias("entity"))
+    outside = outside.groupBy(*TEXT, "term", "start", "end", "entity").agg(F.min("gap").alias("gap"))
     return outside.join(texts.select(*TEXT, "n"), TEXT)
 
 
-def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclosure: float = 0.9, reach: int = 160, spare: float = 1.0) -> DataFrame:
+def _at_least(hits: Column, n: Column, z: float) -> Column:
+    """The lower bound of a share of which hits of n were seen (Wilson)."""
+    p = F.least(hits / n, F.lit(1.0))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclosure: float = 0.5, reach: int = 160, z: float = 1.64, rare: int = 2, bin: int = 16) -> DataFrame:
     """The text, kind (term), start, end, value: words that disclose an entity near them."""
     near = keep(_near(texts, spans, reach))
-    met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"))
+    met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"), F.min("gap").alias("gap"))
     every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     counts = keep(every.groupBy("term").agg(F.count("*").alias("n_t")))
-    total = F.lit(float(counts.agg(F.sum("n_t")).first()[0] or 0))
-    named = spans.join(texts.select(*TEXT, "n"), TEXT).select(F.explode(_entities(F.col("kind"), F.col("value"))).alias("entity"), "n")
-    weighed = met.join(counts, "term").join(named.groupBy("entity").agg(F.sum("n").alias("n_e")), "entity")
-    rarity = F.greatest((F.col("n_t") + spare) / F.col("n_et"), F.lit(1.0))
-    degree = 1 - F.log(rarity) / F.log(F.greatest(total / F.col("n_e"), F.lit(2.0)))
-    telling = keep(weighed.where(degree >= disclosure).select("entity", "term", "size"))
+    weighed = keep(met.join(counts, "term").withColumn("bin", F.floor(F.col("gap") / bin)))
+    few = F.col("n_t") <= rare
+    usual = counts.agg((F.sum(F.when(few, F.col("n_t"))) / F.sum("n_t")).alias("x0")).first()["x0"] or 0.0
+    values = weighed.where(~F.contains("entity", F.lit(" group:")))
+    by_bin = values.groupBy("bin").agg(_at_least(F.coalesce(F.sum(F.when(few, F.col("n_et"))), F.lit(0)), F.sum("n_et"), z).alias("x"))
+    telling_bins = [r.bin for r in by_bin.collect() if r.x > 0 and 1 - usual / r.x >= disclosure]  # reach / bin rows at most
+    alone = few & (F.col("n_et") >= F.col("n_t")) & F.col("bin").isin(telling_bins) & ~F.contains("entity", F.lit(" group:"))
+    telling = keep(weighed.where((_at_least(F.col("n_et"), F.col("n_t"), z) >= disclosure) | alone).select("entity", "term", "size"))
     hits = join_groups(near, telling, ["entity", "term"], near.count()).select(*TEXT, "start", "end", "term").distinct()
     return hits.select(*TEXT, F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
 
