@@ -13,7 +13,7 @@ that few sightings prove little and N doesn't matter.  A word is generalised to
 
 An unusual name beside an address that occurs once can't be proved that way, nor told from an unusual word that stands
 there by chance, by its own counts.  So words of at most ``rare`` occurrences, all near e, are judged by the base rate at their
-distance: if rare words are a share x of all words at so many characters from values (bins of ``bin``; lower bound), and a
+distance: if rare words are a share x of all words at so many characters before or after values (bins of ``bin``; lower bound), and a
 share x0 of all words of the corpus, then 1 - x0 / x of them stand there for a reason, and if that is at least
 ``disclosure``, they are generalised.  All counts are over all documents.
 
@@ -129,9 +129,13 @@ def _entities(kind: Column, value: Column) -> Column:
     return F.array_compact(F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit(" group:"), group)))
 
 
+def _nearest(gap: str) -> Column:
+    return F.min(F.struct(F.abs(gap).alias("size"), F.col(gap)))[gap].alias(gap)
+
+
 def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
-    """entity, term, start, end, gap (characters to the entity) and text of the words within reach of each entity and outside
-    of all; and n."""
+    """entity, term, start, end, gap and text of the words within reach of each entity and outside of all; and n. gap: the
+    characters between, for words before the entity as -1 less them."""
     words = texts.select(*TEXT, F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
     places = _placed(words.select(*TEXT, "m.*"))
     entities = spans.select(*TEXT, _entities(F.col("kind"), F.col("value")).alias("names"), F.col("start").alias("s"), F.col("end").alias("e"))
@@ -140,9 +144,9 @@ def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
     terms = places.select(*TEXT, "start", "end", F.lower("value").alias("term"), F.floor(F.col("start") / reach).alias("stretch"))
     pairs = terms.join(entities, [*TEXT, "stretch"]).where((F.col("start") < F.col("e") + reach) & (F.col("end") > F.col("s") - reach))
     inside = F.max(((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).cast("int")).over(Window.partitionBy(*TEXT, "start"))
-    gap = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"))
+    gap = F.when(F.col("start") >= F.col("e"), F.col("start") - F.col("e")).otherwise(F.col("end") - F.col("s") - 1)
     outside = pairs.withColumn("inside", inside).where("inside = 0").select(*TEXT, "term", "start", "end", gap.alias("gap"), F.explode("names").alias("entity"))
-    outside = outside.groupBy(*TEXT, "term", "start", "end", "entity").agg(F.min("gap").alias("gap"))
+    outside = outside.groupBy(*TEXT, "term", "start", "end", "entity").agg(_nearest("gap"))
     return outside.join(texts.select(*TEXT, "n"), TEXT)
 
 
@@ -155,7 +159,7 @@ def _at_least(hits: Column, n: Column, z: float) -> Column:
 def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclosure: float = 0.5, reach: int = 160, z: float = 1.64, rare: int = 2, bin: int = 16) -> DataFrame:
     """The text, kind (term), start, end, value: words that disclose an entity near them."""
     near = keep(_near(texts, spans, reach))
-    met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"), F.min("gap").alias("gap"))
+    met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"), _nearest("gap"))
     every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     counts = keep(every.groupBy("term").agg(F.count("*").alias("n_t")))
     weighed = keep(met.join(counts, "term").withColumn("bin", F.floor(F.col("gap") / bin)))
@@ -163,7 +167,7 @@ def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclo
     usual = counts.agg((F.sum(F.when(few, F.col("n_t"))) / F.sum("n_t")).alias("x0")).first()["x0"] or 0.0
     values = weighed.where(~F.contains("entity", F.lit(" group:")))
     by_bin = values.groupBy("bin").agg(_at_least(F.coalesce(F.sum(F.when(few, F.col("n_et"))), F.lit(0)), F.sum("n_et"), z).alias("x"))
-    telling_bins = [r.bin for r in by_bin.collect() if r.x > 0 and 1 - usual / r.x >= disclosure]  # reach / bin rows at most
+    telling_bins = [r.bin for r in by_bin.collect() if r.x > 0 and 1 - usual / r.x >= disclosure]  # 2 * reach / bin rows and two
     alone = few & (F.col("n_et") >= F.col("n_t")) & F.col("bin").isin(telling_bins) & ~F.contains("entity", F.lit(" group:"))
     telling = keep(weighed.where((_at_least(F.col("n_et"), F.col("n_t"), z) >= disclosure) | alone).select("entity", "term", "size"))
     hits = join_groups(near, telling, ["entity", "term"], near.count()).select(*TEXT, "start", "end", "term").distinct()

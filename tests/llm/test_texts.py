@@ -231,11 +231,11 @@ def terms_expected(texts, disclosure=0.5, reach=160, z=1.64, rare=2, bin=16):
             for a, b, k in names:
                 if w.start() < b + reach and w.end() > a - reach:
                     for x in names[a, b, k]:
-                        near[x] = min(near.get(x, reach), max(a - w.end(), w.start() - b))
+                        near[x] = min(near.get(x, reach), w.start() - b if w.start() >= b else w.end() - a - 1, key=lambda g: (abs(g), g))
             for x, gap in near.items():
                 key = x, w.group().lower()
                 n_et[key] += 1
-                gaps[key] = min(gaps.get(key, reach), gap)
+                gaps[key] = min(gaps.get(key, reach), gap, key=lambda g: (abs(g), g))
                 places.append((row, w.start(), w.end(), key))
     usual = sum(n for n in n_t.values() if n <= rare) / max(sum(n_t.values()), 1)
     near, few = Counter(), Counter()
