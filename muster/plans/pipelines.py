@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,15 @@ def _mended(cells: DataFrame, words: DataFrame | None) -> tuple[DataFrame, DataF
     return staged(mended.select(*cells.columns)), recover.repair_warnings(repaired)
 
 
+def _kinds(cells: DataFrame) -> set[str]:
+    """The kinds of files (three at most) that give cells: steps for others are left out of the plan."""
+    return {r.kind for r in cells.select("kind").distinct().collect()} or {"csv"}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def mode1_rows(cells: DataFrame) -> DataFrame:
     """source, row_pos, row_label, stt, raw_name, raw_email, raw_phone of all tables, and of the running text of documents.
 
@@ -115,16 +125,27 @@ def mode1_rows(cells: DataFrame) -> DataFrame:
     in a table without ordinals, or of the block in a text.
     """
     document = F.col("kind") == "docx"
+    has = _kinds(cells)
     in_tables = cells.where("table_id >= 0")
     kinds = cells.select("source", document.alias("is_document")).distinct()
     columns = [*profile.TABLE, "row_pos", "col_idx", "value"]
-    tables = staged(_from_top(in_tables.where(~document).select(*columns)).unionByName(_logical(in_tables.where(document).select(*columns))))
     by = ["source", "table_id"]
+    parts = []
+    if has - {"docx"}:
+        parts.append(_from_top(in_tables.where(~document).select(*columns)))
+    if "docx" in has:
+        parts.append(_logical(in_tables.where(document).select(*columns)))
+    tables = staged(_union(parts))
     rows = _listed(_named(profile.to_rows(tables, _column_maps(tables, rich=False))).join(kinds, "source"), by)
-    wrapped = sequence.merge_continuations(sequence.join_name_fragments(rows.where("is_document"), by), by)
-    plain = sequence.drop_group_titles(rows.where("not is_document").unionByName(wrapped, allowMissingColumns=True), by)
+    plain = rows.where("not is_document")
+    if "docx" in has:
+        wrapped = sequence.merge_continuations(sequence.join_name_fragments(rows.where("is_document"), by), by)
+        plain = plain.unionByName(wrapped, allowMissingColumns=True)
+    plain = sequence.drop_group_titles(plain, by)
     keep = ["source", "row_pos", "row_label", "stt", "raw_name", "raw_email", "raw_phone"]
     found = search_cells(sequence.ordinals(plain, by)).select(*keep)
+    if "docx" not in has:
+        return staged(found)
     lines = cells.where("table_id < 0").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("row_pos", "value"))).alias("lines"), F.max("row_pos").alias("last"))
     line = lambda i: F.coalesce(F.try_element_at("lines", i), F.lit(""))
     texts = lines.select("source", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), line), "\n").alias("text"))
@@ -136,23 +157,26 @@ def mode2_rows(cells: DataFrame) -> DataFrame:
     """source, row_pos, row_label, stt, raw_name, raw_unit, raw_email, raw_phone, doc_commune, doc_issuer of all tables.
     row_label is the row of the sheet; rows of documents are known by their ordinal."""
     document = F.col("kind") == "docx"
+    has, parts = _kinds(cells), []
     columns = [*profile.TABLE, "row_pos", "col_idx", "value"]
-    sheet = staged(cells.where(~document).select(*columns))
-    fields = _column_maps(sheet, rich=True)
-    where = context.table_context(sheet, fields)
-    rows = _named(profile.to_rows(sheet, fields)).join(where, profile.TABLE, "left")
-    rows = rows.withColumn("has_group", F.col("group_col").isNotNull()).withColumnsRenamed({"unit": "raw_unit", "unit2": "raw_unit2", "group": "raw_group"})
-    rows = _listed(rows.withColumn("row_label", (F.col("row_pos") % PLACE + 1).cast("string")), profile.TABLE)
     keep = ["source", "row_pos", "row_label", "stt", "raw_name", "raw_unit", "raw_email", "raw_phone", "doc_commune", "doc_issuer"]
-    people = units.units_of_rows(rows, profile.TABLE).select(*keep)
-
-    pages = staged(cells.where(document).select(*columns))
-    in_tables = pages.where("table_id >= 0")
-    flat = content.flatten_tables(in_tables, staged(profile.rich_header_map(in_tables)))
-    named = content.assemble_rows(_listed(content.parse_rows(flat), ["source"])).join(context.document_context(pages), "source", "left")
-    unit = F.when(F.col("group").isNotNull(), units.unit_under_group(F.col("raw_unit"), F.col("group"))).otherwise(F.col("raw_unit"))
-    unit = F.when(F.trim(F.coalesce(unit, F.lit(""))) == "", F.coalesce("fallback_unit", F.lit(""))).otherwise(unit)
-    return staged(people.unionByName(named.withColumn("raw_unit", unit).withColumn("row_label", F.lit(None).cast("string")).select(*keep)))
+    if has - {"docx"}:
+        sheet = staged(cells.where(~document).select(*columns))
+        fields = _column_maps(sheet, rich=True)
+        where = context.table_context(sheet, fields)
+        rows = _named(profile.to_rows(sheet, fields)).join(where, profile.TABLE, "left")
+        rows = rows.withColumn("has_group", F.col("group_col").isNotNull()).withColumnsRenamed({"unit": "raw_unit", "unit2": "raw_unit2", "group": "raw_group"})
+        rows = _listed(rows.withColumn("row_label", (F.col("row_pos") % PLACE + 1).cast("string")), profile.TABLE)
+        parts.append(units.units_of_rows(rows, profile.TABLE).select(*keep))
+    if "docx" in has:
+        pages = staged(cells.where(document).select(*columns))
+        in_tables = pages.where("table_id >= 0")
+        flat = content.flatten_tables(in_tables, staged(profile.rich_header_map(in_tables)))
+        named = content.assemble_rows(_listed(content.parse_rows(flat), ["source"])).join(context.document_context(pages), "source", "left")
+        unit = F.when(F.col("group").isNotNull(), units.unit_under_group(F.col("raw_unit"), F.col("group"))).otherwise(F.col("raw_unit"))
+        unit = F.when(F.trim(F.coalesce(unit, F.lit(""))) == "", F.coalesce("fallback_unit", F.lit(""))).otherwise(unit)
+        parts.append(named.withColumn("raw_unit", unit).withColumn("row_label", F.lit(None).cast("string")).select(*keep))
+    return staged(_union(parts))
 
 
 # rows to records
