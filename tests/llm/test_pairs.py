@@ -281,3 +281,19 @@ def test_suffix_dedup_odd_tables(spark, docs, empty):
     rows = spark.createDataFrame([(None, text, 1), (2, text, 2), (2, text, 3), (3, text, 4), (4, None, 5)], "doc_id long, text string, spans int")
     got = sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(rows).collect())
     assert got == [(0, 0), (2, 290), (2, 290), (3, 300), (4, 0)]
+
+
+def test_texts_over_a_block(spark):
+    """A text of several MB is judged whole: its end is found like its start."""
+    rnd = random.Random(17)
+    words = [f"w{rnd.randrange(10**7)}" for _ in range(330_000)]
+    long = " ".join(words)
+    assert len(long) > 2 << 20
+    middle, end = " ".join(words[150_000:150_040]), " ".join(words[-30:])
+    frame = spark.createDataFrame([(1, long), (2, f"~{middle}~ unlike"), (3, " ".join([*words[:200_000], "other", *words[200_001:]])), (4, "short text of its own")], "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(7, end), (8, "not in any of these texts")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, items).collect()) == [(1, 7), (3, 7)]
+    assert {r.doc_id: r.class_id for r in ngram_join.ngram_join(frame).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert cut[1] == (len(long), 0) and cut[2][1] == len(middle) and cut[4][1] == 0
+    assert 0 <= cut[3][0] - cut[3][1] - len("other") <= 2

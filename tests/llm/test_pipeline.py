@@ -1,5 +1,9 @@
 """The pipeline's stages one after the other, each against brute force on its own input."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from muster.llm.tables import kept
 from tests.llm.test_pairs import WORD, jaccard_expected, lines_expected, shingles
@@ -47,3 +51,26 @@ def test_empty_tables(spark, tmp_path, empty):
     empty.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents(spark, tmp_path, docs, corpus):
+    """Rows without a doc_id are judged by their own text, never as copies; repeated rows share their fate; a text over a
+    block is whole; columns of any name stay, but ``copy``, which the last stage overwrites."""
+    rnd = random.Random(6)
+    long = " ".join(rnd.choice(corpus[30 + k % 20][1].split() or ["a"]) + str(rnd.randrange(10**6)) for k in range(180_000))
+    odd = [(None, corpus[4][1] + " alone here", "en", None, 1), (None, corpus[70][1], "en", "s1", 1), (1000, long, "en", "s1", None), (None, None, None, None, None), (1001, corpus[6][1] + " twice told", None, None, 3)]
+    frame = spark.createDataFrame(corpus + [*odd, odd[-1]], docs.schema).withColumns({c: F.lit(7) for c in ("copy", "size", "group", "score", "word", "item_id", "class_id", "lines", "_range")})
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, corpus[70][1])], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert len(long) > 2 << 20
+    where, got = str(tmp_path), frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = got
+        got = kept(stage(spark, got, where))
+        assert got.columns == frame.columns and got.count() <= before.count()
+    left = got.collect()
+    assert [r.text for r in left if r.doc_id is None] == [odd[0][1]]
+    assert [len(r.text) for r in left if r.doc_id == 1000] == [len(long)]
+    assert sum(r.doc_id == 1001 for r in left) in (0, 2)
+    mixed = kept(corpus_pipeline.STAGES[-1][1](spark, got, where))
+    assert mixed.columns == [c for c in frame.columns if c != "copy"] + ["copy"] and mixed.where("copy < 1").count() == 0
