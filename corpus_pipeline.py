@@ -2,6 +2,11 @@
 
 Each stage gets what its predecessor kept, is written as Parquet in the shared folder and read again; all
 but the last return the columns of documents. The last adds ``copy``, the number of the repetition.
+
+Defined results: a null text goes in the first stage; a null source, lang or n_chars is a value like others; rows with a null
+doc_id are judged by their own text and are nobody's copy (lines and near duplicates), and draw one hash in the mix; rows that
+repeat a doc_id with its text share their fate; texts of any length are whole; further columns pass through, whatever their
+names, except ``copy``, which the last stage overwrites; empty tables give no rows.
 """
 
 from __future__ import annotations
