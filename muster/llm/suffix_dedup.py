@@ -23,8 +23,9 @@ sorted, without losing any string.
    first of a bucket of strings are repeats.
 4. A bucket of over ``hot`` anchors is split by further identifiers, those of the bytes that all strings of a range of
    offsets share: its anchors' strings start 0 to 68 bytes before the anchor; halves of this range share more bytes, whose
-   fingerprint is the anchor's bucket in the half.  Buckets that are still hot are split again; in the end one string is
-   one bucket, and its first is a minimum.  So no task holds a hot bucket.
+   fingerprint is the anchor's bucket in the half.  Anchors whose whole reach in a half is equal are settled like those of
+   step 1, by a minimum; of the others, buckets that are still hot are split again, in the end down to one string, which
+   settles all.  So no task holds a hot bucket.
 5. Intervals are joined to the documents and merged there.
 
 No task holds more than a block of documents, a batch of anchors or ``hot`` contexts; numpy needs about 60 bytes a
@@ -341,12 +342,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
             spans = spans.union(keep(dealt.mapInArrow(_refine_buckets(length), "doc_id long, start int, end int")))
             if large.isEmpty():
                 break
-            hot_rows = keep(join_groups(open_, large, ["bucket"], open_.count()).drop("size"))
-            single = hot_rows.where("low = high")  # a bucket is a string
-            first = keep(single.groupBy("bucket").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("size")))
-            again = join_groups(single, first, ["bucket"], single.count()).where("doc_id <> first.doc_id or pos <> first.pos")
-            spans = spans.union(keep(again.selectExpr("doc_id", "pos - low start", f"pos - low + {length} end")))
-            open_ = keep(hot_rows.where("low < high").select(*[c.split()[0] for c in CONTEXTS.split(", ")]).mapInArrow(_split(length), CONTEXTS))
+            halves = keep(join_groups(open_, large, ["bucket"], open_.count()).drop("size").select(*[c.split()[0] for c in CONTEXTS.split(", ")]).mapInArrow(_split(length), CONTEXTS))
+            halves = halves.withColumn("context", F.xxhash64("before", "bytes"))
+            # contexts that agree in a half are settled: all but the first are covered, by one interval
+            alike = keep(halves.groupBy("bucket", "context").agg(F.min(F.struct("doc_id", "pos", "before", "bytes", "low", "high")).alias("first"), F.count("*").alias("size")))
+            several = alike.where("size > 1").select("bucket", "context", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+            places = halves.select("bucket", "context", "doc_id", "pos", "before", F.octet_length("bytes").alias("n"))
+            covered = join_groups(places, several, ["bucket", "context"], halves.count()).where("doc_id <> first_doc or pos <> first_pos")
+            spans = spans.union(keep(covered.selectExpr("doc_id", "pos - before start", "pos - before + n end")))
+            open_ = alike.select("bucket", "first.*")
         return kept(spans)
 
 
