@@ -133,7 +133,7 @@ def _nearest(gap: str) -> Column:
     return F.min(F.struct(F.abs(gap).alias("size"), F.col(gap)))[gap].alias(gap)
 
 
-def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+def _near(texts: DataFrame, spans: DataFrame, reach: int, keep) -> DataFrame:
     """entity, term, start, end, gap and text of the words within reach of each entity and outside of all; and n. gap: the
     characters between, for words before the entity as -1 less them."""
     words = texts.select(*TEXT, F.explode(_matches(F.col("text"), "term", TERM)).alias("m"))
@@ -143,6 +143,7 @@ def _near(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
     entities = entities.withColumn("stretch", F.explode(F.sequence(first, last)))
     terms = places.select(*TEXT, "start", "end", F.lower("value").alias("term"), F.floor(F.col("start") / reach).alias("stretch"))
     pairs = terms.join(entities, [*TEXT, "stretch"]).where((F.col("start") < F.col("e") + reach) & (F.col("end") > F.col("s") - reach))
+    pairs = keep(pairs.drop("stretch"))  # few; the shuffles of all words go before the next ones
     inside = F.max(((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).cast("int")).over(Window.partitionBy(*TEXT, "start"))
     gap = F.when(F.col("start") >= F.col("e"), F.col("start") - F.col("e")).otherwise(F.col("end") - F.col("s") - 1)
     outside = pairs.withColumn("inside", inside).where("inside = 0").select(*TEXT, "term", "start", "end", gap.alias("gap"), F.explode("names").alias("entity"))
@@ -158,7 +159,7 @@ def _at_least(hits: Column, n: Column, z: float) -> Column:
 
 def term_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, keep, disclosure: float = 0.5, reach: int = 160, z: float = 1.64, rare: int = 2, bin: int = 16) -> DataFrame:
     """The text, kind (term), start, end, value: words that disclose an entity near them."""
-    near = keep(_near(texts, spans, reach))
+    near = keep(_near(texts, spans, reach, keep))
     met = near.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("size"), _nearest("gap"))
     every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     counts = keep(every.groupBy("term").agg(F.count("*").alias("n_t")))
