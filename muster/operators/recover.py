@@ -95,14 +95,22 @@ def repair_cut_emails(rows: DataFrame, words: DataFrame, stage: Callable[[DataFr
     row's own number are taken off it. A word with an @ inside belongs to the next address. Only a valid address in that
     domain which starts with the fragment counts; of several starting words the one that goes on with a dot or @ is
     taken first, then the upper one, and no word starts two addresses: rows with one fragment take them in order.
+    A word that is a row's whole fragment starts no address of a shorter fragment; if a page has as many such words as rows
+    with the fragment, each is the word of the row in its place, also if it leads to no valid address.
     """
     key = ["source", "page", "row_pos"]
     found = rows.select("source", F.col("row_pos"), F.explode(F.transform("cells", normalize_email)).alias("email")).where("email is not null")
     dominant = dominant_domain(found, ["source"]).select("source", "domain")
     cut = cut_cells(rows).join(dominant, "source")
     placed = words.withColumn("_head", F.substring("text", 1, 3)).withColumn("_word", F.monotonically_increasing_id())
-    placed = stage(placed.withColumn("_band", F.floor(F.col("top") / gap)))
-    starts = cut.withColumn("_head", F.substring("fragment", 1, 3)).join(placed, ["source", "page", "_head"]).where(F.col("text").startswith(F.col("fragment")))
+    alike = Window.partitionBy("source", "page", "text")
+    placed = stage(placed.withColumns({"_band": F.floor(F.col("top") / gap), "_words": F.count("*").over(alike), "_nth_word": F.row_number().over(alike.orderBy("top", "x0", "_word"))}))
+    same = ["source", "page", "fragment"]
+    cut = stage(cut.withColumns({"_rows": F.count("*").over(Window.partitionBy(*same)), "_nth": F.row_number().over(Window.partitionBy(*same).orderBy("row_pos", "stt"))}))
+    owned = cut.select("source", "page", F.col("fragment").alias("text"), F.lit(True).alias("_owned")).distinct()
+    begun = cut.withColumn("_head", F.substring("fragment", 1, 3)).join(placed, ["source", "page", "_head"]).where(F.col("text").startswith(F.col("fragment")))
+    own = (F.col("text") == F.col("fragment")) & ((F.col("_words") != F.col("_rows")) | (F.col("_nth_word") == F.col("_nth")))
+    starts = begun.join(owned, ["source", "page", "text"], "left").where(F.col("_owned").isNull() | own)
 
     def clean(text: Column) -> Column:
         tail = F.regexp_extract(text, r"\d{3,}$", 0)
@@ -123,7 +131,6 @@ def repair_cut_emails(rows: DataFrame, words: DataFrame, stage: Callable[[DataFr
         now = joined.withColumns(moved).drop("n")
     email = normalize_email(F.col("built"))
     valid = now.withColumn("email", email).where((F.substring_index("email", "@", -1) == F.col("domain")) & F.col("email").startswith(F.lower("fragment")))
-    same = ["source", "page", "fragment"]
     row = stage(valid.withColumn("nth_row", F.dense_rank().over(Window.partitionBy(*same).orderBy("row_pos"))).withColumn("nth_start", F.dense_rank().over(Window.partitionBy(*same).orderBy(F.desc("good"), "y", "x", "start"))))
     picked = row.where("nth_row = nth_start")
     once = picked.withColumn("_first", F.row_number().over(Window.partitionBy("source", "page", "start").orderBy("row_pos"))).where("_first = 1")

@@ -224,6 +224,15 @@ def test_cut_addresses(spark):
     assert recover.repair_warnings(got).first().message == "khôi phục 2 email bị cắt theo viền ô bảng (STT 10, 11) - hãy đối chiếu email với tệp gốc"
 
 
+def test_words_of_cut_addresses_stay_with_their_rows(spark):
+    cells = [("a", 0, k, [str(k), "Test", f"u{k}@tinhmau.gov.vn", ""]) for k in range(3)] + [("a", 1, 10 + k, [str(10 + k), "Test", e, ""]) for k, e in enumerate(["hai", "motv", "motv", "haiv"])]
+    words = [("hai", 10.0, 100.0), ("@khac.vn", 10.0, 112.0), ("motv", 10.0, 200.0), ("@khac.vn", 10.0, 212.0), ("motv", 10.0, 300.0), ("@tinhmau.gov.vn", 10.0, 312.0), ("haiv", 10.0, 400.0), ("@tinhmau.gov.vn", 10.0, 412.0)]
+    rows = spark.createDataFrame(cells, "source string, page int, row_pos long, cells array<string>")
+    placed = spark.createDataFrame([("a", 1, *w) for w in words], "source string, page int, text string, x0 double, top double")
+    got = recover.repair_cut_emails(rows, placed, staged)
+    assert sorted((r.row_pos, r.email) for r in got.collect()) == [(12, "motv@tinhmau.gov.vn"), (13, "haiv@tinhmau.gov.vn")]
+
+
 def test_search_and_preview(spark):
     data = spark.createDataFrame([(1, "Đỗ Dũng"), (2, "Bình"), (3, None)], "k int, name string")
     assert [r.k for r in search.search(data, ["name"], "DUNG").collect()] == [1]
