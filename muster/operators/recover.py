@@ -16,8 +16,8 @@ from .domains import dominant_domain
 
 # Fixed value: what the start of a cut address looks like.
 FRAGMENT = r"^[A-Za-z0-9._%+\-]+$"
-# An ordinal at the start of a line, and where a unit or position starts after a name.
-LINE = r"^\s*(\d{1,4})\s+(.+)$"
+# An ordinal (1 to 99999, as parse_stt has it) at the start of a line, and where a unit or position starts after a name.
+LINE = r"^\s*(\d{1,5})\s+(.+)$"
 UNIT = r"(?iu)(?<![\p{L}])(?:Văn phòng|Ban(?=\s|$)|UBND|HĐND|Ủy ban|Phòng|Trung tâm|Hội(?=\s|$)|Đoàn|Sở|Viện|Cơ quan|Đảng ủy|Trường|Trạm|Bệnh viện|Chi cục|Cục|Thanh tra|Công an|Xã|Phường)"
 POSITION = r"(?iu)(?<![\p{L}])(?:Chuyên viên|Phó\s+(?:Chủ tịch|Trưởng|Giám đốc|Bí thư|Chánh|phòng)|Trưởng\s+(?:phòng|ban|khoa)|Giám đốc|Chủ tịch|Bí thư|Công chức|Viên chức|Cán bộ|Nhân viên|Kế toán|Văn thư)"
 

@@ -233,6 +233,14 @@ def test_words_of_cut_addresses_stay_with_their_rows(spark):
     assert sorted((r.row_pos, r.email) for r in got.collect()) == [(12, "motv@tinhmau.gov.vn"), (13, "haiv@tinhmau.gov.vn")]
 
 
+def test_lost_rows_of_five_digits(spark):
+    lines = ["9999 Test Hai hai@x.vn 0900000002", "10000 Test Ba ba@x.vn 0900000003"]
+    doc = spark.createDataFrame([("a", k, t) for k, t in enumerate(lines)], "source string, line_no int, text string")
+    gaps = spark.createDataFrame([("a", 9999), ("a", 10000)], "source string, stt_no int")
+    got = {r.stt_no: r for r in recover.split_line(recover.lost_lines(doc, gaps)).collect()}
+    assert {k: (r.raw_name, r.raw_email, r.raw_phone) for k, r in got.items()} == {9999: ("Test Hai", "hai@x.vn", "0900000002"), 10000: ("Test Ba", "ba@x.vn", "0900000003")}
+
+
 def test_search_and_preview(spark):
     data = spark.createDataFrame([(1, "Đỗ Dũng"), (2, "Bình"), (3, None)], "k int, name string")
     assert [r.k for r in search.search(data, ["name"], "DUNG").collect()] == [1]
