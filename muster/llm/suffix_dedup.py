@@ -52,7 +52,9 @@ from .ngram_join import _by_group
 from .tables import join_groups, kept, merged, scratch, table
 
 Q = 32
-FLUSH = 1_000_000
+#: What a task holds at once: anchors to settle, bytes of text to find them in, rows and bytes of contexts to refine (whole
+#: buckets). Two tasks of an executor and its heap share little memory, and smaller blocks are no slower.
+FLUSH, BLOCK, ROWS, REFINE = 400_000, 1 << 19, 2000, 1 << 19
 #: A text of 2**32 bytes would be too long for an Arrow column, so 32 bits hold a place in a block.
 PLACE = np.uint64(32)
 COVERED, OPEN, USUAL = 0, 1, 2
@@ -125,14 +127,14 @@ def _anchors(length: int):
         held, rows = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for i, _, buf, offs, _ in T.blocks(batch):
+            for i, _, buf, offs, _ in T.blocks(batch, limit=BLOCK):
                 at, doc, before, after = find_anchors(buf, offs, length)
                 if not len(at):
                     continue
                 p = T.prefix(buf)
                 reach = T.span_hash(p, at - before, at + after)
                 context = T.mix(reach + (before * 65536 + after).astype(np.uint64) * np.uint64(T.WORD_BASE))
-                held.append((T.span_hash(p, at, at + Q), context, ids[i + doc], at - offs[doc], before, after))
+                held.append((T.span_hash(p, at, at + Q), context, ids[i + doc], *(x.astype(np.int32) for x in (at - offs[doc], before, after))))
                 rows += len(at)
                 if rows >= FLUSH:
                     yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -182,12 +184,12 @@ def _contexts(length: int):
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             pos, before, after = (flat.field(n).to_numpy() for n in ("pos", "before", "after"))
             start = offs[row] + pos
-            ctx = [bytes(data[s - b : s + a]) for s, b, a in zip(start.tolist(), before.tolist(), after.tolist(), strict=True)]
-            for k in range(0, len(ctx), 20_000):
+            for k in range(0, len(start), 20_000):
                 w = slice(k, k + 20_000)
+                ctx = [bytes(data[s - b : s + a]) for s, b, a in zip(start[w].tolist(), before[w].tolist(), after[w].tolist(), strict=True)]
                 yield pa.record_batch({
                     "bucket": flat.field("bucket").slice(k, 20_000), "doc_id": pa.array(batch.column("doc_id").to_numpy()[row[w]]),
-                    "pos": pa.array(pos[w]), "before": pa.array(before[w]), "bytes": pa.array(ctx[w], pa.binary()),
+                    "pos": pa.array(pos[w]), "before": pa.array(before[w]), "bytes": pa.array(ctx, pa.binary()),
                 })
 
     return run
@@ -249,7 +251,8 @@ def _refine_buckets(length: int):
     """Over whole buckets: the intervals of repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_group((b.rename_columns(["group", *b.schema.names[1:]]) for b in batches), 2 << 20):
+        pieces = (b.slice(k, ROWS).rename_columns(["group", *b.schema.names[1:]]) for b in batches for k in range(0, b.num_rows, ROWS))
+        for rows in _by_group(pieces, REFINE):
             doc, at, data, end = _suffixes(rows)
             bucket = string_buckets(data, end, length)
             own = np.flatnonzero(bucket >= 0)  # by document and position, so the first of a bucket is its earliest

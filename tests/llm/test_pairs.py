@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +258,22 @@ def test_buckets_are_refined_like_a_suffix_sort(length):
     same(suffix_dedup.string_buckets(data, end, length), plain(length))
 
 
+def test_buckets_are_refined_a_few_at_a_time():
+    """Memory follows a bucket, not the batch: 2 MB of contexts, about 100 bytes each byte of those refined together."""
+    rnd = random.Random(3)
+    texts = [rnd.randbytes(168) for _ in range(6000)]
+    rows = pa.record_batch({
+        "bucket": pa.array([k // 2 for k in range(12000)]), "doc_id": pa.array(range(12000)), "pos": pa.array([68] * 12000, pa.int32()), "before": pa.array([68] * 12000, pa.int32()),
+        "bytes": pa.array([texts[k // 2] for k in range(12000)], pa.binary()),
+    })
+    tracemalloc.start()
+    got = [x for b in suffix_dedup._refine_buckets(100)(iter([rows])) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((x["doc_id"], x["start"], x["end"]) for x in got) == [(k, 0, 168) for k in range(1, 12000, 2)]
+    assert peak < 100e6
+
+
 def test_suffix_dedup_of_a_hot_passage(spark):
     """One passage in all documents of many partitions, with other words around it: a bucket that no task gathers."""
     rnd = random.Random(9)
