@@ -339,7 +339,7 @@ def source_bulk_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registrations written as CSV with line breaks and quotes in cells, and read again in splits of 4 KB: a file a
-    source, and all of its splits are tasks of their own."""
+    source, and all of its splits are ranges of their own."""
     quoted = F.concat(F.col("raw_name"), F.when(F.col("row_pos") % 3 == 0, F.lit(' "x",\ny\n')).otherwise(""))
     rows = registrations(spark, sf_dir).select("source", "row_pos", "stt", quoted.alias("name"), "raw_email", "raw_phone")
     path = scratch_folder(spark)

@@ -5,8 +5,9 @@ cell depends on everything before it in the file, but in a simple way: a line tu
 inside quotes) into the state it leaves, so it is one of four maps.  Both results are computed for each line on its own, from
 either state.  The state that a line meets is then that of the last line which leaves the same state whatever it met,
 turned as often as lines after it turn it: a look at the last value above and a running sum, which go range by range
-(``operators.scan``; a range is a split of a file).  So a file is as many tasks as it has splits, with quoted
-line breaks anywhere, and no Python runs.
+(``operators.scan``; a range is a split of a file).  So a file is as many ranges as it has splits, with quoted
+line breaks anywhere, and no Python runs.  Splits smaller than the session's are read several to a task, each still a range
+of its own, so that their number costs neither a task nor a file each.
 
 As Python's csv module (the reference for odd files) has it: a quote opens a cell only at its start; behind the closing quote
 characters count as text; a cell that is never closed goes on to the end of the file (without its last line break); an empty
@@ -32,6 +33,8 @@ _CELL = rf'(?:{_QUOTED}"[^,]*+|[^",][^,]*+|)'
 _OPENS = rf"^(?:{_CELL},)*+{_QUOTED}$"
 _CELLS = rf',({_QUOTED}"[^,]*|{_QUOTED}$|[^,]*)'
 _SPLIT = "spark.sql.files.maxPartitionBytes"
+#: Splits of a given size are read in so many tasks a core, or in more of so many bytes.
+TASKS, TASK_BYTES = 8, 32 << 20
 
 
 @contextmanager
@@ -46,13 +49,18 @@ def _splits(spark: SparkSession, size: int | None):
             spark.conf.unset(_SPLIT) if before is None else spark.conf.set(_SPLIT, before)
 
 
-def csv_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source, _range (where the line's split starts), place (its order in it), line."""
+def csv_lines(spark: SparkSession, paths: list[str], split_bytes: int | None = None) -> DataFrame:
+    """source, _range (where the line's split starts), place (its order in it), line. split_bytes: the size of a split, if
+    it isn't the session's usual one."""
     read = spark.read.option("lineSep", "\n").text(paths)
     at = read.metadataColumn("_metadata")
     line = F.regexp_replace(F.translate("value", "�", ""), "﻿", "")
     path = F.url_decode(F.replace(at["file_path"], F.lit("+"), F.lit("%2B")))  # the path as it is named, not as an address
-    return read.select(path.alias("source"), at["file_block_start"].alias(RANGE), F.monotonically_increasing_id().alias("place"), line.alias("line"))
+    lines = read.select(path.alias("source"), at["file_block_start"].alias(RANGE), F.monotonically_increasing_id().alias("place"), line.alias("line"))
+    if not split_bytes:
+        return lines
+    tasks = max(TASKS * spark.sparkContext.defaultParallelism, lines.rdd.getNumPartitions() * split_bytes // TASK_BYTES)
+    return lines.coalesce(tasks)  # no shuffle; splits stay as they are, and so do places, which are given before
 
 
 def csv_records(lines: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def csv_cells(spark: SparkSession, paths: list[str], stage: Callable[[DataFrame]
     """source, row_pos, col_idx, value of the cells that aren't blank. stage writes the lines, which are looked at several
     times; split_bytes: the size of a split, else as the session has it."""
     with _splits(spark, split_bytes):
-        lines = stage(csv_lines(spark, paths))
+        lines = stage(csv_lines(spark, paths, split_bytes))
     records = csv_records(lines)
     cells = F.regexp_extract_all(F.concat(F.lit(","), F.col("record")), F.lit(_CELLS), F.lit(1))
     each = records.where("record <> ''").select("source", "row_pos", F.posexplode(F.transform(cells, _unquoted)).alias("col_idx", "value"))

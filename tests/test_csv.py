@@ -7,6 +7,7 @@ import random
 import pytest
 
 from muster.sources import read_cells, read_csv
+from muster.sources.csv_text import _splits, csv_lines
 
 
 def expected(text):
@@ -34,6 +35,15 @@ def test_equals_the_csv_module(spark, texts, tmp_path):
         assert got.get(name, {}) == expected(text), text
 
 
+def test_small_splits_share_tasks(spark, texts, tmp_path):
+    (tmp_path / "big.csv").write_bytes(texts["big"].encode())
+    with _splits(spark, 100):
+        lines = csv_lines(spark, [str(tmp_path)], 100)
+        tasks, rows = lines.rdd.getNumPartitions(), lines.orderBy("_range", "place").collect()
+    assert len({r._range for r in rows}) > 300 and tasks <= 8 * spark.sparkContext.defaultParallelism
+    assert len({r.place for r in rows}) == len(rows) and "\n".join(r.line for r in rows) + "\n" == texts["big"]
+
+
 def test_all_files_are_one_scan_and_a_file_is_read_once(spark, tmp_path):
     paths = [str(tmp_path / f"f{k}.csv") for k in range(60)]
     for k, path in enumerate(paths):
