@@ -13,7 +13,7 @@ or for ``rounds`` rounds.
 Absolute fit.  The languages share a text's probability with ``none of them``, or the best of them would be
 sure whatever the text.  That background gives each word the mean of two models without a language, all pieces
 equal and bytes by frequency, and is raised by half of what texts of the best language gain over it a byte (the
-mean over at most ``FIT`` training documents a language, of least hash), so a text that gains less than half of
+mean over all words of its training documents, from their counts), so a text that gains less than half of
 that is in none.  It starts with odds of ``DOUBT``, so a text of a few letters isn't judged by them.  A word's
 gain is that of the mean of all languages (a text in two of them is in some), in lower case if it has two
 capitals.  Words without a letter or with a digit (numbers, keys, dates) are in no language and don't count.
@@ -47,7 +47,7 @@ from .tables import BLANKS, crc_mod, scratch, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE, WINDOW = 400_000, 4096
 SLOTS = 19
-FIT, DOUBT = 2000, 1e-6
+DOUBT = 1e-6
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -325,15 +325,17 @@ class _Predictor:
 
 
 def _gain(shared, langs: list[str]):
+    """What a task's words (lang, word, n) gain over the background, and their bytes; a word counts n times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict, code = _Predictor(*shared.value, langs), {x: k for k, x in enumerate(langs)}
+        predict = _Predictor(*shared.value, langs)
         total = np.zeros((2, len(langs)))
         for batch in batches:
-            lang = np.array([code[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for i, j, buf, offs, _ in T.blocks(batch):
+            lang, times = batch.column("lang").to_numpy(), batch.column("n").to_numpy()
+            for i, j, buf, offs, _ in T.blocks(batch, "word"):
                 _, gain, size = predict.fit(buf, offs)
-                total[0] += np.bincount(lang[i:j], gain, minlength=len(langs))
-                total[1] += np.bincount(lang[i:j], size, minlength=len(langs))
+                total[0] += np.bincount(lang[i:j], gain * times[i:j], minlength=len(langs))
+                total[1] += np.bincount(lang[i:j], size * times[i:j], minlength=len(langs))
         yield pa.record_batch({"lang": pa.array(np.arange(len(langs)), pa.int32()), "gain": pa.array(total[0]), "size": pa.array(total[1])})
 
     return run
@@ -397,32 +399,30 @@ def _fitted(words: DataFrame, pieces: Pieces, langs: int, smoothing: float, roun
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, smoothing: float = 0.1, rounds: int = 4, settled: float = 1e-3, most: int = 1000) -> LanguageModel:
     """The model of all documents with a lang. docs: text, lang.
 
-    Only the languages' names and sizes and one count a (piece, language) come to the driver.
+    Only the languages' names and one count a (piece, language) come to the driver.
     """
     spark = docs.sparkSession
     pieces = Pieces(vocabulary)
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    found = rows.groupBy("lang").count().limit(most + 1).collect()
+    found = rows.select("lang").distinct().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} languages")
-    sizes = dict(sorted((r[0], r[1]) for r in found))
-    langs = list(sizes)
+    langs = sorted(r[0] for r in found)
     if not langs:
         return LanguageModel(spark, pieces, langs, np.zeros((0, 0)), np.zeros(256), np.zeros(0))
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
     with scratch(spark) as keep:
         split = rows.select(number[F.col("lang")].alias("lang"), F.explode(F.split("text", BLANKS)).alias("word")).where("word <> ''")
-        count = _fitted(keep(split.groupBy("lang", "word").agg(F.count("*").alias("n"))), pieces, len(langs), smoothing, rounds, settled)
-    # the last column is the background of equal pieces, the last row that of no piece
-    prob = np.vstack([np.column_stack([count / count.sum(0), np.full(pieces.n, 1 / pieces.n)]), np.zeros((1, len(langs) + 1))])
-    seen = np.bincount(pieces.buf, np.repeat(count.sum(1), pieces.size), minlength=256)
-    byte = np.log(seen / seen.sum() / 2 + 1 / 512)
-    least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, FIT / n) * (1 << 30)))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < least[F.col("lang")])
-    shared = spark.sparkContext.broadcast((pieces, prob, byte, np.zeros(len(langs))))
-    fit = chosen.mapInArrow(_gain(shared, langs), "lang int, gain double, size double").groupBy("lang").agg(F.sum("gain").alias("gain"), F.sum("size").alias("size"))
+        words = keep(split.groupBy("lang", "word").agg(F.count("*").alias("n")))
+        count = _fitted(words, pieces, len(langs), smoothing, rounds, settled)
+        # the last column is the background of equal pieces, the last row that of no piece
+        prob = np.vstack([np.column_stack([count / count.sum(0), np.full(pieces.n, 1 / pieces.n)]), np.zeros((1, len(langs) + 1))])
+        seen = np.bincount(pieces.buf, np.repeat(count.sum(1), pieces.size), minlength=256)
+        byte = np.log(seen / seen.sum() / 2 + 1 / 512)
+        shared = spark.sparkContext.broadcast((pieces, prob, byte, np.zeros(len(langs))))
+        fit = words.mapInArrow(_gain(shared, langs), "lang int, gain double, size double").groupBy("lang").agg(F.sum("gain").alias("gain"), F.sum("size").alias("size")).collect()
     gain = np.zeros(len(langs))
-    for r in fit.collect():
+    for r in fit:
         gain[r["lang"]] = max(0.0, r["gain"] / max(r["size"], 1.0))
     return LanguageModel(spark, pieces, langs, prob, byte, gain)
 

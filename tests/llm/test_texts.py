@@ -298,6 +298,16 @@ def test_terms_that_reveal(spark, empty):
 # mixing
 
 
+def test_gain_is_that_of_all_training_documents(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abdeinorst") for _ in range(rnd.randint(2, 9))) + rnd.choice([" Und", " THE", " x1", ""]) for _ in range(5000)]
+    model = language_id.train(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), rounds=1)
+    pieces, prob, byte, gain = model._shared.value
+    joined = " ".join(texts).encode()
+    _, won, size = language_id._Predictor(pieces, prob, byte, np.zeros(1), ["en"]).fit(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+    assert gain[0] == pytest.approx(won[0] / size[0], rel=1e-9) and gain[0] > 0
+
+
 def targets(sizes, weights=(1, 2, 3), most=3):
     """Targets by the repeated resharing that the contract words."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
